@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, packing, sharding
+from tempora.llm import bpe, packing, sharding, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
     "op4_minimum_slack_packing": packing.op4,
+    "op7_boosted_toxicity": toxicity.op7,
     "op9_rendezvous_sharding": sharding.op9,
 }
 
