@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python operator handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+
+#: Rows of a narrow table (some 100 bytes each) that may be sent to every executor.
+BROADCAST_ROWS = 200_000
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -57,6 +60,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has at most BROADCAST_ROWS rows; else as it is, for Spark to shuffle. df is a staged table of narrow rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, packing, sharding, toxicity
+from tempora.llm import bpe, exact_dedup, packing, sharding, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
+    "op3_streaming_exact_dedup": exact_dedup.op3,
     "op4_minimum_slack_packing": packing.op4,
     "op7_boosted_toxicity": toxicity.op7,
     "op9_rendezvous_sharding": sharding.op9,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_streaming_exact_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS bare FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
+    """,
+}
