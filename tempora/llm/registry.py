@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, exact_dedup, packing, sharding, simhash, toxicity
+from tempora.llm import bpe, exact_dedup, packing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_minimum_slack_packing": packing.op4,
     "op6_simhash_tiles": simhash.op6,
     "op7_boosted_toxicity": toxicity.op7,
+    "op8_offset_pii": pii.op8,
     "op9_rendezvous_sharding": sharding.op9,
 }
 
