@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, exact_dedup, packing, pii, sharding, simhash, toxicity
+from tempora.llm import bpe, exact_dedup, media, packing, pii, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
     "op3_streaming_exact_dedup": exact_dedup.op3,
     "op4_minimum_slack_packing": packing.op4,
+    "op5_media_members": media.op5,
     "op6_simhash_tiles": simhash.op6,
     "op7_boosted_toxicity": toxicity.op7,
     "op8_offset_pii": pii.op8,
