@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, exact_dedup, media, packing, pii, sharding, simhash, toxicity
+from tempora.llm import bpe, exact_dedup, line_dedup, media, packing, pii, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
+    "op2_segment_tree_counts": token_counts.op2,
     "op3_streaming_exact_dedup": exact_dedup.op3,
     "op4_minimum_slack_packing": packing.op4,
     "op5_media_members": media.op5,
@@ -13,9 +14,11 @@ QUERIES = {
     "op7_boosted_toxicity": toxicity.op7,
     "op8_offset_pii": pii.op8,
     "op9_rendezvous_sharding": sharding.op9,
+    "op10_template_line_dedup": line_dedup.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_segment_tree_counts": token_counts.op2,
     "op3_streaming_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS bare FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
