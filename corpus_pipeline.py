@@ -1,10 +1,60 @@
-"""A corpus pipeline: each stage reads what the one before kept."""
+"""A corpus pipeline: toxicity, exact dedup, SimHash near-dedup, personal data, packing.
+
+Each stage works on all rows that the one before kept; run() writes what a stage returns to the shared folder and reads it
+again as the next stage's documents. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tempora.llm import exact_dedup, packing, pii, simhash, toxicity
+from tempora.llm.common import documents, stage
+
+#: Documents of this score or more are rejected.
+TOXIC_SCORE = 0.5
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents under the score. The model learns from the labelled rows among docs that aren't held out."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.reject(docs, model, TOXIC_SCORE)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: the longest, then the one of the smallest doc_id."""
+    return exact_dedup.survivors(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: the one of the smallest doc_id."""
+    return simhash.representatives(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their text replaced by its kind."""
+    return pii.mask(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("exact_dedup", exact_duplicates),
+    ("near_dedup", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed),
+]
+
+#: Trained scores, fingerprint components and packing aren't expressible in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, apply in STAGES[:-1]:
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
