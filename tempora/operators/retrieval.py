@@ -74,7 +74,7 @@ def interval_metrics(hits: DataFrame, truths: DataFrame, k: int, coverage: float
 
 def macro(metrics: DataFrame, *names: str) -> DataFrame:
     """Means over the queries that have a truth; the others are counted apart."""
-    return metrics.agg(F.count_if("relevant > 0").alias("positive_queries"), F.count_if("relevant = 0").alias("unsupported_queries"), *[F.round(F.avg(n), DIGITS).alias(n) for n in names])
+    return metrics.agg(F.count_if(F.col("relevant") > 0).alias("positive_queries"), F.count_if(F.col("relevant") == 0).alias("unsupported_queries"), *[F.round(F.avg(n), DIGITS).alias(n) for n in names])
 
 
 def shuffled(chunks: DataFrame, queries: DataFrame, repeats: int, k: int, seed: int, *keep: str) -> DataFrame:

@@ -22,17 +22,18 @@ def state_at_event(triggers: DataFrame, observations: DataFrame, expected: bool,
     o = observations.where(shown).select(*keys, F.col("event_us").alias("lo_us"), "value")
     found = t.join(o.withColumn("_hit", F.lit(1)), [*keys, "lo_us"], "left").groupBy("trigger_id", *keys, "lo_us", "hi_us", "_shown")
     found = found.agg(F.count("_hit").alias("_n"), F.count_if(F.col("_hit").isNotNull() & F.col("value").isNull()).alias("_unknown"), F.min("value").alias("_least"), F.max("value").alias("_most"))
-    reason = F.when(~F.col("_shown"), "trigger_not_observed").when(F.col("lo_us") != F.col("hi_us"), "uncertain_trigger").when(F.col("_n") == 0, POINT_REASONS[0]).when(F.col("_unknown") > 0, POINT_REASONS[1]).when(F.col("_least") != F.col("_most"), POINT_REASONS[2])
+    reason = F.when(~F.col("_shown"), "trigger_not_observed").when(F.col("lo_us") != F.col("hi_us"), "uncertain_trigger_requires_interval_evidence").when(F.col("_n") == 0, POINT_REASONS[0]).when(F.col("_unknown") > 0, POINT_REASONS[1]).when(F.col("_least") != F.col("_most"), POINT_REASONS[2])
     decided = found.withColumn("reason", reason)
     status = F.when(F.col("reason").isNotNull(), "UNKNOWN").when(F.col("_least") == expected, "PASS").otherwise("VIOLATION")
-    return decided.select("trigger_id", *keys, status.alias("status"), F.coalesce("reason", F.lit("observed_state")).alias("reason"))
+    observed = F.when(F.col("_least") == expected, "observed_state_match").otherwise("observed_state_mismatch")
+    return decided.select("trigger_id", *keys, status.alias("status"), F.coalesce("reason", observed).alias("reason"))
 
 
 def before(pairs: DataFrame) -> DataFrame:
     """Whether the first event came before the second, each known within [lo, hi]: first_lo_us, first_hi_us, second_lo_us, second_hi_us."""
     missing = F.col("first_hi_us").isNull() | F.col("second_lo_us").isNull()
     status = F.when(missing, "UNKNOWN").when(F.col("first_hi_us") < F.col("second_lo_us"), "PASS").when(F.col("first_lo_us") >= F.col("second_hi_us"), "VIOLATION").otherwise("UNKNOWN")
-    reason = F.when(missing, "event_not_observed").when(status == "UNKNOWN", "overlapping_uncertainty").otherwise("ordered_bounds")
+    reason = F.when(missing, "required_event_not_observed").when(status == "PASS", "strictly_before").when(status == "VIOLATION", "not_strictly_before").otherwise("overlapping_event_uncertainty")
     return pairs.withColumns({"status": status, "reason": reason})
 
 
@@ -54,22 +55,21 @@ def no_event_in(spans: DataFrame, events: DataFrame, coverage: DataFrame, as_of_
     covered = inside.groupBy("span_id").agg(F.max(F.col("_gap").cast("int")).alias("_gap"), F.max("c_end").alias("_reach"))
     rows = s.join(touched, "span_id", "left").join(covered, "span_id", "left")
     reason = (
-        F.when(F.col("_certain") == 1, "event_observed")
-        .when(F.col("_certain") == 0, "event_at_the_boundary")
-        .when(F.lit(as_of_us) < F.col("end_us"), "interval_not_over")
-        .when(F.col("_reach").isNull() | (F.col("_gap") == 1) | (F.col("_reach") < F.col("end_us")), "coverage_gap")
-        .otherwise("covered_absence")
+        F.when(F.col("_certain") == 1, "prohibited_event_observed")
+        .when(F.col("_certain") == 0, "event_overlaps_interval_boundary")
+        .when(F.lit(as_of_us) < F.col("end_us"), "interval_not_finished")
+        .when(F.col("_reach").isNull() | (F.col("_gap") == 1) | (F.col("_reach") < F.col("end_us")), "event_coverage_gap")
+        .otherwise("covered_event_absence")
     )
     decided = rows.withColumn("reason", reason)
-    status = F.when(F.col("reason") == "event_observed", "VIOLATION").when(F.col("reason") == "covered_absence", "PASS").otherwise("UNKNOWN")
+    status = F.when(F.col("reason") == "prohibited_event_observed", "VIOLATION").when(F.col("reason") == "covered_event_absence", "PASS").otherwise("UNKNOWN")
     return decided.select("span_id", "episode_id", status.alias("status"), "reason")
 
 
 def handoff(decisions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """What to do about each decision: not_needed, ready if there is evidence to look at, else unavailable."""
+    """What to do about each decision: not_needed if it is known, ready if a look at the evidence may settle it, else unavailable."""
     has = evidence.select("trigger_id").distinct().withColumn("_has", F.lit(True))
-    needed = (F.col("status") == "UNKNOWN") & F.col("reason").isin(*POINT_REASONS)
-    plan = F.when(~needed, "not_needed").when(F.col("_has"), "ready").otherwise("unavailable")
+    plan = F.when(F.col("status") != "UNKNOWN", "not_needed").when(F.col("reason").isin(*POINT_REASONS) & F.col("_has"), "ready").otherwise("unavailable")
     return decisions.join(has, "trigger_id", "left").withColumn("plan", plan).drop("_has")
 
 
