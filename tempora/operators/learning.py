@@ -229,7 +229,7 @@ def match_events(reference: DataFrame, candidates: DataFrame, tolerance_us: int)
     def run(table: pd.DataFrame) -> pd.DataFrame:
         sides = [sorted(zip(t["event_us"].tolist(), t["event_id"].tolist(), strict=True)) for _, t in ((s, table[table["side"] == s]) for s in (0, 1))]
         pairs = matched_events(*sides, tolerance_us)
-        return pd.DataFrame({"episode_id": [table["episode_id"].iloc[0]] * len(pairs), "event_id": [a for a, _ in pairs], "candidate_id": [b for _, b in pairs]})
+        return pd.DataFrame({"episode_id": [table["episode_id"].iloc[0]] * len(pairs), "event_id": [a for a, _ in pairs], "candidate_id": [b for _, b in pairs]}, dtype=object)
 
     kind = reference.schema["episode_id"].dataType.simpleString()
     return both.groupBy("episode_id", "stretch").applyInPandas(run, f"episode_id {kind}, event_id string, candidate_id string")

@@ -1 +1,114 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Fitted heads, decoders, matching, scheduling and streams."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tempora.operators import learning as ln
+from tempora.operators import scheduling
+from tempora.operators import sequences as sq
+from tempora.plans import sequence_queries as known
+from tempora.plans import window_queries as windows
+from tempora.sources import views
+from tempora.sources.views import sql
+from tempora.streaming import automata, replay
+
+DAY_US = 86_400_000_000
+CLASSES = 10
+STATES = 3
+STAY = np.log(np.array([[0.8, 0.1, 0.1], [0.1, 0.8, 0.1], [0.1, 0.1, 0.8]]))
+START = np.log(np.full(STATES, 1 / STATES))
+
+
+def ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on train chunks; every chunk is scored."""
+    chunks = views.chunks(spark, sf_dir)
+    model = ln.fit_ridge(chunks.where("split = 'train'"), "vector", "label", CLASSES)
+    return ln.ridge_scores(chunks, model, "vector", "chunk_id", "split", "label")
+
+
+def platt_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by length, calibrated on the development split."""
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", F.log1p("n_chars").alias("score")).join(views.table(spark, sf_dir, "labels"), "doc_id").withColumn("truth", F.col("quality") == 1)
+    model = ln.fit_platt(rows.where(views.split_of(F.col("doc_id")) == "development"), "score", "truth")
+    return rows.select("doc_id", F.round(ln.platt(F.col("score"), model), 6).alias("probability"))
+
+
+def _emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of three states for each frame that isn't an error, by how near its value is to each state's; runs end at errors."""
+    f = views.frames(spark, sf_dir)
+    at = W.partitionBy("episode_id").orderBy("frame_index")
+    f = f.withColumn("valid", F.col("event_type") != "error")
+    f = sq.numbered_runs(f, F.coalesce(F.lag("valid").over(at) != F.col("valid"), F.lit(True)), ["episode_id"], "frame_index").where("valid")
+    return f.withColumn("scores", F.array(*[-F.pow((F.col("value") - c) / 40, 2) for c in (20.0, 60.0, 120.0)])).select("episode_id", "run", "frame_index", "event_id", "pts_us", "scores")
+
+
+def _decoded(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
+    cells = _emissions(spark, sf_dir)
+    return ln.decode_runs(cells.select("episode_id", "run", "frame_index", "scores"), ["episode_id", "run"], "scores", "frame_index", method, STAY, START)
+
+
+def hmm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir, "filter")
+
+
+def hmm_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir, "smooth")
+
+
+def hmm_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir, "viterbi")
+
+
+def hsmm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decoded(spark, sf_dir, "segments")
+
+
+def event_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases matched with clicks within a day."""
+    f = views.frames(spark, sf_dir).select("episode_id", "event_id", F.col("pts_us").alias("event_us"), "event_type")
+    return ln.match_events(f.where("event_type = 'purchase'"), f.where("event_type = 'click'"), DAY_US)
+
+
+def greedy_segment_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Viterbi states against the nearest state of each frame; a cell lasts until the next frame."""
+    cells = _emissions(spark, sf_dir)
+    nearest = F.array_position("scores", F.array_max("scores")).cast("int") - 1
+    end = F.lead("pts_us").over(W.partitionBy("episode_id").orderBy("frame_index"))
+    truth = cells.select("episode_id", "run", "frame_index", nearest.alias("truth"), F.col("pts_us").alias("start_us"), F.coalesce(end, F.col("pts_us") + 1).alias("end_us"), F.lit(True).alias("valid"))
+    both = truth.join(hmm_viterbi(spark, sf_dir), ["episode_id", "run", "frame_index"])
+    return ln.segment_f1(both.select("episode_id", "start_us", "end_us", "valid", F.col("state").alias("predicted"), "truth"), "predicted", "truth")
+
+
+def scheduler_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as jobs of a run for each episode: purchases are mandatory, the value says how long a job takes."""
+    f = views.frames(spark, sf_dir)
+    jobs = f.select("episode_id", F.col("event_id").alias("job_id"), (F.floor(F.col("pts_us") / 100)).cast("long").alias("offered_us"), (F.col("value") * 20_000_000).cast("long").alias("service_us"), F.lit(3_000_000_000).cast("long").alias("budget_us"), (F.col("k") + 1).alias("input_bytes"), (F.col("event_type") == "purchase").alias("mandatory"))
+    return scheduling.simulate(jobs, "episode_id", max_jobs=4, max_bytes=200)
+
+
+def stream_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.frames(spark, sf_dir).select("episode_id", "frame_index", "pts_us", (F.col("value") >= 20).alias("x"))
+    return replay.replayed(f, "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: automata.apply(s, automata.Departures(3, 3, None)))
+
+
+def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = known._cells(spark, sf_dir).select("episode_id", "frame_index", "pts_us", F.col("label").alias("x"))
+    return replay.replayed(f, "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: automata.apply(s, automata.Hysteresis(known.PERSISTENCE_US, known.GAP_US)))
+
+
+def stream_closed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = views.frames(spark, sf_dir).select("episode_id", "pts_us", F.lit(1).alias("x"))
+    return replay.replayed(f, "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: replay.closed_bins(s, windows.DAY_US))
+
+
+QUERIES = {f.__name__: f for f in (ridge_scores, platt_calibrated, hmm_filter, hmm_smooth, hmm_viterbi, hsmm_segments, event_matching, greedy_segment_f1, scheduler_sim, stream_departure, stream_hysteresis, stream_closed_bins)}
+
+ORACLE_SQL = {
+    "stream_departure": known.ORACLE_SQL["departure_events"],
+    "stream_hysteresis": known.ORACLE_SQL["hysteresis_labels"].replace("SELECT event_id, CASE WHEN label IS NULL", "SELECT episode_id, frame_index, CASE WHEN label IS NULL"),
+    "stream_closed_bins": sql("frames", body=f", b AS (SELECT pts_us // {DAY_US} AS b, count(*) AS frames FROM frames GROUP BY 1) SELECT b * {DAY_US} AS start_us, frames FROM b WHERE (b + 1) * {DAY_US} <= (SELECT max(pts_us) FROM frames)"),
+}
