@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tempora.llm.common import identified, slices
 
-#: Entries of a generation of the chunk cache; two generations are held.
+#: Entries of a generation of the chunk cache; two generations are held, of some 200 bytes an entry.
 CACHE_ENTRIES = 800_000
 
 #: What the tokenizer's `\s` matches. str.split() cuts at four control characters besides.
@@ -121,7 +121,10 @@ class Codec:
             pieces = [data[k][a:b] for a, b in itertools.pairwise([0, *at, len(data[k])])]
             before[k] = packed([t.id for p in pieces[:-1] for t in self.inner.tokenize(self.symbols(p))])
             ends[k] = pieces[-1]
-        joined = self.symbols(b"\n".join(ends)).replace(self.char_of[10], " ")
+        coded = [t if t.isascii() and t.isprintable() else self.symbols(e) for t, e in zip(pretokens, data, strict=True)]  # printable ASCII stands for itself
+        for k in cut:
+            coded[k] = self.symbols(ends[k])
+        joined = " ".join(coded)
         ids = np.array(self.last.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         data = ids.tobytes()
@@ -177,7 +180,7 @@ class Codec:
 class Generations:
     """A bounded cache: when the younger of two generations is full, the older goes."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable[object]], entries: int = CACHE_ENTRIES):
+    def __init__(self, compute: Callable[[list[str]], Iterable[object]], entries: int):
         self.compute, self.entries = compute, entries
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
@@ -213,10 +216,10 @@ def codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=4)
-def chunk_cache(path: str) -> Generations:
+def chunk_cache(path: str, entries: int = CACHE_ENTRIES) -> Generations:
     """Chunk -> its ids as little-endian unsigned 32-bit integers; one for each Python worker."""
     c = codec(path)
-    pretokens = Generations(c.pretoken_ids, CACHE_ENTRIES // 2)
+    pretokens = Generations(c.pretoken_ids, entries // 2)
 
     def compute(chunks: list[str]) -> list[bytes]:
         whole, plain, split = c.split_chunks(chunks)
@@ -224,15 +227,15 @@ def chunk_cache(path: str) -> Generations:
         parts = iter(split)
         return [ids(p) if w else b"".join(map(ids, next(parts))) for w, p in zip(whole, plain, strict=True)]
 
-    return Generations(compute)
+    return Generations(compute, entries)
 
 
-def encode_bytes(path: str, texts: list[str]) -> list[bytes]:
+def encode_bytes(path: str, texts: list[str], entries: int = CACHE_ENTRIES) -> list[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit integers."""
     split, collects = codec(path).chunks, gc.isenabled()
     gc.disable()  # hundreds of thousands of strings and no cycle
     try:
-        return [b"".join(ids) for ids in chunk_cache(path).values([split(t) for t in texts])]
+        return [b"".join(ids) for ids in chunk_cache(path, entries).values([split(t) for t in texts])]
     finally:
         if collects:
             gc.enable()

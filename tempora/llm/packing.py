@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.bpe import default_vocabulary, encode_bytes
+from tempora.llm.bpe import CACHE_ENTRIES, default_vocabulary, encode_bytes
 from tempora.llm.common import documents, identified, salted_rank, slices, stage
 
 WINDOW = 2048
@@ -85,7 +85,7 @@ def places(plan: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, cached_chunks: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, start, length, doc_tokens and the ids (little-endian unsigned 32-bit) of each window of a document and of its rest."""
     path = vocabulary or default_vocabulary()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode_bytes(path, part.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode_bytes(path, part.column("text").to_pylist(), cached_chunks), strict=True):
                     ids += end
                     rows += [(doc_id, at // 4, len(own := ids[at : at + 4 * window]) // 4, len(ids) // 4, own) for at in range(0, len(ids), 4 * window)]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -104,13 +104,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
     return identified(docs).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = False, cached_chunks: int = CACHE_ENTRIES) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids their ids too.
 
     A null or empty text is the end id alone; a document without any id (end_id None) has no piece. Repeated rows are packed
-    each for itself. Sequences are numbered from 0; offsets in one are gapless from 0. An empty table gives no piece.
+    each for itself. cached_chunks bounds a task's memory (CACHE_ENTRIES). Sequences are numbered from 0; offsets in one are gapless from 0. An empty table gives no piece.
     """
-    cut = pieces(docs, vocabulary, window, end_id).withColumn("ids_crc32", F.crc32("ids"))
+    cut = pieces(docs, vocabulary, window, end_id, cached_chunks).withColumn("ids_crc32", F.crc32("ids"))
     cut = stage(cut if keep_ids else cut.drop("ids"), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length up to the window
     plan = sorted(places(minimum_slack_plan(histogram, window)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.bpe import Generations, chunk_cache, codec, default_vocabulary
+from tempora.llm.bpe import CACHE_ENTRIES, Generations, chunk_cache, codec, default_vocabulary
 from tempora.llm.common import documents, slices, whole_text
 
 EDITS = "array<struct<start:long,end:long,replacement:string>>"
@@ -35,9 +35,9 @@ def leaf_counts(path: str) -> Generations:
 
         def compute(leaves: list[str]) -> list[int]:
             own = [c.chunks(x) for x in leaves]
-            return [sum(map(len, ids)) // 4 + 1 for ids in chunk_cache(path).values(own)]
+            return [sum(map(len, ids)) // 4 + 1 for ids in chunk_cache(path, CACHE_ENTRIES // 4).values(own)]
 
-        _counts[path] = Generations(compute)
+        _counts[path] = Generations(compute, CACHE_ENTRIES // 2)
     return _counts[path]
 
 

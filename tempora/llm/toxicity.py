@@ -28,6 +28,8 @@ SAMPLE_ROWS = 20_000
 FOLDS = 5
 #: Share of rows, by crc32 of doc_id, that no fit sees.
 HELD_OUT_MODULUS = 5
+#: Chunks of a generation whose code a task keeps.
+CACHED_CHUNKS = 150_000
 #: The most terms in a lexicon.
 LEXICON_TERMS = 4_000
 STEM_LENGTHS = (4, 5, 6)
@@ -69,7 +71,7 @@ class Scanner:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.codes = Generations(lambda chunks: [self.code(c) for c in chunks])
+        self.codes = Generations(lambda chunks: [self.code(c) for c in chunks], CACHED_CHUNKS)
 
     def found(self, word: str) -> tuple[int, float]:
         kind, weight = 0, 0.0
