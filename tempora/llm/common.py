@@ -2,64 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tempora.sources.staging import drop_path, new_path, shared_dir, stage
+
+__all__ = ["bounded", "documents", "drop_path", "identified", "new_path", "salted_rank", "shared_dir", "slices", "stage", "whole_text"]
+
 #: Bytes of text that one step of a Python operator handles at a time.
 SLICE_BYTES = 1 << 20
 
 #: Rows of a narrow table (some 100 bytes each) that may be sent to every executor.
 BROADCAST_ROWS = 200_000
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; a folder of our own only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tempora-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet; what is there goes when the program ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _staged:
-        atexit.register(_release)
-    _staged.append((spark, path))
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm, where = spark.sparkContext._jvm, None
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _release() -> None:
-    for spark, path in _staged:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended before
-            return
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later reads neither recompute it nor depend on an executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has at most BROADCAST_ROWS rows; else as it is, for Spark to shuffle. df is a staged table of narrow rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
@@ -92,17 +52,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         yield batch.slice(first)
 
 
-def salted_rank(df: DataFrame, group: str, order: list[str], salts: int, salt_of: list[str], rank: str) -> DataFrame:
+def salted_rank(df: DataFrame, group: str, order: list[str], salt: Column, rank: str) -> DataFrame:
     """A gapless rank from 0 inside each group without bringing a group to one task.
 
-    Rows of a group are dealt over `salts` by a hash of `salt_of`; counts of (group, salt) give each salt its first rank, and rows are numbered inside their salt by `order`.
+    A group's rows are dealt by `salt`; counts of (group, salt) give each salt its first rank, and rows are numbered inside
+    their salt by `order`. Ranks so follow (salt, order).
     """
-    from pyspark.sql import Window as W
-
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in salt_of]), F.lit(salts)).cast("int"))
+    dealt = df.withColumn("_salt", salt)
     counts = dealt.groupBy(group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(group).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)
     firsts = counts.select(F.col(group).alias("_g"), F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_first"))
-    inside = W.partitionBy(group, "_salt").orderBy(*order)
-    numbered = dealt.withColumn("_rn", F.row_number().over(inside).cast("long") - 1)
-    return numbered.join(firsts, (numbered[group].eqNullSafe(firsts["_g"])) & (numbered["_salt"] == firsts["_s"])).withColumn(rank, F.col("_first") + F.col("_rn")).drop("_salt", "_rn", "_g", "_s", "_first")
+    numbered = dealt.withColumn("_rn", F.row_number().over(W.partitionBy(group, "_salt").orderBy(*order)).cast("long") - 1)
+    return numbered.join(firsts, numbered[group].eqNullSafe(firsts["_g"]) & (numbered["_salt"] == firsts["_s"])).withColumn(rank, F.col("_first") + F.col("_rn")).drop("_salt", "_rn", "_g", "_s", "_first")

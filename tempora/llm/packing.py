@@ -114,7 +114,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     cut = stage(cut if keep_ids else cut.drop("ids"), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length up to the window
     plan = sorted(places(minimum_slack_plan(histogram, window)))
-    ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], SALTS, ["doc_id", "start"], "rank")
+    ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)), "rank")
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(kept).schema) + ", sequence_id long, offset long"
     return ranked.select(*kept, "rank").mapInArrow(_placing(plan, kept), schema)

@@ -24,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
     """,
+    "op9_rendezvous_sharding": sharding.ORACLE_SQL,
 }

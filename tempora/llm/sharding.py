@@ -2,64 +2,75 @@
 
 Each (key, shard) has a hash; with u the hash as a number between 0 and 1, a record goes to the shard of least -ln(u) / weight.
 A record's best shard among those there before changes only if a new shard beats it, so one more shard takes rows only into
-itself, about 1/(n + 1) of them at equal weights. All of it is column arithmetic: no shuffle decides a shard.
+itself, about 1/(n + 1) of them at equal weights. All of it is column arithmetic: no shuffle decides a shard. The hash is the
+start of an MD5 digest, which other systems have too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm.common import documents, identified, salted_rank
 
 SHARDS = 40
-#: Rows of one shard are numbered in this many parts.
-SALTS = 64
 #: What a record takes besides its text, in bytes.
 RECORD_BYTES = 16
+#: Hexadecimal digits of the digest that make up a hash: 52 bits, which a double holds exactly.
+HASH_DIGITS = 13
+
+
+def record_key(doc_id: Column) -> Column:
+    """The key as text; a null one counts as the empty key."""
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
 
 
 def score(key: Column, shard: int, weight: float) -> Column:
-    """-ln(u) / weight, where u comes from the upper 53 bits of a hash of key and shard."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(f"shard-{shard}")), 11).cast("double") + 0.5) / float(1 << 53)
+    """-ln(u) / weight."""
+    digest = F.md5(F.concat(key, F.lit(f"/{shard}")).cast("binary"))
+    u = (F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("double") + 0.5) / float(1 << 4 * HASH_DIGITS)
     return -F.ln(u) / weight
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard of least score; of equal scores the lower shard. A null key counts as the empty key."""
+def rendezvous(key: Column, weights: Sequence[float], first: int = 0) -> Column:
+    """Score and number of the best of the shards from `first` on; of equal scores the lower shard is best."""
     if not weights or min(weights) <= 0:
         raise ValueError("every shard needs a weight above 0")
-    own = F.coalesce(key.cast("string"), F.lit(""))
-    scores = [F.struct(score(own, i, w).alias("score"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]
-    return (F.least(*scores) if len(scores) > 1 else scores[0])["shard"]
+    scores = [F.struct(score(key, first + i, w).alias("score"), F.lit(first + i).alias("shard")) for i, w in enumerate(weights)]
+    return F.least(*scores) if len(scores) > 1 else scores[0]
 
 
 def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS) -> DataFrame:
-    """doc_id, text, size, shard, slot and grown_shard (with one more shard of the mean weight) for every row.
+    """doc_id, text, size, text_crc32, shard and grown_shard (with one more shard of the mean weight) for every row.
 
-    Slots are gapless from 0 in each shard, in an order of their own that the rows alone decide. A null text has no bytes; a
-    null doc_id counts as the empty key; repeated rows go to the same shard and take a slot each.
+    A null text has no bytes; repeated rows go to the same shard. Only the one more shard is compared with the best so far.
     """
-    mean = sum(weights) / len(weights)
-    key = F.col("doc_id")
-    rows = identified(docs).select(
-        "doc_id",
-        "text",
-        (F.octet_length("text").cast("long") + RECORD_BYTES).alias("size"),
-        F.crc32("text").alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"),
-        rendezvous(key, [*weights, mean]).alias("grown_shard"),
-    )
-    return rows
+    key = record_key(F.col("doc_id"))
+    best = identified(docs).select("doc_id", "text", rendezvous(key, weights).alias("best"), rendezvous(key, [sum(weights) / len(weights)], len(weights)).alias("added"))
+    return best.select("doc_id", "text", (F.octet_length("text").cast("long") + RECORD_BYTES).alias("size"), F.crc32("text").alias("text_crc32"), F.col("best.shard").alias("shard"), F.least("best", "added")["shard"].alias("grown_shard"))
+
 
+def with_slots(rows: DataFrame) -> DataFrame:
+    """Adds slot, gapless from 0 in each shard; repeated rows take one each. The text is left out, as numbering rows sorts them.
 
-def with_slots(rows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Adds the slot; the text is left out, as numbering rows sorts them."""
-    return salted_rank(rows.drop("text"), "shard", ["doc_id", "text_crc32", "size"], salts, ["doc_id"], "slot")
+    Slots follow the first two digits of the key's digest, so that a shard is numbered in 256 parts, then doc_id, checksum, size.
+    """
+    salt = F.substring(F.md5(record_key(F.col("doc_id")).cast("binary")), 1, 2)
+    return salted_rank(rows.drop("text"), "shard", ["doc_id", "text_crc32", "size"], salt, "slot")
 
 
-def op9(spark, sf_dir: str) -> DataFrame:
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_slots(shard(documents(spark, sf_dir)))
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The same by plain SQL, with the checksum's table made by its rule.
+ORACLE_SQL = f"""WITH t AS (SELECT [list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR b IN range(256)] AS crc),
+    d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    c AS (SELECT doc_id, key, length(h) // 2 + {RECORD_BYTES} AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || h[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(length(h) // 2)]), lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS text_crc32 FROM d, t),
+    u AS (SELECT key, s AS shard, ('0x' || substr(md5(key || '/' || s), 1, {HASH_DIGITS}))::BIGINT AS h FROM (SELECT DISTINCT key FROM d), range({SHARDS + 1}) r(s)),
+    b AS (SELECT key, arg_max(shard, (h, -shard)) FILTER (shard < {SHARDS}) AS shard, arg_max(shard, (h, -shard)) AS grown_shard FROM u GROUP BY key)
+    SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, 2), doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+    FROM c JOIN b USING (key)"""
