@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_segment_tree_counts": token_counts.op2,
     "op3_streaming_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, translate(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') AS bare FROM documents)
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
