@@ -44,27 +44,35 @@ def multiclass_summary(per_class: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(rows: DataFrame, score: str) -> DataFrame:
-    """0, the midpoints between neighbouring distinct scores, and 1."""
-    values = rows.select(F.col(score).alias("s")).distinct()
-    middle = values.select(((F.col("s") + F.lead("s").over(W.partitionBy(F.lit(0)).orderBy("s"))) / 2).alias("threshold")).where("threshold is not null")
-    return middle.unionByName(rows.sparkSession.createDataFrame([(0.0,), (1.0,)], "threshold double")).distinct()
+def at_or_above(by: DataFrame, value: str, sums: list[str], buckets: int = 1024) -> DataFrame:
+    """Adds to rows of distinct values: above_<c>, the sum of c over rows of this value or a larger one; all_<c>; and below, the next smaller value.
+
+    Values are dealt into buckets of equal width; sums over whole buckets are a table of at most `buckets` rows, and rows are
+    summed in order inside their bucket only.
+    """
+    span = by.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # one row
+    share = F.coalesce(F.try_divide((F.col(value) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")), F.lit(0.0))
+    dealt = by.crossJoin(F.broadcast(span)).withColumn("_bucket", F.least(F.lit(buckets - 1), F.floor(share * buckets)).cast("int")).drop("_lo", "_hi")
+    order = W.partitionBy(F.lit(0)).orderBy("_bucket")
+    later, earlier = order.rowsBetween(1, W.unboundedFollowing), order.rowsBetween(W.unboundedPreceding, -1)
+    whole = dealt.groupBy("_bucket").agg(F.max(value).alias("_last"), *[F.sum(c).alias(c) for c in sums])
+    whole = whole.select("_bucket", F.max("_last").over(earlier).alias("_below"), *[F.coalesce(F.sum(c).over(later), F.lit(0)).alias(f"_later_{c}") for c in sums], *[F.sum(c).over(W.partitionBy(F.lit(0))).alias(f"all_{c}") for c in sums])
+    inside = W.partitionBy("_bucket").orderBy(value)
+    own = dealt.select("*", F.lag(value).over(inside).alias("_lag"), *[F.sum(c).over(inside.rowsBetween(0, W.unboundedFollowing)).alias(f"_own_{c}") for c in sums])
+    both = own.join(F.broadcast(whole), "_bucket")  # at most `buckets` rows
+    return both.select(value, *sums, F.coalesce("_lag", "_below").alias("below"), *[(F.col(f"_own_{c}") + F.col(f"_later_{c}")).alias(f"above_{c}") for c in sums], *[f"all_{c}" for c in sums])
 
 
 def threshold_sweep(rows: DataFrame, score: str, truth: str) -> DataFrame:
-    """For each threshold: counts and macro F1 of score >= threshold, in one pass over the distinct scores.
+    """Counts and macro F1 of score >= threshold, for the thresholds 0, the midpoints between neighbouring scores, and 1.
 
     Rows are summed by score first; what lies at or above a threshold is a running sum over those, so the work grows with the
     distinct scores, not with rows times thresholds.
     """
     by_score = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    order = W.partitionBy(F.lit(0)).orderBy("s")
-    above = order.rowsBetween(0, W.unboundedFollowing)
-    whole = W.partitionBy(F.lit(0))
-    at = by_score.select(
-        F.coalesce((F.col("s") + F.lag("s").over(order)) / 2, F.lit(0.0)).alias("threshold"), F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n")
-    )
-    one = by_score.agg(F.lit(1.0).alias("threshold"), F.coalesce(F.sum(F.when(F.col("s") >= 1, F.col("pos"))), F.lit(0)).alias("tp"), F.coalesce(F.sum(F.when(F.col("s") >= 1, F.col("neg"))), F.lit(0)).alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    at = at_or_above(by_score, "s", ["pos", "neg"]).select(F.coalesce((F.col("s") + F.col("below")) / 2, F.lit(0.0)).alias("threshold"), F.col("above_pos").alias("tp"), F.col("above_neg").alias("fp"), F.col("all_pos").alias("p"), F.col("all_neg").alias("n"))
+    top = lambda c: F.coalesce(F.sum(F.when(F.col("s") >= 1, F.col(c))), F.lit(0))
+    one = by_score.agg(F.lit(1.0).alias("threshold"), top("pos").alias("tp"), top("neg").alias("fp"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     both = at.unionByName(one).withColumns({"fn": F.col("p") - F.col("tp"), "tn": F.col("n") - F.col("fp")})
     return both.select("threshold", "tp", "fp", "fn", "tn", F.round(macro_f1(*[F.col(c) for c in ("tp", "fp", "fn", "tn")]), DIGITS).alias("macro_f1"))
 
@@ -92,8 +100,7 @@ def abstention_gap(rows: DataFrame, gap: str, truth: str, predicted: str, most_r
     """
     known = F.col(truth) >= 0
     by_gap = rows.groupBy(F.col(gap).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count_if(known).alias("k"), F.count_if(known & (F.col(truth) != F.col(predicted))).alias("e"), F.count_if(~known).alias("u"))
-    down = W.partitionBy(F.lit(0)).orderBy(F.desc("g")).rowsBetween(W.unboundedPreceding, 0)
-    sums = by_gap.select("g", *[F.sum(c).over(down).alias(c) for c in "nkeu"])
+    sums = at_or_above(by_gap, "g", list("nkeu")).select("g", *[F.col(f"above_{c}").alias(c) for c in "nkeu"])
     valid = sums.where((F.coalesce(F.try_divide(F.col("e").cast("double"), F.col("k").cast("double")), F.lit(0.0)) <= most_risk) & (F.col("u") == 0))
     best = valid.agg(F.min("g").alias("g"), F.max("n").alias("answered"))
     return best.crossJoin(F.broadcast(by_gap.agg(F.max("g").alias("top")))).select(F.round(F.coalesce("g", F.col("top") + 1e-6), DIGITS).alias("gap_threshold"), F.coalesce("answered", F.lit(0)).alias("answered"))
