@@ -45,6 +45,13 @@ def log_page(records: DataFrame, as_of_us: int, after: int, limit: int, horizon_
     return records.where((F.col("seq") > after) & (F.col("available_us") <= as_of_us)).orderBy("seq").limit(limit)
 
 
+def log_pages(records: DataFrame, as_of_us: int, after: int, limit: int, key: str) -> DataFrame:
+    """The page that log_page gives, of every log at once."""
+    known = records.where((F.col("seq") > after) & (F.col("available_us") <= as_of_us))
+    place = F.row_number().over(W.partitionBy(key).orderBy("seq"))
+    return known.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+
+
 def sequenced(records: DataFrame, key: str) -> DataFrame:
     """seq from 1: the place of each record in its log."""
     return records.withColumn("seq", F.row_number().over(W.partitionBy(key).orderBy("available_us", "observation_id")))

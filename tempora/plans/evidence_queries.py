@@ -26,8 +26,9 @@ def asof_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asof_log_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = asof.sequenced(_observed(spark, sf_dir), "episode_id").where("episode_id = 1")
-    return asof.log_page(log, AS_OF_US, 3, 5).select("seq", "observation_id", "available_us")
+    """Each episode's log from its fourth record on, five records a page."""
+    log = asof.sequenced(_observed(spark, sf_dir), "episode_id")
+    return asof.log_pages(log, AS_OF_US, 3, 5, "episode_id").select("episode_id", "seq", "observation_id", "available_us")
 
 
 def visible_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +85,9 @@ def setting_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each market segment's first customers: whether they share a nation, and whether they are few enough."""
-    entries = views.table(spark, sf_dir, "customer").where("c_custkey <= 20").select("c_nationkey", F.lit(1).alias("samples"))
-    return checks.matched_batch(entries, ["c_nationkey"])
+    """Nations as the entries of a batch: whether they agree on a region, and need at most 128 samples."""
+    entries = views.table(spark, sf_dir, "nation").select("n_regionkey", F.lit(1).alias("samples"))
+    return checks.matched_batch(entries, ["n_regionkey"])
 
 
 def fence_unwrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,7 +166,7 @@ ORACLE_SQL = {
         s AS (SELECT *, CASE WHEN n = 0 THEN 'no_visible_sample' WHEN u > 0 THEN 'source_unknown' WHEN l <> m THEN 'disagreeing_samples' ELSE 'supported' END AS status FROM g)
         SELECT episode_id, stream_id, event_us, as_of_us, CASE WHEN status = 'supported' THEN l END AS value, status FROM s""",
     ),
-    "asof_log_page": sql("observations", body=f", l AS (SELECT *, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY available_us, observation_id) AS INTEGER) AS seq FROM observations) SELECT seq, observation_id, available_us FROM l WHERE episode_id = 1 AND seq > 3 AND available_us <= {AS_OF_US} ORDER BY seq LIMIT 5"),
+    "asof_log_page": sql("observations", body=f", l AS (SELECT *, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY available_us, observation_id) AS INTEGER) AS seq FROM observations) SELECT episode_id, seq, observation_id, available_us FROM l WHERE seq > 3 AND available_us <= {AS_OF_US} QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY seq) <= 5"),
     "visible_counts": sql("observations", body=f" SELECT episode_id, stream_id, count(*) AS n, count(value) AS known FROM observations WHERE available_us <= {AS_OF_US} AND committed_us <= {AS_OF_US} GROUP BY ALL"),
     "appended_observations": sql("observations", body=" SELECT observation_id FROM observations WHERE observation_id % 2 <> 0"),
     "observation_violations": sql("observations", body=" SELECT observation_id, 'clocks' AS rule FROM observations WHERE NOT (0 <= event_us AND event_us <= available_us AND available_us <= committed_us - 1000000)"),
@@ -177,7 +178,7 @@ ORACLE_SQL = {
     "near_duplicate_hamming": sql("chunks", body=_HASHES + " SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a, h b WHERE a.split = 'train' AND b.split = 'test' AND bit_count(xor(a.hash, b.hash)) <= 20"),
     "missing_features": "SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')",
     "setting_differences": 'SELECT coalesce(CAST(r_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT)) AS key, r_name AS "left", n_name AS "right" FROM region FULL JOIN nation ON r_regionkey = n_nationkey WHERE r_name IS DISTINCT FROM n_name',
-    "matched_batch": "SELECT count(DISTINCT c_nationkey) = 1 AS matched, count(*) <= 128 AS within_budget FROM customer WHERE c_custkey <= 20",
+    "matched_batch": "SELECT count(DISTINCT n_regionkey) = 1 AS matched, count(*) <= 128 AS within_budget FROM nation",
     "fence_unwrap": "SELECT conv_id, turn, sha256(text) AS payload FROM conversations",
     "envelope_tags": f"SELECT page_id, {_BODY[0]} AS body_status, {_TITLE[0]} AS title_status, CASE WHEN {_TITLE[0]} = 'ok' THEN {_TITLE[1]} END AS title FROM pages",
     "regex_verb": sql("frames", body=" SELECT event_id, '<char0> [' || upper(event_type[1]) || event_type[2:] || '] <door> (' || frame_index || ')' AS line, event_type AS verb FROM frames"),
