@@ -10,6 +10,7 @@ their rank among the pieces of their length: a join with the plan, in which no p
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,8 +86,8 @@ def places(plan: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, cached_chunks: int = CACHE_ENTRIES) -> DataFrame:
-    """doc_id, start, length, doc_tokens and the ids (little-endian unsigned 32-bit) of each window of a document and of its rest."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = True, cached_chunks: int = CACHE_ENTRIES) -> DataFrame:
+    """doc_id, start, length, doc_tokens, ids_crc32 and, with keep_ids, the ids (little-endian unsigned 32-bit) of each window of a document and of its rest."""
     path = vocabulary or default_vocabulary()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
@@ -96,12 +97,14 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode_bytes(path, part.column("text").to_pylist(), cached_chunks), strict=True):
                     ids += end
-                    rows += [(doc_id, at // 4, len(own := ids[at : at + 4 * window]) // 4, len(ids) // 4, own) for at in range(0, len(ids), 4 * window)]
-                columns = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    for at in range(0, len(ids), 4 * window):
+                        own = ids[at : at + 4 * window]
+                        rows.append((doc_id, at // 4, len(own) // 4, len(ids) // 4, zlib.crc32(own), own)[: len(names)])
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
-    names, types = ["doc_id", "start", "length", "doc_tokens", "ids"], [pa.int64()] * 4 + [pa.binary()]
-    return identified(docs).mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    names, types = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"] + ["ids"] * keep_ids, [pa.int64()] * 5 + [pa.binary()]
+    return identified(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names[:5]) + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = False, cached_chunks: int = CACHE_ENTRIES) -> DataFrame:
@@ -110,8 +113,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     A null or empty text is the end id alone; a document without any id (end_id None) has no piece. Repeated rows are packed
     each for itself. cached_chunks bounds a task's memory (CACHE_ENTRIES). Sequences are numbered from 0; offsets in one are gapless from 0. An empty table gives no piece.
     """
-    cut = pieces(docs, vocabulary, window, end_id, cached_chunks).withColumn("ids_crc32", F.crc32("ids"))
-    cut = stage(cut if keep_ids else cut.drop("ids"), "pieces")
+    cut = stage(pieces(docs, vocabulary, window, end_id, keep_ids, cached_chunks), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length up to the window
     plan = sorted(places(minimum_slack_plan(histogram, window)))
     ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)), "rank")
