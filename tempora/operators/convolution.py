@@ -5,11 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tempora.operators.groups import Columns, ddl, per_group
+
 
 @dataclass
 class Layer:
@@ -116,11 +117,9 @@ def released_at(cells: DataFrame, order: str = "frame_index") -> DataFrame:
 def predict(cells: DataFrame, network: Network, features: str, valid: str, order: str = "frame_index") -> DataFrame:
     """episode_id, order and state (null for rows that aren't valid) of each row; an episode is one sequence and goes to one task."""
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(order)
-        ok = table[valid].to_numpy(bool)
-        best = network(np.array(table[features].tolist(), float), ok).argmax(1)
-        return pd.DataFrame({"episode_id": table["episode_id"], order: table[order], "state": [int(b) if v else None for b, v in zip(best, ok, strict=True)]}, dtype=object)
+    def run(group: Columns) -> list[tuple]:
+        ok = np.array(group[valid], bool)
+        best = network(np.array(group[features], float), ok).argmax(1).tolist()
+        return [(e, o, b if v else None) for e, o, b, v in zip(group["episode_id"], group[order], best, ok, strict=True)]
 
-    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
-    return cells.select("episode_id", order, features, valid).groupBy("episode_id").applyInPandas(run, f"episode_id {kinds['episode_id']}, {order} {kinds[order]}, state int")
+    return per_group(cells.select("episode_id", order, features, valid), ["episode_id"], [order], run, ddl(cells, "episode_id", order) + ", state int")

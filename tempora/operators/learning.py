@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.operators.groups import Columns, ddl, per_group
+
 
 def moments(rows: DataFrame, vector: str, label: str, classes: int) -> dict[str, np.ndarray]:
     """n, sum of x, sum of x x', class counts and class sums, from one partial sum for each partition."""
@@ -167,9 +168,8 @@ def decode_runs(cells: DataFrame, run_keys: list[str], scores: str, order: str,
     if method not in ("filter", "smooth", "viterbi", "segments"):
         raise ValueError("unknown method")
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values(order)
-        e = np.array(table[scores].tolist(), float)
+    def run(group: Columns) -> list[tuple]:
+        e = np.array(group[scores], float)
         if method == "filter":
             path = forward(e, transition, initial).argmax(1)
         elif method == "smooth":
@@ -181,10 +181,9 @@ def decode_runs(cells: DataFrame, run_keys: list[str], scores: str, order: str,
             path = np.empty(len(e), int)
             for a, b, k in segment_viterbi(e, transition, initial, np.tile(-0.1 * ((d - duration_mean) / duration_mean) ** 2, (e.shape[1], 1)))[0]:
                 path[a:b] = k
-        return table[[*run_keys, order]].assign(state=path.astype(np.int32))
+        return list(zip(*[group[k] for k in run_keys], group[order], path.tolist(), strict=True))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.select(*run_keys, order).schema) + ", state int"
-    return cells.groupBy(*run_keys).applyInPandas(run, schema)
+    return per_group(cells.select(*run_keys, order, scores), run_keys, [order], run, ddl(cells, *run_keys, order) + ", state int")
 
 
 def matched_events(reference: list[tuple[int, str]], candidates: list[tuple[int, str]], tolerance: int) -> list[tuple[str, str]]:
@@ -226,13 +225,12 @@ def match_events(reference: DataFrame, candidates: DataFrame, tolerance_us: int)
     cut = F.coalesce(F.col("event_us") - F.lag("event_us").over(at) > tolerance_us, F.lit(True)).cast("int")
     both = both.withColumn("_cut", cut).withColumn("stretch", F.sum("_cut").over(at.rowsBetween(W.unboundedPreceding, 0)))
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        sides = [sorted(zip(t["event_us"].tolist(), t["event_id"].tolist(), strict=True)) for _, t in ((s, table[table["side"] == s]) for s in (0, 1))]
-        pairs = matched_events(*sides, tolerance_us)
-        return pd.DataFrame({"episode_id": [table["episode_id"].iloc[0]] * len(pairs), "event_id": [a for a, _ in pairs], "candidate_id": [b for _, b in pairs]}, dtype=object)
+    def run(group: Columns) -> list[tuple]:
+        rows = list(zip(group["side"], group["event_us"], group["event_id"], strict=True))
+        sides = [[(us, i) for s, us, i in rows if s == side] for side in (0, 1)]
+        return [(group["episode_id"][0], a, b) for a, b in matched_events(*sides, tolerance_us)]
 
-    kind = reference.schema["episode_id"].dataType.simpleString()
-    return both.groupBy("episode_id", "stretch").applyInPandas(run, f"episode_id {kind}, event_id string, candidate_id string")
+    return per_group(both.drop("_cut"), ["episode_id", "stretch"], ["event_us", "event_id"], run, ddl(reference, "episode_id") + ", event_id string, candidate_id string")
 
 
 def label_segments(labels: list[int], valid: list[bool], starts: list[int], ends: list[int]) -> list[tuple[int, int, int]]:
@@ -267,11 +265,9 @@ def segment_scores(predicted: list[tuple[int, int, int]], truth: list[tuple[int,
 def segment_f1(cells: DataFrame, predicted: str, truth: str, threshold: float = 0.5) -> DataFrame:
     """Segment counts of each episode; cells: episode_id, start_us, end_us, valid and the two labels."""
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("start_us")
-        spans = [table["valid"].tolist(), table["start_us"].tolist(), table["end_us"].tolist()]
-        found = segment_scores(*[label_segments(table[c].tolist(), *spans) for c in (predicted, truth)], threshold)
-        return pd.DataFrame({"episode_id": [table["episode_id"].iloc[0]], **{k: [v] for k, v in found.items()}})
+    def run(group: Columns) -> list[tuple]:
+        spans = [group["valid"], group["start_us"], group["end_us"]]
+        found = segment_scores(*[label_segments(group[c], *spans) for c in (predicted, truth)], threshold)
+        return [(group["episode_id"][0], found["tp"], found["fp"], found["fn"], found["f1"])]
 
-    kind = cells.schema["episode_id"].dataType.simpleString()
-    return cells.groupBy("episode_id").applyInPandas(run, f"episode_id {kind}, tp long, fp long, fn long, f1 double")
+    return per_group(cells.select("episode_id", "start_us", "end_us", "valid", predicted, truth), ["episode_id"], ["start_us"], run, ddl(cells, "episode_id") + ", tp long, fp long, fn long, f1 double")

@@ -45,25 +45,27 @@ def pooled(chunks: DataFrame, key: str) -> DataFrame:
     return means.groupBy(key).agg(vector.alias("mean")).select(key, v.unit(F.col("mean")).alias("vector"))
 
 
-def interval_metrics(hits: DataFrame, truths: DataFrame, k: int, coverage: float = 0.5) -> DataFrame:
-    """success, interval_recall and best_iou of each query's first k hits; null where a query has no truth.
+def interval_metrics(hits: DataFrame, truths: DataFrame, ks: list[int], coverage: float = 0.5) -> DataFrame:
+    """success, interval_recall and best_iou of each query's first k hits, for each k; null where a query has no truth.
 
     hits: query_id, rank, episode_id, start_us, end_us; truths: query_id, truth_id, episode_id, start_us, end_us. Touching
     intervals share nothing; the best IoU counts truths that are covered too little for a match as well.
     """
     t = truths.select("query_id", "truth_id", "episode_id", F.col("start_us").alias("t_start"), F.col("end_us").alias("t_end"))
-    h = hits.where(F.col("rank") <= k).select("query_id", "episode_id", "start_us", "end_us")
+    h = hits.where(F.col("rank") <= max(ks)).select("query_id", "rank", "episode_id", "start_us", "end_us")
     bounds = [F.col(c) for c in ("start_us", "end_us", "t_start", "t_end")]
     pairs = h.join(t, ["query_id", "episode_id"]).withColumns({"shared": iv.overlap_us(*bounds), "iou": iv.temporal_iou(*bounds)})
     matched = (F.col("shared") / (F.col("t_end") - F.col("t_start"))) >= coverage
-    found = pairs.groupBy("query_id").agg(F.count_distinct(F.when(matched, F.col("truth_id"))).alias("matched"), F.max("iou").alias("iou"))
+    at_k = F.explode(F.array(*map(F.lit, ks)))
+    found = pairs.withColumn("k", at_k).where(F.col("rank") <= F.col("k")).groupBy("query_id", "k").agg(F.count_distinct(F.when(matched, F.col("truth_id"))).alias("matched"), F.max("iou").alias("iou"))
     relevant = truths.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
-    asked = hits.select("query_id").unionByName(truths.select("query_id")).distinct()
-    rows = asked.join(relevant, "query_id", "left").join(found, "query_id", "left")
+    asked = hits.select("query_id").unionByName(truths.select("query_id")).distinct().withColumn("k", at_k)
+    rows = asked.join(relevant, "query_id", "left").join(found, ["query_id", "k"], "left")
     has = F.col("relevant").isNotNull()
     n = F.coalesce("matched", F.lit(0))
     return rows.select(
         "query_id",
+        "k",
         F.coalesce("relevant", F.lit(0)).alias("relevant"),
         n.alias("matched"),
         F.when(has, (n > 0).cast("int")).alias("success"),

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tempora.operators.groups import Columns, ddl, per_group
 from tempora.operators.sequences import numbered_runs
 
 TRACK = "track int, status string"
@@ -68,20 +68,15 @@ def track(boxes: DataFrame, frames: DataFrame, least_iou: float = 0.3, buffer: i
     classes = boxes.join(frames, "frame_id").select("episode_id", "shot", "class").distinct()
     own = frames.join(classes, ["episode_id", "shot"]).join(boxes, ["frame_id", "class"], "left")
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        pts, ids, number = (table[c].to_numpy() for c in ("pts_us", "frame_id", "box"))
-        number = np.where(pd.isna(number), -1, number).astype(float)
-        corners = table[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        by = np.lexsort((number, ids, pts))
-        starts = np.flatnonzero(np.r_[True, ids[by][1:] != ids[by][:-1]])
-        order = []
-        for part in np.split(by, starts[1:]):
-            seen = part[number[part] >= 0]
-            order.append((ids[part[0]], corners[seen], number[seen].astype(int).tolist()))
-        rows = associate(order, least_iou, buffer)
-        first = table.iloc[0]
-        return pd.DataFrame([(first["episode_id"], first["shot"], first["class"], *r) for r in rows], columns=["episode_id", "shot", "class", "frame_id", "box", "track", "status"], dtype=object)
-
-    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
-    schema = f"episode_id {kinds['episode_id']}, shot {kinds['shot']}, class {kinds['class']}, frame_id {kinds['frame_id']}, box int, {TRACK}"
-    return own.groupBy("episode_id", "shot", "class").applyInPandas(run, schema)
+    def run(group: Columns) -> list[tuple]:
+        order: list[tuple[int, list, list]] = []
+        for frame, number, *corners in zip(*[group[c] for c in ("frame_id", "box", "x1", "y1", "x2", "y2")], strict=True):
+            if not order or order[-1][0] != frame:
+                order.append((frame, [], []))
+            if number is not None:
+                order[-1][1].append(corners), order[-1][2].append(number)
+        rows = associate([(f, np.array(b, float).reshape(-1, 4), r) for f, b, r in order], least_iou, buffer)
+        head = group["episode_id"][0], group["shot"][0], group["class"][0]
+        return [(*head, *r) for r in rows]
+
+    return per_group(own, ["episode_id", "shot", "class"], ["pts_us", "frame_id", "box"], run, f"{ddl(own, 'episode_id', 'shot', 'class', 'frame_id')}, box int, {TRACK}")

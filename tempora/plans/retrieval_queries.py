@@ -81,11 +81,7 @@ def hypothesis_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interval_metrics_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir)
     hits = r.ranks(chunks.where("split = 'test'"), _queries(chunks), 10, "episode_id", "start_us", "end_us")
-    out = None
-    for k in (1, 5, 10):
-        one = r.interval_metrics(hits, _truths(chunks), k).withColumn("k", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return r.interval_metrics(hits, _truths(chunks), [1, 5, 10])
 
 
 def retrieval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
