@@ -166,3 +166,19 @@ def _without(drops):
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup(documents(spark, sf_dir))
     return rows.select("doc_id", "n_lines", "n_dropped", F.char_length("text").cast("long").alias("kept_characters"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+#: The same tree by plain SQL, with nodes, cells and templates as they are instead of hashed.
+ORACLE_SQL = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (SELECT doc_id, i, lines[i] AS line, list_filter(string_split_regex(regexp_replace(lines[i], '\\S*\\d\\S*', '{VARIABLE}', 'g'), '\\s+'), lambda x: x <> '') AS tokens FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)),
+    u AS (SELECT tokens, (len(tokens), tokens[1:{LEADING_TOKENS}]) AS node, doc_id FROM l WHERE len(tokens) > 0),
+    recurring AS (SELECT node FROM u GROUP BY node HAVING count(DISTINCT doc_id) >= {MIN_DOCUMENTS}),
+    own AS (SELECT tokens, node, count(DISTINCT doc_id) AS n FROM u SEMI JOIN recurring USING (node) GROUP BY ALL),
+    cells AS (SELECT tokens, node, n, unnest(tokens) AS token, unnest(range(len(tokens))) AS place FROM own),
+    fixed AS (SELECT node, place, token FROM cells GROUP BY ALL HAVING sum(n) >= {MIN_DOCUMENTS}),
+    shaped AS (SELECT c.tokens, c.node, any_value(n) AS n, list(CASE WHEN f.token IS NOT NULL THEN c.token END ORDER BY c.place) AS shape, count(f.token) / count(*) AS share FROM cells c LEFT JOIN fixed f ON c.node = f.node AND c.place = f.place AND c.token = f.token GROUP BY c.tokens, c.node),
+    often AS (SELECT node, shape FROM shaped WHERE share >= {CONSTANT_SHARE} GROUP BY ALL HAVING sum(n) >= {MIN_DOCUMENTS}),
+    gone AS (SELECT tokens FROM shaped SEMI JOIN often ON shaped.node = often.node AND shaped.shape = often.shape WHERE share >= {CONSTANT_SHARE}),
+    kept AS (SELECT l.*, gone.tokens IS NOT NULL AS dropped FROM l LEFT JOIN gone ON l.tokens = gone.tokens),
+    texts AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '') AS text FROM kept GROUP BY doc_id)
+    SELECT doc_id, n_lines, n_dropped, length(text) AS kept_characters, sha256(text) AS kept_sha256 FROM texts"""

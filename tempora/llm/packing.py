@@ -23,8 +23,8 @@ from tempora.llm.common import documents, identified, salted_rank, slices, stage
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces of one length are numbered in this many parts.
-SALTS = 64
+#: Pieces of one length are numbered in at least so many parts, more where parts would have more rows than this.
+SALTS, SALT_ROWS = 64, 1 << 20
 #: Length and rank share a 64-bit number: ranks up to 2^44, lengths up to 2^19.
 RANK_BITS = 44
 
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     cut = stage(pieces(docs, vocabulary, window, end_id, keep_ids, cached_chunks), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length up to the window
     plan = sorted(places(minimum_slack_plan(histogram, window)))
-    ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)), "rank")
+    ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(SALTS, sum(histogram.values()) // SALT_ROWS))), "rank")
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(kept).schema) + ", sequence_id long, offset long"
     return ranked.select(*kept, "rank").mapInArrow(_placing(plan, kept), schema)

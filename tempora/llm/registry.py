@@ -24,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM d WINDOW w AS (PARTITION BY bare ORDER BY length(text) DESC, doc_id)
     """,
     "op9_rendezvous_sharding": sharding.ORACLE_SQL,
+    "op10_template_line_dedup": line_dedup.ORACLE_SQL,
 }
