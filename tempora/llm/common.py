@@ -17,6 +17,8 @@ __all__ = ["bounded", "documents", "drop_path", "identified", "new_path", "salte
 #: Bytes of text that one step of a Python operator handles at a time.
 SLICE_BYTES = 1 << 20
 
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 #: Rows of a narrow table (some 100 bytes each) that may be sent to every executor.
 BROADCAST_ROWS = 200_000
 
@@ -25,6 +27,12 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Makes the batches that go to Python small, unless the session has its own setting: whole texts are long, and both sides hold a batch."""
+    if spark.conf.get(ARROW_BYTES) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, str(8 << 20))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -36,6 +44,7 @@ def whole_text(column: str = "text") -> Column:
 
 def identified(docs: DataFrame) -> DataFrame:
     """Only doc_id and text, so that no other column's name can clash."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
 

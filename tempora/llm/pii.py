@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import documents, identified, slices
+from tempora.llm.common import documents, identified, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -279,6 +279,7 @@ def masked(text: str) -> str:
 def mask(docs: DataFrame) -> DataFrame:
     """All rows and columns, with personal data in the text masked; n_chars, where there is one, follows the text. A null text stays null."""
     place = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.bpe import Generations
-from tempora.llm.common import documents, identified, slices
+from tempora.llm.common import documents, identified, slices, small_batches
 
 #: The most labelled rows a fit uses: those of least hash of their doc_id.
 SAMPLE_ROWS = 20_000
@@ -29,7 +29,7 @@ FOLDS = 5
 #: Share of rows, by crc32 of doc_id, that no fit sees.
 HELD_OUT_MODULUS = 5
 #: Chunks of a generation whose code a task keeps.
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 80_000
 #: The most terms in a lexicon.
 LEXICON_TERMS = 4_000
 STEM_LENGTHS = (4, 5, 6)
@@ -69,9 +69,9 @@ def terms(word: str) -> list[str]:
 class Scanner:
     """Turns texts into feature rows, given a lexicon (term -> weight)."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], cached: int = CACHED_CHUNKS):
         self.lexicon = lexicon
-        self.codes = Generations(lambda chunks: [self.code(c) for c in chunks], CACHED_CHUNKS)
+        self.codes = Generations(lambda chunks: [self.code(c) for c in chunks], cached)
 
     def found(self, word: str) -> tuple[int, float]:
         kind, weight = 0, 0.0
@@ -257,7 +257,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
         lexicons.append(lexicon_of(t, c, n_toxic - toxic[f][""], n_clean - clean[f][""]))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [Scanner(x) for x in lexicons]
+        scanners = [Scanner(x, CACHED_CHUNKS // FOLDS) for x in lexicons]
         for batch in batches:
             for part in slices(batch):
                 folds = np.array([zlib.crc32(b"fold-%d" % i) % FOLDS for i in part.column("doc_id").to_pylist()])
@@ -298,6 +298,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows whose score is under the threshold, with all their columns."""
     schema = docs.schema
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model.lexicon)
