@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempora.functions import vectors as v
 from tempora.operators import intervals as iv
+from tempora.operators import tiles
 
 DIGITS = 6
+#: Hits that a task holds before it hands them on.
+HELD_HITS = 2_000_000
 
 
 def score(vector: Column, query: Column) -> Column:
@@ -27,14 +34,65 @@ def search(chunks: DataFrame, query: list[float], k: int, split: str | None = No
     return ranked.orderBy(F.desc("score"), "chunk_id").limit(k)
 
 
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """As round() does in SQL: halves go away from zero."""
+    return np.copysign(np.floor(np.abs(scores) * 10**DIGITS + 0.5) / 10**DIGITS, scores) + 0.0
+
+
+def tile_hits(queries: np.ndarray, vectors: np.ndarray, absent: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, column and score of the k best columns of each query, ties to the first; where absent, the score is minus infinity."""
+    scores = rounded(queries @ vectors.T)
+    scores[np.isnan(scores)] = np.inf  # not a number is the largest, as in SQL
+    scores[absent] = -np.inf
+    k = min(k, scores.shape[1])
+    least = np.partition(scores, -k, axis=1)[:, -k, None]
+    over, ties = scores > least, scores == least
+    query, column = np.nonzero(over | ties & (ties.cumsum(axis=1) <= k - over.sum(axis=1, keepdims=True)))
+    return query, column, scores[query, column]
+
+
 def ranks(chunks: DataFrame, queries: DataFrame, k: int, *keep: str) -> DataFrame:
-    """The k best chunks of each query of a small, checked set: query_id, rank from 1, chunk_id, score."""
-    if queries.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 queries at once")
-    pairs = chunks.crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("_q"))))
-    scored = pairs.select("query_id", "chunk_id", *keep, score(F.col("vector"), F.col("_q")).alias("score"))
+    """The k best chunks of each query: query_id, rank from 1, chunk_id, score. Any number of queries: blocks of them meet all chunks.
+
+    Ids are whole numbers, and each is there once. Where either has no vector the score is null, and last.
+    """
+    kind = {f.name: f.dataType for f in [*queries.select("query_id").schema, *chunks.select("chunk_id").schema]}
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), "vector")
+    met = tiles.meeting(asked, chunks.select(F.col("chunk_id").cast("long").alias("id"), "vector"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, ...]] = {}
+
+        def out() -> pa.RecordBatch:
+            query, chunk, score = (np.concatenate(c) for c in zip(*held.values(), strict=True))
+            held.clear()
+            scores = pa.array(np.where(np.isposinf(score), np.nan, score), mask=np.isneginf(score))
+            return pa.RecordBatch.from_arrays([pa.array(query), pa.array(chunk), scores], ["query_id", "chunk_id", "score"])
+
+        for block, left, right in tiles.pairs(batches):
+            (q, q_there), (c, c_there) = tiles.matrix(left.field("vector")), tiles.matrix(right.field("vector"))
+            width = max(q.shape[1], c.shape[1])
+            q, c = (m if m.shape[1] else np.zeros((len(m), width)) for m in (q, c))
+            q_ids, c_ids = left.field("id").to_numpy(), right.field("id").to_numpy()
+            order = np.argsort(c_ids, kind="stable")
+            query, column, score = tile_hits(q, c[order], ~(q_there[:, None] & c_there[order]), k)
+            found = q_ids[query], c_ids[order][column], score
+            if block in held:
+                found = tuple(np.concatenate(x) for x in zip(held[block], found, strict=True))
+                best = np.lexsort((found[1], -found[2], found[0]))
+                own = found[0][best]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+                found = tuple(x[best[np.arange(len(own)) - np.repeat(first, np.diff(np.r_[first, len(own)])) < k]] for x in found)
+            held[block] = found
+            if sum(len(h[0]) for h in held.values()) >= HELD_HITS:
+                yield out()
+        if held:
+            yield out()
+
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = met.mapInArrow(run, "query_id long, chunk_id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = best.select(F.col("query_id").cast(kind["query_id"]).alias("query_id"), F.col("chunk_id").cast(kind["chunk_id"]).alias("chunk_id"), "score", "rank")
+    return best.join(chunks.select("chunk_id", *keep), "chunk_id").select("query_id", "chunk_id", *keep, "score", "rank") if keep else best
 
 
 def pooled(chunks: DataFrame, key: str) -> DataFrame:
@@ -104,11 +162,8 @@ def best_candidate(candidates: DataFrame, by: list[Column], value: str) -> DataF
 
 
 def top_two(chunks: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """Zero-shot class of each chunk and how far it is ahead of the second: ties go to the lower class. Hypotheses are few and checked."""
-    if hypotheses.limit(1001).count() > 1000:
-        raise ValueError("at most 1000 hypotheses")
-    h = hypotheses.agg(F.array_sort(F.collect_list(F.struct("class", F.col("vector").alias("h")))).alias("_h"))
-    scored = F.transform("_h", lambda c: F.struct((-score(F.col("vector"), c["h"])).alias("less"), c["class"].alias("class")))
-    order = F.array_sort(scored)
-    both = chunks.crossJoin(F.broadcast(h)).select("chunk_id", order.alias("_o"))
-    return both.select("chunk_id", F.col("_o")[0]["class"].alias("predicted"), F.round(F.col("_o")[1]["less"] - F.col("_o")[0]["less"], DIGITS).alias("gap"))
+    """Zero-shot class of each chunk and how far it is ahead of the second: ties go to the lower class."""
+    of_chunk = ranks(hypotheses.select(F.col("class").alias("chunk_id"), "vector"), chunks.select(F.col("chunk_id").alias("query_id"), "vector"), 2)
+    at = lambda rank, column: F.max(F.when(F.col("rank") == rank, F.col(column)))
+    both = of_chunk.groupBy("query_id").agg(at(1, "chunk_id").alias("predicted"), at(1, "score").alias("_1"), at(2, "score").alias("_2"))
+    return both.select(F.col("query_id").alias("chunk_id"), "predicted", F.round(F.col("_1") - F.col("_2"), DIGITS).alias("gap"))

@@ -11,6 +11,8 @@ from tempora.sources import views
 from tempora.sources.views import sql
 
 QUERY_LABELS = 3
+#: search_every_rank asks for every chunk whose id this divides.
+QUERY_STEP = 20
 WINDOW_US = 5_000_000
 
 
@@ -49,6 +51,13 @@ def search_multi_query_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.ranks(chunks, _queries(chunks), 10).select("query_id", "rank", "chunk_id", "score")
 
 
+def search_every_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of all, for each chunk whose id QUERY_STEP divides."""
+    chunks = views.chunks(spark, sf_dir)
+    queries = chunks.where(F.col("chunk_id") % QUERY_STEP == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+    return r.ranks(chunks, queries, 10).select("query_id", "rank", "chunk_id", "score")
+
+
 def vector_norm_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.chunks(spark, sf_dir)
     return c.select("chunk_id", F.round(v.norm(F.col("vector")), 5).alias("norm"), v.is_unit(F.col("vector")).alias("is_unit"))
@@ -103,7 +112,7 @@ def random_rank_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return success.groupBy("query_id").agg(F.round(F.avg("success"), 6).alias("random_success_at_5"))
 
 
-QUERIES = {f.__name__: f for f in (search_topk, search_topk_by_split, search_multi_query_rank, vector_norm_check, pooled_label_vectors, fused_pair_vectors, zero_shot_top2_gap, hypothesis_margin, interval_metrics_at_k, retrieval_macro, retrieval_at_k, random_rank_baseline)}
+QUERIES = {f.__name__: f for f in (search_topk, search_topk_by_split, search_multi_query_rank, search_every_rank, vector_norm_check, pooled_label_vectors, fused_pair_vectors, zero_shot_top2_gap, hypothesis_margin, interval_metrics_at_k, retrieval_macro, retrieval_at_k, random_rank_baseline)}
 
 _DOT = "list_inner_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"
 _Q = ", queries AS (SELECT label AS query_id, min_by(vector, chunk_id) AS q FROM chunks WHERE label < 3 GROUP BY label)"
@@ -129,6 +138,10 @@ ORACLE_SQL = {
     "search_multi_query_rank": sql(
         "chunks", body=_Q + f", s AS (SELECT query_id, chunk_id, round({_DOT.format('vector', 'q')}, 6) AS score FROM chunks, queries), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 10"
     ),
+    "search_every_rank": sql(
+        "chunks",
+        body=f", queries AS (SELECT chunk_id AS query_id, vector AS q FROM chunks WHERE chunk_id % {QUERY_STEP} = 0), s AS (SELECT query_id, chunk_id, round({_DOT.format('vector', 'q')}, 6) AS score FROM chunks, queries), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT query_id, rank, chunk_id, score FROM r WHERE rank <= 10",
+    ),
     "vector_norm_check": sql("chunks", body=f"SELECT chunk_id, round(sqrt({_DOT.format('vector', 'vector')}), 5) AS norm, abs(sqrt({_DOT.format('vector', 'vector')}) - 1) < 1e-5 AS is_unit FROM chunks"),
     "pooled_label_vectors": sql(
         "chunks",
