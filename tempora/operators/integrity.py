@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tempora.operators import tiles
 from tempora.operators.checks import in_several
 
+#: Rows of a tile of hashes: tiles whose population counts lie too far apart are skipped.
+TILE_ROWS = 256
+
 
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -27,20 +35,69 @@ def gradient_bits(vector: Column, bits: int = 63) -> Column:
     return F.aggregate(F.transform(steps, lambda s, i: F.when(s, F.pow(F.lit(2.0), i).cast("long")).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: int, bands: int) -> DataFrame:
-    """Pairs of hashes within the radius: left_id, right_id, distance.
+def tile_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in left and right of hashes within the radius, and their distances, tile by tile in order of population count."""
+    by_count = lambda h: (order := np.argsort(np.bitwise_count(h), kind="stable"), np.bitwise_count(h)[order].astype(int))
+    (a_order, a_count), (b_order, b_count) = by_count(left), by_count(right)
+    for i in range(0, len(left), TILE_ROWS):
+        a = slice(i, i + TILE_ROWS)
+        for j in range(0, len(right), TILE_ROWS):
+            b = slice(j, j + TILE_ROWS)
+            if b_count[b][0] - a_count[a][-1] > radius or a_count[a][0] - b_count[b][-1] > radius:
+                continue
+            distance = np.bitwise_count(left[a_order[a]][:, None] ^ right[b_order[b]][None, :])
+            x, y = np.nonzero(distance <= radius)
+            yield a_order[a][x], b_order[b][y], distance[x, y].astype(np.int32)
+
+
+def _hashes(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("hash").isNotNull()).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+
+
+def near_hashes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """Pairs of distinct hashes within the radius, each once: l, r, distance. The ids of a hash are its rows in left or right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b in tiles.pairs(batches):
+            l, r = (x.field("hash").to_numpy() for x in (a, b))  # noqa: E741
+            for x, y, distance in tile_pairs(l.view(np.uint64), r.view(np.uint64), radius):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(l[x]), pa.array(r[y]), pa.array(distance)], ["l", "r", "distance"])
 
-    Hashes within the radius agree in at least one of radius + 1 or more bands, so candidates meet by band (an equi-join), and
-    each is then compared exactly.
+    return tiles.meeting(_hashes(left).select("hash"), _hashes(right).select("hash"), "hash").mapInArrow(run, "l long, r long, distance int")
+
+
+def near_pairs(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """Pairs of ids whose hashes lie within the radius: left_id, right_id, distance.
+
+    Only distinct hashes are compared, all with all; what they stand for is joined afterwards. Copies on both sides give as many
+    rows as there are pairs of them: near_links says the same in a row for each id.
     """
-    if bands <= radius:
-        raise ValueError("more bands than the radius are needed")
-    width = -(-63 // bands)
-    band = lambda h: F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("b")) for i in range(bands)]))
-    a = left.select(F.col("id").alias("left_id"), F.col("hash").alias("l"), band(F.col("hash")).alias("band"))
-    b = right.select(F.col("id").alias("right_id"), F.col("hash").alias("r"), band(F.col("hash")).alias("band"))
-    found = a.join(b, "band").select("left_id", "right_id", F.bit_count(F.col("l").bitwiseXOR(F.col("r"))).alias("distance")).where(F.col("distance") <= radius)
-    return found.distinct()
+    ids = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("hash").alias(side[0])).distinct()
+    return near_hashes(left, right, radius).join(ids(left, "left"), "l").join(ids(right, "right"), "r").select("left_id", "right_id", "distance")
+
+
+def near_links(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """side (left or right), id, class_id (the least id of the side with the same hash) and links, the number of rows of the other
+    side within the radius, of each row. A row without a hash has neither. Tasks hand on sums a hash, never pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b in tiles.pairs(batches):
+            (l, l_n), (r, r_n) = ((x.field("hash").to_numpy(), x.field("n").to_numpy()) for x in (a, b))
+            of_l, of_r = np.zeros(len(l), np.int64), np.zeros(len(r), np.int64)
+            for x, y, _ in tile_pairs(l.view(np.uint64), r.view(np.uint64), radius):
+                np.add.at(of_l, x, r_n[y])
+                np.add.at(of_r, y, l_n[x])
+            sides = pa.array(["left"] * len(l) + ["right"] * len(r))
+            yield pa.RecordBatch.from_arrays([sides, pa.array(np.r_[l, r]), pa.array(np.r_[of_l, of_r])], ["side", "hash", "links"])
+
+    met = tiles.meeting(_hashes(left), _hashes(right), "hash").mapInArrow(run, "side string, hash long, links long")
+    links = met.groupBy("side", "hash").agg(F.sum("links").alias("links"))
+    rows = left.select(F.lit("left").alias("side"), "id", "hash").unionByName(right.select(F.lit("right").alias("side"), "id", "hash"))
+    classes = rows.where(F.col("hash").isNotNull()).groupBy("side", "hash").agg(F.min("id").alias("class_id")).join(links, ["side", "hash"], "left")
+    found = rows.join(classes, ["side", "hash"], "left")
+    return found.select("side", "id", "class_id", F.when(F.col("hash").isNotNull(), F.coalesce("links", F.lit(0))).cast("long").alias("links"))
 
 
 def ingest(registry: DataFrame, manifest: DataFrame, splits=("train", "development", "test")) -> DataFrame:

@@ -67,10 +67,20 @@ def population_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.population_difference(left, right, ["doc_id"], ["quality"])
 
 
+def _hashes(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    chunks = views.chunks(spark, sf_dir).where(F.col("split") == split)
+    return chunks.select(F.col("chunk_id").alias("id"), integrity.gradient_bits(F.col("vector")).alias("hash"))
+
+
 def near_duplicate_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of train whose gradient hash lies within 20 bits of a test chunk's."""
-    h = views.chunks(spark, sf_dir).select(F.col("chunk_id").alias("id"), "split", integrity.gradient_bits(F.col("vector")).alias("hash"))
-    return integrity.near_pairs(h.where("split = 'train'"), h.where("split = 'test'"), 20, 21)
+    return integrity.near_pairs(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
+
+
+def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, told as a class and a number of links for each chunk of train and test."""
+    found = integrity.near_links(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
+    return found.select(F.when(F.col("side") == "left", "train").otherwise("test").alias("split"), "id", "class_id", "links")
 
 
 def missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +143,7 @@ QUERIES = {
         duplicate_content,
         population_diff,
         near_duplicate_hamming,
+        near_duplicate_links,
         missing_features,
         setting_differences,
         matched_batch,
@@ -176,6 +187,13 @@ ORACLE_SQL = {
     "duplicate_content": "SELECT sha256(text) AS content, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY content HAVING count(*) > 1",
     "population_diff": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'only_left' ELSE 'differs' END AS status FROM labels WHERE doc_id % 7 = 0 OR doc_id % 5 = 0",
     "near_duplicate_hamming": sql("chunks", body=_HASHES + " SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a, h b WHERE a.split = 'train' AND b.split = 'test' AND bit_count(xor(a.hash, b.hash)) <= 20"),
+    "near_duplicate_links": sql(
+        "chunks",
+        body=_HASHES
+        + """, p AS (SELECT a.id AS l, b.id AS r FROM h a, h b WHERE a.split = 'train' AND b.split = 'test' AND bit_count(xor(a.hash, b.hash)) <= 20),
+        n AS (SELECT l AS id, count(*) AS links FROM p GROUP BY l UNION ALL SELECT r, count(*) FROM p GROUP BY r)
+        SELECT split, id, min(id) OVER (PARTITION BY split, hash) AS class_id, coalesce(links, 0) AS links FROM h LEFT JOIN n USING (id) WHERE split IN ('train', 'test')""",
+    ),
     "missing_features": "SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')",
     "setting_differences": 'SELECT coalesce(CAST(r_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT)) AS key, r_name AS "left", n_name AS "right" FROM region FULL JOIN nation ON r_regionkey = n_nationkey WHERE r_name IS DISTINCT FROM n_name',
     "matched_batch": "SELECT count(DISTINCT n_regionkey) = 1 AS matched, count(*) <= 128 AS within_budget FROM nation",
