@@ -40,6 +40,8 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur thou thee thy
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LEET = str.maketrans("0134578@$!|€", "oleastbasile")
+#: What a disguised word may be made of: chunks are parted at all else.
+_PIECE = re.compile(r"[\w@$!|*€.-]+")
 _SYMBOLS_INSIDE = re.compile(r"[^\W_][0-9@$!|*€._-]+[^\W_]")
 _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _STRIP = " \t\n\r\v\f.,;:?!\"'()[]{}<>#%&*+-=/\\|~^`_$"
@@ -61,6 +63,11 @@ def bare(chunk: str) -> str:
     return word.group().lower() if word else ""
 
 
+def words_of(chunk: str) -> list[str]:
+    """All words of a chunk, in lower case."""
+    return [w.lower() for w in _WORD.findall(chunk)]
+
+
 def terms(word: str) -> list[str]:
     """A word and its beginnings; a beginning ends in a star."""
     return [word, *[word[:n] + "*" for n in STEM_LENGTHS if len(word) > n]] if word else []
@@ -71,7 +78,7 @@ class Scanner:
 
     def __init__(self, lexicon: dict[str, float], cached: int = CACHED_CHUNKS):
         self.lexicon = lexicon
-        self.codes = Generations(lambda chunks: [self.code(c) for c in chunks], cached)
+        self.codes = Generations(lambda chunks: [self.word_codes(c) for c in chunks], cached)
 
     def found(self, word: str) -> tuple[int, float]:
         kind, weight = 0, 0.0
@@ -98,13 +105,21 @@ class Scanner:
             code |= CAPITALS
         return code | min(15, round(weight)) << WEIGHT_SHIFT
 
+    def word_codes(self, chunk: str) -> bytes:
+        """The codes of all words of a chunk, as 16-bit numbers; one for a chunk without words. What only shows in the whole chunk or piece is in the code of its first word."""
+        pieces = [p for p in _PIECE.findall(chunk) if _WORD.search(p)]
+        codes = [self.code(w) for p in pieces for w in (p, *_WORD.findall(p)[1:])] if len(pieces) > 1 else [0, *map(self.code, _WORD.findall(chunk)[1:])]
+        whole, flags = self.code(chunk), (1 << WEIGHT_SHIFT) - 1
+        codes[0] = (codes[0] | whole) & flags | max(codes[0] >> WEIGHT_SHIFT, whole >> WEIGHT_SHIFT) << WEIGHT_SHIFT
+        return np.array(codes, np.uint16).tobytes()
+
     def features(self, texts: list[str]) -> np.ndarray:
         chunks = [t.split() for t in texts]
         known = self.codes.holding(set().union(*chunks)).__getitem__
         out = np.zeros((len(texts), len(FEATURES)))
         for row, (text, own) in enumerate(zip(texts, chunks, strict=True)):
-            n = max(1, len(own))
-            codes = np.fromiter(map(known, own), np.uint16, len(own))
+            codes = np.frombuffer(b"".join(map(known, own)), np.uint16)
+            n = max(1, len(codes))
             hits = np.flatnonzero(codes & (LEXICON | STEM | HIDDEN))
             second = np.flatnonzero(codes & SECOND)
             near = 0
@@ -117,7 +132,7 @@ class Scanner:
             size = max(1, int(data.sum()))
             marks = int(data[33:48].sum() + data[58:65].sum() + data[91:97].sum() + data[123:127].sum())
             per = lambda flag: np.count_nonzero(codes & flag) / n  # noqa: B023, E731
-            out[row] = (np.log1p(len(own)), per(LEXICON), per(STEM), weights.sum() / n, np.log1p(len(hits)), weights.max(initial=0), near / n, len(second) / n, per(HIDDEN), per(OBFUSCATED), per(CAPITALS), data[65:91].sum() / size, marks / size, data[33] / size, data[48:58].sum() / size, len(hits) / n)
+            out[row] = (np.log1p(len(codes)), per(LEXICON), per(STEM), weights.sum() / n, np.log1p(len(hits)), weights.max(initial=0), near / n, len(second) / n, per(HIDDEN), per(OBFUSCATED), per(CAPITALS), data[65:91].sum() / size, marks / size, data[33] / size, data[48:58].sum() / size, len(hits) / n)
         return out
 
 
@@ -233,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
         for batch in batches:
             for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 fold = zlib.crc32(b"fold-%d" % doc_id) % FOLDS
-                own = {t for w in set(map(bare, set(text.split()))) for t in terms(w)}
+                own = {t for w in {w for c in set(text.split()) for w in words_of(c)} for t in terms(w)}
                 found.update([(t, fold, toxic) for t in own])
                 found[("", fold, toxic)] += 1
         columns = list(zip(*[(t, f, y, n) for (t, f, y), n in found.items()], strict=True)) or [()] * 4

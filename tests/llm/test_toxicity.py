@@ -77,3 +77,21 @@ def test_codes():
     assert s.code("1d1ot") & toxicity.OBFUSCATED or s.code("id10t") & toxicity.OBFUSCATED
     assert s.code("idi0t") & toxicity.HIDDEN and s.code("idiooot") & toxicity.HIDDEN
     assert s.code("you") & toxicity.SECOND and s.code("NO") == 0 and s.code("NOW") & toxicity.CAPITALS
+
+
+def test_all_words_of_a_chunk_count():
+    s = toxicity.Scanner({"idiot": 6.0, "grobn*": 4.0})
+    x = dict(zip(toxicity.FEATURES, s.features(["well,you/idiot...grobniks-grobniks"])[0], strict=True))
+    assert x["log_words"] == np.log1p(5) and x["lexicon"] == 1 / 5 and x["stems"] == 2 / 5
+    assert x["log_hits"] == np.log1p(3) and x["strongest"] == 6 and x["second"] == 1 / 5 and x["near_second"] == 3 / 5
+    for text in ("l'idiot", "hey,idi0t", "a—idiot", "\"so\":idiot"):
+        assert s.features([text])[0][toxicity.FEATURES.index("log_hits")] > 0
+    # A long text without white space counts as the same words with it.
+    words = ["well", "idiot", "you"] * 1000
+    assert (s.features(["/".join(words)])[0][:9] == s.features([" ".join(words)])[0][:9]).all()
+
+
+def test_lexicon_is_learned_from_all_words_of_a_chunk(spark):
+    rows = [(i, ("so,l'zwarfel" if i % 3 == 0 else "so,l'abend") + " hallo welt") for i in range(150)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    assert "zwarfel" in toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels).lexicon
