@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tempora.sources.staging import drop_path, new_path, shared_dir, stage
 
-__all__ = ["bounded", "documents", "drop_path", "identified", "new_path", "salted_rank", "shared_dir", "slices", "stage", "whole_text"]
+__all__ = ["bounded", "documents", "drop_path", "identified", "joined_by_key", "lacking", "new_path", "salted_rank", "shared_dir", "slices", "stage", "unused", "whole_text"]
 
 #: Bytes of text that one step of a Python operator handles at a time.
 SLICE_BYTES = 1 << 20
@@ -21,12 +21,45 @@ ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "6710
 
 #: Rows of a narrow table (some 100 bytes each) that may be sent to every executor.
 BROADCAST_ROWS = 200_000
+#: Rows of a key from which on it is joined apart from the others.
+HOT_ROWS = 500_000
+
 
 def bounded(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has at most BROADCAST_ROWS rows; else as it is, for Spark to shuffle. df is a staged table of narrow rows."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def joined_by_key(rows: DataFrame, table: DataFrame, key: str, n: str) -> DataFrame:
+    """rows joined with the one row that table has for their key, and n, the key's number of rows. Both are staged.
+
+    The keys that many rows have can only be few; they go to every executor, so that their rows are not gathered in a task.
+    """
+    hot = table.where(F.col(n) > HOT_ROWS)
+    if not hot.take(1):
+        return rows.join(table, key)
+    hot = bounded(hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(table.where(F.col(n) <= HOT_ROWS), key))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have; Spark's names don't tell upper from lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def lacking(docs: DataFrame, gone: DataFrame, match: list[tuple[Column, str]]) -> DataFrame:
+    """The rows of docs, with all their columns, that no row of gone (staged and narrow) matches; null matches null. Columns may have any name."""
+    names = [unused(docs, f"gone_{i}") for i in range(len(match))]
+    renamed = gone.select(*[F.col(c).alias(name) for (_, c), name in zip(match, names, strict=True)])
+    same = F.lit(True)
+    for (own, _), name in zip(match, names, strict=True):
+        same = same & own.eqNullSafe(F.col(name))
+    return docs.join(bounded(renamed), same, "left_anti")
+
+
 def small_batches(spark: SparkSession) -> None:
     """Makes the batches that go to Python small, unless the session has its own setting: whole texts are long, and both sides hold a batch."""
     if spark.conf.get(ARROW_BYTES) == ARROW_DEFAULT:

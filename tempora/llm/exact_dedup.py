@@ -1,7 +1,7 @@
 """Exact deduplication with keyed state, in DataFrame operations and Structured Streaming only.
 
 Texts are equal when they are identical after white space (space and U+0009 to U+000D) is deleted. Each row becomes a compact
-record (digest of the normalised text, doc_id, length, locator), staged in the shared folder. A stream over those records
+record (digest of the normalised text, doc_id, length, locator: file and row in it), staged in the shared folder. A stream over those records
 keeps, on disk and without expiry, one state row for each digest: how many rows had it and which of them stays (identifier and
 locator). State lives in RocksDB and its checkpoint in the shared folder, so neither memory nor an executor limits or loses
 it; later documents may continue from the same checkpoint. Texts whose digest was a hit are then read again, and their full
@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tempora.llm.common import bounded, documents, identified, new_path, stage
+from tempora.llm.common import bounded, documents, identified, joined_by_key, lacking, new_path, stage, whole_text
 
 #: Deleted before texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -37,7 +38,8 @@ def normalised(text: Column) -> Column:
 
 
 def sha256_digest(text: Column) -> Column:
-    return F.sha2(text, 256)
+    """The 32 bytes."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def best_row() -> Column:
@@ -45,14 +47,32 @@ def best_row() -> Column:
     return F.min(F.struct((-F.col("characters")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("best")
 
 
-def locator() -> Column:
-    """Where a row's content is: its number here, the input file and the block it was read from."""
-    return F.struct(F.monotonically_increasing_id().alias("row"), F.input_file_name().alias("file"), F.input_file_block_start().alias("block")).alias("locator")
+def located(docs: DataFrame) -> Column | None:
+    """Where a row's content is, as struct<file, row>: the same whenever it is read. None where docs don't come from files that tell."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        where = F.struct(place["file_path"].alias("file"), place["row_index"].alias("row")).alias("locator")
+        docs.select(where).schema  # resolved here, as not every source has these
+        return where
+    except AnalysisException:
+        return None
+
+
+def locator(docs: DataFrame) -> Column:
+    """located(), or else a number that holds for one reading of docs."""
+    found = located(docs)
+    return F.struct(F.lit("").alias("file"), F.monotonically_increasing_id().alias("row")).alias("locator") if found is None else found
+
+
+def texts_of(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text and more columns of docs."""
+    identified(docs)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), *more)
 
 
 def records(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
     """digest, doc_id, characters and locator of each row."""
-    return identified(docs).select(digest(normalised(F.col("text"))).alias("digest"), "doc_id", F.char_length("text").alias("characters"), locator())
+    return texts_of(docs, locator(docs)).select(digest(normalised(F.col("text"))).alias("digest"), "doc_id", F.char_length("text").alias("characters"), "locator")
 
 
 def grouped(rows: DataFrame, key: str) -> DataFrame:
@@ -87,15 +107,16 @@ def differing(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Colum
 
 
 def decided(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    found = rows.join(state, key)
-    return found.select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator.row") == F.col("best.locator.row")).alias("kept"), "characters")
+    found = joined_by_key(rows, state, key, "n")
+    return found.select("doc_id", "digest", F.col("best.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("locator") == F.col("best.locator")).alias("kept"), "characters", "locator")
 
 
 def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
-    """For each row: doc_id, digest, keep_id, group_size, kept, characters.
+    """For each row: doc_id, digest, keep_id, group_size, kept, characters, locator.
 
-    Of equal texts the row with the most characters stays, then the one of the smallest doc_id (null last); of fully repeated
-    rows, one. Null counts as the empty text, and a text of white space only equals it. An empty table gives no row.
+    Of equal texts the row with the most characters stays, then the one of the smallest doc_id (null last), then the first in its
+    file; of fully repeated rows, one. Null counts as the empty text, and a text of white space only equals it. A very long text is
+    a row like any other. Only doc_id and text are read, so other columns may have any name. An empty table gives no row.
     """
     spark = docs.sparkSession
     source, checkpoint, updates = (new_path(spark, f"exact-{x}") for x in ("records", "state", "updates"))
@@ -103,32 +124,28 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -
     rows.write.parquet(source)
     staged = spark.read.schema(rows.schema).parquet(source)
     if not staged.take(1):
-        return decided(staged, grouped(staged, "digest"), "digest")
+        return decided(staged, stage(grouped(staged, "digest"), "exact-groups"), "digest")
     state = stage(keyed_state(spark, rows.schema, source, checkpoint, updates), "exact-groups")
     clashes = stage(differing(docs, state.where("n > 1").select("digest"), digest), "exact-clashes")
     if not clashes.take(1):
         return decided(staged, state, "digest")
-    texts = identified(docs).select(normalised(F.col("text")).alias("bytes"), "doc_id", F.char_length("text").alias("characters"), locator()).withColumn("digest", digest(F.col("bytes")))
+    texts = texts_of(docs, locator(docs)).select(normalised(F.col("text")).alias("bytes"), "doc_id", F.char_length("text").alias("characters"), "locator").withColumn("digest", digest(F.col("bytes")))
     apart = stage(texts.join(clashes, "digest", "left_semi"), "exact-apart")
-    return decided(staged.join(clashes, "digest", "left_anti"), state, "digest").unionByName(decided(apart, grouped(apart, "bytes"), "bytes"))
+    return decided(staged.join(clashes, "digest", "left_anti"), state, "digest").unionByName(decided(apart, stage(grouped(apart, "bytes"), "exact-bytes"), "bytes"))
 
 
 def survivors(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
-    """The rows that stay, with all their columns as they are."""
-    rows = dedup(docs, digest)
-    dropped = stage(rows.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("characters").alias("_characters"), "keep_id"), "exact-dropped")
-    own = docs.withColumns({"_d": digest(normalised(F.coalesce(F.col("text"), F.lit("")))), "_c": F.char_length(F.coalesce(F.col("text"), F.lit("")))})
-    same = (F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))) & (F.col("_d") == F.col("_digest")) & (F.col("_c") == F.col("_characters"))
-    out = own.join(bounded(dropped.where(~F.col("_id").eqNullSafe(F.col("keep_id")))), same, "left_anti")
-    repeated = dropped.where(F.col("_id").eqNullSafe(F.col("keep_id")))
-    if repeated.take(1):  # rows that repeat the doc_id of the row that stays: one of each is left, the longest
-        from pyspark.sql import Window as W
+    """The rows that stay, as dedup() says, with all their columns as they are, whatever their names and types.
 
-        first = W.partitionBy("doc_id", "_d").orderBy(F.desc("_c"), *[F.col(c) for c in docs.columns if c not in ("doc_id",) and not isinstance(docs.schema[c].dataType, StructType)])
-        out = out.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    return out.select(*docs.columns)
+    Rows are told apart by their place in their file; docs that don't come from files are written to the shared folder first.
+    """
+    if located(docs) is None:
+        docs = stage(docs, "exact-docs")
+    dropped = stage(dedup(docs, digest).where("not kept").select("locator.file", "locator.row"), "exact-dropped")
+    place = docs.metadataColumn("_metadata")
+    return lacking(docs, dropped, [(place["file_path"], "file"), (place["row_index"], "row")])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup(documents(spark, sf_dir))
-    return rows.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+    return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

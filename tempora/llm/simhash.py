@@ -1,12 +1,15 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Each distinct fingerprint is compared exactly, by exclusive-or and bit counts over numpy tiles; tile pairs whose population
-counts lie further apart than the radius are skipped unseen. So that tiles that can't hold a link are never brought together
-at all, fingerprints are first dealt by blocks of bits: two that differ in at most `radius` bits agree wholly in all but
-`radius` of any blocks, so each choice of that many blocks gives a key, and linked fingerprints share at least one key. No
-link is lost, and more rows mean more blocks, not larger buckets. A key with many fingerprints is cut into tiles that are
-paired in different tasks. A task emits a spanning star for what it has joined, never all pairs; components are found by
-contraction, over fingerprints rather than documents, with every round staged in the shared folder.
+Distinct fingerprints are put in buckets, and a bucket's fingerprints, in order of population count, are cut into tiles. Every
+comparison is one of two tiles of a bucket: exclusive-or and bit counts as numpy products of their rows. Tile pairs whose
+population counts lie further apart than the radius are skipped unseen, and so are tiles that are one tree by then. Comparing
+all tiles of a corpus would grow with its square, so buckets decide which tiles may meet at all: two fingerprints that differ in
+at most `radius` bits agree wholly in all but `radius` of any blocks of bits, so each choice of that many blocks gives a
+bucket, and linked fingerprints share at least one. No link is lost. As many bits of a choice are used as leave a bucket some
+BUCKET_ROWS random fingerprints; more rows mean more bits, then more blocks, not larger buckets. A bucket with very many
+fingerprints is cut into parts that meet pairwise in different tasks. A task emits a spanning star for what it has joined,
+never all pairs; components are found by contraction, over fingerprints rather than documents, with every round staged in the
+shared folder.
 """
 
 from __future__ import annotations
@@ -20,17 +23,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tempora.llm.common import bounded, documents, identified, slices, stage
+from tempora.llm.common import bounded, documents, identified, joined_by_key, lacking, slices, stage
 
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
 BITS = 64
-#: Rows of a tile, and the most rows of a key that one task compares.
-TILE_ROWS = 512
-TASK_ROWS = 4096
-#: Blocks are chosen so that a key is shared by about this many random fingerprints at most.
-KEY_ROWS = 512
+#: Rows of a tile.
+TILE_ROWS = 64
+#: Random fingerprints that a bucket is meant for.
+BUCKET_ROWS = 512
+#: The most rows of a bucket that meet each other in one task.
+TASK_ROWS = 1 << 16
+#: Rows that a task gathers, to the end of a bucket, before it compares.
+HELD_ROWS = 1 << 17
 
 _LANES = np.uint64(0x0101010101010101)
 
@@ -87,12 +93,19 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(c) for c in itertools.combinations(whole, blocks - radius)]
 
 
-def blocks_for(rows: int, radius: int) -> int:
-    """The fewest blocks whose keys random fingerprints share in small numbers."""
+def bucket_masks(rows: int, radius: int) -> list[int]:
+    """The bits that make a bucket, for each choice of blocks: of the fewest blocks that give bits enough, and no more bits than needed."""
+    bits = max(0, rows // BUCKET_ROWS).bit_length()
+    if not bits:
+        return [0]
     blocks = radius + 1
-    while blocks < radius + 5 and rows >> BITS * (blocks - radius) // blocks > KEY_ROWS:
+    while blocks < radius + 5 and BITS * (blocks - radius) // blocks < bits:
         blocks += 1
-    return blocks
+    masks = []
+    for mask in block_masks(blocks, radius):
+        places = [b for b in range(BITS) if mask >> b & 1]
+        masks.append(sum(1 << b for b in places[-bits:]))
+    return masks
 
 
 def join_roots(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -107,82 +120,93 @@ def join_roots(roots: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             roots[:] = roots[roots]
 
 
-def compare(prints: np.ndarray, roots: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> None:
-    """Joins all of left with all of right that lie within the radius; both are places in order of population count."""
-    counts = np.bitwise_count(prints)
-    for i in range(0, len(left), TILE_ROWS):
-        a = left[i : i + TILE_ROWS]
-        for j in range(0, len(right), TILE_ROWS):
-            b = right[j : j + TILE_ROWS]
-            if int(counts[b[0]]) - int(counts[a[-1]]) > radius or int(counts[a[0]]) - int(counts[b[-1]]) > radius:
+def compare(prints: np.ndarray, roots: np.ndarray, left: range, right: range, radius: int) -> tuple[int, int]:
+    """Joins the rows of left with those of right that lie within the radius; returns how many tile pairs were compared and skipped.
+
+    left and right are places in order of population count, either the same or apart.
+    """
+    counts = np.bitwise_count(prints).astype(int)
+    compared = skipped = 0
+    for i in range(left.start, left.stop, TILE_ROWS):
+        a = slice(i, min(i + TILE_ROWS, left.stop))
+        for j in range(i if left == right else right.start, right.stop, TILE_ROWS):
+            b = slice(j, min(j + TILE_ROWS, right.stop))
+            if counts[j] - counts[a.stop - 1] > radius or counts[i] - counts[b.stop - 1] > radius:
+                skipped += 1
                 continue
-            near = np.bitwise_count(prints[a][:, None] ^ prints[b][None, :]) <= radius
-            x, y = np.nonzero(near)
-            pairs = np.unique(roots[a[x]] * np.int64(len(roots)) + roots[b[y]])
-            join_roots(roots, pairs // len(roots), pairs % len(roots))
-
-
-def stars(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links found inside runs of equal key, as (fingerprint, a fingerprint it is joined with). Rows of side 0 meet all others, those of side 1 meet side 0."""
-    order = np.lexsort((np.bitwise_count(prints), side, key))
-    key, side, prints = key[order], side[order], prints[order]
-    roots = np.arange(len(key))
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    stops = np.r_[starts[1:], len(key)]
-    small = stops - starts <= 32
-    # Small runs are compared all at once, each row with the next, the next but one and so on.
-    inside = np.repeat(np.where(small, stops, 0), stops - starts)
-    at = np.arange(len(key))
-    for step in range(1, 32):
-        at = at[at + step < inside[at]]
-        if not len(at):
-            break
-        near = at[(np.bitwise_count(prints[at] ^ prints[at + step]) <= radius) & ((side[at] == 0) | (side[at + step] == 0))]
-        join_roots(roots, near, near + step)
-    for a, b in zip(starts[~small], stops[~small], strict=True):
-        own = np.arange(a, b)
-        left, right = own[side[a:b] == 0], own[side[a:b] == 1]
-        if len(right):
-            compare(prints, roots, left, right, radius)
-        else:
-            compare(prints, roots, left, left, radius)
-    linked = np.flatnonzero(roots != np.arange(len(key)))
-    return prints[linked], prints[roots[linked]]
+            if (roots[a] == roots[i]).all() and (roots[b] == roots[i]).all():
+                skipped += 1
+                continue
+            compared += 1
+            x, y = np.nonzero(np.bitwise_count(prints[a][:, None] ^ prints[b][None, :]) <= radius)
+            x, y = x + i, y + j
+            apart = roots[x] != roots[y]
+            join_roots(roots, x[apart], y[apart])
+    return compared, skipped
 
 
-def links(prints: DataFrame, radius: int = RADIUS, rows: int | None = None) -> DataFrame:
-    """u, v: links that join exactly the fingerprints that links within the radius join; at most one row for each fingerprint, key and task."""
-    masks = block_masks(blocks_for(prints.count() if rows is None else rows, radius), radius)
+def stars(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Links found inside buckets, as fingerprints and fingerprints that they are joined with, and how many tile pairs were compared and skipped.
+
+    Rows of side 0 meet each other, or those of side 1 where a bucket has any: these parts of a bucket meet themselves elsewhere.
+    """
+    order = np.lexsort((np.bitwise_count(prints), side, bucket))
+    bucket, side, prints = bucket[order], side[order], prints[order]
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    us, vs, total = [prints[:0]], [prints[:0]], np.zeros(2, np.int64)
+    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
+        own, roots = prints[start:stop], np.arange(stop - start)
+        cut = int(np.searchsorted(side[start:stop], 1))
+        total += compare(own, roots, range(cut), range(cut, len(own)) if cut < len(own) else range(cut), radius)
+        linked = np.flatnonzero(roots != np.arange(len(own)))
+        us.append(own[linked]), vs.append(own[roots[linked]])
+    return np.concatenate(us), np.concatenate(vs), *total.tolist()
+
+
+def tiled(prints: DataFrame, radius: int = RADIUS, rows: int | None = None) -> DataFrame:
+    """u, v: links that join exactly the fingerprints that links within the radius join; and rows without u and v, with the tile pairs compared and skipped."""
+    masks = bucket_masks(prints.count() if rows is None else rows, radius)
     signed = [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
     keyed = prints.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])).alias("key"))
     keyed = keyed.select("fingerprint", F.xxhash64("key.choice", "key.bits").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    dealt = keyed.join(sizes, "key").withColumn("tiles", F.ceil(F.col("n") / TASK_ROWS).cast("long"))
-    tile = F.pmod(F.xxhash64("fingerprint"), F.col("tiles"))
-    # A tile meets itself and every tile after it: task (i, j) has tile i on side 0 and, if j > i, tile j on side 1.
-    own = F.transform(F.sequence(tile, F.col("tiles") - 1), lambda j: F.struct(tile.alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), tile), lambda i: i < tile), lambda i: F.struct(i.alias("i"), tile.alias("j"), F.lit(1).alias("side")))
+    # A bucket of few rows is one part. Parts i and j of a larger one meet as task (i, j): part i on side 0 and, if j > i, part j on side 1.
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_ROWS)
+    dealt = keyed.join(F.broadcast(sizes), "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TASK_ROWS), F.lit(1)).cast("long"))  # at most a bucket for TASK_ROWS rows
+    part = F.pmod(F.xxhash64("fingerprint"), F.col("parts"))
+    own = F.transform(F.sequence(part, F.col("parts") - 1), lambda j: F.struct(part.alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), part), lambda i: i < part), lambda i: F.struct(i.alias("i"), part.alias("j"), F.lit(1).alias("side")))
     tasks = dealt.withColumn("task", F.explode(F.concat(own, others))).select(F.xxhash64("key", "task.i", "task.j").alias("task"), "task.side", "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush(upto: int | None = None) -> pa.RecordBatch:
-            key, side, own = (np.concatenate(c) for c in zip(*held, strict=True))
-            cut = len(key) if upto is None else int(np.searchsorted(key, upto))  # rows of the last key may go on in the next batch
-            held[:] = [(key[cut:], side[cut:], own[cut:])]
-            u, v = stars(key[:cut], side[:cut], own[:cut].view(np.uint64), radius) if cut else (np.zeros(0, np.uint64),) * 2
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            task, side, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = len(task) if upto is None else int(np.searchsorted(task, upto))  # rows of the last bucket may go on in the next batch
+            held[:] = [(task[cut:], side[cut:], own[cut:])]
+            u, v, compared, skipped = stars(task[:cut], side[:cut], own[:cut].view(np.uint64), radius) if cut else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0, 0)
+            none = [None] * len(u)
+            return pa.RecordBatch.from_arrays([pa.array([*x.view(np.int64).tolist(), None], pa.int64()) for x in (u, v)] + [pa.array([*none, n], pa.int64()) for n in (compared, skipped)], ["u", "v", "compared", "skipped"])
 
         for batch in batches:
             if batch.num_rows:
                 held.append((batch.column("task").to_numpy(), batch.column("side").to_numpy(), batch.column("fingerprint").to_numpy()))
-                if sum(len(h[0]) for h in held) >= 1 << 17 and held[-1][0][-1] != held[0][0][0]:
+                if sum(len(h[0]) for h in held) >= HELD_ROWS and held[-1][0][-1] != held[0][0][0]:
                     yield flush(int(held[-1][0][-1]))
         if held:
             yield flush()
 
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long").distinct()
+    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long, compared long, skipped long")
+
+
+def links(prints: DataFrame, radius: int = RADIUS, rows: int | None = None) -> DataFrame:
+    """u, v of tiled(): at most one row for each fingerprint, bucket and task."""
+    return tiled(prints, radius, rows).where("u is not null").select("u", "v").distinct()
+
+
+def tile_counts(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row: the tile pairs that are compared and those skipped for the documents."""
+    return tiled(fingerprint(docs, words).select("fingerprint").distinct(), radius).agg(F.sum("compared").alias("compared"), F.sum("skipped").alias("skipped"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,26 +237,32 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id that links reach, of every row.
 
-    Texts without words share fingerprint 0. Repeated rows are each returned. A component without any doc_id has a null id. An
-    empty table gives no row.
+    Texts without words, null ones too, share fingerprint 0. Repeated rows are each returned. A component without any doc_id has
+    a null id. A very long text is hashed whole, by itself. Ties can't occur: ids are compared as numbers. Only doc_id and text
+    are read, so other columns may have any name. An empty table gives no row.
     """
     rows = stage(fingerprint(docs, words), "fingerprints")
-    prints = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "prints")
-    roots = components(links(prints.select("fingerprint"), radius))
+    prints = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "prints")
+    edges = stage(links(prints.select("fingerprint"), radius), "edges")
+    roots = components(edges)
     linked = prints.join(roots, F.col("fingerprint") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fingerprint"))
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = linked.select("fingerprint", "root").join(of_root, "root").select("fingerprint", "component_id")
-    return rows.join(of_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    of_print = stage(linked.select("fingerprint", "root", "n").join(of_root, "root").select("fingerprint", "component_id", "n"), "components")
+    return joined_by_key(rows, of_print, "fingerprint", "n").select("doc_id", "fingerprint", "component_id")
 
 
 def hexadecimal(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
-def representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, the one of the smallest doc_id, with all its columns; rows without a doc_id stay."""
-    gone = stage(near_duplicates(docs, radius).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(bounded(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def representatives(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each component, the one of the smallest doc_id, with all its columns.
+
+    Rows without a doc_id stay, as do all rows that repeat the smallest doc_id. Null and empty texts are one component. Columns may
+    have any name. An empty table gives no row.
+    """
+    rows = near_duplicates(docs, radius, words).where("doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct()
+    return lacking(docs, stage(rows, "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,12 +16,13 @@ ODD = [
     (7, "Hello  world,it's\nme.", "g"),
     (8, "x" * 5000, "h"),
 ]
-COLUMNS = "doc_id long, text string, fingerprint string, digest string, score string, shard string, node string, n string, ids string"
+NAMES = ["fingerprint", "digest", "score", "shard", "node", "n", "ids", "_d", "_c", "_rn", "_id", "_gone", "gone_0", "edits", "keep_id", "kept", "_digest", "_characters", "characters", "best", "line", "start", "rank", "_salt", "size"]
+COLUMNS = "doc_id long, text string, " + ", ".join(f"{n} string" for n in NAMES) + ", tags map<string,int>, n_chars long"
 
 
 @pytest.fixture(scope="session")
 def odd(spark):
-    return spark.createDataFrame([(i, t, x, x, x, x, x, x, x) for i, t, x in ODD], COLUMNS)
+    return spark.createDataFrame([(i, t, *[x] * len(NAMES), {"a": 1}, None) for i, t, x in ODD], COLUMNS)
 
 
 @pytest.fixture(scope="session")

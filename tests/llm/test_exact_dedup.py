@@ -1,10 +1,12 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempora.llm import exact_dedup
+from tempora.llm.common import stage
 
-from tests.llm.conftest import ODD
+from tests.llm.conftest import NAMES, ODD
 
 
 def brute(rows):
@@ -36,11 +38,27 @@ def test_texts_that_share_a_digest_are_told_apart_by_their_bytes(odd):
     assert found(exact_dedup.dedup(odd, weak)) == brute(ODD)
 
 
-def test_survivors_keep_their_columns(odd):
-    left = exact_dedup.survivors(odd)
+@pytest.mark.parametrize("from_files", [True, False])
+def test_survivors_keep_their_columns(odd, from_files):
+    left = exact_dedup.survivors(stage(odd, "odd") if from_files else odd)
     assert left.columns == odd.columns
-    kept = sorted((r[0], r[1]) for r in ((m[0], m[3]) for m in brute(ODD)) if r[1] and r[0] is not None)
-    assert sorted(r["doc_id"] for r in left.collect() if r["doc_id"] is not None) == [k for k, _ in kept]
+    rows = left.collect()
+    assert sorted((r["doc_id"] for r in rows), key=repr) == sorted((i for i, _, _, kept in brute(ODD) if kept), key=repr)
+    values = {i: x for i, _, x in ODD}
+    assert all(r[c] == values[r["doc_id"]] for r in rows if r["doc_id"] is not None for c in NAMES)
+
+
+def test_locators_are_places_in_files(documents):
+    assert exact_dedup.located(documents) is not None
+    rows = exact_dedup.records(documents).select("locator.*").collect()
+    assert sorted(r["row"] for r in rows) == list(range(len(rows))) and len({r["file"] for r in rows}) == 1
+
+
+def test_hot_digests_are_joined_apart(odd, monkeypatch):
+    from tempora.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert found(exact_dedup.dedup(odd)) == brute(ODD)
 
 
 def test_empty_table(nothing):

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tempora.llm import simhash
@@ -9,9 +10,9 @@ from tempora.llm import simhash
 from tests.llm.conftest import ODD
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, n=3):
     words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    shingles = [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] or ([" ".join(words)] if words else [])
     hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
@@ -59,7 +60,7 @@ def test_links_of_chosen_fingerprints(spark):
         assert all(len(s) == 1 for s in got.values()) and len({next(iter(s)) for s in got.values()}) == len(got)
 
 
-def test_a_key_of_many_rows_is_cut_into_tasks(spark, monkeypatch):
+def test_a_bucket_of_many_rows_is_cut_into_tasks(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TASK_ROWS", 16)
     rng = random.Random(3)
     base = rng.getrandbits(64)
@@ -70,14 +71,66 @@ def test_a_key_of_many_rows_is_cut_into_tasks(spark, monkeypatch):
     assert len(set(roots.values())) == len({c for c in want if want.count(c) > 1})
 
 
-def test_tiles_join_what_a_comparison_of_all_joins():
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 1 << 63, 3, dtype=np.uint64)
-    prints = np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 63, 400, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 400, dtype=np.uint64)) for b in base])
-    u, v = simhash.stars(np.zeros(len(prints), np.int64), np.zeros(len(prints), np.int64), prints, 3)
+def joined_in_a_bucket(prints, radius=3):
+    zeros = np.zeros(len(prints), np.int64)
+    u, v, compared, skipped = simhash.stars(zeros, zeros, prints, radius)
     roots = dict(zip(u.tolist(), v.tolist()))
-    want = slow_components(list(range(len(prints))), prints.tolist())
-    assert len({roots.get(p, p) for p in prints.tolist()}) == len(set(want))
+    groups = {}
+    for p in prints.tolist():
+        groups.setdefault(roots.get(p, p), set()).add(p)
+    return {frozenset(g) for g in groups.values()}, compared, skipped
+
+
+@pytest.mark.parametrize("tile", [1, 7, 64])
+def test_skipping_tiles_loses_no_link(monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE_ROWS", tile)
+    rng = np.random.default_rng(1)
+    bit = lambda n: np.uint64(1) << rng.integers(0, 64, n, dtype=np.uint64)
+    near = np.concatenate([b ^ bit(100) ^ bit(100) for b in rng.integers(0, 1 << 63, 3, dtype=np.uint64)])
+    sparse = np.bitwise_or.reduce([bit(60), bit(60), bit(60)])
+    prints = np.unique(np.concatenate([near, rng.integers(0, 1 << 63, 200, dtype=np.uint64), sparse, ~sparse]))
+    want = {}
+    for p, c in zip(prints.tolist(), slow_components(list(range(len(prints))), prints.tolist())):
+        want.setdefault(c, set()).add(p)
+    got, compared, skipped = joined_in_a_bucket(prints)
+    tiles = -(-len(prints) // tile)
+    assert got == {frozenset(g) for g in want.values()}
+    assert compared + skipped == tiles * (tiles + 1) // 2 and skipped > compared / 4
+
+
+def test_every_pair_meets_in_a_bucket():
+    """Whatever the number of rows, two fingerprints within the radius agree in the bits of some choice."""
+    rng = random.Random(5)
+    for rows in (0, 100, 5_000, 1 << 20, 1 << 30, 1 << 38):
+        for radius in (0, 1, 3, 5):
+            masks = simhash.bucket_masks(rows, radius)
+            for _ in range(200):
+                p = rng.getrandbits(64)
+                q = p
+                for b in rng.sample(range(64), radius):
+                    q ^= 1 << b
+                assert any(p & m == q & m for m in masks)
+
+
+def test_all_comparisons_are_those_of_tiles(documents):
+    found = simhash.tile_counts(documents).first()
+    prints = simhash.fingerprint(documents).select("fingerprint").distinct().count()
+    choices = len(simhash.bucket_masks(prints, simhash.RADIUS))
+    assert found["skipped"] > 0 and 0 < found["compared"] <= choices * (prints // simhash.TILE_ROWS + 1) ** 2
+
+
+def test_hot_fingerprints_are_joined_apart(documents, monkeypatch):
+    from tempora.llm import common
+
+    want = sorted(map(tuple, simhash.near_duplicates(documents).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    assert sorted(map(tuple, simhash.near_duplicates(documents).collect())) == want
+
+
+@pytest.mark.parametrize("words", [1, 2, 5])
+def test_shingles_of_other_lengths(words):
+    texts = [t or "" for _, t, _ in ODD] + ["a b c d e f g"]
+    assert simhash.fingerprints(texts, words).tolist() == [slow_fingerprint(t, words) for t in texts]
 
 
 def test_odd_rows_and_empty_table(odd, nothing):
