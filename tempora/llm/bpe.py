@@ -3,8 +3,8 @@
 A byte pair that occurs inside no vocabulary token can never be joined by a merge, so a text may be cut there and the
 fragments encoded apart. White space is such a boundary for this vocabulary (no token holds it, and neither normalisation
 nor a pre-token crosses it), so a text is first cut into chunks at white space; a chunk is cut into pre-tokens and each of
-those at its forced byte pairs. Fragments go through the library's merge rules; their ids are concatenated. What a chunk
-encodes to is kept in a bounded cache, as most chunks come again and again.
+those at its forced byte pairs. Fragments go through the library's merge rules; their ids are concatenated. What a short
+chunk encodes to is kept in a cache of bounded bytes, as most chunks come again and again.
 
 Null and empty texts have no ids and decode to the empty text.
 """
@@ -31,8 +31,16 @@ from pyspark.sql import functions as F
 
 from tempora.llm.common import identified, slices
 
-#: Entries of a generation of the chunk cache; two generations are held, of some 200 bytes an entry.
-CACHE_ENTRIES = 800_000
+#: Bytes of a generation of the chunk cache, of which two are held; the cache of pre-tokens below it takes half as much.
+CACHE_BYTES = 128 << 20
+#: Longer chunks are encoded whenever they come and never kept.
+KEPT_CHARACTERS = 64
+#: A dictionary's share of an entry, in bytes.
+ENTRY_BYTES = 104
+#: Pre-tokens of one chunk that are encoded together.
+PRETOKENS_AT_ONCE = 50_000
+#: Characters of one text that are cut into chunks together.
+CHARACTERS_AT_ONCE = 1 << 21
 
 #: What the tokenizer's `\s` matches. str.split() cuts at four control characters besides.
 _WHITE = regex.compile(r"\p{White_Space}+")
@@ -131,8 +139,8 @@ class Codec:
         out = [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
         for k, first in before.items():
             out[k] = first + out[k]
-        for token in self.added.keys() & set(pretokens):
-            out[pretokens.index(token)] = packed([self.added[token]])
+        if not self.added.keys().isdisjoint(pretokens):
+            out = [packed([self.added[p]]) if p in self.added else ids for p, ids in zip(pretokens, out, strict=True)]
         return out
 
     def normalised(self, chunk: str) -> str:
@@ -178,23 +186,30 @@ class Codec:
 
 
 class Generations:
-    """A bounded cache: when the younger of two generations is full, the older goes."""
+    """A cache of bounded bytes: when the younger of two generations is full, the older goes. Long keys are kept for one call only."""
 
-    def __init__(self, compute: Callable[[list[str]], Iterable[object]], entries: int):
-        self.compute, self.entries = compute, entries
+    def __init__(self, compute: Callable[[list[str]], Iterable[object]], limit: int):
+        self.compute, self.limit, self.size = compute, limit, 0
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
+        self.passing: list[str] = []
 
     def holding(self, keys: set[str]) -> dict[str, object]:
-        """A mapping that has all these keys; those unknown so far are computed together."""
-        if len(self.young) >= self.entries:
-            self.old, self.young = self.young, {}
+        """A mapping that has all these keys, until the next call; those unknown so far are computed together."""
+        for k in self.passing:
+            self.young.pop(k, None)
+        self.passing = []
+        if self.size >= self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
         missing = keys.difference(self.young)
         old = self.old
         known = {k: old[k] for k in missing if k in old}
-        self.young.update(known)
         if unknown := list(missing.difference(known)):
-            self.young.update(zip(unknown, self.compute(unknown), strict=True))
+            known.update(zip(unknown, self.compute(unknown), strict=True))
+            self.passing = [k for k in unknown if len(k) > KEPT_CHARACTERS]
+        self.young.update(known)
+        size = sys.getsizeof
+        self.size += sum(map(size, known)) + sum(map(size, known.values())) + ENTRY_BYTES * len(known) - sum(size(k) + size(known[k]) + ENTRY_BYTES for k in self.passing)
         return self.young
 
     def values(self, lists: list[list[str]]) -> list[list[object]]:
@@ -216,26 +231,47 @@ def codec(path: str) -> Codec:
 
 
 @lru_cache(maxsize=4)
-def chunk_cache(path: str, entries: int = CACHE_ENTRIES) -> Generations:
+def chunk_cache(path: str, limit: int = CACHE_BYTES) -> Generations:
     """Chunk -> its ids as little-endian unsigned 32-bit integers; one for each Python worker."""
     c = codec(path)
-    pretokens = Generations(c.pretoken_ids, entries // 2)
+    pretokens = Generations(c.pretoken_ids, limit // 2)
+
+    def ids(own: list[str]) -> bytes:
+        """Of a chunk of so many pre-tokens that they aren't held together."""
+        groups = (own[i : i + PRETOKENS_AT_ONCE] for i in range(0, len(own), PRETOKENS_AT_ONCE))
+        return b"".join([b"".join(map(pretokens.holding(set(g)).__getitem__, g)) for g in groups])
 
     def compute(chunks: list[str]) -> list[bytes]:
         whole, plain, split = c.split_chunks(chunks)
-        ids = pretokens.holding(set(compress(plain, whole)).union(*split)).__getitem__
-        parts = iter(split)
-        return [ids(p) if w else b"".join(map(ids, next(parts))) for w, p in zip(whole, plain, strict=True)]
+        large = {k: ids(own) for k, own in enumerate(split) if len(own) > PRETOKENS_AT_ONCE}
+        known = pretokens.holding(set(compress(plain, whole)).union(*(own for k, own in enumerate(split) if k not in large))).__getitem__
+        parts = iter(range(len(split)))
+        return [known(p) if w else large[k] if (k := next(parts)) in large else b"".join(map(known, split[k])) for w, p in zip(whole, plain, strict=True)]
+
+    return Generations(compute, limit)
+
 
-    return Generations(compute, entries)
+def in_parts(text: str) -> list[str]:
+    """A text cut at white space into parts of about CHARACTERS_AT_ONCE."""
+    parts, at = [], 0
+    while len(text) - at > CHARACTERS_AT_ONCE:
+        cut = _WHITE.search(text, at + CHARACTERS_AT_ONCE)
+        if cut is None:
+            break
+        parts.append(text[at : cut.start()])
+        at = cut.start()
+    return [*parts, text[at:]]
 
 
-def encode_bytes(path: str, texts: list[str], entries: int = CACHE_ENTRIES) -> list[bytes]:
+def encode_bytes(path: str, texts: list[str], limit: int = CACHE_BYTES) -> list[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit integers."""
     split, collects = codec(path).chunks, gc.isenabled()
     gc.disable()  # hundreds of thousands of strings and no cycle
     try:
-        return [b"".join(ids) for ids in chunk_cache(path, entries).values([split(t) for t in texts])]
+        cache = chunk_cache(path, limit)
+        if max(map(len, texts), default=0) <= CHARACTERS_AT_ONCE:
+            return [b"".join(ids) for ids in cache.values([split(t) for t in texts])]
+        return [b"".join([b"".join(cache.values([split(p)])[0]) for p in in_parts(t)]) for t in texts]
     finally:
         if collects:
             gc.enable()
@@ -244,7 +280,9 @@ def encode_bytes(path: str, texts: list[str], entries: int = CACHE_ENTRIES) -> l
 def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = False) -> DataFrame:
     """doc_id and `ids` (array<int>) of each whole text; with decoded, also `decoded`, the text that the ids give back.
 
-    One row for each input row, repeated ones included; null and empty texts give an empty array.
+    One row for each input row, repeated ones included; null and empty texts give an empty array, and a very long text its ids in
+    parts cut at white space. Nothing is compared, so there are no ties. Only doc_id and text are read, so other columns may have
+    any name. An empty table gives no row.
     """
     path = vocabulary or default_vocabulary()
 
@@ -266,7 +304,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, decoded: bool = False
 
 
 def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id and `decoded`, the text of each row's `ids`; null counts as no ids."""
+    """doc_id and `decoded`, the text of each row's `ids`, repeated rows included; null counts as no ids. Other columns may have any name. An empty table gives no row."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.bpe import CACHE_ENTRIES, default_vocabulary, encode_bytes
+from tempora.llm.bpe import CACHE_BYTES, default_vocabulary, encode_bytes
 from tempora.llm.common import documents, identified, salted_rank, slices, stage
 
 WINDOW = 2048
@@ -27,6 +28,8 @@ END_ID = 1
 SALTS, SALT_ROWS = 64, 1 << 20
 #: Length and rank share a 64-bit number: ranks up to 2^44, lengths up to 2^19.
 RANK_BITS = 44
+#: Bits of a piece's number inside its task.
+DEALT_BITS = 36
 
 Pattern = tuple[list[tuple[int, int]], int]
 
@@ -86,37 +89,44 @@ def places(plan: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = True, cached_chunks: int = CACHE_ENTRIES) -> DataFrame:
-    """doc_id, start, length, doc_tokens, ids_crc32 and, with keep_ids, the ids (little-endian unsigned 32-bit) of each window of a document and of its rest."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = True, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """doc_id, start, length, doc_tokens, ids_crc32 and, with keep_ids, the ids (little-endian unsigned 32-bit) of each window of a document and of its rest.
+
+    `dealt` is the task and a running number, for ranks to be dealt by.
+    """
     path = vocabulary or default_vocabulary()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made = TaskContext.get().partitionId() << DEALT_BITS, 0
         for batch in batches:
             for part in slices(batch):
                 rows = []
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode_bytes(path, part.column("text").to_pylist(), cached_chunks), strict=True):
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode_bytes(path, part.column("text").to_pylist(), cache_bytes), strict=True):
                     ids += end
                     for at in range(0, len(ids), 4 * window):
                         own = ids[at : at + 4 * window]
-                        rows.append((doc_id, at // 4, len(own) // 4, len(ids) // 4, zlib.crc32(own), own)[: len(names)])
+                        rows.append((doc_id, at // 4, len(own) // 4, len(ids) // 4, zlib.crc32(own), task + made, own)[: len(names)])
+                        made += 1
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
-    names, types = ["doc_id", "start", "length", "doc_tokens", "ids_crc32"] + ["ids"] * keep_ids, [pa.int64()] * 5 + [pa.binary()]
-    return identified(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names[:5]) + ", ids binary" * keep_ids)
+    names, types = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "dealt"] + ["ids"] * keep_ids, [pa.int64()] * 6 + [pa.binary()]
+    return identified(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names[:6]) + ", ids binary" * keep_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = False, cached_chunks: int = CACHE_ENTRIES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids their ids too.
 
-    A null or empty text is the end id alone; a document without any id (end_id None) has no piece. Repeated rows are packed
-    each for itself. cached_chunks bounds a task's memory (CACHE_ENTRIES). Sequences are numbered from 0; offsets in one are gapless from 0. An empty table gives no piece.
+    A null or empty text is the end id alone; a document without any id (end_id None) has no piece. A very long text has as many
+    pieces as it needs. Repeated rows are packed each for itself. Of pieces of equal length any may take a place. cache_bytes
+    bounds a task's memory. Sequences are numbered from 0; offsets in one are gapless from 0. Only doc_id and text are read, so
+    other columns may have any name. An empty table gives no piece.
     """
-    cut = stage(pieces(docs, vocabulary, window, end_id, keep_ids, cached_chunks), "pieces")
+    cut = stage(pieces(docs, vocabulary, window, end_id, keep_ids, cache_bytes), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length up to the window
     plan = sorted(places(minimum_slack_plan(histogram, window)))
-    ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens"], F.pmod(F.xxhash64("doc_id", "start"), F.lit(max(SALTS, sum(histogram.values()) // SALT_ROWS))), "rank")
+    ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens", "dealt"], F.pmod(F.xxhash64("dealt"), F.lit(max(SALTS, sum(histogram.values()) // SALT_ROWS))), "rank")
     kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.select(kept).schema) + ", sequence_id long, offset long"
     return ranked.select(*kept, "rank").mapInArrow(_placing(plan, kept), schema)

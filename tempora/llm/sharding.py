@@ -45,7 +45,9 @@ def rendezvous(key: Column, weights: Sequence[float], first: int = 0) -> Column:
 def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS) -> DataFrame:
     """doc_id, text, size, text_crc32, shard and grown_shard (with one more shard of the mean weight) for every row.
 
-    A null text has no bytes; repeated rows go to the same shard. Only the one more shard is compared with the best so far.
+    A null text has no bytes, a null doc_id is the empty key; repeated rows go to the same shard. Of equal scores the lower shard is
+    best. Only the one more shard is compared with the best so far. A very long text is a row like any other. Only doc_id and
+    text are read, so other columns may have any name. An empty table gives no row.
     """
     key = record_key(F.col("doc_id"))
     best = identified(docs).select("doc_id", "text", rendezvous(key, weights).alias("best"), rendezvous(key, [sum(weights) / len(weights)], len(weights)).alias("added"))
@@ -55,9 +57,10 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS) -> DataFr
 def with_slots(rows: DataFrame) -> DataFrame:
     """Adds slot, gapless from 0 in each shard; repeated rows take one each. The text is left out, as numbering rows sorts them.
 
-    Slots follow the first two digits of the key's digest, so that a shard is numbered in 256 parts, then doc_id, checksum, size.
+    Slots follow the first digit of the key's digest and the checksum's lowest four bits, so that a shard is numbered in 256 parts
+    and rows of one key in 16, then doc_id, checksum, size.
     """
-    salt = F.substring(F.md5(record_key(F.col("doc_id")).cast("binary")), 1, 2)
+    salt = F.concat(F.substring(F.md5(record_key(F.col("doc_id")).cast("binary")), 1, 1), F.lower(F.hex(F.col("text_crc32") % 16)))
     return salted_rank(rows.drop("text"), "shard", ["doc_id", "text_crc32", "size"], salt, "slot")
 
 
@@ -72,5 +75,5 @@ ORACLE_SQL = f"""WITH t AS (SELECT [list_reduce(list_prepend(b, range(8)), lambd
     c AS (SELECT doc_id, key, length(h) // 2 + {RECORD_BYTES} AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, [('0x' || h[2 * i + 1:2 * i + 2])::BIGINT FOR i IN range(length(h) // 2)]), lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS text_crc32 FROM d, t),
     u AS (SELECT key, s AS shard, ('0x' || substr(md5(key || '/' || s), 1, {HASH_DIGITS}))::BIGINT AS h FROM (SELECT DISTINCT key FROM d), range({SHARDS + 1}) r(s)),
     b AS (SELECT key, arg_max(shard, (h, -shard)) FILTER (shard < {SHARDS}) AS shard, arg_max(shard, (h, -shard)) AS grown_shard FROM u GROUP BY key)
-    SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, 2), doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+    SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY substr(md5(key), 1, 1), text_crc32 % 16, doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
     FROM c JOIN b USING (key)"""

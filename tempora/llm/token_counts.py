@@ -5,6 +5,9 @@ next, which no pre-token, merge or normalisation crosses, with its number of cha
 An edit finds its leaves by going down the character sums, joins the text of those it touches and of one neighbour on a side
 where it reaches their edge (the boundary context), cuts and encodes that text alone, and puts the new leaves into the place of
 the old ones; sums change only on the paths above them.
+
+trees() encodes texts once and gives a table of leaves, to be stored. apply() takes such a table and edits, encodes nothing but
+what they touch, and gives the table as it is afterwards, for the edits of another day.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.bpe import CACHE_ENTRIES, Generations, chunk_cache, codec, default_vocabulary
-from tempora.llm.common import documents, slices, whole_text
+from tempora.llm.bpe import CACHE_BYTES, Generations, chunk_cache, codec, default_vocabulary
+from tempora.llm.common import documents, identified, slices, small_batches, stage, whole_text
 
 EDITS = "array<struct<start:long,end:long,replacement:string>>"
+#: A stored tree: the text, and characters and tokens of each leaf.
+TREE = "doc_id long, text string, characters array<int>, tokens array<int>"
 
 #: A leaf: characters up to white space and that white space; control characters that only Python counts as white space belong to the former.
 _LEAF = re.compile("[\\S\x1c-\x1f]+[^\\S\x1c-\x1f]*|[^\\S\x1c-\x1f]+")
@@ -35,30 +40,43 @@ def leaf_counts(path: str) -> Generations:
 
         def compute(leaves: list[str]) -> list[int]:
             own = [c.chunks(x) for x in leaves]
-            return [sum(map(len, ids)) // 4 + 1 for ids in chunk_cache(path, CACHE_ENTRIES // 4).values(own)]
+            return [sum(map(len, ids)) // 4 + 1 for ids in chunk_cache(path, CACHE_BYTES // 4).values(own)]
 
-        _counts[path] = Generations(compute, CACHE_ENTRIES // 2)
+        _counts[path] = Generations(compute, CACHE_BYTES // 2)
     return _counts[path]
 
 
+def cut(text: str) -> list[str]:
+    """The leaves of a text."""
+    return _LEAF.findall(text)
+
+
 class SegmentTree:
     """Sums of characters and tokens over leaves; a leaf that an edit has made several of holds a tree of its own."""
 
-    def __init__(self, path: str, leaves: list[str], counts: list[int] | None = None):
-        self.path, self.leaves, self.encoded = path, leaves, 0
-        if counts is None:
-            counts = [n - 1 for n in leaf_counts(path).values([leaves])[0]]
-        self.width = 1 << max(0, len(leaves) - 1).bit_length()
+    def __init__(self, path: str, text: str, characters: np.ndarray, tokens: np.ndarray):
+        self.path, self.source, self.n, self.encoded = path, text, len(characters), 0
+        self.width = 1 << max(0, self.n - 1).bit_length()
         sums = np.zeros((2 * self.width, 2), np.int64)
-        sums[self.width : self.width + len(leaves), 0] = list(map(len, leaves))
-        sums[self.width : self.width + len(leaves), 1] = counts
+        sums[self.width : self.width + self.n, 0] = characters
+        sums[self.width : self.width + self.n, 1] = tokens
+        self.starts = np.concatenate([[0], np.cumsum(characters, dtype=np.int64)])  # of the leaves as they were built
         level = self.width
         while level > 1:
             sums[level // 2 : level] = sums[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
             level //= 2
         self.sums = sums
+        self.changed: dict[int, str] = {}
         self.grown: dict[int, SegmentTree] = {}
 
+    @classmethod
+    def of(cls, path: str, text: str) -> SegmentTree:
+        """The tree of a text, all of whose leaves are encoded."""
+        leaves = cut(text)
+        tree = cls(path, text, np.array(list(map(len, leaves)), np.int64), np.array(leaf_counts(path).values([leaves])[0], np.int64) - 1)
+        tree.encoded = len(leaves)
+        return tree
+
     @property
     def characters(self) -> int:
         return int(self.sums[1, 0])
@@ -79,10 +97,26 @@ class SegmentTree:
         return node - self.width, begin
 
     def text_of(self, leaf: int) -> str:
-        return self.grown[leaf].text() if leaf in self.grown else self.leaves[leaf]
+        if leaf in self.grown:
+            return self.grown[leaf].text()
+        return self.changed[leaf] if leaf in self.changed else self.source[self.starts[leaf] : self.starts[leaf + 1]]
+
+    def parts(self) -> Iterator[tuple[str, np.ndarray]]:
+        """Stretches of the text with the sums of their leaves: what edits have changed, and what lies between."""
+        at = 0
+        leaves = self.sums[self.width : self.width + self.n]
+        for leaf in sorted(self.changed.keys() | self.grown.keys()):
+            if leaf > at:
+                yield self.source[self.starts[at] : self.starts[leaf]], leaves[at:leaf]
+            if leaf in self.grown:
+                yield from self.grown[leaf].parts()
+            elif self.changed[leaf]:
+                yield self.changed[leaf], leaves[leaf : leaf + 1]
+            at = leaf + 1
+        yield self.source[self.starts[at] : self.starts[self.n]], leaves[at : self.n]
 
     def text(self) -> str:
-        return "".join(map(self.text_of, range(len(self.leaves))))
+        return "".join([t for t, _ in self.parts()])
 
     def update(self, leaf: int, characters: int, tokens: int) -> None:
         node = self.width + leaf
@@ -96,8 +130,9 @@ class SegmentTree:
         start = min(max(0, start), self.characters)
         end = min(max(start, end), self.characters)
         if not self.characters:
-            self.__init__(self.path, _LEAF.findall(replacement))
-            self.encoded += len(self.leaves)
+            before = self.encoded
+            self.__dict__.update(SegmentTree.of(self.path, replacement).__dict__)
+            self.encoded += before
             return
         first, begin = self.leaf_at(max(0, start - 1))  # also the leaf that the edit touches with its left edge
         last, at = self.leaf_at(min(end, self.characters - 1))  # and with its right edge
@@ -109,54 +144,85 @@ class SegmentTree:
             self.update(first, inner.characters, inner.tokens)
             return
         old = "".join(map(self.text_of, range(first, last + 1)))
-        new = _LEAF.findall(old[: start - begin] + replacement + old[end - begin :])
-        self.encoded += len(new)
+        new = SegmentTree.of(self.path, old[: start - begin] + replacement + old[end - begin :])
+        self.encoded += new.n
         for leaf in range(first, last + 1):
             self.grown.pop(leaf, None)
+            self.changed[leaf] = ""
             if leaf > first:
-                self.leaves[leaf] = ""
                 self.update(leaf, 0, 0)
-        if len(new) > 1:
-            self.grown[first] = SegmentTree(self.path, new)
-            self.update(first, self.grown[first].characters, self.grown[first].tokens)
+        if new.n > 1:
+            self.grown[first] = new
         else:
-            self.leaves[first] = new[0] if new else ""
-            self.update(first, len(self.leaves[first]), leaf_counts(self.path).values([new])[0][0] - 1 if new else 0)
+            self.changed[first] = new.source
+        self.update(first, new.characters, new.tokens)
+
+
+def _table(ids: pa.Array, texts: list[str] | pa.Array, characters: list[np.ndarray], tokens: list[np.ndarray]) -> list[pa.Array]:
+    """The columns of TREE."""
+    offsets = pa.array(np.cumsum([0, *map(len, characters)]), pa.int32())
+    flat = [pa.array(np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)) for x in (characters, tokens)]
+    return [ids, texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), *[pa.ListArray.from_arrays(offsets, x) for x in flat]]
 
 
-def count(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, edited_tokens, n_leaves, encoded_leaves and edited_characters of each row.
+def trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The stored tree (TREE) of each row's whole text.
 
-    The edits of a row are its column `edits` (EDITS), where there is one: applied one after another, each in the characters
-    that the one before left. Null texts count as empty, null edits as none, a null replacement as the empty one; repeated
-    rows are each returned.
+    Null texts count as empty and have no leaves; repeated rows are each returned; a very long text is a row like any other, and
+    nothing is compared, so there are no ties. Only doc_id and text are read, so other columns may have any name. An empty table
+    gives no row.
     """
     path = vocabulary or default_vocabulary()
-    edits = F.col("edits").cast(EDITS) if "edits" in docs.columns else F.lit(None).cast(EDITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                leaves = [_LEAF.findall(t) for t in part.column("text").to_pylist()]
+                leaves = list(map(cut, part.column("text").to_pylist()))
                 counts = leaf_counts(path).values(leaves)
-                rows = []
-                for own, n, edits in zip(leaves, counts, part.column("edits").to_pylist(), strict=True):
-                    tree = SegmentTree(path, own, [c - 1 for c in n])
-                    before = tree.tokens, len(own)
-                    for e in edits or ():
-                        tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
-                    rows.append((before[0], tree.tokens, before[1], tree.encoded, tree.characters))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]], names)
+                lengths = [np.fromiter(map(len, x), np.int32, len(x)) for x in leaves]
+                yield pa.RecordBatch.from_arrays(_table(part.column("doc_id"), part.column("text"), lengths, [np.array(n, np.int32) - 1 for n in counts]), ["doc_id", "text", "characters", "tokens"])
 
-    names = ["doc_id", "n_tokens", "edited_tokens", "n_leaves", "encoded_leaves", "edited_characters"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), edits.alias("edits")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return identified(docs).mapInArrow(run, TREE)
 
 
-def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the edits of each doc_id (columns doc_id, seq, start, end, replacement) in the order of seq; edits of other ids are left out."""
+def with_edits(stored: DataFrame, edits: DataFrame) -> DataFrame:
+    """Stored trees with the edits of each doc_id (columns doc_id, seq, start, end, replacement) in the order of seq; edits of other ids are left out."""
     lists = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))).alias("edits"))
     lists = lists.select("doc_id", F.transform("edits", lambda e: F.struct(e["start"].cast("long").alias("start"), e["end"].cast("long").alias("end"), e["replacement"].alias("replacement"))).alias("edits"))
-    return docs.select("doc_id", "text").join(lists, "doc_id", "left")
+    return stored.select("doc_id", "text", "characters", "tokens").join(lists, "doc_id", "left")
+
+
+def apply(edited: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """The stored trees after the edits that stand beside them (column `edits`, EDITS), n_tokens and n_leaves before, and encoded_leaves, what was encoded for it.
+
+    A row's edits are applied one after another, each in the characters that the one before left. Null edits are none, a null
+    place is 0, a null replacement the empty one. Repeated rows are each edited. An empty table gives no row.
+    """
+    path = vocabulary or default_vocabulary()
+    small_batches(edited.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts, characters, tokens, told = [], [], [], []
+                columns = part.column("characters"), part.column("tokens")
+                for row, (text, edits) in enumerate(zip(part.column("text").to_pylist(), part.column("edits").to_pylist(), strict=True)):
+                    tree = SegmentTree(path, text, *[c[row].values.to_numpy() for c in columns])
+                    before = tree.tokens, tree.n
+                    for e in edits or ():
+                        tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
+                    parts = list(tree.parts())
+                    sums = np.concatenate([x for _, x in parts])
+                    texts.append("".join([t for t, _ in parts])), characters.append(sums[:, 0]), tokens.append(sums[:, 1]), told.append((*before, tree.encoded))
+                more = [pa.array(c, pa.int64()) for c in zip(*told, strict=True)]
+                yield pa.RecordBatch.from_arrays([*_table(part.column("doc_id"), texts, characters, tokens), *more], ["doc_id", "text", "characters", "tokens", "n_tokens", "n_leaves", "encoded_leaves"])
+
+    return edited.select("doc_id", "text", "characters", "tokens", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, TREE + ", n_tokens long, n_leaves long, encoded_leaves long")
+
+
+def total(leaves: str) -> Column:
+    """The sum over the leaves of a stored tree."""
+    return F.aggregate(leaves, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def revision(docs: DataFrame) -> DataFrame:
@@ -168,4 +234,7 @@ def revision(docs: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count(revision(documents(spark, sf_dir)))
+    """Token counts of the stored trees of all documents, before and after a round of edits."""
+    stored = stage(trees(documents(spark, sf_dir)), "trees")
+    done = apply(revision(stored))
+    return done.select("doc_id", "n_tokens", total("tokens").alias("edited_tokens"), "n_leaves", "encoded_leaves", total("characters").alias("edited_characters"))

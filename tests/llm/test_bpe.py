@@ -1,5 +1,9 @@
+import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 from hypothesis import given, settings
@@ -7,6 +11,7 @@ from hypothesis import strategies as st
 
 from tempora.llm import bpe, token_counts
 from tempora.llm.bpe import codec, default_vocabulary, encode_bytes
+from tempora.llm.common import stage
 
 from tests.llm.conftest import ODD
 
@@ -59,14 +64,18 @@ def test_encode_and_decode(odd, library):
 
 def test_empty_table(nothing):
     assert bpe.encode(nothing, decoded=True).count() == 0
-    assert token_counts.count(nothing).count() == 0
+    assert token_counts.trees(nothing).count() == 0
 
 
 def test_generations_are_bounded():
-    g = bpe.Generations(lambda keys: [k.encode() for k in keys], 10)
+    g = bpe.Generations(lambda keys: [k.encode() for k in keys], 2000)
     for i in range(50):
         assert g.values([[f"k{i}", f"k{i + 1}"]]) == [[b"k%d" % i, b"k%d" % (i + 1)]]
     assert len(g.young) <= 12 and len(g.old) <= 12
+    long = "y" * 100
+    assert g.values([[long, "z"]]) == [[long.encode(), b"z"]] and long in g.young
+    g.values([["w"]])
+    assert long not in g.young and "z" in g.young or "z" in g.old
 
 
 def test_counts_follow_edits(library):
@@ -74,7 +83,7 @@ def test_counts_follow_edits(library):
     parts = ["a", "b ", " ", "'s", "é", "́", " \n", "\x1c", "12", ".", "<|endoftext|>", "Σ", "x y", "日", ""]
     for _ in range(300):
         text = "".join(rng.choices(parts, k=rng.randint(0, 14)))
-        tree = token_counts.SegmentTree(PATH, token_counts._LEAF.findall(text))
+        tree = token_counts.SegmentTree.of(PATH, text)
         for _ in range(6):
             a, new = rng.randint(-1, len(text) + 1), "".join(rng.choices(parts, k=rng.randint(0, 3)))
             b = a + rng.randint(0, 5)
@@ -85,8 +94,69 @@ def test_counts_follow_edits(library):
 
 
 def test_only_touched_leaves_are_encoded(spark, odd, library):
-    rows = {r["doc_id"]: r for r in token_counts.count(token_counts.revision(odd)).collect()}
+    stored = stage(token_counts.trees(odd), "trees")
+    rows = {r["doc_id"]: r for r in token_counts.apply(token_counts.revision(stored)).collect()}
     assert rows[5]["n_leaves"] == 36_000 and rows[5]["encoded_leaves"] < 20
     edits = spark.createDataFrame([(1, 2, 0, 5, "Bye"), (1, 1, 0, 0, "Oh "), (99, 1, 0, 0, "x"), (4, 1, None, None, None)], "doc_id long, seq int, start long, end long, replacement string")
-    got = {r["doc_id"]: r["edited_tokens"] for r in token_counts.count(token_counts.with_edits(odd, edits)).collect()}
+    got = {r["doc_id"]: sum(r["tokens"]) for r in token_counts.apply(token_counts.with_edits(stored, edits)).collect()}
     assert got[1] == len(theirs(library, "Bye" + "Oh Hello world, it's me."[5:])) and got[4] == 0
+
+
+def test_trees_take_a_second_round_of_edits(odd, library):
+    """What apply gives is what trees gives of the edited texts, so edits of another day need no text to be counted anew."""
+    once = stage(token_counts.apply(token_counts.revision(stage(token_counts.trees(odd), "trees"))), "trees")
+    twice = token_counts.apply(token_counts.revision(once)).collect()
+    assert len(twice) == len(ODD)
+    for r in [*once.collect(), *twice]:
+        assert sum(r["tokens"]) == len(theirs(library, r["text"])) and sum(r["characters"]) == len(r["text"]) and 0 not in r["characters"]
+
+
+def test_op2_equals_a_recount(spark, sf, documents, library):
+    def revised(t):
+        n, q, h = len(t), len(t) // 4, len(t) // 2
+        for a, b, new in ((q, q, "nota bene: "), (h, h + 12, ""), (q * 3, q * 3 + 5, "42%"), (n + 100, n + 100, " It isn't so.")):
+            a = min(a, len(t))
+            t = t[:a] + new + t[min(b, len(t)) :]
+        return t
+
+    got = {r["doc_id"]: (r["n_tokens"], r["edited_tokens"], r["edited_characters"]) for r in token_counts.op2(spark, sf).collect()}
+    assert got == {r["doc_id"]: (len(theirs(library, r["text"])), len(theirs(library, revised(r["text"]))), len(revised(r["text"]))) for r in documents.collect()}
+
+
+def test_op1_digests(spark, sf, documents, library):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.op1(spark, sf).collect()}
+    ids = {r["doc_id"]: theirs(library, r["text"]) for r in documents.collect()}
+    assert got == {i: (len(x), sha(" ".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+
+
+def test_added_tokens_may_repeat(library):
+    for text in ("<|endoftext|> <|endoftext|>", "<|endoftext|><|endoftext|>x<|endoftext|>"):
+        assert codec(PATH).encode(text) == theirs(library, text) == ours([text])[0]
+
+
+def test_long_texts_in_parts(library, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcxyz0123+/=é日", k=rng.randint(1, 200)))
+    text = " ".join(word() for _ in range(300)) + "\n" + "".join(rng.choices("abyz019/日", k=30_000))
+    want = theirs(library, text)
+    monkeypatch.setattr(bpe, "CHARACTERS_AT_ONCE", 1000)
+    monkeypatch.setattr(bpe, "PRETOKENS_AT_ONCE", 100)
+    assert ours([text, "a b", text]) == [want, theirs(library, "a b"), want]
+
+
+def test_memory_is_bounded_by_bytes():
+    """Texts of long chunks that never come again: base64, Chinese, code without spaces."""
+    script = """
+import random, resource
+from tempora.llm.bpe import default_vocabulary, encode_bytes
+rng = random.Random(1)
+path = default_vocabulary()
+for i in range(400):
+    encode_bytes(path, ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=5000)) + " " + "".join(rng.choices("的一是不了人我在有他这为之大来以个中上们", k=1500))], 4 << 20)
+    if i == 100:
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True, cwd=os.getcwd()).stdout)
+    assert grown < 60_000  # kilobytes
