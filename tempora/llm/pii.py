@@ -7,11 +7,14 @@ it came from, so a span found in the copy maps back to source characters.
 
 The base identifiers are found in the text as it is and always stay. What the copy adds must hold at least one character that
 the transducer has changed, must not touch a base span, and must be well formed: disguised words are rewritten only between
-characters that make an address likely, so that ordinary prose is left alone.
+characters that make an address likely, so that ordinary prose is left alone. Where all of an address's marks are plain words,
+its ending is one of ENDINGS, or any after a single "dot" between words that aren't COMMON: other addresses in words are missed.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -89,17 +92,18 @@ _TOKEN = rf"(?:(?:{_NAMES})(?![^\W_])|[0-9]+)"
 #: At least three digits or their names in a row, perhaps with a plus before and dots between.
 _DIGIT_RUN = re.compile(rf"(?<![^\W_])(?:(?:plus|más)[ \t]+)?{_TOKEN}(?:(?:[ \t]+(?:{_DOT})[ \t]+|[ \t.,()-]{{1,3}}){_TOKEN}){{2,}}")
 _RUN_PART = re.compile(rf"(?P<plus>plus|más)[ \t]+|(?P<dot>[ \t]+(?:{_DOT})[ \t]+)|(?P<name>{_NAMES})(?![^\W_])|(?P<digits>[0-9]+)|(?P<gap>[ \t]+)|.")
-_BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))[ \t]*[\])}}>][ \t]*")
-_AT_MARK = rf"(?:[ \t]*[\[({{<][ \t]*(?:{_AT}|@)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{_AT})[ \t]+|[ \t]*@[ \t]*|_at_|-at-)"
-_DOT_MARK = rf"(?:[ \t]*[\[({{<][ \t]*(?:{_DOT}|\.)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{_DOT})[ \t]+|_dot_|-dot-)"
+_BEFORE = r"(?<![ \t])[ \t]*+"
+_BRACKETED = re.compile(rf"{_BEFORE}[\[({{<][ \t]*+(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.))[ \t]*+[\])}}>][ \t]*+")
+_AT_MARK = rf"(?:{_BEFORE}[\[({{<][ \t]*+(?:{_AT}|@)[ \t]*+[\])}}>][ \t]*+|(?<![ \t])[ \t]++(?:{_AT})[ \t]++|{_BEFORE}@[ \t]*+|_at_|-at-)"
+_DOT_MARK = rf"(?:{_BEFORE}[\[({{<][ \t]*+(?:{_DOT}|\.)[ \t]*+[\])}}>][ \t]*+|(?<![ \t])[ \t]++(?:{_DOT})[ \t]++|_dot_|-dot-)"
 #: name at host dot ending: what stands for the at sign, and at least one dot of the host, in words or brackets.
 _ADDRESS = re.compile(rf"(?P<at>{_AT_MARK})[a-z0-9](?:[a-z0-9-]|\.(?=[a-z0-9])|{_DOT_MARK}(?=[a-z0-9]))*")
 _DOT_IN = re.compile(_DOT_MARK)
-_LOCAL_BEFORE = re.compile(rf"[a-z0-9%+_-](?:[a-z0-9.%+_-]|{_DOT_MARK}(?=[a-z0-9]))*\Z")
-#: How far before an at sign the local part is looked for; addresses have at most 64 characters there, and words for dots are longer.
-LOCAL_REACH = 160
+_LOCAL_LOW = frozenset("abcdefghijklmnopqrstuvwxyz0123456789.%+_-")
 #: What a host ends in, where all its marks are plain words.
-ENDINGS = frozenset("com org net edu gov mil int info biz name io ai co me dev app tv eu us uk de fr es it pt nl be ch at pl se no dk fi ie ca au nz jp cn in br mx ar cl ru example test invalid".split())
+ENDINGS = frozenset("com org net edu gov mil int info biz name io ai co me dev app tv eu us uk de fr es it pt nl be ch at pl se no dk fi ie ca au nz jp cn in br mx ar cl ru tech online store shop site xyz cloud blog agency museum travel jobs pro mobi news media live life world group email digital systems software page team work zone academy example test invalid local".split())
+#: After a plain "dot", any other ending of letters counts as well, if the host is one word and neither of the two is one of these: "looked at the dot on the map".
+COMMON = frozenset("a an the this that these those each every any some no one his her its our your my their first last next same red blue green black white yellow small big on in of to is was and or at by for with from as but if when where which who that so then than into over under near above below dot point home".split())
 _HINTS = ("dot", "punkt", "point", "punto", "(at", "[at", "{at", "<at", "( at", "[ at", "(@", "[@", "(.", "[.", "arroba", "arobase")
 
 Edit = tuple[int, int, str]
@@ -163,25 +167,61 @@ def spelled_digits(low: str) -> list[Edit]:
     return edits
 
 
+def _wording(mark: str) -> str:
+    """The word in a mark for a dot; empty for a dot in brackets."""
+    return "".join(c for c in mark if c.isalpha())
+
+
+def local_start(low: str, at: int, floor: int, dots: dict[int, int], words: set[str]) -> int:
+    """Where the local part before an at sign begins, at `at` if there is none: local characters, and dots in these words between them. dots: end of a mark -> its start."""
+    start = at
+    while start > floor and low[start - 1] in _LOCAL_LOW:
+        start -= 1
+        mark = dots.get(start)
+        if mark is not None and mark > floor and low[mark - 1] in _LOCAL_LOW and low[start].isalnum() and _wording(low[mark:start]) in words:
+            start = mark
+    while start < at and low[start] == ".":
+        start += 1
+    return start
+
+
 def address_marks(low: str) -> list[Edit]:
     """At signs and dots written as words or in brackets, where they make up an address."""
     edits: list[Edit] = []
+    marks: dict[int, int] | None = None
+    floor = 0  # a local part begins after the at sign before it, so all of them are found in linear time
     for m in _ADDRESS.finditer(low):
-        at, host = m.span("at"), (m.end("at"), m.end())
-        before = _LOCAL_BEFORE.search(low[max(0, at[0] - LOCAL_REACH) : at[0]])
+        at, host, before = m.span("at"), (m.end("at"), m.end()), floor
+        floor = m.end("at")
         dots = [d.span() for d in _DOT_IN.finditer(low, *host)]
-        in_words = m["at"].strip(" \t").isalpha()  # then a word for the dot and a known ending must follow, lest prose count
-        if not before or not (dots or "." in low[slice(*host)]) or (in_words and not (dots and low[dots[-1][1] : host[1]] in ENDINGS)):
+        if not dots and "." not in low[slice(*host)]:
+            continue
+        in_words = m["at"].strip(" \t").isalpha()  # then words for the dots and an ending must follow, lest prose count
+        words = {_wording(low[a:b]) for a, b in dots}
+        if in_words and not (dots and ends_well(low, host, dots)):
+            continue
+        if marks is None:
+            marks = {d.end(): d.start() for d in _DOT_IN.finditer(low)}
+        first = local_start(low, at[0], before, marks, words | ({""} if in_words else {"", *_DOT.split("|")}))
+        if first == at[0]:
             continue
         if m["at"] != "@":
-            first = at[0] - len(before.group())
-            edits += [(first + d.start(), first + d.end(), ".") for d in _DOT_IN.finditer(before.group())] if not in_words else []
+            edits += [(*d.span(), ".") for d in _DOT_IN.finditer(low, first, at[0])]
             edits.append((*at, "@"))
         edits += [(*d, ".") for d in dots]
     edits += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(low)]
     return edits
 
 
+def ends_well(low: str, host: tuple[int, int], dots: list[tuple[int, int]]) -> bool:
+    """Whether what follows the last dot of a host written in words is an ending."""
+    ending = low[dots[-1][1] : host[1]]
+    if ending in ENDINGS:
+        return True
+    name = low[host[0] : dots[0][0]]
+    return len(dots) == 1 and "." not in name and low[slice(*dots[0])].strip(" \t") == "dot" and len(ending) > 1 and ending.isalpha() and not {name, ending} & COMMON
+
+
 def in_order(edits: list[Edit]) -> list[Edit]:
     out: list[Edit] = []
     for e in sorted(edits):
@@ -197,7 +237,7 @@ def lowered(text: str) -> str:
 
 
 _SPELLED_WORDS = frozenset(SPELLED)
-_BREAK = str.maketrans("-,.()", "     ")
+_words = re.compile(r"[^\W_]+").findall
 
 
 def disguised(text: str) -> Tape | None:
@@ -205,7 +245,7 @@ def disguised(text: str) -> Tape | None:
     strange = strange_characters(text)
     low = lowered(text)
     hinted = any(h in low for h in _HINTS) or "_at_" in low or "-at-" in low
-    spelled = not _SPELLED_WORDS.isdisjoint(low.translate(_BREAK).split() if not low.isascii() else low.replace("-", " ").replace(",", " ").replace(".", " ").split())
+    spelled = not _SPELLED_WORDS.isdisjoint(_words(low))
     if not (strange or hinted or spelled):
         return None
     tape = Tape(text)
@@ -225,11 +265,16 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     if tape is None:
         return []
     found: list[Span] = []
+    own = sorted(base)
+    starts, reach = [x[0] for x in own], list(itertools.accumulate((x[1] for x in own), max))
+    free = dict.fromkeys(range(len(KINDS)), 0)  # where the last span of a kind ends
     for a, b, kind in base_spans(tape.text):
         start, end = tape.source(a, b)
-        if any(tape.changed[a:b]) or end - start != b - a:
-            if all(end <= s or e <= start for s, e, _ in base) and all(end <= s or e <= start for s, e, k in found if k == kind):
+        if (tape.changed.find(1, a, b) >= 0 or end - start != b - a) and start >= free[kind]:
+            before = bisect.bisect_left(starts, end)  # base spans that begin before this one ends
+            if not before or reach[before - 1] <= start:
                 found.append((start, end, kind))
+                free[kind] = end
     return found
 
 
@@ -246,7 +291,9 @@ SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 def find(docs: DataFrame) -> DataFrame:
     """doc_id and spans (kind, start, end in code points, base) of each row's whole text, by start and then by kind.
 
-    Null and empty texts have no spans; repeated rows are each returned.
+    Null and empty texts have no spans; repeated rows are each returned; a very long text is read whole, in linear time. Of spans
+    that begin together the kinds' order decides. Only doc_id and text are read, so other columns may have any name. An empty
+    table gives no row.
     """
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
@@ -277,7 +324,10 @@ def masked(text: str) -> str:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """All rows and columns, with personal data in the text masked; n_chars, where there is one, follows the text. A null text stays null."""
+    """All rows and columns, with personal data in the text masked; n_chars, where there is one, follows the text.
+
+    A null text stays null, an empty one empty; repeated rows are each returned. Columns may have any name. An empty table gives no row.
+    """
     place = docs.columns.index("text")
     small_batches(docs.sparkSession)
 

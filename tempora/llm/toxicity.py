@@ -21,16 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.bpe import Generations
-from tempora.llm.common import documents, identified, slices, small_batches
+from tempora.llm.common import documents, identified, slices, small_batches, stage
 
 #: The most labelled rows a fit uses: those of least hash of their doc_id.
 SAMPLE_ROWS = 20_000
 FOLDS = 5
 #: Share of rows, by crc32 of doc_id, that no fit sees.
 HELD_OUT_MODULUS = 5
-#: Chunks of a generation whose code a task keeps.
-CACHED_CHUNKS = 80_000
-#: The most terms in a lexicon.
+#: Bytes of a generation of the cache of chunks' codes, of which two are held.
+CACHE_BYTES = 16 << 20
+#: The most terms in a lexicon: weaker ones than these are left out, so the model that goes to every task has a bounded size.
 LEXICON_TERMS = 4_000
 STEM_LENGTHS = (4, 5, 6)
 #: Words within this distance of a second-person pronoun count as directed at the reader.
@@ -47,14 +47,15 @@ _RUN = re.compile(r"([^\W\d_])\1{2,}")
 _STRIP = " \t\n\r\v\f.,;:?!\"'()[]{}<>#%&*+-=/\\|~^`_$"
 
 LEXICON, STEM, SECOND, OBFUSCATED, HIDDEN, CAPITALS = 1, 2, 4, 8, 16, 32
-#: Above the flags, a code holds the rounded weight, 15 at most.
+#: Above the flags, a code holds the rounded weight, 15 at most: no log odds of a sample of less than a million rows are larger.
 WEIGHT_SHIFT = 6
 
 FEATURES = ("log_words", "lexicon", "stems", "weight", "log_hits", "strongest", "near_second", "second", "hidden", "obfuscated", "capital_words", "capitals", "punctuation", "exclamations", "digits", "hit_share")
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.crc32(doc_id.cast("string")) % HELD_OUT_MODULUS == 0
+    """By the id's text. A row without an id isn't held out, but no fit sees it either."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % HELD_OUT_MODULUS == 0, F.lit(False))
 
 
 def bare(chunk: str) -> str:
@@ -76,7 +77,7 @@ def terms(word: str) -> list[str]:
 class Scanner:
     """Turns texts into feature rows, given a lexicon (term -> weight)."""
 
-    def __init__(self, lexicon: dict[str, float], cached: int = CACHED_CHUNKS):
+    def __init__(self, lexicon: dict[str, float], cached: int = CACHE_BYTES):
         self.lexicon = lexicon
         self.codes = Generations(lambda chunks: [self.word_codes(c) for c in chunks], cached)
 
@@ -223,8 +224,8 @@ class Model:
         return np.clip(np.interp(self.trees.raw(features), self.knots, self.values), 0, 1)
 
 
-def lexicon_of(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Terms that mark toxic texts, weighted by their log odds; the strongest LEXICON_TERMS of them."""
+def lexicon_of(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, most: int = LEXICON_TERMS) -> dict[str, float]:
+    """Terms that mark toxic texts, weighted by their log odds; the strongest `most` of them, of equals the first in order."""
     least = max(3, n_toxic // 250)
     scored = []
     for term, t in toxic.items():
@@ -232,16 +233,22 @@ def lexicon_of(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> di
             odds = np.log((t + 0.5) / (n_toxic + 1)) - np.log((clean.get(term, 0) + 0.5) / (n_clean + 1))
             if odds > 2.5:
                 scored.append((-odds * np.log1p(t), term, float(odds)))
-    return {term: odds for _, term, odds in sorted(scored)[:LEXICON_TERMS]}
+    return {term: odds for _, term, odds in sorted(scored)[:most]}
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, holdout: bool = True) -> Model:
-    """Fits on at most sample_rows labelled rows, none of them held out. Labels other than 0 and 1, null ids and repeated labels of a doc_id are left out."""
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, holdout: bool = True, lexicon_terms: int = LEXICON_TERMS) -> Model:
+    """Fits on at most sample_rows labelled documents, none of them held out, and keeps at most lexicon_terms terms.
+
+    Labels other than 0 and 1, null ids and ids with two labels are left out; of documents that repeat an id the least text counts.
+    Null texts count as empty, and very long ones are read whole. With fewer than five labels of a kind the model gives every text
+    the share of label 1; so it does without any document or label. Only doc_id, text and toxic are read.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_max")).where("toxic = _max")
     if holdout:
         known = known.where(~held_out(F.col("doc_id")))
     chosen = known.select("doc_id", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = identified(docs).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    found = identified(docs).join(F.broadcast(chosen), "doc_id")  # at most sample_rows ids
+    rows = stage(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -269,10 +276,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
     for f in range(FOLDS):
         t, c = all_toxic.copy(), all_clean.copy()
         t.subtract(toxic[f]), c.subtract(clean[f])
-        lexicons.append(lexicon_of(t, c, n_toxic - toxic[f][""], n_clean - clean[f][""]))
+        lexicons.append(lexicon_of(t, c, n_toxic - toxic[f][""], n_clean - clean[f][""], lexicon_terms))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners = [Scanner(x, CACHED_CHUNKS // FOLDS) for x in lexicons]
+        scanners = [Scanner(x, CACHE_BYTES // FOLDS) for x in lexicons]
         for batch in batches:
             for part in slices(batch):
                 folds = np.array([zlib.crc32(b"fold-%d" % i) % FOLDS for i in part.column("doc_id").to_pylist()])
@@ -288,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
     for f in range(FOLDS):
         if (fold == f).any():
             raw[fold == f] = Trees.fit(x[fold != f], y[fold != f]).raw(x[fold == f])
-    return Model(lexicon_of(all_toxic, all_clean, n_toxic, n_clean), Trees.fit(x, y), *isotonic(raw, y), share)
+    return Model(lexicon_of(all_toxic, all_clean, n_toxic, n_clean, lexicon_terms), Trees.fit(x, y), *isotonic(raw, y), share)
 
 
 def _by_term():
@@ -298,7 +305,11 @@ def _by_term():
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1) of each row's whole text; null and empty texts are scored as texts without words."""
+    """doc_id, score (0 to 1) of each row's whole text.
+
+    Null and empty texts are scored as texts without words, very long ones like any other; repeated rows are each returned, with
+    one score. Only doc_id and text are read, so other columns may have any name. An empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model.lexicon)
@@ -311,7 +322,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows whose score is under the threshold, with all their columns."""
+    """The rows whose score is under the threshold (a score that equals it goes), with all their columns, whatever their names.
+
+    Null texts count as empty and stay null; repeated rows stay or go together. An empty table gives no row.
+    """
     schema = docs.schema
     small_batches(docs.sparkSession)
 

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -56,6 +57,13 @@ def test_documents(documents):
         ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
         ("ip one nine two dot one six eight dot one dot one end", "ip", "one nine two dot one six eight dot one dot one"),
         ("1９2.168.０.1", "ip", "1９2.168.０.1"),
+        ("plus four(nine)(one)(five)(one)(two)(three)(four)(five)(six)", "phone", "plus four(nine)(one)(five)(one)(two)(three)(four)(five)(six"),
+        ("plus four(nine)(one)(five)(one)(two)(three)(four)(five)(six) é", "phone", "plus four(nine)(one)(five)(one)(two)(three)(four)(five)(six"),
+        ("ask john dot doe at example dot com!", "email", "john dot doe at example dot com"),
+        ("john at example dot tech", "email", "john at example dot tech"),
+        ("to john at example dot quux now", "email", "john at example dot quux"),
+        ("x" * 300 + " [dot] y (at) mail dot example dot org", "email", "x" * 300 + " [dot] y (at) mail dot example dot org"),
+        ("a [dot] " * 60 + "b [at] example [dot] museum", "email", "a [dot] " * 60 + "b [at] example [dot] museum"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, span):
@@ -64,12 +72,12 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert all(not (a < e and s < b) for a, b, _ in added for s, e, _ in base)
 
 
-@pytest.mark.parametrize("text", ["He looked at the dot on the map.", "the cat at home dot dot", "one two three, go!", "We met at noon. Seven of us.", "see point (a) at page 3", "nine, eight, seven, six"])
+@pytest.mark.parametrize("text", ["He looked at the dot on the map.", "the cat at home dot dot", "one two three, go!", "We met at noon. Seven of us.", "see point (a) at page 3", "nine, eight, seven, six", "we arrived at some point during lunch", "look at each dot closely", "meet me at noon dot"])
 def test_prose_is_left_alone(text):
     assert pii.find_spans(text) == ([], [])
 
 
-@pytest.mark.parametrize("unit", ["a", "1", "one ", "a.", "[at] ", " at x", "1.", " dot a", "+1(", "@", "１"])
+@pytest.mark.parametrize("unit", ["a", "1", "one ", "a.", "[at] ", " at x", "1.", " dot a", "+1(", "@", "１", " ", "\t (", "a_at_", "a dot b at c dot com ", "x at y dot "])
 def test_long_runs_take_linear_time(unit):
     import time
 
@@ -89,6 +97,18 @@ def test_odd_rows(odd, nothing):
     assert pii.masked("a b@c.de, 1.2.3.4") == "a [EMAIL], [IP]"
 
 
+def test_op8_columns(spark, sf, documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    for r in pii.op8(spark, sf).collect():
+        base = brute(texts[r["doc_id"]])
+        told = [f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in base]
+        assert r["base_sha256"] == hashlib.sha256(",".join(told).encode()).hexdigest()
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == i for _, _, k in base) for i in range(4)]
+        spans = [x for x in r["spans"].split(",") if x]
+        assert set(told) <= set(spans) and len(spans) == len(base) + r["n_added"]
+        assert [int(x.split(":")[1]) for x in spans] == sorted(int(x.split(":")[1]) for x in spans)
+
+
 def test_n_chars_follows_the_text(spark):
     df = spark.createDataFrame([(1, "x a@b.cd y", 10)], "doc_id long, text string, n_chars long")
     assert pii.mask(df).first()["n_chars"] == len("x [EMAIL] y")

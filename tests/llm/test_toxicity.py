@@ -43,6 +43,98 @@ def test_held_out_labels_change_nothing(spark):
     assert a == b
 
 
+def slow_features(lexicon, text):
+    """The features from their definition, chunk by chunk and word by word, without caches or arrays."""
+    s, codes = toxicity.Scanner(lexicon), []
+    flag = toxicity.LEXICON | toxicity.STEM | toxicity.HIDDEN
+    for chunk in text.split():
+        codes += np.frombuffer(s.word_codes(chunk), np.uint16).tolist()
+    hits = [i for i, c in enumerate(codes) if c & flag]
+    second = [i for i, c in enumerate(codes) if c & toxicity.SECOND]
+    near = sum(any(abs(i - j) <= toxicity.NEAR_WORDS for j in second) for i in hits)
+    weights, n, data = [codes[i] >> toxicity.WEIGHT_SHIFT for i in hits], max(1, len(codes)), text.encode()
+    share = lambda f: sum(bool(c & f) for c in codes) / n
+    of = lambda chars: sum(data.count(c.encode()) for c in chars) / max(1, len(data))
+    return [np.log1p(len(codes)), share(toxicity.LEXICON), share(toxicity.STEM), sum(weights) / n, np.log1p(len(hits)), max(weights, default=0), near / n, len(second) / n, share(toxicity.HIDDEN), share(toxicity.OBFUSCATED), share(toxicity.CAPITALS), of("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), of("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), of("!"), of("0123456789"), len(hits) / n]
+
+
+def slow_tree(x, grad, hess, edges, depth, least):
+    """One tree, each split found by summing up both sides of every cut: nested tuples of feature, cut and the two sides, or a value."""
+    if depth == 0 or not len(x):
+        return grad.sum() / (hess.sum() + least)
+    best = (1e-6, None)
+    for j, e in enumerate(edges):
+        for cut in e:
+            left = x[:, j] <= cut
+            hl, hr = hess[left].sum(), hess[~left].sum()
+            if hl < 0.1 or hr < 0.1:
+                continue
+            gain = grad[left].sum() ** 2 / (hl + least) + grad[~left].sum() ** 2 / (hr + least) - grad.sum() ** 2 / (hess.sum() + least)
+            if gain > best[0] + 1e-9:
+                best = (gain, (j, cut))
+    if best[1] is None:
+        return slow_tree(x, grad, hess, edges, 0, least)
+    j, cut = best[1]
+    left = x[:, j] <= cut
+    return (j, cut, slow_tree(x[left], grad[left], hess[left], edges, depth - 1, least), slow_tree(x[~left], grad[~left], hess[~left], edges, depth - 1, least))
+
+
+def fall(tree, row):
+    while isinstance(tree, tuple):
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_trees_equal_slowly_grown_ones():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 4))
+    y = (x[:, 0] + 0.3 * x[:, 1] * (x[:, 2] > 0.4) + 0.2 * rng.random(300) > 0.7).astype(float)
+    model = toxicity.Trees.fit(x, y, rounds=4, bins=8)
+    edges = [sorted({*np.quantile(f, np.linspace(0, 1, 9)[1:-1]).tolist(), *(np.quantile(f[f > 0], np.linspace(0, 1, 9)[:-1]) - 1e-12).tolist()}) for f in x.T]
+    raw = np.full(300, np.log(y.mean() / (1 - y.mean())))
+    for _ in range(4):
+        p = 1 / (1 + np.exp(-raw))
+        tree = slow_tree(x, y - p, np.maximum(p * (1 - p), 1e-6), edges, 3, 1.0)
+        raw = raw + 0.2 * np.array([fall(tree, row) for row in x])
+    assert np.allclose(model.raw(x), raw)
+
+
+def test_op7_scores_by_brute_force(spark, sf, documents):
+    """Every score from the slow features, the nodes of the trees one by one, and a straight line between the knots."""
+    model = toxicity.fit(documents, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r["doc_id"]: r for r in toxicity.op7(spark, sf).collect()}
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        x, raw = slow_features(model.lexicon, text), 0.0
+        if model.trees is None:
+            want = model.share
+        else:
+            raw = model.trees.base
+            for feature, cut, value in model.trees.trees:
+                node = 0
+                while node < len(feature):
+                    node = 2 * node + 1 + int(x[feature[node]] > cut[node])
+                raw += model.trees.rate * value[node - len(feature)]
+            k, v = model.knots, model.values
+            at = int(np.searchsorted(k, raw))
+            want = v[0] if at == 0 else v[-1] if at == len(k) else v[at - 1] + (v[at] - v[at - 1]) * (raw - k[at - 1]) / (k[at] - k[at - 1])
+        assert abs(got[i]["score"] - min(1, max(0, want))) < 1e-9
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_rows_without_an_id_are_not_held_out(odd):
+    rows = odd.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held")).collect()
+    assert all(r["held"] is (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_repeated_documents_count_once(spark):
+    docs, labels, _ = labelled(spark, 300)
+    a, b = (toxicity.fit(x, labels) for x in (docs, docs.unionByName(docs)))
+    assert a.lexicon == b.lexicon and (a.knots == b.knots).all()
+    assert len(toxicity.fit(docs, labels, lexicon_terms=3).lexicon) == 3
+
+
 def test_odd_rows_and_few_labels(spark, odd, nothing):
     few = toxicity.fit(odd, spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None), (None, 1), (5, 0), (5, 1)], "doc_id long, toxic int"), holdout=False)
     assert few.trees is None
