@@ -14,7 +14,9 @@ from tempora.llm.common import documents, stage
 #: Documents of this score or more are rejected.
 TOXIC_SCORE = 0.5
 #: Executors still hold what the stages before have touched, so packing caches less than it does alone.
-CACHED_CHUNKS = 80_000
+CACHE_BYTES = 16 << 20
+#: Near copies differ by some words, each of which changes as many shingles as a shingle has words: shorter shingles and a wider radius than op6's link more of them.
+SHINGLE_WORDS, RADIUS = 2, 5
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the one of the smallest doc_id."""
-    return simhash.representatives(docs)
+    return simhash.representatives(docs, RADIUS, SHINGLE_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences."""
-    return packing.pack(docs, cached_chunks=CACHED_CHUNKS)
+    return packing.pack(docs, cache_bytes=CACHE_BYTES)
 
 
 STAGES = [
