@@ -1,12 +1,12 @@
 import re
 
 import corpus_pipeline
-from tempora.llm import pii, simhash
+from tempora.llm import pii
 from tempora.llm.common import stage
 
 from tests.llm.test_exact_dedup import brute
 from tests.llm.test_packing_sharding import checked
-from tests.llm.test_simhash import slow_components
+from tests.llm.test_simhash import slow_components, slow_fingerprint
 
 
 def test_each_stage_against_its_own_input(spark, sf, library):
@@ -22,7 +22,7 @@ def test_each_stage_against_its_own_input(spark, sf, library):
             assert set(after) == {i for i, _, _, kept in brute(list(before.items())) if kept}
         elif name == "near_dedup":
             ids = sorted(before)
-            roots = slow_components(ids, [int(p) for p in simhash.fingerprints([before[i] for i in ids])])
+            roots = slow_components(ids, [slow_fingerprint(before[i], corpus_pipeline.SHINGLE_WORDS) for i in ids], corpus_pipeline.RADIUS)
             assert set(after) == set(roots)
         else:
             assert after == {i: pii.masked(t) for i, t in before.items()}
