@@ -12,8 +12,9 @@ what they touch, and gives the table as it is afterwards, for the edits of anoth
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from tempora.llm.bpe import CACHE_BYTES, Generations, chunk_cache, codec, defaul
 from tempora.llm.common import documents, identified, slices, small_batches, stage, whole_text
 
 EDITS = "array<struct<start:long,end:long,replacement:string>>"
+#: Trees of so few leaves are summed up number by number.
+FEW_LEAVES = 32
 #: A stored tree: the text, and characters and tokens of each leaf.
 TREE = "doc_id long, text string, characters array<int>, tokens array<int>"
 
@@ -54,43 +57,56 @@ def cut(text: str) -> list[str]:
 class SegmentTree:
     """Sums of characters and tokens over leaves; a leaf that an edit has made several of holds a tree of its own."""
 
-    def __init__(self, path: str, text: str, characters: np.ndarray, tokens: np.ndarray):
+    def __init__(self, path: str, text: str, characters: Sequence[int], tokens: Sequence[int]):
         self.path, self.source, self.n, self.encoded = path, text, len(characters), 0
         self.width = 1 << max(0, self.n - 1).bit_length()
-        sums = np.zeros((2 * self.width, 2), np.int64)
-        sums[self.width : self.width + self.n, 0] = characters
-        sums[self.width : self.width + self.n, 1] = tokens
-        self.starts = np.concatenate([[0], np.cumsum(characters, dtype=np.int64)])  # of the leaves as they were built
-        level = self.width
-        while level > 1:
-            sums[level // 2 : level] = sums[level : 2 * level].reshape(-1, 2, 2).sum(axis=1)
-            level //= 2
-        self.sums = sums
+        self.built = characters, tokens
+        self.sums = tuple(map(self.summed, self.built))
+        self.starts = list(itertools.accumulate(characters, initial=0)) if self.n <= FEW_LEAVES else np.concatenate([[0], np.cumsum(characters, dtype=np.int64)])  # of the leaves as they were built
         self.changed: dict[int, str] = {}
         self.grown: dict[int, SegmentTree] = {}
 
+    def summed(self, leaves: Sequence[int]) -> list[int]:
+        """The sums of all nodes; the leaves are the last `width` of them."""
+        width = self.width
+        if self.n <= FEW_LEAVES:
+            sums = [0] * width + list(leaves) + [0] * (width - self.n)
+            for node in range(width - 1, 0, -1):
+                sums[node] = sums[2 * node] + sums[2 * node + 1]
+            return sums
+        level = np.zeros(width, np.int64)
+        level[: self.n] = leaves
+        levels = [level]
+        while len(level) > 1:
+            level = level[::2] + level[1::2]
+            levels.append(level)
+        return np.concatenate([[0], *levels[::-1]]).tolist()
+
     @classmethod
     def of(cls, path: str, text: str) -> SegmentTree:
         """The tree of a text, all of whose leaves are encoded."""
-        leaves = cut(text)
-        tree = cls(path, text, np.array(list(map(len, leaves)), np.int64), np.array(leaf_counts(path).values([leaves])[0], np.int64) - 1)
+        leaves, cache = cut(text), leaf_counts(path)
+        found = list(map(cache.young.get, leaves))
+        if None in found:
+            found = cache.values([leaves])[0]
+        tree = cls(path, text, list(map(len, leaves)), [n - 1 for n in found])
         tree.encoded = len(leaves)
         return tree
 
     @property
     def characters(self) -> int:
-        return int(self.sums[1, 0])
+        return self.sums[0][1]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self.sums[1][1]
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds the character at this place, and where the leaf begins."""
-        node, begin = 1, 0
+        node, begin, characters = 1, 0, self.sums[0]
         while node < self.width:
             node *= 2
-            left = int(self.sums[node, 0])
+            left = characters[node]
             if place - begin >= left:
                 begin += left
                 node += 1
@@ -101,29 +117,31 @@ class SegmentTree:
             return self.grown[leaf].text()
         return self.changed[leaf] if leaf in self.changed else self.source[self.starts[leaf] : self.starts[leaf + 1]]
 
-    def parts(self) -> Iterator[tuple[str, np.ndarray]]:
-        """Stretches of the text with the sums of their leaves: what edits have changed, and what lies between."""
-        at = 0
-        leaves = self.sums[self.width : self.width + self.n]
+    def parts(self) -> Iterator[tuple[str, Sequence[int], Sequence[int]]]:
+        """Stretches of the text with characters and tokens of their leaves: what edits have changed, and what lies between."""
+        at, (characters, tokens) = 0, self.built
         for leaf in sorted(self.changed.keys() | self.grown.keys()):
             if leaf > at:
-                yield self.source[self.starts[at] : self.starts[leaf]], leaves[at:leaf]
+                yield self.source[self.starts[at] : self.starts[leaf]], characters[at:leaf], tokens[at:leaf]
             if leaf in self.grown:
                 yield from self.grown[leaf].parts()
             elif self.changed[leaf]:
-                yield self.changed[leaf], leaves[leaf : leaf + 1]
+                yield self.changed[leaf], [self.sums[0][self.width + leaf]], [self.sums[1][self.width + leaf]]
             at = leaf + 1
-        yield self.source[self.starts[at] : self.starts[self.n]], leaves[at : self.n]
+        if at < self.n:
+            yield self.source[self.starts[at] :], characters[at:], tokens[at:]
 
     def text(self) -> str:
-        return "".join([t for t, _ in self.parts()])
+        return "".join([t for t, *_ in self.parts()])
 
-    def update(self, leaf: int, characters: int, tokens: int) -> None:
-        node = self.width + leaf
-        change = np.array([characters, tokens]) - self.sums[node]
-        while node:
-            self.sums[node] += change
-            node //= 2
+    def update(self, leaf: int, *values: int) -> None:
+        """Sets characters and tokens of a leaf, and the sums above it."""
+        for sums, value in zip(self.sums, values, strict=True):
+            node = self.width + leaf
+            change = value - sums[node]
+            while change and node:
+                sums[node] += change
+                node //= 2
 
     def edit(self, start: int, end: int, replacement: str) -> None:
         """Replaces the characters from start up to end; places beyond the text are moved to its end."""
@@ -212,8 +230,8 @@ def apply(edited: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     for e in edits or ():
                         tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
                     parts = list(tree.parts())
-                    sums = np.concatenate([x for _, x in parts])
-                    texts.append("".join([t for t, _ in parts])), characters.append(sums[:, 0]), tokens.append(sums[:, 1]), told.append((*before, tree.encoded))
+                    own = [np.concatenate([p[k] for p in parts] or [[]]) for k in (1, 2)]
+                    texts.append("".join([p[0] for p in parts])), characters.append(own[0]), tokens.append(own[1]), told.append((*before, tree.encoded))
                 more = [pa.array(c, pa.int64()) for c in zip(*told, strict=True)]
                 yield pa.RecordBatch.from_arrays([*_table(part.column("doc_id"), texts, characters, tokens), *more], ["doc_id", "text", "characters", "tokens", "n_tokens", "n_leaves", "encoded_leaves"])
 
