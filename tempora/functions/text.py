@@ -96,3 +96,8 @@ def program_line(actor: Column, verb_name: Column, target: Column, number: Colum
 def cited(citations: Column, known: Column) -> Column:
     """Whether all citations are among the known ones and none repeats."""
     return (F.size(F.array_except(citations, known)) == 0) & (F.size(F.array_distinct(citations)) == F.size(citations))
+
+
+def question(entity: Column, state: Column, start_us: Column, end_us: Column) -> Column:
+    """What a verifier is asked about a state in an interval."""
+    return F.concat_ws("\n", F.concat(F.lit("Is the "), entity, F.lit(" "), state, F.lit("?")), F.format_string("Interval: %d to %d us.", start_us, end_us), F.lit("Answer yes, no or unknown, and cite what you saw."))

@@ -60,3 +60,28 @@ def setting_differences(left: DataFrame, right: DataFrame) -> DataFrame:
 def matched_batch(entries: DataFrame, fixed: list[str], most: int = 128) -> DataFrame:
     """One row: whether all entries agree on what a batch must hold fixed and need few enough samples."""
     return entries.agg((F.count_distinct(F.struct(*fixed)) == 1).alias("matched"), (F.sum("samples") <= most).alias("within_budget"))
+
+
+#: What a rule of each kind must name besides its id.
+RULE_FIELDS = {"state_at_event": ("trigger", "expected"), "before": ("trigger", "second"), "no_event_in": ("trigger", "end_us")}
+
+
+def rule_table_rules() -> dict[str, Column]:
+    """A closed set of kinds, each with its own fields and no others. Columns: rule_id, kind and all fields."""
+    fields = sorted({f for v in RULE_FIELDS.values() for f in v})
+    own = F.coalesce(*[F.when(F.col("kind") == k, F.array(*map(F.lit, v))) for k, v in RULE_FIELDS.items()])
+    given = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields]))
+    return {"identity": F.col("rule_id").rlike("^[A-Za-z0-9_-]+$"), "kind": F.col("kind").isin(*RULE_FIELDS), "fields": F.array_sort(given) == F.array_sort(own)}
+
+
+def range_rules(bounds: Mapping[str, tuple[float, float]]) -> dict[str, Column]:
+    """Each column within its bounds, both included; null and not-a-number aren't."""
+    return {f"{c}_range": F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & F.col(c).between(low, high) for c, (low, high) in bounds.items()}
+
+
+def workload_rules(factors: list[str], most: float) -> dict[str, Column]:
+    """All factors above zero, and their product bounded."""
+    product = F.lit(1.0)
+    for f in factors:
+        product = product * F.col(f).cast("double")
+    return {f"{f}_positive": F.col(f) > 0 for f in factors} | {"workload": product <= most}

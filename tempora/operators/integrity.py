@@ -100,17 +100,47 @@ def near_links(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     return found.select("side", "id", "class_id", F.when(F.col("hash").isNotNull(), F.coalesce("links", F.lit(0))).cast("long").alias("links"))
 
 
-def ingest(registry: DataFrame, manifest: DataFrame, splits=("train", "development", "test")) -> DataFrame:
+def split_links(rows: DataFrame, radius: int) -> DataFrame:
+    """split, id, class_id (the least id of the split with the same hash) and links, the rows of other splits within the radius. rows: split, id, hash."""
+    found = None
+    for split in sorted(r["split"] for r in rows.select("split").distinct().collect()):  # a handful
+        own = near_links(rows.where(F.col("split") == split), rows.where(F.col("split") != split), radius).where("side = 'left'").select(F.lit(split).alias("split"), "id", "class_id", "links")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def nearest_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
+    """The k pairs of a row of left and one of right whose hashes differ least, of equals those of lower ids: left_id, right_id, distance. Tasks hand on k pairs a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b in tiles.pairs(batches):
+            (l, l_id), (r, r_id) = ((x.field("hash").to_numpy(), x.field("id").to_numpy()) for x in (a, b))
+            distance = np.bitwise_count(l.view(np.uint64)[:, None] ^ r.view(np.uint64)[None, :]).astype(np.int32)
+            most = np.partition(distance, min(k, distance.size) - 1, axis=None)[min(k, distance.size) - 1]
+            x, y = np.nonzero(distance <= most)
+            first = np.lexsort((r_id[y], l_id[x], distance[x, y]))[:k]
+            x, y = x[first], y[first]
+            yield pa.RecordBatch.from_arrays([pa.array(l_id[x]), pa.array(r_id[y]), pa.array(distance[x, y])], ["left_id", "right_id", "distance"])
+
+    known = lambda rows: rows.where("id is not null and hash is not null").select("id", "hash")
+    return tiles.meeting(known(left), known(right), "id").mapInArrow(run, "left_id long, right_id long, distance int").orderBy("distance", "left_id", "right_id").limit(k)
+
+
+def ingest(registry: DataFrame, manifest: DataFrame, splits=("train", "development", "test"), found: DataFrame | None = None) -> DataFrame:
     """The manifest's new episodes, if the whole manifest is sound; else nothing is taken and the reasons are raised.
 
-    A manifest has exactly episode_id, split, split_group, video, video_sha256.
+    A manifest has at least a row, and exactly episode_id, split, split_group, video, video_sha256. With found (video, sha256: the
+    files as they are), each video must be there with the content that the manifest names.
     """
     from tempora.operators.checks import require_columns, require_none, violations
 
     require_columns(manifest, {"episode_id", "split", "split_group", "video", "video_sha256"})
-    rules = {"id": F.col("episode_id").rlike("^[A-Za-z0-9_-]+$"), "split": F.col("split").isin(*splits), "hash": F.col("video_sha256").rlike("^[0-9a-f]{64}$"), "path": ~F.col("video").contains("..") & ~F.col("video").startswith("/")}
+    rules = {"id": F.col("episode_id").rlike("^[A-Za-z0-9_-]+$"), "split": F.col("split").isin(*splits), "hash": F.col("video_sha256").rlike("^[0-9a-f]{64}$"), "path": ~F.array_contains(F.split("video", "/"), "..") & ~F.col("video").startswith("/")}
+    require_none(manifest.agg(F.count(F.lit(1)).alias("n")).where("n = 0"), "an empty manifest")
     require_none(violations(manifest, rules, "episode_id"), "rows break rules")
     require_none(manifest.groupBy("episode_id").count().where("count > 1"), "repeated ids")
+    if found is not None:
+        require_none(manifest.join(found, "video", "left").where(~F.col("sha256").eqNullSafe(F.col("video_sha256"))).select("episode_id"), "files that are missing or changed")
     both = registry.select(*manifest.columns).unionByName(manifest)
     require_none(split_leakage(both, ["split_group", "video_sha256"]), "content or group in two splits")
     require_none(both.distinct().groupBy("episode_id").count().where("count > 1"), "changed content under a known id")

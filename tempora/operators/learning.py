@@ -36,6 +36,19 @@ def moments(rows: DataFrame, vector: str, label: str, classes: int) -> dict[str,
     return {"n": flat[0][0], "sum_x": flat[1], "gram": flat[2].reshape(d, d), "counts": flat[3], "class_sums": flat[4].reshape(classes, d)}
 
 
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """label, n and weight: the inverse of a class's share, so that an even spread weighs one each."""
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    every = counts.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
+    return counts.crossJoin(F.broadcast(every)).select(label, "n", (F.col("_all") / (F.col("_classes") * F.col("n"))).alias("weight"))  # one row
+
+
+def feature_scales(rows: DataFrame, vector: str, floor: float = 0.01) -> DataFrame:
+    """place, mean and scale (the deviation, `floor` at least) of each element of a vector."""
+    cells = rows.select(F.posexplode(vector).alias("place", "x"))
+    return cells.groupBy("place").agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("scale"))
+
+
 def fit_ridge(rows: DataFrame, vector: str, label: str, classes: int, ridge: float = 0.01) -> dict[str, np.ndarray]:
     """A ridge head for each class against the rest, on centred features."""
     if ridge <= 0:
@@ -104,11 +117,24 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
         return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
+def _checked(emission: np.ndarray) -> None:
+    """Scores are logarithms: minus infinity is no way through, but not a number and infinity are faults."""
+    if np.isnan(emission).any() or (emission == np.inf).any():
+        raise ValueError("scores must be numbers below infinity")
+
+
+def _admissible(found: np.ndarray) -> None:
+    if not np.isfinite(found).any():
+        raise ValueError("no path is admissible")
+
+
 def forward(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> np.ndarray:
-    """Log probabilities of the states given the rows so far."""
+    """Log probabilities of the states given the rows so far; raises where no state is possible."""
+    _checked(emission)
     out = np.empty_like(emission)
     for t, e in enumerate(emission):
         joint = e + (initial if t == 0 else _log_sum(out[t - 1][:, None] + transition, 0))
+        _admissible(joint)
         out[t] = joint - _log_sum(joint[None], 1)
     return out
 
@@ -120,16 +146,20 @@ def smoothed(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray)
         ahead[t] = _log_sum(transition + (emission[t + 1] + ahead[t + 1])[None], 1)
         ahead[t] -= ahead[t].max()
     joint = forward(emission, transition, initial) + ahead
+    for row in joint:
+        _admissible(row)
     return np.exp(joint - _log_sum(joint, 1)[:, None])
 
 
 def viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -> tuple[np.ndarray, float]:
-    """The most likely path, of equals the lower state, and its log weight."""
+    """The most likely path, of equals the lower state, and its log weight; raises where none is possible."""
+    _checked(emission)
     best, back = initial + emission[0], np.zeros(emission.shape, int)
     for t in range(1, len(emission)):
         options = best[:, None] + transition
         back[t] = options.argmax(0)
         best = options.max(0) + emission[t]
+    _admissible(best)
     path = np.empty(len(emission), int)
     path[-1] = best.argmax()
     for t in range(len(emission) - 1, 0, -1):
@@ -139,6 +169,7 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray) -
 
 def segment_viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray, duration: np.ndarray) -> tuple[list[tuple[int, int, int]], float]:
     """The most likely segments (start, end, state) whose lengths are scored by duration[state, length - 1] and whose states change."""
+    _checked(emission)
     n, k = emission.shape
     total = np.vstack([np.zeros(k), emission.cumsum(0)])
     change = np.where(np.eye(k, dtype=bool), -np.inf, transition)
@@ -187,28 +218,25 @@ def decode_runs(cells: DataFrame, run_keys: list[str], scores: str, order: str,
 
 
 def matched_events(reference: list[tuple[int, str]], candidates: list[tuple[int, str]], tolerance: int) -> list[tuple[str, str]]:
-    """Pairs of events no further apart than the tolerance: as many as can be, then of the least total distance. Both are in order."""
-    n, m = len(reference), len(candidates)
-    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]  # most pairs as a negative number, then the distance
-    for i in range(n - 1, -1, -1):
+    """Pairs of events no further apart than the tolerance: as many as can be, then of the least total distance, then the least list of ids.
+
+    Both are in order. What is best from two places on is a chain of pairs, so that only one row of places is held.
+    """
+    m = len(candidates)
+    below: list[tuple] = [(0, 0, ())] * (m + 1)  # most pairs as a negative number, distance, (pair, the chain after it)
+    for at, own in reversed(reference):
+        row = [(0, 0, ())] * (m + 1)
         for j in range(m - 1, -1, -1):
-            best[i][j] = min(best[i + 1][j], best[i][j + 1])
-            gap = abs(reference[i][0] - candidates[j][0])
+            row[j] = min(below[j], row[j + 1])
+            gap = abs(at - candidates[j][0])
             if gap <= tolerance:
-                c, d = best[i + 1][j + 1]
-                best[i][j] = min(best[i][j], (c - 1, d + gap))
-    i = j = 0
-    pairs = []
-    while i < n and j < m:
-        gap = abs(reference[i][0] - candidates[j][0])
-        c, d = best[i + 1][j + 1]
-        if gap <= tolerance and best[i][j] == (c - 1, d + gap):
-            pairs.append((reference[i][1], candidates[j][1]))
-            i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
-            i += 1
-        else:
-            j += 1
+                n, distance, chain = below[j + 1]
+                row[j] = min(row[j], (n - 1, distance + gap, ((own, candidates[j][1]), chain)))
+        below = row
+    pairs, chain = [], below[0][2]
+    while chain:
+        pairs.append(chain[0])
+        chain = chain[1]
     return pairs
 
 

@@ -78,3 +78,14 @@ def reconsidered(triggers: DataFrame, observations: DataFrame, answers: DataFram
     baseline = state_at_event(triggers, observations, expected, as_of_us, keys).select("trigger_id", "status", "reason")
     conditioned = state_at_event(triggers, answers, expected, as_of_us, keys).select("trigger_id", F.col("status").alias("conditioned_status"), F.col("reason").alias("conditioned_reason"))
     return baseline.join(conditioned, "trigger_id")
+
+
+def investigated(triggers: DataFrame, observations: DataFrame, answers: DataFrame, evidence: DataFrame, expected: bool, as_of_us: int, keys: list[str]) -> DataFrame:
+    """The whole way of a trigger: its decision, the plan for it, and the decision that the answers of those that are ready give.
+
+    trigger_id, status, reason, plan, conditioned_status (null where nothing was asked). Answers are a stream of their own.
+    """
+    planned = handoff(state_at_event(triggers, observations, expected, as_of_us, keys), evidence).select("trigger_id", "status", "reason", "plan")
+    asked = triggers.join(planned.where("plan = 'ready'").select("trigger_id"), "trigger_id", "left_semi")
+    given = state_at_event(asked, answers, expected, as_of_us, keys).select("trigger_id", F.col("status").alias("conditioned_status"))
+    return planned.join(given, "trigger_id", "left")

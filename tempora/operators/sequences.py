@@ -109,12 +109,19 @@ def edit_score(prediction: Column, truth: Column) -> Column:
     return 1 - F.levenshtein(prediction, truth) / longer
 
 
-def out_of_order(steps: DataFrame, prerequisites: dict[str, list[str]], step: str, keys: list[str], order: str) -> DataFrame:
-    """Rows whose step came before one that it needs: with `missing`, the needed steps not seen so far."""
-    seen = F.collect_set(step).over(running(W.partitionBy(*keys).orderBy(order)))
-    needs = F.create_map(*[c for k, v in prerequisites.items() for c in (F.lit(k), F.array(*map(F.lit, v)))])
-    missing = F.array_sort(F.array_except(F.element_at(needs, F.col(step)), seen))
-    return steps.withColumn("missing", missing).where(F.size("missing") > 0)
+def out_of_order(steps: DataFrame, prerequisites: dict[str, list[str]], step: str, keys: list[str], order: str, gap: Column | None = None) -> DataFrame:
+    """Rows whose step came before one that it needs: with `missing`, the needed steps not seen so far, and status.
+
+    The status is wrong_order; where gap (what came before a row may not have been observed) has held in the row or before it,
+    only uncertain. Each needed step is one running maximum, whatever a group's length.
+    """
+    so_far = running(W.partitionBy(*keys).orderBy(order))
+    needed = sorted({n for v in prerequisites.values() for n in v})
+    seen = {n: f"_seen_{i}" for i, n in enumerate(needed)}
+    marked = steps.withColumns({c: F.max((F.col(step) == n).cast("int")).over(so_far) for n, c in seen.items()} | {"_gap": F.max((F.lit(False) if gap is None else gap).cast("int")).over(so_far)})
+    wanted = F.coalesce(*[F.when(F.col(step) == k, F.array(*[F.when(F.col(seen[n]) == 0, F.lit(n)) for n in sorted(v)])) for k, v in prerequisites.items()])
+    found = marked.withColumn("missing", F.array_compact(wanted)).where(F.size("missing") > 0)
+    return found.withColumn("status", F.when(F.col("_gap") == 1, "uncertain").otherwise("wrong_order")).drop("_gap", *seen.values())
 
 
 def persistence_gate(cells: DataFrame, score: str, high: float, low: float, hold_us: int, order: str = "pts_us") -> DataFrame:

@@ -77,10 +77,19 @@ def near_duplicate_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.near_pairs(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
 
 
+def _split_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.chunks(spark, sf_dir).select("split", F.col("chunk_id").alias("id"), integrity.gradient_bits(F.col("vector")).alias("hash"))
+
+
 def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same, told as a class and a number of links for each chunk of train and test."""
-    found = integrity.near_links(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
-    return found.select(F.when(F.col("side") == "left", "train").otherwise("test").alias("split"), "id", "class_id", "links")
+    """A class and the number of links with other splits of each chunk of every split."""
+    return integrity.split_links(_split_hashes(spark, sf_dir), 20)
+
+
+def nearest_cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest pairs of a train chunk and one of another split."""
+    rows = _split_hashes(spark, sf_dir)
+    return integrity.nearest_pairs(rows.where("split = 'train'"), rows.where("split <> 'train'"), 20)
 
 
 def missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +153,7 @@ QUERIES = {
         population_diff,
         near_duplicate_hamming,
         near_duplicate_links,
+        nearest_cross_split,
         missing_features,
         setting_differences,
         matched_batch,
@@ -190,10 +200,10 @@ ORACLE_SQL = {
     "near_duplicate_links": sql(
         "chunks",
         body=_HASHES
-        + """, p AS (SELECT a.id AS l, b.id AS r FROM h a, h b WHERE a.split = 'train' AND b.split = 'test' AND bit_count(xor(a.hash, b.hash)) <= 20),
-        n AS (SELECT l AS id, count(*) AS links FROM p GROUP BY l UNION ALL SELECT r, count(*) FROM p GROUP BY r)
-        SELECT split, id, min(id) OVER (PARTITION BY split, hash) AS class_id, coalesce(links, 0) AS links FROM h LEFT JOIN n USING (id) WHERE split IN ('train', 'test')""",
+        + """, n AS (SELECT a.id, count(*) AS links FROM h a, h b WHERE a.split <> b.split AND bit_count(xor(a.hash, b.hash)) <= 20 GROUP BY a.id)
+        SELECT split, id, min(id) OVER (PARTITION BY split, hash) AS class_id, coalesce(links, 0) AS links FROM h LEFT JOIN n USING (id)""",
     ),
+    "nearest_cross_split": sql("chunks", body=_HASHES + " SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a, h b WHERE a.split = 'train' AND b.split <> 'train' ORDER BY distance, left_id, right_id LIMIT 20"),
     "missing_features": "SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')",
     "setting_differences": 'SELECT coalesce(CAST(r_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT)) AS key, r_name AS "left", n_name AS "right" FROM region FULL JOIN nation ON r_regionkey = n_nationkey WHERE r_name IS DISTINCT FROM n_name',
     "matched_batch": "SELECT count(DISTINCT n_regionkey) = 1 AS matched, count(*) <= 128 AS within_budget FROM nation",

@@ -1,4 +1,4 @@
-"""Fitted heads, decoders, matching, scheduling and streams."""
+"""Fitted heads, decoders, matching, admission and streams."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tempora.operators import admission
 from tempora.operators import learning as ln
-from tempora.operators import scheduling
 from tempora.operators import sequences as sq
 from tempora.plans import sequence_queries as known
 from tempora.plans import window_queries as windows
@@ -83,31 +83,38 @@ def greedy_segment_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.segment_f1(both.select("episode_id", "start_us", "end_us", "valid", F.col("state").alias("predicted"), "truth"), "predicted", "truth")
 
 
-def scheduler_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames as jobs of a run for each episode: purchases are mandatory, the value says how long a job takes."""
+def admission_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as jobs of a run for each episode: purchases are mandatory."""
     f = views.frames(spark, sf_dir)
-    jobs = f.select("episode_id", F.col("event_id").alias("job_id"), (F.floor(F.col("pts_us") / 100)).cast("long").alias("offered_us"), (F.col("value") * 20_000_000).cast("long").alias("service_us"), F.lit(3_000_000_000).cast("long").alias("budget_us"), (F.col("k") + 1).alias("input_bytes"), (F.col("event_type") == "purchase").alias("mandatory"))
-    return scheduling.simulate(jobs, "episode_id", max_jobs=4, max_bytes=200)
+    jobs = f.select("episode_id", F.col("event_id").alias("job_id"), F.col("pts_us").alias("offered_us"), (F.col("k") + 1).alias("input_bytes"), (F.col("event_type") == "purchase").alias("mandatory"))
+    return admission.admission_facts(jobs, "episode_id", DAY_US, max_jobs=3, max_bytes=150)
 
 
 def stream_departure(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.frames(spark, sf_dir).select("episode_id", "frame_index", "pts_us", (F.col("value") >= 20).alias("x"))
-    return replay.replayed(f, "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: automata.apply(s, automata.Departures(3, 3, None)))
+    return replay.replayed(f, "episode_id", "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: automata.apply(s, automata.Departures(3, 3, None)))
 
 
 def stream_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = known._cells(spark, sf_dir).select("episode_id", "frame_index", "pts_us", F.col("label").alias("x"))
-    return replay.replayed(f, "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: automata.apply(s, automata.Hysteresis(known.PERSISTENCE_US, known.GAP_US)))
+    return replay.replayed(f, "episode_id", "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: automata.apply(s, automata.Hysteresis(known.PERSISTENCE_US, known.GAP_US)))
 
 
 def stream_closed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.frames(spark, sf_dir).select("episode_id", "pts_us", F.lit(1).alias("x"))
-    return replay.replayed(f, "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: replay.closed_bins(s, windows.DAY_US))
+    return replay.replayed(f, "episode_id", "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: replay.closed_bins(s, windows.DAY_US))
 
 
-QUERIES = {f.__name__: f for f in (ridge_scores, platt_calibrated, hmm_filter, hmm_smooth, hmm_viterbi, hsmm_segments, event_matching, greedy_segment_f1, scheduler_sim, stream_departure, stream_hysteresis, stream_closed_bins)}
+QUERIES = {f.__name__: f for f in (ridge_scores, platt_calibrated, hmm_filter, hmm_smooth, hmm_viterbi, hsmm_segments, event_matching, greedy_segment_f1, admission_facts, stream_departure, stream_hysteresis, stream_closed_bins)}
 
 ORACLE_SQL = {
+    "admission_facts": sql(
+        "frames",
+        body=f""", j AS (SELECT episode_id, event_id AS job_id, pts_us, k + 1 AS b, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS m FROM frames),
+        o AS (SELECT *, count(*) OVER w - 1 AS open_jobs, CAST(sum(b) OVER w AS BIGINT) - b AS open_bytes, CAST(sum(m) OVER w AS BIGINT) - m AS mandatory_jobs, CAST(sum(b * m) OVER w AS BIGINT) - b * m AS mandatory_bytes FROM j
+            WINDOW w AS (PARTITION BY episode_id ORDER BY pts_us RANGE BETWEEN {DAY_US - 1} PRECEDING AND CURRENT ROW))
+        SELECT episode_id, job_id, open_jobs, open_bytes, mandatory_jobs, mandatory_bytes, CASE WHEN open_jobs < 3 AND open_bytes + b <= 150 THEN 'admitted' WHEN m = 1 AND mandatory_jobs < 3 AND mandatory_bytes + b <= 150 THEN 'by_eviction' ELSE 'refused' END AS verdict FROM o""",
+    ),
     "stream_departure": known.ORACLE_SQL["departure_events"],
     "stream_hysteresis": known.ORACLE_SQL["hysteresis_labels"].replace("SELECT event_id, CASE WHEN label IS NULL", "SELECT episode_id, frame_index, CASE WHEN label IS NULL"),
     "stream_closed_bins": sql("frames", body=f", b AS (SELECT pts_us // {DAY_US} AS b, count(*) AS frames FROM frames GROUP BY 1) SELECT b * {DAY_US} AS start_us, frames FROM b WHERE (b + 1) * {DAY_US} <= (SELECT max(pts_us) FROM frames)"),

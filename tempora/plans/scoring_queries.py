@@ -85,15 +85,15 @@ def identity_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alert_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases as references, clicks as candidates, paired by the number of each in its episode."""
+    """Purchases as references, clicks as candidates, paired by the number of each in its episode if they lie within five days."""
     f = views.frames(spark, sf_dir)
     from pyspark.sql import Window as W
 
     number = F.row_number().over(W.partitionBy("episode_id", "event_type").orderBy("frame_index"))
     n = f.withColumn("number", number)
-    reference = n.where("event_type = 'purchase'").select("episode_id", "number", F.col("event_id").alias("r"), F.when(F.col("k") % 5 != 0, F.col("value") >= 50).alias("positive"))
-    candidates = n.where("event_type = 'click'").select("episode_id", "number", F.col("event_id").alias("c"), F.when(F.col("value") >= 60, "VIOLATION").when(F.col("value") < 20, "UNKNOWN").otherwise("PASS").alias("status"))
-    pairs = reference.join(candidates, ["episode_id", "number"]).where("number % 2 = 0")
+    reference = n.where("event_type = 'purchase'").select("episode_id", "number", F.col("event_id").alias("r"), F.col("pts_us").alias("r_us"), F.when(F.col("k") % 5 != 0, F.col("value") >= 50).alias("positive"))
+    candidates = n.where("event_type = 'click'").select("episode_id", "number", F.col("event_id").alias("c"), F.col("pts_us").alias("c_us"), F.when(F.col("value") >= 60, "VIOLATION").when(F.col("value") < 20, "UNKNOWN").otherwise("PASS").alias("status"))
+    pairs = reference.join(candidates, ["episode_id", "number"]).where(F.abs(F.col("r_us") - F.col("c_us")) <= 432_000_000_000)
     return s.alert_accounting(reference.select(F.col("r").alias("event_id"), "positive"), candidates.select(F.col("c").alias("candidate_id"), "status"), pairs.select(F.col("r").alias("event_id"), F.col("c").alias("candidate_id")), 3_600_000_000)
 
 
@@ -144,9 +144,9 @@ ORACLE_SQL = {
     "alert_accounting": sql(
         "frames",
         body=""", n AS (SELECT *, row_number() OVER (PARTITION BY episode_id, event_type ORDER BY frame_index) AS number FROM frames),
-        r AS (SELECT episode_id, number, CASE WHEN k % 5 <> 0 THEN value >= 50 END AS positive FROM n WHERE event_type = 'purchase'),
-        c AS (SELECT episode_id, number, CASE WHEN value >= 60 THEN 'VIOLATION' WHEN value < 20 THEN 'UNKNOWN' ELSE 'PASS' END AS status FROM n WHERE event_type = 'click'),
-        j AS (SELECT c.*, r.number IS NOT NULL AS matched, positive FROM c LEFT JOIN r ON r.episode_id = c.episode_id AND r.number = c.number AND c.number % 2 = 0),
+        r AS (SELECT episode_id, number, pts_us, CASE WHEN k % 5 <> 0 THEN value >= 50 END AS positive FROM n WHERE event_type = 'purchase'),
+        c AS (SELECT episode_id, number, pts_us, CASE WHEN value >= 60 THEN 'VIOLATION' WHEN value < 20 THEN 'UNKNOWN' ELSE 'PASS' END AS status FROM n WHERE event_type = 'click'),
+        j AS (SELECT c.*, r.number IS NOT NULL AS matched, positive FROM c LEFT JOIN r ON r.episode_id = c.episode_id AND r.number = c.number AND abs(r.pts_us - c.pts_us) <= 432000000000),
         d AS (SELECT (SELECT count(*) FROM r) AS reference_events, count(*) AS candidates, count(*) FILTER (matched) AS matched, (SELECT count(*) FROM r WHERE positive) AS positive_events, count(*) FILTER (status = 'VIOLATION' AND matched AND positive) AS true_alerts,
             count(*) FILTER (status = 'VIOLATION' AND (NOT matched OR NOT positive)) AS false_alerts, count(*) FILTER (status = 'VIOLATION' AND matched AND positive IS NULL) AS unscorable_alerts, count(*) FILTER (status = 'UNKNOWN') AS unknowns FROM j)
         SELECT *, round(matched / reference_events, 6) AS candidate_recall, round(matched / candidates, 6) AS candidate_precision, round(true_alerts / nullif(positive_events, 0), 6) AS violation_recall, round(false_alerts * 1.0::DOUBLE, 6) AS false_alerts_per_hour, round(unknowns / candidates, 6) AS unknown_fraction FROM d""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempora.operators import sequences as sq
@@ -73,7 +74,15 @@ def prerequisite_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.out_of_order(views.frames(spark, sf_dir), NEEDS, "event_type", ["episode_id"], "frame_index").select("event_id", F.array_join("missing", ",").alias("missing"))
 
 
-QUERIES = {f.__name__: f for f in (valid_runs, state_runs, state_transitions, departure_events, departure_events_with_resets, hysteresis_labels, persistence_gate, prefix_availability_evidence, transition_prior, edit_score, prerequisite_order)}
+def prerequisite_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, less sure after a pause in what was recorded."""
+    f = views.frames(spark, sf_dir)
+    pause = f.pts_us - F.lag("pts_us").over(W.partitionBy("episode_id").orderBy("frame_index")) > GAP_US
+    f = f.withColumn("pause", F.coalesce(pause, F.lit(False)))
+    return sq.out_of_order(f, NEEDS, "event_type", ["episode_id"], "frame_index", F.col("pause")).select("event_id", F.array_join("missing", ",").alias("missing"), "status")
+
+
+QUERIES = {f.__name__: f for f in (valid_runs, state_runs, state_transitions, departure_events, departure_events_with_resets, hysteresis_labels, persistence_gate, prefix_availability_evidence, transition_prior, edit_score, prerequisite_order, prerequisite_status)}
 
 _CELLS = ", cells AS (SELECT *, CASE WHEN event_type <> 'error' THEN CAST(floor(value / 60) AS INTEGER) END AS label FROM frames)"
 _DEPARTURES = """, r AS (SELECT *, value >= 20 AS present, row_number() OVER (PARTITION BY ep ORDER BY frame_index) - row_number() OVER (PARTITION BY ep, value >= 20 ORDER BY frame_index) AS g FROM {0}),
@@ -134,3 +143,7 @@ ORACLE_SQL = {
         SELECT event_id, string_agg(need, ',' ORDER BY need) AS missing FROM frames f JOIN needs ON step = f.event_type LEFT JOIN firsts x ON x.episode_id = f.episode_id AND x.event_type = need WHERE first IS NULL OR first > frame_index GROUP BY event_id""",
     ),
 }
+
+ORACLE_SQL["prerequisite_status"] = f"""WITH o AS ({ORACLE_SQL["prerequisite_order"]}), {sql("frames", body="").removeprefix("WITH ")},
+    p AS (SELECT *, coalesce(pts_us - lag(pts_us) OVER (PARTITION BY episode_id ORDER BY frame_index) > {GAP_US}, false) AS pause FROM frames),
+    g AS (SELECT event_id, bool_or(pause) OVER (PARTITION BY episode_id ORDER BY frame_index) AS gap FROM p) SELECT event_id, missing, CASE WHEN gap THEN 'uncertain' ELSE 'wrong_order' END AS status FROM o JOIN g USING (event_id)"""

@@ -1,4 +1,4 @@
-"""Recorded tables as streams: released by their clocks, file by file, and run to their end."""
+"""Recorded tables as streams: released by their clocks, part by part, and run to their end."""
 
 from __future__ import annotations
 
@@ -13,23 +13,26 @@ from tempora.streaming.automata import ROCKSDB
 STATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
-def replayed(rows: DataFrame, clock: str, cuts: list[int], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def replayed(rows: DataFrame, key: str, clock: str, cuts: list[int], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes rows in parts of rising clock, streams them a part at a time through build, and returns what came out.
 
-    Each micro-batch writes its own folder, again the same one if it is run again, so nothing is lost or doubled.
+    A part is as many files as there are shuffle partitions, dealt by key, so a key's rows come in order from part to part. What a
+    key has in one micro-batch is sorted together by whoever needs an order: more cuts make that less. Each micro-batch writes
+    its own folder, again the same one if it is run again, so nothing is lost or doubled.
     """
     spark = rows.sparkSession
     source, checkpoint, out = (new_path(spark, f"replay-{x}") for x in ("source", "state", "out"))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows
         part = part.where(F.col(clock) >= low) if low is not None else part
         part = part.where(F.col(clock) < high) if high is not None else part
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.repartition(files, key).sortWithinPartitions(key, clock).write.mode("append").parquet(source)
     before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
     for k, v in STATE_SETTINGS.items():
         spark.conf.set(k, v)
     try:
-        built = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        built = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source))
         written = built.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         written.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch-{k}")).trigger(availableNow=True).start().awaitTermination()
     finally:

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from tempora.operators import integrity
 
 
@@ -36,3 +39,24 @@ def test_candidates_are_no_cross_join(spark):
     assert "band" not in plan and plan.count("Join") == 1
     assert integrity.near_hashes(a, b.limit(0), 20).count() == 0
     assert integrity.near_links(a, b.limit(0), 20).where("links = 0").count() == 90
+
+
+def test_splits_and_nearest_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [("abc"[i % 3], i, int(h)) for i, h in enumerate(rng.integers(0, 1 << 10, 90))]
+    df = spark.createDataFrame(rows, "split string, id long, hash long")
+    got = {r["id"]: (r["class_id"], r["links"]) for r in integrity.split_links(df, 2).collect()}
+    assert got == {i: (min(j for t, j, g in rows if t == s and g == h), sum(t != s and (g ^ h).bit_count() <= 2 for t, j, g in rows)) for s, i, h in rows}
+    best = sorted(((h ^ g).bit_count(), i, j) for s, i, h in rows if s == "a" for t, j, g in rows if t != "a")[:20]
+    assert [(r["distance"], r["left_id"], r["right_id"]) for r in integrity.nearest_pairs(df.where("split = 'a'"), df.where("split <> 'a'"), 20).collect()] == best
+
+
+def test_ingest_names_what_is_wrong(spark):
+    columns = "episode_id string, split string, split_group string, video string, video_sha256 string"
+    row = lambda i, video="a..b/c.mp4", sha="0" * 64: (i, "train", "g" + i, video, sha)
+    none, good = spark.createDataFrame([], columns), spark.createDataFrame([row("x")], columns)
+    files = spark.createDataFrame([("a..b/c.mp4", "0" * 64)], "video string, sha256 string")
+    assert integrity.ingest(none, good, found=files).count() == 1
+    for bad, found in ((none, None), (spark.createDataFrame([row("x", "a/../b")], columns), None), (spark.createDataFrame([row("x", sha="1" * 64)], columns), files), (spark.createDataFrame([row("x", "other")], columns), files)):
+        with pytest.raises(ValueError):
+            integrity.ingest(none, bad, found=found)

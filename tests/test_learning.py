@@ -1,4 +1,4 @@
-"""Decoders against all paths, matching, scheduling, heads and text."""
+"""Decoders against all paths, matching, heads and text."""
 
 import itertools
 import math
@@ -10,26 +10,36 @@ from pyspark.sql import functions as F
 
 from tempora.functions import text as tx
 from tempora.operators import learning as ln
-from tempora.operators import scheduling
 
-E = np.log(np.array([[0.6, 0.1], [0.3, 0.4], [0.1, 0.5]]))
-A = np.log(np.array([[0.7, 0.3], [0.1, 0.9]]))
-PI = np.log(np.array([0.9, 0.1]))
+def weight(path, e, a, pi):
+    return pi[path[0]] + sum(e[t, s] for t, s in enumerate(path)) + sum(a[x, y] for x, y in itertools.pairwise(path))
 
 
-def weight(path):
-    return PI[path[0]] + sum(E[t, s] for t, s in enumerate(path)) + sum(A[a, b] for a, b in itertools.pairwise(path))
+@pytest.mark.parametrize("seed", range(8))
+def test_hmm_equals_all_paths(seed):
+    rng = np.random.default_rng(seed)
+    n, k = rng.integers(1, 6), rng.integers(2, 4)
+    e, a, pi = rng.normal(size=(n, k)), np.log(rng.dirichlet(np.ones(k), k)), np.log(rng.dirichlet(np.ones(k)))
+    if seed % 2:
+        a[0, 1] = -np.inf  # a step that can't be taken
+    paths = list(itertools.product(range(k), repeat=int(n)))
+    w = np.exp([weight(p, e, a, pi) for p in paths])
+    best, score = ln.viterbi(e, a, pi)
+    assert tuple(best) == paths[int(w.argmax())] and math.isclose(score, math.log(w.max()))
+    marginal = np.array([[w[[p[t] == s for p in paths]].sum() for s in range(k)] for t in range(n)]) / w.sum()
+    assert np.allclose(ln.smoothed(e, a, pi), marginal)
+    assert np.allclose(np.exp(ln.forward(e, a, pi))[-1], marginal[-1])
+    assert np.allclose(ln.forward(e[:-1], a, pi), ln.forward(e, a, pi)[:-1])  # what comes later changes nothing
 
 
-def test_hmm_equals_all_paths():
-    paths = list(itertools.product(range(2), repeat=3))
-    w = np.exp([weight(p) for p in paths])
-    best, score = ln.viterbi(E, A, PI)
-    assert tuple(best) == paths[int(w.argmax())] and math.isclose(score, math.log(w.max()))
-    marginal = np.array([[w[[p[t] == s for p in paths]].sum() for s in range(2)] for t in range(3)]) / w.sum()
-    assert np.allclose(ln.smoothed(E, A, PI), marginal)
-    assert np.allclose(np.exp(ln.forward(E, A, PI))[-1], marginal[-1])
-    assert np.allclose(ln.forward(E[:2], A, PI), ln.forward(E, A, PI)[:2])  # what comes later changes nothing
+@pytest.mark.parametrize("decode", [ln.forward, ln.smoothed, ln.viterbi, lambda e, a, pi: ln.segment_viterbi(e, a, pi, np.zeros((2, 3)))])
+def test_faulty_scores_and_no_path_raise(decode):
+    a, pi = np.full((2, 2), -0.7), np.full(2, -0.7)
+    for bad in (np.nan, np.inf):
+        with pytest.raises(ValueError, match="below infinity"):
+            decode(np.array([[0.0, bad], [0.0, 0.0]]), a, pi)
+    with pytest.raises(ValueError, match="path"):
+        decode(np.array([[0.0, 0.0], [-np.inf, -np.inf], [0.0, 0.0]]), a, pi)
 
 
 def test_segments_equal_all_segmentations():
@@ -53,36 +63,50 @@ def test_segments_equal_all_segmentations():
 def test_matching_is_the_best_one():
     rng = np.random.default_rng(1)
     for _ in range(60):
-        r = sorted((int(t), f"r{i}") for i, t in enumerate(rng.integers(0, 30, 4)))
-        c = sorted((int(t), f"c{i}") for i, t in enumerate(rng.integers(0, 30, 4)))
+        r = sorted((int(t), f"r{i}") for i, t in enumerate(rng.integers(0, 20, 4)))
+        c = sorted((int(t), f"c{i}") for i, t in enumerate(rng.integers(0, 20, 4)))
         times = dict((b, a) for a, b in r + c)
-        best = (0, 0)
+        order = lambda n, xs: [y for y in itertools.permutations(xs, n) if list(y) == sorted(y)]
+        best = (0, 0, [])
         for n in range(5):
-            for x in itertools.combinations(r, n):
-                for y in itertools.permutations(c, n):
-                    gaps = [abs(a[0] - b[0]) for a, b in zip(x, y)]
-                    if all(g <= 5 for g in gaps):
-                        best = min(best, (-n, sum(gaps)))
+            for x, y in itertools.product(order(n, r), order(n, c)):  # pairs that don't cross
+                gaps = [abs(a[0] - b[0]) for a, b in zip(x, y)]
+                if all(g <= 5 for g in gaps):
+                    best = min(best, (-n, sum(gaps), [(a[1], b[1]) for a, b in zip(x, y)]))
         pairs = ln.matched_events(r, c, 5)
-        assert (-len(pairs), sum(abs(times[a] - times[b]) for a, b in pairs)) == best
+        assert (-len(pairs), sum(abs(times[a] - times[b]) for a, b in pairs), pairs) == best
 
 
-def test_segment_scores():
-    spans = ([0, 10, 20], [10, 20, 30])
-    pred, truth = [0, -1, 0], [0, 0, 0]
-    got = ln.segment_scores(ln.label_segments(pred, [True] * 3, *spans), ln.label_segments(truth, [True] * 3, *spans), 0.3)
-    assert (got["tp"], got["fp"], got["fn"]) == (1, 1, 0) and math.isclose(got["f1"], 2 / 3)
-    valid = [True, False, True]
-    assert ln.segment_scores(ln.label_segments(pred, valid, *spans), ln.label_segments(truth, valid, *spans), 0.3)["f1"] == 1
+def test_matching_takes_no_table():
+    rows = [(i * 2, f"{i:05}") for i in range(1500)]
+    assert ln.matched_events(rows, rows, 1) == [(i, i) for _, i in rows]
 
 
-def test_scheduler_admission_and_deadlines():
-    job = lambda i, at, must, size, service=100, budget=1000: {"job_id": i, "offered_us": at, "mandatory": must, "input_bytes": size, "service_us": service, "budget_us": budget}
-    jobs = [job(1, 0, True, 100), job(2, 1, False, 100), job(3, 2, True, 100), job(4, 3, True, 100), job(5, 4, True, 601)]
-    got = {o["job_id"]: (o["status"], o["reason"]) for o in scheduling.outcomes(jobs, 2, 600)}
-    assert got == {1: ("completed", None), 2: ("dropped", "evicted"), 3: ("completed", None), 4: ("dropped", "admission_bound"), 5: ("dropped", "admission_bound")}
-    slow = [job(1, 0, True, 1, service=5000, budget=1000), job(2, 1, True, 1, budget=500)]
-    assert {o["job_id"]: o["status"] for o in scheduling.outcomes(slow, 4, 600)} == {1: "timeout", 2: "expired"}
+def test_segment_scores():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        labels = [rng.integers(-1, 3, 12).tolist() for _ in range(2)]
+        valid, cuts = (rng.random(12) < 0.8).tolist(), np.cumsum(rng.integers(1, 9, 13)).tolist()
+        spans = [ln.label_segments(x, valid, cuts[:-1], cuts[1:]) for x in labels]
+        for x, own in zip(labels, spans):
+            cells = [(a, b, k) for a, b, k, ok in zip(cuts, cuts[1:], x, valid) if ok and k >= 0]
+            assert sum(b - a for a, b, _ in own) == sum(b - a for a, b, _ in cells) and all(a[1] < b[0] or a[2] != b[2] for a, b in itertools.pairwise(own))
+        free, tp = list(spans[1]), 0
+        for a, b, k in spans[0]:
+            iou = lambda s: max(0, min(b, s[1]) - max(a, s[0])) / (max(b, s[1]) - min(a, s[0]) if min(b, s[1]) > max(a, s[0]) else 1)  # noqa: B023, E731
+            of_label = sorted((s for s in free if s[2] == k), key=lambda s: -iou(s))
+            if of_label and iou(of_label[0]) >= 0.4:
+                free.remove(of_label[0])
+                tp += 1
+        got = ln.segment_scores(*spans, 0.4)
+        assert (got["tp"], got["fp"], got["fn"]) == (tp, len(spans[0]) - tp, len(spans[1]) - tp)
+
+
+def test_class_weights_and_scales(spark):
+    rows = spark.createDataFrame([(0, [1.0, 5.0]), (0, [3.0, 5.0]), (0, [5.0, 5.0]), (1, [7.0, 5.0]), (None, [0.0, 5.0])], "y int, v array<double>")
+    assert {r["y"]: r["weight"] for r in ln.class_weights(rows, "y").collect()} == {0: 4 / 6, 1: 4 / 2}
+    scales = {r["place"]: (r["mean"], r["scale"]) for r in ln.feature_scales(rows, "v").collect()}
+    assert scales[1] == (5.0, 0.01) and math.isclose(scales[0][1], np.std([1, 3, 5, 7, 0]))
 
 
 def test_ridge_equals_the_closed_form(spark):
@@ -123,5 +147,5 @@ def test_stream_is_the_batch_however_it_is_cut(spark, sf):
     from tempora.streaming import automata, replay
 
     f = views.frames(spark, sf).select("episode_id", "frame_index", "pts_us", (F.col("value") >= 20).alias("x"))
-    run = lambda cuts: sorted(map(tuple, replay.replayed(f, "pts_us", cuts, lambda s: automata.apply(s, automata.Departures(3, 3, None))).collect()))
+    run = lambda cuts: sorted(map(tuple, replay.replayed(f, "episode_id", "pts_us", cuts, lambda s: automata.apply(s, automata.Departures(3, 3, None))).collect()))
     assert run([]) == run([10**11, 10**12, 2 * 10**12])
