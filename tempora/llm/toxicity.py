@@ -10,8 +10,9 @@ every whole text.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,9 +65,9 @@ def bare(chunk: str) -> str:
     return word.group().lower() if word else ""
 
 
-def words_of(chunk: str) -> list[str]:
-    """All words of a chunk, in lower case."""
-    return [w.lower() for w in _WORD.findall(chunk)]
+def words_of(text: str) -> set[str]:
+    """All words of a text, in lower case."""
+    return {w.lower() for w in set(_WORD.findall(text))}
 
 
 def terms(word: str) -> list[str]:
@@ -79,11 +80,12 @@ class Scanner:
 
     def __init__(self, lexicon: dict[str, float], cached: int = CACHE_BYTES):
         self.lexicon = lexicon
+        self.stems = {t[: min(STEM_LENGTHS)] for t in lexicon if t.endswith("*")}
         self.codes = Generations(lambda chunks: [self.word_codes(c) for c in chunks], cached)
 
     def found(self, word: str) -> tuple[int, float]:
         kind, weight = 0, 0.0
-        for term in terms(word):
+        for term in terms(word) if word[: min(STEM_LENGTHS)] in self.stems else (word,):
             if (w := self.lexicon.get(term)) is not None:
                 kind |= STEM if term.endswith("*") else LEXICON
                 weight = max(weight, w)
@@ -108,6 +110,12 @@ class Scanner:
 
     def word_codes(self, chunk: str) -> bytes:
         """The codes of all words of a chunk, as 16-bit numbers; one for a chunk without words. What only shows in the whole chunk or piece is in the code of its first word."""
+        inner = chunk.strip(_STRIP)
+        if inner.isalpha() and not _RUN.search(inner):  # one word, which most chunks are: nothing is disguised
+            word = inner.lower()
+            code, weight = self.found(word)
+            code |= (word in SECOND_PERSON and SECOND) | (len(inner) > 2 and inner.isupper() and CAPITALS)
+            return (code | min(15, round(weight)) << WEIGHT_SHIFT).to_bytes(2, sys.byteorder)
         pieces = [p for p in _PIECE.findall(chunk) if _WORD.search(p)]
         codes = [self.code(w) for p in pieces for w in (p, *_WORD.findall(p)[1:])] if len(pieces) > 1 else [0, *map(self.code, _WORD.findall(chunk)[1:])]
         whole, flags = self.code(chunk), (1 << WEIGHT_SHIFT) - 1
@@ -251,14 +259,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
     rows = stage(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found: defaultdict[tuple[int, int], Counter] = defaultdict(Counter)
         for batch in batches:
             for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 fold = zlib.crc32(b"fold-%d" % doc_id) % FOLDS
-                own = {t for w in {w for c in set(text.split()) for w in words_of(c)} for t in terms(w)}
-                found.update([(t, fold, toxic) for t in own])
-                found[("", fold, toxic)] += 1
-        columns = list(zip(*[(t, f, y, n) for (t, f, y), n in found.items()], strict=True)) or [()] * 4
+                own = {t for w in words_of(text) for t in terms(w)}
+                found[fold, toxic].update(own)
+                found[fold, toxic][""] += 1
+        columns = list(zip(*[(t, f, y, n) for (f, y), terms_of in found.items() for t, n in terms_of.items()], strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["term", "fold", "toxic", "n"])
 
     counts = rows.mapInArrow(count, "term string, fold int, toxic int, n long").groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n"))
