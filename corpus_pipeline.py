@@ -15,8 +15,8 @@ from tempora.llm.common import documents, stage
 TOXIC_SCORE = 0.5
 #: Executors still hold what the stages before have touched, so packing caches less than it does alone.
 CACHE_BYTES = 16 << 20
-#: Near copies differ by some words, each of which changes as many shingles as a shingle has words: shorter shingles and a wider radius than op6's link more of them.
-SHINGLE_WORDS, RADIUS = 2, 5
+#: Near copies differ by some words, each of which changes as many shingles as a shingle has words: shorter shingles and a wider radius than op6's link more of them. What is linked is then compared.
+SHINGLE_WORDS, RADIUS = 2, 6
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one of the smallest doc_id."""
-    return simhash.representatives(docs, RADIUS, SHINGLE_WORDS)
+    """Documents but for those whose five-word shingles have a similarity of 0.8 or more with a linked one's of smaller doc_id."""
+    return simhash.unlike(docs, RADIUS, SHINGLE_WORDS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -35,6 +36,12 @@ TILE_ROWS = 64
 BUCKET_ROWS = 512
 #: The most rows of a bucket that meet each other in one task.
 TASK_ROWS = 1 << 16
+#: Links that nearest() gathers before it keeps the nearest only.
+HELD_LINKS = 1 << 18
+#: Linked documents that an unsettled document is compared with in every round after its nearest one.
+LINKS_A_ROUND = 16
+#: Near copies share this much of their sets of shingles of so many words.
+SIMILARITY, SIMILAR_WORDS = 0.8, 5
 #: Rows that a task gathers, to the end of a bucket, before it compares.
 HELD_ROWS = 1 << 17
 
@@ -145,58 +152,104 @@ def compare(prints: np.ndarray, roots: np.ndarray, left: range, right: range, ra
     return compared, skipped
 
 
-def stars(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Links found inside buckets, as fingerprints and fingerprints that they are joined with, and how many tile pairs were compared and skipped.
+def buckets(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray) -> Iterator[tuple[np.ndarray, range, range]]:
+    """The rows of each bucket in order of population count, and which places of them meet which.
 
     Rows of side 0 meet each other, or those of side 1 where a bucket has any: these parts of a bucket meet themselves elsewhere.
     """
     order = np.lexsort((np.bitwise_count(prints), side, bucket))
-    bucket, side, prints = bucket[order], side[order], prints[order]
-    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    starts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1]])
+    for rows in np.split(order, starts[1:]):
+        cut = int(np.searchsorted(side[rows], 1))
+        yield rows, range(cut), range(cut, len(rows)) if cut < len(rows) else range(cut)
+
+
+def stars(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Links found inside buckets, as fingerprints and fingerprints that they are joined with, and how many tile pairs were compared and skipped."""
     us, vs, total = [prints[:0]], [prints[:0]], np.zeros(2, np.int64)
-    for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True):
-        own, roots = prints[start:stop], np.arange(stop - start)
-        cut = int(np.searchsorted(side[start:stop], 1))
-        total += compare(own, roots, range(cut), range(cut, len(own)) if cut < len(own) else range(cut), radius)
+    for rows, left, right in buckets(bucket, side, prints):
+        own, roots = prints[rows], np.arange(len(rows))
+        total += compare(own, roots, left, right, radius)
         linked = np.flatnonzero(roots != np.arange(len(own)))
         us.append(own[linked]), vs.append(own[roots[linked]])
     return np.concatenate(us), np.concatenate(vs), *total.tolist()
 
 
-def tiled(prints: DataFrame, radius: int = RADIUS, rows: int | None = None) -> DataFrame:
-    """u, v: links that join exactly the fingerprints that links within the radius join; and rows without u and v, with the tile pairs compared and skipped."""
+def nearest(prints: np.ndarray, ids: np.ndarray, after: tuple[np.ndarray, np.ndarray], left: range, right: range, radius: int, most: int) -> np.ndarray:
+    """For each row its `most` nearest linked rows of smaller id, of equally near ones those of smallest id, that come after (bits, id): columns gone, bits, kept.
+
+    left and right are as in compare().
+    """
+    counts = np.bitwise_count(prints).astype(int)
+    found = [np.zeros((0, 3), np.int64)]
+
+    def least() -> np.ndarray:
+        links = np.concatenate(found)
+        links = links[np.lexsort((links[:, 2], links[:, 1], links[:, 0]))]
+        first = np.flatnonzero(np.r_[True, links[1:, 0] != links[:-1, 0]]) if len(links) else np.zeros(0, int)
+        return links[np.arange(len(links)) - np.repeat(first, np.diff(np.r_[first, len(links)])) < most]
+
+    for i in range(left.start, left.stop, TILE_ROWS):
+        a = slice(i, min(i + TILE_ROWS, left.stop))
+        for j in range(i if left == right else right.start, right.stop, TILE_ROWS):
+            b = slice(j, min(j + TILE_ROWS, right.stop))
+            if counts[j] - counts[a.stop - 1] > radius or counts[i] - counts[b.stop - 1] > radius:
+                continue
+            apart = np.bitwise_count(prints[a][:, None] ^ prints[b][None, :])
+            x, y = np.nonzero(apart <= radius)
+            bits, x, y = apart[x, y].astype(np.int64), x + i, y + j
+            gone, kept = np.where(ids[x] > ids[y], x, y), np.where(ids[x] > ids[y], y, x)
+            new = (ids[gone] > ids[kept]) & ((bits > after[0][gone]) | (bits == after[0][gone]) & (ids[kept] > after[1][gone]))
+            if i == j:
+                new &= x < y
+            if new.any():
+                found.append(np.stack([ids[gone[new]], bits[new], ids[kept[new]]], 1))
+        if sum(map(len, found)) > HELD_LINKS:
+            found = [least()]
+    return least()
+
+
+def tasks(prints: DataFrame, radius: int, rows: int | None = None) -> DataFrame:
+    """The rows of prints, dealt and sorted by the tasks (parts of buckets) in which they meet others, with their side there."""
     masks = bucket_masks(prints.count() if rows is None else rows, radius)
     signed = [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
-    keyed = prints.select("fingerprint", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])).alias("key"))
-    keyed = keyed.select("fingerprint", F.xxhash64("key.choice", "key.bits").alias("key"))
+    keyed = prints.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])).alias("key"))
+    keyed = keyed.select(*prints.columns, F.xxhash64("key.choice", "key.bits").alias("key"))
     # A bucket of few rows is one part. Parts i and j of a larger one meet as task (i, j): part i on side 0 and, if j > i, part j on side 1.
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_ROWS)
     dealt = keyed.join(F.broadcast(sizes), "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TASK_ROWS), F.lit(1)).cast("long"))  # at most a bucket for TASK_ROWS rows
     part = F.pmod(F.xxhash64("fingerprint"), F.col("parts"))
     own = F.transform(F.sequence(part, F.col("parts") - 1), lambda j: F.struct(part.alias("i"), j.alias("j"), F.lit(0).alias("side")))
     others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), part), lambda i: i < part), lambda i: F.struct(i.alias("i"), part.alias("j"), F.lit(1).alias("side")))
-    tasks = dealt.withColumn("task", F.explode(F.concat(own, others))).select(F.xxhash64("key", "task.i", "task.j").alias("task"), "task.side", "fingerprint")
+    met = dealt.withColumn("task", F.explode(F.concat(own, others))).select(F.xxhash64("key", "task.i", "task.j").alias("task"), "task.side", *prints.columns)
+    return met.repartition("task").sortWithinPartitions("task")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush(upto: int | None = None) -> pa.RecordBatch:
-            task, side, own = (np.concatenate(c) for c in zip(*held, strict=True))
-            cut = len(task) if upto is None else int(np.searchsorted(task, upto))  # rows of the last bucket may go on in the next batch
-            held[:] = [(task[cut:], side[cut:], own[cut:])]
-            u, v, compared, skipped = stars(task[:cut], side[:cut], own[:cut].view(np.uint64), radius) if cut else (np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0, 0)
-            none = [None] * len(u)
-            return pa.RecordBatch.from_arrays([pa.array([*x.view(np.int64).tolist(), None], pa.int64()) for x in (u, v)] + [pa.array([*none, n], pa.int64()) for n in (compared, skipped)], ["u", "v", "compared", "skipped"])
+def whole_tasks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
+    """The columns (the first is the sorted task) of about HELD_ROWS rows at a time, with all rows of their tasks."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(c).to_numpy() for c in columns])
+            if sum(len(h[0]) for h in held) >= HELD_ROWS and held[-1][0][-1] != held[0][0][0]:
+                whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+                cut = int(np.searchsorted(whole[0], whole[0][-1]))  # rows of the last task may go on in the next batch
+                held = [[c[cut:] for c in whole]]
+                yield [c[:cut] for c in whole]
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column("task").to_numpy(), batch.column("side").to_numpy(), batch.column("fingerprint").to_numpy()))
-                if sum(len(h[0]) for h in held) >= HELD_ROWS and held[-1][0][-1] != held[0][0][0]:
-                    yield flush(int(held[-1][0][-1]))
-        if held:
-            yield flush()
 
-    return tasks.repartition("task").sortWithinPartitions("task").mapInArrow(run, "u long, v long, compared long, skipped long")
+def tiled(prints: DataFrame, radius: int = RADIUS, rows: int | None = None) -> DataFrame:
+    """u, v: links that join exactly the fingerprints that links within the radius join; and rows without u and v, with the tile pairs compared and skipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, side, own in whole_tasks(batches, ["task", "side", "fingerprint"]):
+            u, v, compared, skipped = stars(task, side, own.view(np.uint64), radius)
+            none = [None] * len(u)
+            yield pa.RecordBatch.from_arrays([pa.array([*x.view(np.int64).tolist(), None], pa.int64()) for x in (u, v)] + [pa.array([*none, n], pa.int64()) for n in (compared, skipped)], ["u", "v", "compared", "skipped"])
+
+    return tasks(prints.select("fingerprint"), radius, rows).mapInArrow(run, "u long, v long, compared long, skipped long")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, rows: int | None = None) -> DataFrame:
@@ -265,6 +318,67 @@ def representatives(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     return lacking(docs, stage(rows, "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
 
 
+def nearest_links(prints: DataFrame, radius: int, most: int) -> DataFrame:
+    """gone, bits, kept: the links of nearest() of each id. prints has fingerprint, id, after_bits and after_id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, side, own, ids, bits, after in whole_tasks(batches, ["task", "side", "fingerprint", "id", "after_bits", "after_id"]):
+            own = own.view(np.uint64)
+            found = np.concatenate([nearest(own[r], ids[r], (bits[r], after[r]), left, right, radius, most) for r, left, right in buckets(task, side, own)])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["gone", "bits", "kept"])
+
+    found = tasks(prints, radius).mapInArrow(run, "gone long, bits long, kept long").distinct()  # a link is found in each bucket that it has
+    return found.withColumn("place", F.row_number().over(W.partitionBy("gone").orderBy("bits", "kept"))).where(F.col("place") <= most).drop("place")
+
+
+def compared(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """pairs (staged: gone, bits, kept) and whether the texts are alike; an id of several texts is if all of them are."""
+    ids = stage(pairs.select(F.explode(F.array("gone", "kept")).alias("doc_id")).distinct(), "linked-ids")
+    texts = stage(identified(docs).join(bounded(ids), "doc_id"), "linked-texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("gone"), F.col("text").alias("a")), "gone").join(texts.select(F.col("doc_id").alias("kept"), F.col("text").alias("b")), "kept").select("gone", "bits", "kept", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            alike = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                one, other = (np.unique(np.array(hashes(t.as_py(), words), np.uint64)) for t in (a, b))
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                alike.append(shared >= similarity * (len(one) + len(other) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("gone", "bits", "kept")] + [pa.array(alike, pa.bool_())], ["gone", "bits", "kept", "alike"])
+
+    return both.mapInArrow(run, "gone long, bits long, kept long, alike boolean").groupBy("gone", "bits", "kept").agg(F.bool_and("alike").alias("alike"))
+
+
+def unlike(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, similar_words: int = SIMILAR_WORDS) -> DataFrame:
+    """The rows, with all their columns, that aren't near copies of a row of smaller doc_id.
+
+    Fingerprints say which documents are compared at all: a document with the first (of smallest doc_id) of its own fingerprint,
+    and the first of each fingerprint with the first of every linked one, if that has a smaller doc_id. A document goes if the sets
+    of shingles of one such pair have a similarity of `similarity` or more. Each is compared with its nearest one, then with more
+    of them by nearness, round after round, until one is alike or none is left.
+
+    Texts without words are alike. Rows without a doc_id stay, and rows that repeat a doc_id stay or go together. Very long texts
+    are compared whole. Columns may have any name. An empty table gives no row.
+    """
+    rows = stage(fingerprint(docs, words).where("doc_id is not null"), "fingerprints")
+    prints = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "prints")
+    own = joined_by_key(rows, prints, "fingerprint", "n").where("doc_id != id").select(F.col("doc_id").alias("gone"), F.lit(0).cast("long").alias("bits"), F.col("id").alias("kept")).distinct()
+    after = lambda bits, i: (bits.cast("long").alias("after_bits"), i.cast("long").alias("after_id"))
+    most, gone = 1, None
+    pairs = own.unionByName(nearest_links(prints.select("fingerprint", "id", *after(F.lit(0), F.lit(0))), radius, most))
+    while True:
+        found = stage(compared(stage(pairs, "pairs"), docs, similarity, similar_words), "compared")
+        alike = found.where("alike").select("gone")
+        gone = alike if gone is None else gone.unionByName(alike)
+        seen = found.where("bits > 0").groupBy("gone").agg(F.bool_or("alike").alias("alike"), F.count(F.lit(1)).alias("n"), F.max(F.struct("bits", "kept")).alias("last"))
+        unsettled = stage(seen.where(~F.col("alike") & (F.col("n") >= most)).select(F.col("gone").alias("id"), "last"), "unsettled")
+        if not unsettled.take(1):
+            return lacking(docs, stage(gone.distinct(), "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
+        most = LINKS_A_ROUND
+        still = prints.join(bounded(unsettled), "id", "left").select("fingerprint", "id", *after(F.coalesce("last.bits", F.lit(BITS)), F.coalesce("last.kept", F.lit(0))))
+        pairs = nearest_links(still, radius, most)
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")

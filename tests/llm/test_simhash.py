@@ -26,6 +26,55 @@ def slow_components(ids, prints, radius=3):
         roots = new
 
 
+def slow_shingles(text, n=5):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
+
+
+def slow_copies(ids, texts, radius, words):
+    """Ids of documents that are alike the first of their fingerprint, or, being it, a linked first one of smaller id."""
+    prints = {i: slow_fingerprint(texts[i], words) for i in ids}
+    firsts = {}
+    for i in sorted(ids):
+        firsts.setdefault(prints[i], i)
+    gone = set()
+    for i in ids:
+        others = [firsts[prints[i]]] if firsts[prints[i]] != i else [k for p, k in firsts.items() if k < i and (p ^ prints[i]).bit_count() <= radius]
+        own = slow_shingles(texts[i])
+        if any(len(own & s) >= 0.8 * len(own | s) for s in (slow_shingles(texts[k]) for k in others)):
+            gone.add(i)
+    return gone
+
+
+def test_near_copies_are_compared(spark, monkeypatch):
+    """Dense groups in which many links are no near copies, over several rounds and parts of buckets."""
+    rng = random.Random(4)
+    texts = {}
+    for base in range(6):
+        words = [f"w{rng.randrange(9000)}" for _ in range(80)]
+        for _ in range(30):
+            own = list(words)
+            for _ in range(rng.choice([0, 1, 2, 5, 9])):
+                own[rng.randrange(80)] = f"x{rng.randrange(9000)}"
+            texts[rng.randrange(1 << 40)] = " ".join(own)
+    texts |= {1: "", 2: " ", 3: "Same Words here", 4: "same words HERE"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = set(texts) - slow_copies(list(texts), texts, 16, 1)
+    assert 12 < len(want) < 170
+    monkeypatch.setattr(simhash, "LINKS_A_ROUND", 3)
+    for rows, held in ((1 << 16, 1 << 18), (40, 5)):
+        monkeypatch.setattr(simhash, "TASK_ROWS", rows)
+        monkeypatch.setattr(simhash, "HELD_LINKS", held)
+        assert {r["doc_id"] for r in simhash.unlike(docs, 16, 1).collect()} == want
+
+
+def test_odd_rows_are_compared(odd, nothing):
+    assert simhash.unlike(nothing).count() == 0
+    rows = simhash.unlike(odd)
+    assert rows.columns == odd.columns
+    assert sorted([r["doc_id"] for r in rows.collect()], key=str) == [1, 1, 2, 5, 6, 7, 8, None, None]
+
+
 def test_fingerprints_of_odd_texts():
     texts = [t or "" for _, t, _ in ODD] + ["one", "one two", "one two three", "A b C d", "a b c d"]
     assert simhash.fingerprints(texts).tolist() == [slow_fingerprint(t) for t in texts]
