@@ -31,6 +31,8 @@ FOLDS = 5
 HELD_OUT_MODULUS = 5
 #: Bytes of a generation of the cache of chunks' codes, of which two are held.
 CACHE_BYTES = 16 << 20
+#: Counts of terms that a task gathers before it passes them on; they are summed up afterwards.
+HELD_TERMS = 100_000
 #: The most terms in a lexicon: weaker ones than these are left out, so the model that goes to every task has a bounded size.
 LEXICON_TERMS = 4_000
 STEM_LENGTHS = (4, 5, 6)
@@ -260,14 +262,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: defaultdict[tuple[int, int], Counter] = defaultdict(Counter)
+
+        def counted() -> pa.RecordBatch:
+            columns = list(zip(*[(t, f, y, n) for (f, y), terms_of in found.items() for t, n in terms_of.items()], strict=True)) or [()] * 4
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["term", "fold", "toxic", "n"])
+
         for batch in batches:
             for doc_id, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True):
                 fold = zlib.crc32(b"fold-%d" % doc_id) % FOLDS
                 own = {t for w in words_of(text) for t in terms(w)}
                 found[fold, toxic].update(own)
                 found[fold, toxic][""] += 1
-        columns = list(zip(*[(t, f, y, n) for (f, y), terms_of in found.items() for t, n in terms_of.items()], strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()), strict=True)], ["term", "fold", "toxic", "n"])
+                if sum(map(len, found.values())) >= HELD_TERMS:
+                    yield counted()
+        yield counted()
 
     counts = rows.mapInArrow(count, "term string, fold int, toxic int, n long").groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n"))
     toxic_total = F.sum(F.when(F.col("toxic") == 1, F.col("n"))).over(_by_term())
