@@ -38,8 +38,11 @@ BUCKET_ROWS = 512
 TASK_ROWS = 1 << 16
 #: Links that nearest() gathers before it keeps the nearest only.
 HELD_LINKS = 1 << 18
-#: Linked documents that an unsettled document is compared with in every round after its nearest one.
-LINKS_A_ROUND = 16
+#: Linked documents that an unsettled document is compared with in the round after its nearest one; four times as many in each further round, up to the second number.
+LINKS_A_ROUND, MOST_A_ROUND = 16, 256
+#: Words of 64 bits of the sketch that tells unlike texts apart before they are read.
+SKETCH_WORDS = 8
+SKETCH = ["size", *[f"s{i}" for i in range(SKETCH_WORDS)]]
 #: Near copies share this much of their sets of shingles of so many words.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
 #: Rows that a task gathers, to the end of a bucket, before it compares.
@@ -81,6 +84,40 @@ def fingerprints(texts: list[str], words: int = SHINGLE_WORDS) -> np.ndarray:
     return out
 
 
+def sketches(texts: list[str], words: int) -> np.ndarray:
+    """For each text the number of its different shingles, and a bit for each remainder of their hashes: whether an odd number of them has it.
+
+    Where two sketches differ in a bit, some shingle is in one text only, so texts differ in at least as many shingles as their
+    sketches in bits, however long they are.
+    """
+    out = np.zeros((len(texts), 1 + SKETCH_WORDS), np.int64)
+    for row, text in enumerate(texts):
+        own = np.unique(np.array(hashes(text, words), np.uint64))
+        odd = np.bincount((own % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+        out[row, 0], out[row, 1:] = len(own), np.packbits(odd.astype(np.uint8)).view(np.int64)
+    return out
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the texts of these sketches, row by row, can have this similarity; where they have it, always true."""
+    bits = np.bitwise_count(a[:, 1:].view(np.uint64) ^ b[:, 1:].view(np.uint64)).sum(1, dtype=np.int64)
+    apart = np.maximum(bits, np.abs(a[:, 0] - b[:, 0]))
+    return apart * (1 + similarity) <= (a[:, 0] + b[:, 0]) * (1 - similarity) + 1e-6
+
+
+def sketched(docs: DataFrame, words: int, sketch_words: int) -> DataFrame:
+    """doc_id, fingerprint (of shingles of `words` words) and the sketch (of `sketch_words` words) of each row's whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                found = [fingerprints(texts, words).view(np.int64), *sketches(texts, sketch_words).T.copy()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], ["doc_id", "fingerprint", *SKETCH])
+
+    return identified(docs).mapInArrow(run, "doc_id long, fingerprint long, " + ", ".join(f"{c} long" for c in SKETCH))
+
+
 def fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id and fingerprint (the 64 bits as a long) of each row's whole text; a null or empty text has fingerprint 0."""
 
@@ -175,12 +212,13 @@ def stars(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int)
     return np.concatenate(us), np.concatenate(vs), *total.tolist()
 
 
-def nearest(prints: np.ndarray, ids: np.ndarray, after: tuple[np.ndarray, np.ndarray], left: range, right: range, radius: int, most: int) -> np.ndarray:
-    """For each row its `most` nearest linked rows of smaller id, of equally near ones those of smallest id, that come after (bits, id): columns gone, bits, kept.
+def nearest(prints: np.ndarray, ids: np.ndarray, after: tuple[np.ndarray, np.ndarray], sketch: np.ndarray, left: range, right: range, radius: int, most: int, similarity: float) -> np.ndarray:
+    """For each row its `most` nearest linked rows of smaller id, of equally near ones those of smallest id, that come after (bits, id) and may be alike by their sketches: columns gone, bits, kept.
 
-    left and right are as in compare().
+    left and right are as in compare(). Tiles without a row that looks for links are skipped too.
     """
     counts = np.bitwise_count(prints).astype(int)
+    looking = after[0] < BITS
     found = [np.zeros((0, 3), np.int64)]
 
     def least() -> np.ndarray:
@@ -195,6 +233,8 @@ def nearest(prints: np.ndarray, ids: np.ndarray, after: tuple[np.ndarray, np.nda
             b = slice(j, min(j + TILE_ROWS, right.stop))
             if counts[j] - counts[a.stop - 1] > radius or counts[i] - counts[b.stop - 1] > radius:
                 continue
+            if not (looking[a].any() or looking[b].any()):
+                continue
             apart = np.bitwise_count(prints[a][:, None] ^ prints[b][None, :])
             x, y = np.nonzero(apart <= radius)
             bits, x, y = apart[x, y].astype(np.int64), x + i, y + j
@@ -202,8 +242,10 @@ def nearest(prints: np.ndarray, ids: np.ndarray, after: tuple[np.ndarray, np.nda
             new = (ids[gone] > ids[kept]) & ((bits > after[0][gone]) | (bits == after[0][gone]) & (ids[kept] > after[1][gone]))
             if i == j:
                 new &= x < y
-            if new.any():
-                found.append(np.stack([ids[gone[new]], bits[new], ids[kept[new]]], 1))
+            gone, bits, kept = gone[new], bits[new], kept[new]
+            alike = may_be_alike(sketch[gone], sketch[kept], similarity)
+            if alike.any():
+                found.append(np.stack([ids[gone[alike]], bits[alike], ids[kept[alike]]], 1))
         if sum(map(len, found)) > HELD_LINKS:
             found = [least()]
     return least()
@@ -318,13 +360,13 @@ def representatives(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     return lacking(docs, stage(rows, "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
 
 
-def nearest_links(prints: DataFrame, radius: int, most: int) -> DataFrame:
-    """gone, bits, kept: the links of nearest() of each id. prints has fingerprint, id, after_bits and after_id."""
+def nearest_links(prints: DataFrame, radius: int, most: int, similarity: float) -> DataFrame:
+    """gone, bits, kept: the links of nearest() of each id. prints has fingerprint, id, after_bits, after_id and the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, side, own, ids, bits, after in whole_tasks(batches, ["task", "side", "fingerprint", "id", "after_bits", "after_id"]):
-            own = own.view(np.uint64)
-            found = np.concatenate([nearest(own[r], ids[r], (bits[r], after[r]), left, right, radius, most) for r, left, right in buckets(task, side, own)])
+        for task, side, own, ids, bits, after, *sketch in whole_tasks(batches, ["task", "side", "fingerprint", "id", "after_bits", "after_id", *SKETCH]):
+            own, sketch = own.view(np.uint64), np.stack(sketch, 1)
+            found = np.concatenate([nearest(own[r], ids[r], (bits[r], after[r]), sketch[r], left, right, radius, most, similarity) for r, left, right in buckets(task, side, own)])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["gone", "bits", "kept"])
 
     found = tasks(prints, radius).mapInArrow(run, "gone long, bits long, kept long").distinct()  # a link is found in each bucket that it has
@@ -355,17 +397,20 @@ def unlike(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, si
     Fingerprints say which documents are compared at all: a document with the first (of smallest doc_id) of its own fingerprint,
     and the first of each fingerprint with the first of every linked one, if that has a smaller doc_id. A document goes if the sets
     of shingles of one such pair have a similarity of `similarity` or more. Each is compared with its nearest one, then with more
-    of them by nearness, round after round, until one is alike or none is left.
+    of them by nearness, round after round, until one is alike or none is left. A pair whose sketches show that its similarity is
+    less is left out before its texts are read; that loses no pair of this similarity.
 
     Texts without words are alike. Rows without a doc_id stay, and rows that repeat a doc_id stay or go together. Very long texts
     are compared whole. Columns may have any name. An empty table gives no row.
     """
-    rows = stage(fingerprint(docs, words).where("doc_id is not null"), "fingerprints")
-    prints = stage(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "prints")
-    own = joined_by_key(rows, prints, "fingerprint", "n").where("doc_id != id").select(F.col("doc_id").alias("gone"), F.lit(0).cast("long").alias("bits"), F.col("id").alias("kept")).distinct()
+    rows = stage(sketched(docs, words, similar_words).where("doc_id is not null"), "fingerprints")
+    # Of an id's several texts any one's sketch will do, as all of them would have to be alike.
+    firsts = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").alias("id"), *SKETCH)).alias("first"), F.count(F.lit(1)).alias("n"))
+    prints = stage(firsts.select("fingerprint", "first.*", "n"), "prints")
+    own = joined_by_key(rows.select("doc_id", "fingerprint"), prints.select("fingerprint", "id", "n"), "fingerprint", "n").where("doc_id != id").select(F.col("doc_id").alias("gone"), F.lit(0).cast("long").alias("bits"), F.col("id").alias("kept")).distinct()
     after = lambda bits, i: (bits.cast("long").alias("after_bits"), i.cast("long").alias("after_id"))
     most, gone = 1, None
-    pairs = own.unionByName(nearest_links(prints.select("fingerprint", "id", *after(F.lit(0), F.lit(0))), radius, most))
+    pairs = own.unionByName(nearest_links(prints.select("fingerprint", "id", *after(F.lit(0), F.lit(0)), *SKETCH), radius, most, similarity))
     while True:
         found = stage(compared(stage(pairs, "pairs"), docs, similarity, similar_words), "compared")
         alike = found.where("alike").select("gone")
@@ -374,9 +419,9 @@ def unlike(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, si
         unsettled = stage(seen.where(~F.col("alike") & (F.col("n") >= most)).select(F.col("gone").alias("id"), "last"), "unsettled")
         if not unsettled.take(1):
             return lacking(docs, stage(gone.distinct(), "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
-        most = LINKS_A_ROUND
-        still = prints.join(bounded(unsettled), "id", "left").select("fingerprint", "id", *after(F.coalesce("last.bits", F.lit(BITS)), F.coalesce("last.kept", F.lit(0))))
-        pairs = nearest_links(still, radius, most)
+        most = LINKS_A_ROUND if most == 1 else max(most, min(4 * most, MOST_A_ROUND))
+        still = prints.join(bounded(unsettled), "id", "left").select("fingerprint", "id", *after(F.coalesce("last.bits", F.lit(BITS)), F.coalesce("last.kept", F.lit(0))), *SKETCH)
+        pairs = nearest_links(still, radius, most, similarity)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,26 @@ def test_near_copies_are_compared(spark, monkeypatch):
         assert {r["doc_id"] for r in simhash.unlike(docs, 16, 1).collect()} == want
 
 
+def test_sketches_lose_no_near_copy():
+    """Whatever pair has the similarity may have it by its sketches, and most other pairs may not."""
+    rng = random.Random(12)
+    texts = [t or "" for _, t, _ in ODD]
+    for n in (3, 30, 300, 900, 5_000):
+        words = [f"w{rng.randrange(n)}" for _ in range(n)]
+        for changed in (0, 1, n // 200, n // 60, n // 20, n):
+            own = list(words)
+            for i in rng.sample(range(n), changed):
+                own[i] = f"x{rng.randrange(n)}"
+            texts.append(" ".join(own))
+    sketches = simhash.sketches(texts, 5)
+    sets = [slow_shingles(t) for t in texts]
+    a, b = (np.array(x) for x in zip(*[(i, j) for i in range(len(texts)) for j in range(i)]))
+    alike = np.array([len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in zip(a, b)])
+    may_be = simhash.may_be_alike(sketches[a], sketches[b], 0.8)
+    assert sketches[:, 0].tolist() == [len(s) for s in sets]
+    assert may_be[alike].all() and alike.sum() > 20 and may_be[~alike].mean() < 0.1
+
+
 def test_odd_rows_are_compared(odd, nothing):
     assert simhash.unlike(nothing).count() == 0
     rows = simhash.unlike(odd)
