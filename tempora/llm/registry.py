@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, exact_dedup, line_dedup, media, packing, pii, sharding, simhash, token_counts, toxicity
+from tempora.llm import bpe, collocations, exact_dedup, line_dedup, media, packing, pii, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_offset_pii": pii.op8,
     "op9_rendezvous_sharding": sharding.op9,
     "op10_template_line_dedup": line_dedup.op10,
+    "op11_suffix_sigma_collocations": collocations.op11,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -25,4 +26,5 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op9_rendezvous_sharding": sharding.ORACLE_SQL,
     "op10_template_line_dedup": line_dedup.ORACLE_SQL,
+    "op11_suffix_sigma_collocations": collocations.ORACLE_SQL,
 }
