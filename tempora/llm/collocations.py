@@ -36,7 +36,7 @@ TOP = 2_000
 #: The language of rows without one.
 UNKNOWN = "und"
 #: Bytes of text that are parsed at a time, and rows that a task adds up before it hands them on.
-PARSED_BYTES, HELD_ROWS = 4 << 20, 1 << 20
+PARSED_BYTES, HELD_ROWS = 2 << 20, 1 << 19
 #: Bits of the bitmap of frequent pairs: sixteen for each, between these.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: A first word is dealt over several tasks from this share of a task's words on.
@@ -115,26 +115,29 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
             yield Words(part.column("text").to_pylist(), part.column("lang").to_pylist())
 
 
-def added_up(tables: Iterator[pa.Table], keys: list[str], held_rows: int = HELD_ROWS) -> Iterator[pa.RecordBatch]:
-    """The tables' rows with n added up for equal keys, as far as a task holds them."""
-    held: list[pa.Table] = []
-    rows = 0
+class Sums:
+    """Tables' rows with n added up for equal keys, as far as a task holds them; what it doesn't hold comes back as batches."""
 
-    def total() -> pa.Table:
-        summed = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum")])
-        return summed.select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+    def __init__(self, keys: list[str], held_rows: int = HELD_ROWS):
+        self.keys, self.held_rows, self.held, self.rows = keys, held_rows, [], 0
 
-    for table in tables:
-        held.append(table)
-        rows += table.num_rows
-        if rows >= held_rows:
-            held = [total()]
-            rows = held[0].num_rows
-            if 2 * rows >= held_rows:
-                yield from held.pop().to_batches()
-                rows = 0
-    if held:
-        yield from total().to_batches()
+    def add(self, table: pa.Table) -> list[pa.RecordBatch]:
+        self.held.append(table)
+        self.rows += table.num_rows
+        if self.rows < self.held_rows:
+            return []
+        total = self._total()
+        if 2 * total.num_rows >= self.held_rows:
+            return total.to_batches()
+        self.held, self.rows = [total], total.num_rows
+        return []
+
+    def rest(self) -> list[pa.RecordBatch]:
+        return self._total().to_batches() if self.held else []
+
+    def _total(self) -> pa.Table:
+        joined, self.held, self.rows = pa.concat_tables(self.held), [], 0
+        return joined.group_by(self.keys, use_threads=False).aggregate([("n", "sum")]).select([*self.keys, "n_sum"]).rename_columns([*self.keys, "n"])
 
 
 def spoken(docs: DataFrame) -> DataFrame:
@@ -146,16 +149,23 @@ def spoken(docs: DataFrame) -> DataFrame:
 def words_and_pairs(texts: DataFrame) -> DataFrame:
     """lang, phrase and n of every word; and pair (a hash) and n of all words that stand side by side."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables() -> Iterator[pa.Table]:
-            for words in parsed(batches):
-                pair, n = np.unique(words.pairs()[1].view(np.int64), return_counts=True)
-                none = pa.nulls(len(pair), pa.string())
-                own = words.counts()
-                yield own.add_column(2, "pair", pa.nulls(own.num_rows, pa.int64()))
-                yield pa.table({"lang": none, "phrase": none, "pair": pair, "n": n.astype(np.int64)})
+    def of_words(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("phrase"), pa.nulls(len(b), pa.int64()), b.column("n")], ["lang", "phrase", "pair", "n"])
 
-        return added_up(tables(), ["lang", "phrase", "pair"])
+    def of_pairs(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in found:
+            none = pa.nulls(len(b), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, b.column("pair"), b.column("n")], ["lang", "phrase", "pair", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, side_by_side = Sums(["lang", "phrase"]), Sums(["pair"])
+        for words in parsed(batches):
+            yield from of_words(own.add(words.counts()))
+            pair, n = np.unique(words.pairs()[1].view(np.int64), return_counts=True)
+            yield from of_pairs(side_by_side.add(pa.table({"pair": pair, "n": n.astype(np.int64)})))
+        yield from of_words(own.rest())
+        yield from of_pairs(side_by_side.rest())
 
     return texts.mapInArrow(run, "lang string, phrase string, pair long, n long")
 
@@ -230,9 +240,16 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
     full = full_words(words, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in added_up((w.suffixes(known, max_words) for w in parsed(batches)), ["lang", "suffix", "first"]):
-            over = [full.get(k, 1) for k in zip(batch.column("lang").to_pylist(), batch.column("first").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(over, pa.int64())], ["lang", "suffix", "first", "n", "over"])
+        sums = Sums(["lang", "suffix", "first"])
+
+        def dealt(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in found:
+                over = [full.get(k, 1) for k in zip(b.column("lang").to_pylist(), b.column("first").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(over, pa.int64())], ["lang", "suffix", "first", "n", "over"])
+
+        for words in parsed(batches):
+            yield from dealt(sums.add(words.suffixes(known, max_words)))
+        yield from dealt(sums.rest())
 
     def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(b.column("lang").to_pylist(), b.column("suffix").to_pylist(), b.column("n").to_pylist(), pc.equal(b.column("over"), 1).to_pylist(), strict=True))
