@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, collocations, exact_dedup, line_dedup, media, packing, pii, sharding, simhash, token_counts, toxicity
+from tempora.llm import bpe, collocations, exact_dedup, line_dedup, media, packing, pii, sharding, simhash, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_rendezvous_sharding": sharding.op9,
     "op10_template_line_dedup": line_dedup.op10,
     "op11_suffix_sigma_collocations": collocations.op11,
+    "op12_hamerly_codes": vector_codes.op12,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,4 +28,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_rendezvous_sharding": sharding.ORACLE_SQL,
     "op10_template_line_dedup": line_dedup.ORACLE_SQL,
     "op11_suffix_sigma_collocations": collocations.ORACLE_SQL,
+    "op12_hamerly_codes": vector_codes.ORACLE_SQL,
 }
