@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tempora.llm import bpe, collocations, exact_dedup, line_dedup, media, packing, pii, sharding, simhash, token_counts, toxicity, vector_codes
+from tempora.llm import bpe, collocations, exact_dedup, line_dedup, media, packing, pii, secret_scan, sharding, simhash, token_counts, toxicity, vector_codes
 
 QUERIES = {
     "op1_bpe_codec": bpe.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_template_line_dedup": line_dedup.op10,
     "op11_suffix_sigma_collocations": collocations.op11,
     "op12_hamerly_codes": vector_codes.op12,
+    "op13_assignment_secrets": secret_scan.op13,
 }
 
 ORACLE_SQL: dict[str, str] = {
