@@ -8,8 +8,8 @@ are counts of phrases as well, and are joined afterwards.
 Of a phrase that is frequent enough all words that stand side by side are frequent pairs. So pairs are counted first, by hash, and
 a suffix ends before the first pair that isn't frequent: what is left out can't be part of a frequent phrase. All tasks know the
 frequent pairs by a bitmap of bounded size, which may let a pair through that the exact counts then leave out. Suffixes are
-added up in their task before they are shuffled. First words of which a language has so many that they would fill a task are
-dealt over several by their whole suffix, and their counts added up.
+added up in their task before they are shuffled. First words that would fill a task are dealt over several by the pair that they
+begin, and pairs that would fill one by their whole suffix; the counts of such pairs are added up over the tasks.
 """
 
 from __future__ import annotations
@@ -48,9 +48,23 @@ _SPACES, _BREAKS, _UPPER = b" \t", b".,;:!?\n\x0b\x0c\r", range(ord("A"), ord("Z
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces; and the byte in lower case.
 _KIND = np.array([1 if b in _SPACES else 2 if b in _BREAKS else 0 for b in range(256)], np.uint8)
 _LOWER = np.array([b + 32 if b in _UPPER else b for b in range(256)], np.uint8)
+#: A base for hashes of bytes, and the number that undoes a multiplication by it in 64 bits.
+_DIGIT = np.uint64(0x2545F4914F6CDD1D)
+_BACK = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def byte_hashes(words: pa.BinaryArray) -> np.ndarray:
+    """A hash of each word: its bytes as the digits of a number, taken from the sums over all words before it."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]] if len(words) else np.zeros(0, np.uint8)
+    ends -= ends[0]
+    powers = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(len(data), x, np.uint64)], dtype=np.uint64)
+    sums = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_DIGIT)[:-1], dtype=np.uint64)]
+    out = (sums[ends[1:]] - sums[ends[:-1]]) * powers(_BACK)[ends[:-1]] + np.diff(ends).astype(np.uint64) * _ODD[2]
+    return out ^ out >> np.uint64(31)
+
+
 class Words:
     """The words of some texts: `names` (all different, with their language), `word` (a place in names for each word) and `near` (whether the next word is of the same piece)."""
 
@@ -71,6 +85,8 @@ class Words:
         lang = of_text[np.searchsorted(first, starts, "right") - 1] if len(starts) else np.zeros(0, np.int64)
         keys, self.word = np.unique(lang * max(1, len(spelled.dictionary)) + spelled.indices.to_numpy(), return_inverse=True)
         of_key, name = np.divmod(keys, max(1, len(spelled.dictionary)))
+        of_lang = np.array([xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in kinds], np.uint64)
+        self.hashes = (byte_hashes(spelled.dictionary)[name] + of_lang[of_key]) * _ODD[0] if len(name) else np.zeros(0, np.uint64)
         self.langs = pa.array(list(kinds), pa.string()).take(pa.array(of_key))
         self.names = spelled.dictionary.take(pa.array(name)).cast(pa.string())
 
@@ -79,9 +95,8 @@ class Words:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """Where words stand side by side, and a hash of the language and both words for each such place."""
-        own = np.array([xxh64_intdigest(f"{lang}\n{name}".encode("utf-8", "surrogatepass"), 7) for lang, name in zip(self.langs.to_pylist(), self.names.to_pylist(), strict=True)], np.uint64)
         at = np.flatnonzero(self.near)
-        mixed = own[self.word[at]] * _ODD[0] ^ (own[self.word[at + 1]] + _ODD[1]) * _ODD[2]
+        mixed = self.hashes[self.word[at]] ^ (self.hashes[self.word[at + 1]] + _ODD[1]) * _ODD[2]
         mixed ^= mixed >> np.uint64(29)
         return at, mixed * _ODD[1]
 
@@ -90,10 +105,12 @@ class Words:
         return pa.table({"lang": self.langs, "phrase": self.names, "n": np.bincount(self.word, minlength=len(self.names)).astype(np.int64)})
 
     def suffixes(self, frequent: np.ndarray, max_words: int) -> pa.Table:
-        """lang, suffix (each word with a space behind it), first and n of the different suffixes of two words or more; frequent: the bitmap of pairs."""
+        """lang, suffix (each word with a space behind it), first, pair (the hash of the first two words) and n of the different suffixes of two words or more; frequent: the bitmap of pairs."""
         at, pair = self.pairs()
         joined = np.zeros(len(self) + max_words, bool)
         bit = pair & np.uint64(len(frequent) * 64 - 1)
+        pairs = np.zeros(len(self), np.uint64)
+        pairs[at] = pair
         joined[at] = frequent[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
         begin = np.flatnonzero(joined)
         on, deep, ids = np.ones(len(begin), bool), [], self.word[begin]
@@ -106,7 +123,7 @@ class Words:
         first = pa.array(self.word[begin][one])
         parts = [self.names.take(first), *[self.names.take(pa.array(w[one], pa.int64(), mask=w[one] < 0)) for w in deep]]
         suffix = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-        return pa.table({"lang": self.langs.take(first), "suffix": pc.binary_join_element_wise(suffix, "", " "), "first": parts[0], "n": n.astype(np.int64)})
+        return pa.table({"lang": self.langs.take(first), "suffix": pc.binary_join_element_wise(suffix, "", " "), "first": parts[0], "pair": pairs[begin][one].view(np.int64), "n": n.astype(np.int64)})
 
 
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -186,7 +203,7 @@ def bitmap(keys: DataFrame, key: str, n: int) -> np.ndarray:
 def prefixes(rows: Iterator[tuple[str, str, int, bool]], min_count: int) -> Iterator[tuple[str, str, int, int]]:
     """lang, phrase, its number of words and n of every prefix of two words or more of the suffixes, which are sorted in reverse.
 
-    rows: lang, suffix, n and whether all suffixes that begin with its first word are here; if so, phrases under min_count are left out.
+    rows: lang, suffix, n and whether all suffixes that begin with its first two words are here; if so, phrases under min_count are left out.
     """
     of, whole = None, True
     words: list[str] = []  # of the suffix before, and how often the prefixes that end with them have been seen
@@ -209,18 +226,16 @@ def prefixes(rows: Iterator[tuple[str, str, int, bool]], min_count: int) -> Iter
                     break
                 same += 1
         yield from down_to(same)
-        of, whole = lang, all_here
+        of, whole = lang, all_here  # the same for all suffixes of a pair; the count of a first word alone isn't used
         words += own[same:]
         seen += [0] * (len(own) - same)
         seen[-1] += n
     yield from down_to(0)
 
 
-def full_words(words: DataFrame, partitions: int) -> dict[tuple[str, str], int]:
-    """(lang, word) of which there are so many that they are dealt over several tasks, and over how many: at most FULL_TASK words for each partition."""
-    total = words.agg(F.sum("n")).first()[0] or 0
-    fill = max(1, total // (FULL_TASK * partitions))
-    return {(r["lang"], r["phrase"]): r["n"] // fill + 1 for r in words.where(F.col("n") >= fill).toLocalIterator()}
+def full_keys(counts: DataFrame, keys: list[str], fill: int) -> dict:
+    """The keys of which there are so many that they are dealt over several tasks, and over how many: at most FULL_TASK for each partition."""
+    return {tuple(r[k] for k in keys): r["n"] // fill + 1 for r in counts.where(F.col("n") >= fill).toLocalIterator()}
 
 
 def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
@@ -235,17 +250,20 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
     counted = stage(words_and_pairs(texts).groupBy("lang", "phrase", "pair").agg(F.sum("n").alias("n")), "words-and-pairs")
     words = counted.where("pair is null").select("lang", "phrase", "n")
     totals = stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
-    pairs = counted.where(F.col("pair").isNotNull() & (F.col("n") >= min_count)).select("pair")
+    pairs = counted.where(F.col("pair").isNotNull() & (F.col("n") >= min_count)).select("pair", "n")
     known = bitmap(pairs, "pair", pairs.count())
-    full = full_words(words, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fill = max(1, (words.agg(F.sum("n")).first()[0] or 0) // (FULL_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    full, full_pairs = full_keys(words, ["lang", "phrase"], fill), full_keys(pairs, ["pair"], fill)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(["lang", "suffix", "first"])
+        sums = Sums(["lang", "suffix", "first", "pair"])
 
         def dealt(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in found:
-                over = [full.get(k, 1) for k in zip(b.column("lang").to_pylist(), b.column("first").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(over, pa.int64())], ["lang", "suffix", "first", "n", "over"])
+                rows = list(zip(b.column("lang").to_pylist(), b.column("first").to_pylist(), b.column("pair").to_pylist(), strict=True))
+                over = [full_pairs.get((pair,), 1) for _, _, pair in rows]
+                part = [pair % full.get((lang, first), 1) for lang, first, pair in rows]
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("suffix"), b.column("first"), b.column("n"), pa.array(part, pa.int64()), pa.array(over, pa.int64())], ["lang", "suffix", "first", "n", "part", "over"])
 
         for words in parsed(batches):
             yield from dealt(sums.add(words.suffixes(known, max_words)))
@@ -261,9 +279,10 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
                 held = []
         yield _phrase_batch(held)
 
-    dealt = texts.mapInArrow(suffixes, "lang string, suffix string, first string, n long, over long").withColumn("part", F.pmod(F.xxhash64("suffix"), F.col("over")))
-    ordered = dealt.repartition("lang", "first", "part").sortWithinPartitions("lang", F.desc("suffix")).select("lang", "suffix", "n", "over")
-    # Prefixes of first words that several tasks have are added up; the others are whole, and only those that are frequent come here.
+    # A first word that would fill a task is dealt by the pair that it begins, and such a pair by the whole suffix.
+    dealt = texts.mapInArrow(suffixes, "lang string, suffix string, first string, n long, part long, over long").withColumn("suffix_part", F.pmod(F.xxhash64("suffix"), F.col("over")))
+    ordered = dealt.repartition("lang", "first", "part", "suffix_part").sortWithinPartitions("lang", F.desc("suffix")).select("lang", "suffix", "n", "over")
+    # Prefixes of pairs that several tasks have are added up; the others are whole, and only those that are frequent come here.
     found = ordered.mapInArrow(stacked, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     single = words.select("lang", "phrase", F.lit(1).alias("words"), "n")
     return stage(found.unionByName(single).where(F.col("n") >= min_count), "phrases"), totals

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tempora.llm import collocations as c
@@ -68,10 +69,19 @@ def test_first_words_dealt_over_several_tasks_and_held_in_small_parts(spark, mon
     rows = documents_of(4)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
     want = brute(rows, 5, 3, 2000, 100)
-    dealt = c.full_words(spark.createDataFrame([("en", w, n) for w, n in (("the", 500), ("of", 90), ("x", 10))], "lang string, phrase string, n long"), 4)
-    assert dealt == {("en", "the"): 500 // 37 + 1, ("en", "of"): 90 // 37 + 1}
-    monkeypatch.setattr(c, "full_words", lambda words, partitions: {(r["lang"], r["phrase"]): 3 for r in words.collect()})
-    assert collected(c.collocations(docs, 5, 3)) == want
+    table = spark.createDataFrame([("en", w, n) for w, n in (("the", 500), ("of", 90), ("x", 10))], "lang string, phrase string, n long")
+    assert c.full_keys(table, ["lang", "phrase"], 37) == {("en", "the"): 500 // 37 + 1, ("en", "of"): 90 // 37 + 1}
+    for words, pairs in ((3, 1), (3, 4), (1, 3)):
+        monkeypatch.setattr(c, "full_keys", lambda counts, keys, fill, over=(words, pairs): {tuple(r[k] for k in keys): over[keys == ["pair"]] for r in counts.collect()})
+        assert collected(c.collocations(docs, 5, 3)) == want
+
+
+def test_hashes_of_words_are_those_of_their_bytes_wherever_they_stand():
+    words = [b"", b"a", b"aa", b"ab", b"ba", bytes([255] * 40), b"a", "日本".encode(), b"\x00", b"\x00\x00"]
+    got = c.byte_hashes(pa.array(words, pa.binary()))
+    again = c.byte_hashes(pa.array([b"xyz", *words[::-1]], pa.binary()))[1:][::-1]
+    assert (got == again).all() and len(set(got.tolist())) == len(set(words))
+    assert (c.byte_hashes(pa.array(words, pa.binary())[3:]) == got[3:]).all()
 
 
 def test_every_prefix_is_counted_once_by_the_stack():
