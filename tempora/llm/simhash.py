@@ -30,8 +30,9 @@ SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 3
 BITS = 64
-#: Rows of a tile.
+#: Rows of a tile, and of a tile of those to be found where few look for others.
 TILE_ROWS = 64
+FOUND_ROWS = 1024
 #: Random fingerprints that a bucket is meant for.
 BUCKET_ROWS = 512
 #: The most rows of a bucket that meet each other in one task.
@@ -43,8 +44,15 @@ LINKS_A_ROUND, MOST_A_ROUND = 16, 256
 #: Words of 64 bits of the sketch that tells unlike texts apart before they are read.
 SKETCH_WORDS = 8
 SKETCH = ["size", *[f"s{i}" for i in range(SKETCH_WORDS)]]
+#: Two sums over a text's set of shingles that tell it from any other set.
+WHOLE = ["sum", "mixed"]
 #: Near copies share this much of their sets of shingles of so many words.
 SIMILARITY, SIMILAR_WORDS = 0.8, 5
+#: Fingerprints of a text, of differently mixed hashes, any of which may link it.
+PRINTS = 4
+#: Links to one document that are compared in the same part of a join.
+LINKS_A_PART = 64
+PRINT = [f"print_{k}" for k in range(PRINTS)]
 #: Rows that a task gathers, to the end of a bucket, before it compares.
 HELD_ROWS = 1 << 17
 
@@ -62,26 +70,42 @@ def hashes(text: str, words: int = SHINGLE_WORDS) -> list[int]:
     return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=False)]
 
 
-def fingerprints(texts: list[str], words: int = SHINGLE_WORDS) -> np.ndarray:
-    """A bit is set if over half of a text's hashes have it; a text without words has none."""
-    per_text = [hashes(t, words) for t in texts]
+def mixed(values: np.ndarray, k: int) -> np.ndarray:
+    """The k-th mix of hashes; that of 0 leaves them as they are."""
+    if not k:
+        return values
+    values = values ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << BITS) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        values = (values ^ values >> np.uint64(shift)) * np.uint64(factor)
+    return values ^ values >> np.uint64(31)
+
+
+def majorities(per_text: list[list[int]], mixes: int = 1) -> list[np.ndarray]:
+    """For each mix, a fingerprint of each text: a bit is set if over half of the text's hashes have it; none without hashes."""
     counts = np.array([len(h) for h in per_text], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    outs = [np.zeros(len(per_text), np.uint64) for _ in range(mixes)]
     full = np.flatnonzero(counts)
     if not len(full):
-        return out
-    flat = np.fromiter(itertools.chain.from_iterable(per_text), np.uint64, int(counts.sum()))
+        return outs
+    hashed = np.fromiter(itertools.chain.from_iterable(per_text), np.uint64, int(counts.sum()))
     # Eight bits at a time are counted in the eight bytes of a word, over parts of 255 hashes at most.
     parts = (counts[full] + 254) // 255
     first_part = np.cumsum(parts) - parts
     first_hash = np.cumsum(counts[full]) - counts[full]
     starts = np.repeat(first_hash, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first_part, parts))
-    for k in range(8):
-        lanes = np.add.reduceat(flat >> np.uint64(k) & _LANES, starts)
-        each = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first_part, axis=0)
-        over = 2 * each > counts[full, None]
-        out[full] |= (over.astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(k))).sum(axis=1, dtype=np.uint64)
-    return out
+    for mix, out in enumerate(outs):
+        flat = mixed(hashed, mix)
+        for k in range(8):
+            lanes = np.add.reduceat(flat >> np.uint64(k) & _LANES, starts)
+            each = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first_part, axis=0)
+            over = 2 * each > counts[full, None]
+            out[full] |= (over.astype(np.uint64) << (np.arange(8, dtype=np.uint64) * np.uint64(8) + np.uint64(k))).sum(axis=1, dtype=np.uint64)
+    return outs
+
+
+def fingerprints(texts: list[str], words: int = SHINGLE_WORDS) -> np.ndarray:
+    """A bit is set if over half of a text's hashes have it; a text without words has none."""
+    return majorities([hashes(t, words) for t in texts])[0]
 
 
 def sketches(texts: list[str], words: int) -> np.ndarray:
@@ -92,30 +116,42 @@ def sketches(texts: list[str], words: int) -> np.ndarray:
     """
     out = np.zeros((len(texts), 1 + SKETCH_WORDS), np.int64)
     for row, text in enumerate(texts):
-        own = np.unique(np.array(hashes(text, words), np.uint64))
-        odd = np.bincount((own % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-        out[row, 0], out[row, 1:] = len(own), np.packbits(odd.astype(np.uint8)).view(np.int64)
+        out[row] = sketch_of(np.unique(np.array(hashes(text, words), np.uint64)))
     return out
 
 
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    odd = np.bincount((own % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.concatenate([[len(own)], np.packbits(odd.astype(np.uint8)).view(np.int64)])
+
+
+def least_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many shingles the texts of these sketches, row by row, differ at least."""
+    bits = np.bitwise_count(np.ascontiguousarray(a[:, 1:]).view(np.uint64) ^ np.ascontiguousarray(b[:, 1:]).view(np.uint64)).sum(1, dtype=np.int64)
+    return np.maximum(bits, np.abs(a[:, 0] - b[:, 0]))
+
+
 def may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the texts of these sketches, row by row, can have this similarity; where they have it, always true."""
-    bits = np.bitwise_count(a[:, 1:].view(np.uint64) ^ b[:, 1:].view(np.uint64)).sum(1, dtype=np.int64)
-    apart = np.maximum(bits, np.abs(a[:, 0] - b[:, 0]))
-    return apart * (1 + similarity) <= (a[:, 0] + b[:, 0]) * (1 - similarity) + 1e-6
+    return least_apart(a, b) * (1 + similarity) <= (a[:, 0] + b[:, 0]) * (1 - similarity) + 1e-6
 
 
 def sketched(docs: DataFrame, words: int, sketch_words: int) -> DataFrame:
-    """doc_id, fingerprint (of shingles of `words` words) and the sketch (of `sketch_words` words) of each row's whole text."""
+    """doc_id, PRINTS fingerprints (of shingles of `words` words), the sketch and the sums (of shingles of `sketch_words` words) of each row's whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 texts = part.column("text").to_pylist()
-                found = [fingerprints(texts, words).view(np.int64), *sketches(texts, sketch_words).T.copy()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found)], ["doc_id", "fingerprint", *SKETCH])
+                prints = [p.view(np.int64) for p in majorities([hashes(t, words) for t in texts], PRINTS)]
+                rows = np.zeros((len(texts), len(SKETCH) + len(WHOLE)), np.int64)
+                for row, text in zip(rows, texts, strict=True):
+                    own = np.unique(np.array(hashes(text, sketch_words), np.uint64))
+                    row[: len(SKETCH)] = sketch_of(own)
+                    row[len(SKETCH) :] = np.array([own.sum(dtype=np.uint64), mixed(own, 1).sum(dtype=np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, [*prints, *rows.T.copy()])], ["doc_id", *PRINT, *SKETCH, *WHOLE])
 
-    return identified(docs).mapInArrow(run, "doc_id long, fingerprint long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return identified(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in [*PRINT, *SKETCH, *WHOLE]))
 
 
 def fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -212,13 +248,12 @@ def stars(bucket: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int)
     return np.concatenate(us), np.concatenate(vs), *total.tolist()
 
 
-def nearest(prints: np.ndarray, ids: np.ndarray, after: tuple[np.ndarray, np.ndarray], sketch: np.ndarray, left: range, right: range, radius: int, most: int, similarity: float) -> np.ndarray:
-    """For each row its `most` nearest linked rows of smaller id, of equally near ones those of smallest id, that come after (bits, id) and may be alike by their sketches: columns gone, bits, kept.
+def nearest(prints: np.ndarray, ids: np.ndarray, looking: np.ndarray, after: tuple[np.ndarray, np.ndarray], sketch: np.ndarray, left: range, right: range, radius: int, most: int, similarity: float) -> np.ndarray:
+    """For each row that is looking, linked rows of smaller id that may be alike: the `most` whose sketches are nearest, of equally near ones those of smallest id, that come after (distance, id): columns gone, distance, kept.
 
-    left and right are as in compare(). Tiles without a row that looks for links are skipped too.
+    left and right are as in compare(). Tiles are of rows that look and of rows to be found.
     """
     counts = np.bitwise_count(prints).astype(int)
-    looking = after[0] < BITS
     found = [np.zeros((0, 3), np.int64)]
 
     def least() -> np.ndarray:
@@ -227,40 +262,38 @@ def nearest(prints: np.ndarray, ids: np.ndarray, after: tuple[np.ndarray, np.nda
         first = np.flatnonzero(np.r_[True, links[1:, 0] != links[:-1, 0]]) if len(links) else np.zeros(0, int)
         return links[np.arange(len(links)) - np.repeat(first, np.diff(np.r_[first, len(links)])) < most]
 
-    for i in range(left.start, left.stop, TILE_ROWS):
-        a = slice(i, min(i + TILE_ROWS, left.stop))
-        for j in range(i if left == right else right.start, right.stop, TILE_ROWS):
-            b = slice(j, min(j + TILE_ROWS, right.stop))
-            if counts[j] - counts[a.stop - 1] > radius or counts[i] - counts[b.stop - 1] > radius:
-                continue
-            if not (looking[a].any() or looking[b].any()):
-                continue
-            apart = np.bitwise_count(prints[a][:, None] ^ prints[b][None, :])
-            x, y = np.nonzero(apart <= radius)
-            bits, x, y = apart[x, y].astype(np.int64), x + i, y + j
-            gone, kept = np.where(ids[x] > ids[y], x, y), np.where(ids[x] > ids[y], y, x)
-            new = (ids[gone] > ids[kept]) & ((bits > after[0][gone]) | (bits == after[0][gone]) & (ids[kept] > after[1][gone]))
-            if i == j:
-                new &= x < y
-            gone, bits, kept = gone[new], bits[new], kept[new]
-            alike = may_be_alike(sketch[gone], sketch[kept], similarity)
-            if alike.any():
-                found.append(np.stack([ids[gone[alike]], bits[alike], ids[kept[alike]]], 1))
-        if sum(map(len, found)) > HELD_LINKS:
-            found = [least()]
+    for seekers, others in [(left, right)] if left == right else [(left, right), (right, left)]:
+        rows = np.arange(seekers.start, seekers.stop)[looking[seekers.start : seekers.stop]]
+        for i in range(0, len(rows), TILE_ROWS):
+            a = rows[i : i + TILE_ROWS]
+            low = others.start + int(np.searchsorted(counts[others.start : others.stop], counts[a[0]] - radius))
+            high = others.start + int(np.searchsorted(counts[others.start : others.stop], counts[a[-1]] + radius, "right"))
+            for j in range(low, high, FOUND_ROWS):
+                b = slice(j, min(j + FOUND_ROWS, high))
+                x, y = np.nonzero(np.bitwise_count(prints[a][:, None] ^ prints[b][None, :]) <= radius)
+                gone, kept = a[x], y + j
+                down = ids[kept] < ids[gone]
+                gone, kept = gone[down], kept[down]
+                near = least_apart(sketch[gone], sketch[kept])
+                new = (near > after[0][gone]) | (near == after[0][gone]) & (ids[kept] > after[1][gone])
+                new &= may_be_alike(sketch[gone], sketch[kept], similarity)
+                if new.any():
+                    found.append(np.stack([ids[gone[new]], near[new], ids[kept[new]]], 1))
+            if sum(map(len, found)) > HELD_LINKS:
+                found = [least()]
     return least()
 
 
-def tasks(prints: DataFrame, radius: int, rows: int | None = None) -> DataFrame:
-    """The rows of prints, dealt and sorted by the tasks (parts of buckets) in which they meet others, with their side there."""
+def tasks(prints: DataFrame, radius: int, rows: int | None = None, by: str = "fingerprint") -> DataFrame:
+    """The rows of prints, dealt and sorted by the tasks (parts of buckets) in which they meet others, with their side there. by: what deals a bucket's rows over its parts."""
     masks = bucket_masks(prints.count() if rows is None else rows, radius)
     signed = [m - (1 << BITS) if m >> BITS - 1 else m for m in masks]
     keyed = prints.select("*", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(signed)])).alias("key"))
     keyed = keyed.select(*prints.columns, F.xxhash64("key.choice", "key.bits").alias("key"))
     # A bucket of few rows is one part. Parts i and j of a larger one meet as task (i, j): part i on side 0 and, if j > i, part j on side 1.
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_ROWS)
-    dealt = keyed.join(F.broadcast(sizes), "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TASK_ROWS), F.lit(1)).cast("long"))  # at most a bucket for TASK_ROWS rows
-    part = F.pmod(F.xxhash64("fingerprint"), F.col("parts"))
+    sizes = stage(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_ROWS), "large-buckets")
+    dealt = keyed.join(bounded(sizes), "key", "left").withColumn("parts", F.coalesce(F.ceil(F.col("n") / TASK_ROWS), F.lit(1)).cast("long"))
+    part = F.pmod(F.xxhash64(by), F.col("parts"))
     own = F.transform(F.sequence(part, F.col("parts") - 1), lambda j: F.struct(part.alias("i"), j.alias("j"), F.lit(0).alias("side")))
     others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), part), lambda i: i < part), lambda i: F.struct(i.alias("i"), part.alias("j"), F.lit(1).alias("side")))
     met = dealt.withColumn("task", F.explode(F.concat(own, others))).select(F.xxhash64("key", "task.i", "task.j").alias("task"), "task.side", *prints.columns)
@@ -360,24 +393,36 @@ def representatives(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_
     return lacking(docs, stage(rows, "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
 
 
-def nearest_links(prints: DataFrame, radius: int, most: int, similarity: float) -> DataFrame:
-    """gone, bits, kept: the links of nearest() of each id. prints has fingerprint, id, after_bits, after_id and the sketch."""
+def nearest_links(nodes: DataFrame, radius: int, most: int, similarity: float) -> DataFrame:
+    """gone, apart, kept: the links of nearest() of each id. nodes (staged) has id, PRINTS fingerprints, looking, after_apart, after_id and the sketch."""
+    columns = ["id", "looking", "after_apart", "after_id", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for task, side, own, ids, bits, after, *sketch in whole_tasks(batches, ["task", "side", "fingerprint", "id", "after_bits", "after_id", *SKETCH]):
-            own, sketch = own.view(np.uint64), np.stack(sketch, 1)
-            found = np.concatenate([nearest(own[r], ids[r], (bits[r], after[r]), sketch[r], left, right, radius, most, similarity) for r, left, right in buckets(task, side, own)])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["gone", "bits", "kept"])
+        for task, side, own, ids, looking, apart, after, *sketch in whole_tasks(batches, ["task", "side", "fingerprint", *columns]):
+            own, looking, sketch = own.view(np.uint64), looking.astype(bool), np.stack(sketch, 1)
+            found = np.concatenate([nearest(own[r], ids[r], looking[r], (apart[r], after[r]), sketch[r], left, right, radius, most, similarity) for r, left, right in buckets(task, side, own) if looking[r].any()] or [np.zeros((0, 3), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found.T.copy()], ["gone", "apart", "kept"])
 
-    found = tasks(prints, radius).mapInArrow(run, "gone long, bits long, kept long").distinct()  # a link is found in each bucket that it has
-    return found.withColumn("place", F.row_number().over(W.partitionBy("gone").orderBy("bits", "kept"))).where(F.col("place") <= most).drop("place")
+    rows, found = nodes.count(), None
+    for name in PRINT:
+        met = tasks(nodes.select(F.col(name).alias("fingerprint"), *columns).withColumn("looking", F.col("looking").cast("long")), radius, rows, "id").mapInArrow(run, "gone long, apart long, kept long")
+        found = met if found is None else found.unionByName(met)
+    found = found.distinct()  # a link is found in each bucket that it has
+    return found.withColumn("place", F.row_number().over(W.partitionBy("gone").orderBy("apart", "kept"))).where(F.col("place") <= most).drop("place")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """pairs (staged: gone, bits, kept) and whether the texts are alike; an id of several texts is if all of them are."""
-    ids = stage(pairs.select(F.explode(F.array("gone", "kept")).alias("doc_id")).distinct(), "linked-ids")
+    """pairs (staged: gone, apart, kept) and whether the texts are alike; an id of several texts is if all of them are.
+
+    A text that many are compared with goes to as many parts of the join as that takes.
+    """
+    often = stage(pairs.groupBy("kept").agg(F.count(F.lit(1)).alias("n")), "compared-with")
+    ids = stage(pairs.select(F.col("gone").alias("doc_id")).unionByName(often.select(F.col("kept").alias("doc_id"))).distinct(), "linked-ids")
     texts = stage(identified(docs).join(bounded(ids), "doc_id"), "linked-texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("gone"), F.col("text").alias("a")), "gone").join(texts.select(F.col("doc_id").alias("kept"), F.col("text").alias("b")), "kept").select("gone", "bits", "kept", "a", "b")
+    parts = F.ceil(F.col("n") / LINKS_A_PART)
+    dealt = joined_by_key(pairs, often, "kept", "n").withColumn("part", F.pmod(F.xxhash64("gone"), parts)).drop("n")
+    of_kept = texts.join(often, F.col("doc_id") == F.col("kept")).select("kept", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("text").alias("b"))
+    both = dealt.join(texts.select(F.col("doc_id").alias("gone"), F.col("text").alias("a")), "gone").join(of_kept, ["kept", "part"]).select("gone", "apart", "kept", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,42 +431,52 @@ def compared(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -
                 one, other = (np.unique(np.array(hashes(t.as_py(), words), np.uint64)) for t in (a, b))
                 shared = len(np.intersect1d(one, other, assume_unique=True))
                 alike.append(shared >= similarity * (len(one) + len(other) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("gone", "bits", "kept")] + [pa.array(alike, pa.bool_())], ["gone", "bits", "kept", "alike"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("gone", "apart", "kept")] + [pa.array(alike, pa.bool_())], ["gone", "apart", "kept", "alike"])
 
-    return both.mapInArrow(run, "gone long, bits long, kept long, alike boolean").groupBy("gone", "bits", "kept").agg(F.bool_and("alike").alias("alike"))
+    return both.mapInArrow(run, "gone long, apart long, kept long, alike boolean").groupBy("gone", "apart", "kept").agg(F.bool_and("alike").alias("alike"))
 
 
 def unlike(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, similar_words: int = SIMILAR_WORDS) -> DataFrame:
     """The rows, with all their columns, that aren't near copies of a row of smaller doc_id.
 
-    Fingerprints say which documents are compared at all: a document with the first (of smallest doc_id) of its own fingerprint,
-    and the first of each fingerprint with the first of every linked one, if that has a smaller doc_id. A document goes if the sets
-    of shingles of one such pair have a similarity of `similarity` or more. Each is compared with its nearest one, then with more
-    of them by nearness, round after round, until one is alike or none is left. A pair whose sketches show that its similarity is
-    less is left out before its texts are read; that loses no pair of this similarity.
+    A document goes if the sets of shingles of its text and of a linked one's of smaller doc_id have a similarity of `similarity`
+    or more, whether or not that one stays itself. Texts are linked if any of their PRINTS fingerprints lie within the radius, so
+    links between equal fingerprints count like any others. Of equal sets only the smallest doc_id stays and stands for all. Each
+    set that is left is compared with the first one of its first fingerprint, then with the linked set whose sketch is nearest,
+    then with more of them, round after round, until one is alike or none is left. A pair whose sketches show that its similarity
+    is less is left out before its texts are read; that loses no pair of this similarity.
 
     Texts without words are alike. Rows without a doc_id stay, and rows that repeat a doc_id stay or go together. Very long texts
     are compared whole. Columns may have any name. An empty table gives no row.
     """
     rows = stage(sketched(docs, words, similar_words).where("doc_id is not null"), "fingerprints")
-    # Of an id's several texts any one's sketch will do, as all of them would have to be alike.
-    firsts = rows.groupBy("fingerprint").agg(F.min(F.struct(F.col("doc_id").alias("id"), *SKETCH)).alias("first"), F.count(F.lit(1)).alias("n"))
-    prints = stage(firsts.select("fingerprint", "first.*", "n"), "prints")
-    own = joined_by_key(rows.select("doc_id", "fingerprint"), prints.select("fingerprint", "id", "n"), "fingerprint", "n").where("doc_id != id").select(F.col("doc_id").alias("gone"), F.lit(0).cast("long").alias("bits"), F.col("id").alias("kept")).distinct()
-    after = lambda bits, i: (bits.cast("long").alias("after_bits"), i.cast("long").alias("after_id"))
-    most, gone = 1, None
-    pairs = own.unionByName(nearest_links(prints.select("fingerprint", "id", *after(F.lit(0), F.lit(0)), *SKETCH), radius, most, similarity))
+    # Of an id's several texts any one will do, as all of them would have to be alike.
+    ids = rows.groupBy("doc_id").agg(F.min(F.struct(*WHOLE, *PRINT, *SKETCH)).alias("own"), F.count(F.lit(1)).alias("texts")).select("doc_id", "texts", "own.*")
+    sets = stage(ids.groupBy(*WHOLE, "size").agg(F.min(F.struct(F.col("doc_id").alias("id"), *PRINT, *SKETCH[1:])).alias("first"), F.count(F.lit(1)).alias("n")), "sets")
+    of_set = F.xxhash64(*WHOLE, "size").alias("set")
+    same = joined_by_key(ids.where("texts = 1").select("doc_id", of_set, *WHOLE, "size"), sets.select(of_set, *[F.col(c).alias(f"{c}_of") for c in (*WHOLE, "size")], F.col("first.id").alias("id"), "n"), "set", "n")
+    equal = same.where(" and ".join(f"{c} = {c}_of" for c in (*WHOLE, "size"))).where("doc_id > id").select(F.col("doc_id").alias("gone"))
+    several = ids.where("texts > 1").select(F.col("doc_id").alias("id"), "size", *PRINT, *SKETCH[1:])
+    nodes = stage(sets.select("first.id", "size", *[F.col(f"first.{c}").alias(c) for c in (*PRINT, *SKETCH[1:])]).unionByName(several).dropDuplicates(["id"]), "sets-to-compare")
+    gone = stage(equal, "equal-sets")
+    # Where very many sets have one fingerprint, most are alike its first one, and needn't look for others.
+    firsts = stage(nodes.groupBy(PRINT[0]).agg(F.min("id").alias("kept"), F.count(F.lit(1)).alias("n")), "first-sets")
+    pairs = joined_by_key(nodes.select(F.col("id").alias("gone"), PRINT[0]), firsts, PRINT[0], "n").where("gone != kept").select("gone", F.lit(0).cast("long").alias("apart"), "kept")
+    found = stage(compared(stage(pairs, "pairs"), docs, similarity, similar_words), "compared")
+    settled, last, most = found.where("alike").select(F.col("gone").alias("id")), None, 1
     while True:
-        found = stage(compared(stage(pairs, "pairs"), docs, similarity, similar_words), "compared")
-        alike = found.where("alike").select("gone")
-        gone = alike if gone is None else gone.unionByName(alike)
-        seen = found.where("bits > 0").groupBy("gone").agg(F.bool_or("alike").alias("alike"), F.count(F.lit(1)).alias("n"), F.max(F.struct("bits", "kept")).alias("last"))
-        unsettled = stage(seen.where(~F.col("alike") & (F.col("n") >= most)).select(F.col("gone").alias("id"), "last"), "unsettled")
-        if not unsettled.take(1):
-            return lacking(docs, stage(gone.distinct(), "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
-        most = LINKS_A_ROUND if most == 1 else max(most, min(4 * most, MOST_A_ROUND))
-        still = prints.join(bounded(unsettled), "id", "left").select("fingerprint", "id", *after(F.coalesce("last.bits", F.lit(BITS)), F.coalesce("last.kept", F.lit(0))), *SKETCH)
-        pairs = nearest_links(still, radius, most, similarity)
+        gone = gone.unionByName(found.where("alike").select("gone"))
+        if last is None:
+            still = nodes.join(bounded(stage(settled, "settled")).withColumn("settled", F.lit(True)), "id", "left").select("*", F.col("settled").isNull().alias("looking"), F.lit(-1).cast("long").alias("after_apart"), F.lit(0).cast("long").alias("after_id"))
+        else:
+            seen = found.groupBy("gone").agg(F.bool_or("alike").alias("alike"), F.count(F.lit(1)).alias("n"), F.max(F.struct("apart", "kept")).alias("last"))
+            unsettled = stage(seen.where(~F.col("alike") & (F.col("n") >= most)).select(F.col("gone").alias("id"), "last"), "unsettled")
+            if not unsettled.take(1):
+                return lacking(docs, stage(gone.distinct(), "near-copies"), [(F.col("doc_id").cast("long"), "gone")])
+            most = LINKS_A_ROUND if most == 1 else max(most, min(4 * most, MOST_A_ROUND))
+            still = nodes.join(bounded(unsettled), "id", "left").select("*", F.col("last").isNotNull().alias("looking"), F.coalesce("last.apart", F.lit(0)).alias("after_apart"), F.coalesce("last.kept", F.lit(0)).alias("after_id"))
+        last = True
+        found = stage(compared(stage(nearest_links(stage(still.drop("settled", "last"), "looking"), radius, most, similarity), "pairs"), docs, similarity, similar_words), "compared")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,23 +31,45 @@ def slow_shingles(text, n=5):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or ({tuple(words)} if words else set())
 
 
-def slow_copies(ids, texts, radius, words):
-    """Ids of documents that are alike the first of their fingerprint, or, being it, a linked first one of smaller id."""
-    prints = {i: slow_fingerprint(texts[i], words) for i in ids}
-    firsts = {}
+def slow_mixed(h, k):
+    full = (1 << 64) - 1
+    if k:
+        h ^= k * 0x9E3779B97F4A7C15 & full
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+        h ^= h >> 31
+    return h
+
+
+def all_near(ids, texts):
+    """(gone, kept) of all pairs of similarity 0.8 or more, found by shared shingles and not by fingerprints."""
+    sets = {i: slow_shingles(texts[i]) for i in ids}
+    having, pairs = {}, set()
     for i in sorted(ids):
-        firsts.setdefault(prints[i], i)
-    gone = set()
-    for i in ids:
-        others = [firsts[prints[i]]] if firsts[prints[i]] != i else [k for p, k in firsts.items() if k < i and (p ^ prints[i]).bit_count() <= radius]
-        own = slow_shingles(texts[i])
-        if any(len(own & s) >= 0.8 * len(own | s) for s in (slow_shingles(texts[k]) for k in others)):
-            gone.add(i)
-    return gone
+        others = {k for x in sets[i] for k in having.get(x, ())} if sets[i] else {k for k in having.get((), ())}
+        pairs |= {(i, k) for k in others if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k])}
+        for x in sets[i] or {()}:
+            having.setdefault(x, []).append(i)
+    return pairs
+
+
+def slow_prints(text, words):
+    own = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(own[i : i + words]) for i in range(len(own) - words + 1)] or ([" ".join(own)] if own else [])
+    hashed = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return [sum(1 << b for b in range(64) if 2 * sum(slow_mixed(h, k) >> b & 1 for h in hashed) > len(hashed)) for k in range(simhash.PRINTS)]
+
+
+def slow_copies(ids, texts, radius, words):
+    """Ids of documents with a near copy of smaller id whose set of shingles is the same, or one of whose fingerprints lies within the radius."""
+    pairs = all_near(ids, texts)
+    sets = {i: slow_shingles(texts[i]) for i in {x for p in pairs for x in p}}
+    prints = {i: slow_prints(texts[i], words) for i in sets}
+    return {i for i, k in pairs if sets[i] == sets[k] or any((p ^ q).bit_count() <= radius for p, q in zip(prints[i], prints[k], strict=True))}
 
 
 def test_near_copies_are_compared(spark, monkeypatch):
-    """Dense groups in which many links are no near copies, over several rounds and parts of buckets."""
+    """Dense groups in which many links are no near copies, over several rounds and parts of buckets, with texts that share a fingerprint."""
     rng = random.Random(4)
     texts = {}
     for base in range(6):
@@ -62,12 +84,68 @@ def test_near_copies_are_compared(spark, monkeypatch):
     want = set(texts) - slow_copies(list(texts), texts, 16, 1)
     assert 12 < len(want) < 170
     monkeypatch.setattr(simhash, "LINKS_A_ROUND", 3)
+    monkeypatch.setattr(simhash, "LINKS_A_PART", 2)
     for rows, held in ((1 << 16, 1 << 18), (40, 5)):
         monkeypatch.setattr(simhash, "TASK_ROWS", rows)
         monkeypatch.setattr(simhash, "HELD_LINKS", held)
         assert {r["doc_id"] for r in simhash.unlike(docs, 16, 1).collect()} == want
 
 
+def test_links_between_equal_fingerprints_count(spark):
+    """Of three texts of one fingerprint the third is like the second only, which goes because of the first; it goes as well."""
+    rng = random.Random(21)
+    words = [f"w{rng.randrange(9000)}" for _ in range(60)]
+    second = [*words[:55], *(f"y{i}" for i in range(5))]
+    third = [*(f"z{i}" for i in range(5)), *second[5:]]
+    texts = {1: " ".join(words), 2: " ".join(second), 3: " ".join(third)}
+    pairs = all_near(texts, texts)
+    assert (2, 1) in pairs and (3, 2) in pairs and (3, 1) not in pairs
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.unlike(docs, 64, 1).collect()] == [1]
+
+
+def test_most_near_copies_are_linked(spark):
+    """Recall over all pairs of similarity 0.8 or more of the tables of sf0.1, and of copies with random changes, with the pipeline's fingerprints."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}
+    for n in (40, 150, 600, 2500):
+        for _ in range(25):
+            words = [f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(n)]
+            own = list(words)
+            for i in rng.sample(range(n), max(1, n // 55)):
+                own[i] = f"x{rng.randrange(5000)}"
+            texts |= {len(texts) + (1 << 30): " ".join(words), len(texts) + (1 << 30) + 1: " ".join(own)}
+    firsts = {}
+    for i in sorted(texts):
+        firsts.setdefault(" ".join(sorted(map(str, slow_shingles(texts[i])))) if len(texts[i]) < 200 else texts[i], i)
+    ids = sorted(firsts.values())
+    pairs = [(i, k) for i, k in near_by_prefix(ids, texts) if slow_shingles(texts[i]) != slow_shingles(texts[k])]
+    own_ids = sorted({x for p in pairs for x in p})
+    prints = simhash.majorities([simhash.hashes(texts[i], corpus_pipeline.SHINGLE_WORDS) for i in own_ids], simhash.PRINTS)
+    of = dict(zip(own_ids, zip(*prints, strict=True), strict=True))
+    linked = [any(int(p ^ q).bit_count() <= corpus_pipeline.RADIUS for p, q in zip(of[i], of[k], strict=True)) for i, k in pairs]
+    assert len(pairs) > 100 and sum(linked) / len(pairs) >= 0.95
+
+
+def near_by_prefix(ids, texts, similarity=0.8):
+    """All pairs of this similarity: each shares one of its rarest shingles, as many as may be missing and one more."""
+    sets = {i: set(simhash.hashes(texts[i], 5)) for i in ids}
+    often, having = {}, {}
+    for own in sets.values():
+        for x in own:
+            often[x] = often.get(x, 0) + 1
+    for i in sorted(ids):
+        own = sorted(sets[i], key=lambda x: (often[x], x))
+        rare = [x for x in own[: len(own) - -(-8 * len(own) // 10) + 1] if often[x] > 1]
+        for k in sorted({k for x in rare for k in having.get(x, ())}):
+            if len(sets[i] & sets[k]) >= similarity * len(sets[i] | sets[k]):
+                yield i, k
+        for x in rare:
+            having.setdefault(x, []).append(i)
+
+
 def test_sketches_lose_no_near_copy():
     """Whatever pair has the similarity may have it by its sketches, and most other pairs may not."""
     rng = random.Random(12)
