@@ -6,7 +6,8 @@ spelled digits become digits, and "at" and "dot" disguises become @ and a dot. E
 it came from, so a span found in the copy maps back to source characters.
 
 The base identifiers are found in the text as it is and always stay. What the copy adds must hold at least one character that
-the transducer has changed, must not touch a base span, and must be well formed: disguised words are rewritten only between
+the transducer has changed or, in an address, a Latin letter that isn't ASCII, and be well formed; it may hold base spans, as
+where only half of an address is disguised, but doesn't lie in one. Disguised words are rewritten only between
 characters that make an address likely, so that ordinary prose is left alone. Where all of an address's marks are plain words,
 its ending is one of ENDINGS, or any after a single "dot" between words that aren't COMMON: other addresses in words are missed.
 """
@@ -30,7 +31,9 @@ KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end, place of the kind in KINDS
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+#: Latin letters of other languages, which mail systems take as well.
+_ACCENTED = frozenset(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha())
+_WIDE = re.compile("[\u00c0-\u024f]")
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -43,12 +46,12 @@ def luhn(digits: str) -> bool:
     return (odd + sum(d * 2 - 9 * (d > 4) for d in map(int, digits[-2::-2]))) % 10 == 0
 
 
-def emails(text: str) -> Iterator[tuple[int, int]]:
+def emails(text: str, local: frozenset[str] = _LOCAL) -> Iterator[tuple[int, int]]:
     """Leftmost matches that don't overlap: the longest run of local characters before each @ that a domain follows."""
     free = at = 0  # matches begin at or after free
     while (m := _AFTER_AT.search(text, at)) is not None:
         start = m.start()
-        while start > free and text[start - 1] in _LOCAL:
+        while start > free and text[start - 1] in local:
             start -= 1
         if start < m.start():
             yield start, m.end()
@@ -57,11 +60,11 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
             at = m.start() + 1
 
 
-def base_spans(text: str) -> list[Span]:
-    """The identifiers of a text as it is, in the order of KINDS and then of their start."""
+def base_spans(text: str, local: frozenset[str] = _LOCAL) -> list[Span]:
+    """The identifiers of a text as it is, in the order of KINDS and then of their start. local: what may stand before an @."""
     found: list[Span] = []
     if "@" in text:
-        found += [(a, b, 0) for a, b in emails(text)]
+        found += [(a, b, 0) for a, b in emails(text, local)]
     if _DIGIT.search(text):
         if "." in text:
             found += [(m.start(), m.end(), 1) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
@@ -260,19 +263,22 @@ def disguised(text: str) -> Tape | None:
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """What the normalised copy shows besides: spans with a changed character in them, clear of every base span."""
+    """What the normalised copy shows besides: spans with a changed or an accented character in them that lie in no base span."""
     tape = disguised(text)
     if tape is None:
-        return []
+        if "@" not in text or not _WIDE.search(text):
+            return []
+        tape = Tape(text)
     found: list[Span] = []
     own = sorted(base)
     starts, reach = [x[0] for x in own], list(itertools.accumulate((x[1] for x in own), max))
     free = dict.fromkeys(range(len(KINDS)), 0)  # where the last span of a kind ends
-    for a, b, kind in base_spans(tape.text):
+    for a, b, kind in base_spans(tape.text, _LOCAL | _ACCENTED):
         start, end = tape.source(a, b)
-        if (tape.changed.find(1, a, b) >= 0 or end - start != b - a) and start >= free[kind]:
-            before = bisect.bisect_left(starts, end)  # base spans that begin before this one ends
-            if not before or reach[before - 1] <= start:
+        odd = tape.changed.find(1, a, b) >= 0 or end - start != b - a or not kind and _WIDE.search(tape.text, a, b)
+        if odd and start >= free[kind]:
+            before = bisect.bisect_right(starts, start)  # base spans that begin no later than this one
+            if not before or reach[before - 1] < end:
                 found.append((start, end, kind))
                 free[kind] = end
     return found

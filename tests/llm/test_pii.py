@@ -72,6 +72,39 @@ def test_disguises_map_back_to_the_source(text, kind, span):
     assert all(not (a < e and s < b) for a, b, _ in added for s, e, _ in base)
 
 
+@pytest.mark.parametrize(
+    ("text", "span", "left"),
+    [
+        ("mail jоhn@example.com now", "jоhn@example.com", "mail [EMAIL] now"),
+        ("john [dot] doe@example.com", "john [dot] doe@example.com", "[EMAIL]"),
+        ("to josé.mаria@mail.example.org!", "josé.mаria@mail.example.org", "to [EMAIL]!"),
+        ("von jörg@example.de, gern", "jörg@example.de", "von [EMAIL], gern"),
+        ("a@example.com [dot] au", "a@example.com [dot] au", "[EMAIL]"),
+        ("ｊane.roe@example.com and x@y.zz", "ｊane.roe@example.com", "[EMAIL] and [EMAIL]"),
+        ("１0.1.2.3", "１0.1.2.3", "[IP]"),
+        ("+49 １51 2345678 9", "+49 １51 2345678 9", "[PHONE]"),
+    ],
+)
+def test_half_disguised_identifiers_are_found_whole(text, span, left):
+    base, added = pii.find_spans(text)
+    assert base == brute(text)
+    assert [text[a:b] for a, b, _ in added] == [span]
+    assert pii.masked(text) == left
+
+
+def test_added_spans_lie_in_no_base_span_and_masking_leaves_nothing_of_either():
+    rng = random.Random(8)
+    parts = ["jоhn", "ann", "é", ".", " [dot] ", "@", " at ", " dot ", "example", ".com", "1", "１", "92.168.0.1", "+1 415 555 123", "4", " ", "(at)", "x"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        base, added = pii.find_spans(text)
+        assert base == brute(text)
+        assert not any(s <= a and b <= e for a, b, _ in added for s, e, _ in base)
+        covered = {i for a, b, _ in base + added for i in range(a, b)}
+        kept = re.sub(r"\[(EMAIL|IP|CARD|PHONE)\]", "", pii.masked(text))
+        assert kept == "".join(c for i, c in enumerate(text) if i not in covered)
+
+
 @pytest.mark.parametrize("text", ["He looked at the dot on the map.", "the cat at home dot dot", "one two three, go!", "We met at noon. Seven of us.", "see point (a) at page 3", "nine, eight, seven, six", "we arrived at some point during lunch", "look at each dot closely", "meet me at noon dot"])
 def test_prose_is_left_alone(text):
     assert pii.find_spans(text) == ([], [])
