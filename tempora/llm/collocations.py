@@ -5,9 +5,10 @@ phrase's length; suffixes are dealt by language and first word and sorted in rev
 words of the suffix before, counts every prefix of every suffix, and so every phrase, in one pass. The counts of a phrase's parts
 are counts of phrases as well, and are joined afterwards.
 
-Of a phrase that is frequent enough all words that stand side by side are frequent pairs. So pairs are counted first, by hash, and
-a suffix ends before the first pair that isn't frequent: what is left out can't be part of a frequent phrase. All tasks know the
-frequent pairs by a bitmap of bounded size, which may let a pair through that the exact counts then leave out. Suffixes are
+Of a phrase that is frequent enough all words that stand side by side are frequent pairs, and any three are frequent triples. So
+these are counted first, pairs by hash and then triples in a fixed number of buckets, and a suffix ends before the first pair or
+triple that isn't frequent: what is left out can't be part of a frequent phrase. All tasks know what is frequent by two bitmaps
+of bounded size, which may let others through that the exact counts then leave out. Suffixes are
 added up in their task before they are shuffled. First words that would fill a task are dealt over several by the pair that they
 begin, and pairs that would fill one by their whole suffix; the counts of such pairs are added up over the tasks.
 """
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,6 +41,8 @@ UNKNOWN = "und"
 PARSED_BYTES, HELD_ROWS = 2 << 20, 1 << 19
 #: Bits of the bitmap of frequent pairs: sixteen for each, between these.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: Buckets in which triples are counted, those of a row that is sent, and the parts in which tasks' counts are added up first.
+TRIPLE_BUCKETS, SENT_BUCKETS, COUNT_PARTS = 1 << 22, 1 << 16, 64
 #: A first word is dealt over several tasks from this share of a task's words on.
 FULL_TASK = 4
 #: Parts that a language's phrases are ranked in, step by step.
@@ -100,22 +104,36 @@ class Words:
         mixed ^= mixed >> np.uint64(29)
         return at, mixed * _ODD[1]
 
+    def joined(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word whether it begins a pair that the bitmap has, and the hashes of the pairs."""
+        at, pair = self.pairs()
+        pairs = np.zeros(len(self), np.uint64)
+        pairs[at] = pair
+        out = np.zeros(len(self), bool)
+        out[at] = has(frequent, pair)
+        return out, pairs
+
+    def triples(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where two pairs of the bitmap follow each other, and a hash for each such place."""
+        joined, pairs = self.joined(frequent)
+        at = np.flatnonzero(joined[:-1] & joined[1:])
+        mixed = pairs[at] * _ODD[2] ^ pairs[at + 1]
+        return at, (mixed ^ mixed >> np.uint64(32)) * _ODD[0] >> np.uint64(20)
+
     def counts(self) -> pa.Table:
         """lang, phrase (the word) and n."""
         return pa.table({"lang": self.langs, "phrase": self.names, "n": np.bincount(self.word, minlength=len(self.names)).astype(np.int64)})
 
-    def suffixes(self, frequent: np.ndarray, max_words: int) -> pa.Table:
-        """lang, suffix (each word with a space behind it), first, pair (the hash of the first two words) and n of the different suffixes of two words or more; frequent: the bitmap of pairs."""
-        at, pair = self.pairs()
-        joined = np.zeros(len(self) + max_words, bool)
-        bit = pair & np.uint64(len(frequent) * 64 - 1)
-        pairs = np.zeros(len(self), np.uint64)
-        pairs[at] = pair
-        joined[at] = frequent[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)
+    def suffixes(self, frequent: np.ndarray, frequent_triples: np.ndarray, max_words: int) -> pa.Table:
+        """lang, suffix (each word with a space behind it), first, pair (the hash of the first two words) and n of the different suffixes of two words or more; by the bitmaps of pairs and triples."""
+        joined, pairs = self.joined(frequent)
+        at, triple = self.triples(frequent)
+        going_on = np.zeros(len(self) + max_words, bool)
+        going_on[at] = has(frequent_triples, triple)
         begin = np.flatnonzero(joined)
         on, deep, ids = np.ones(len(begin), bool), [], self.word[begin]
         for k in range(max_words - 1):
-            on = on & joined[begin + k]
+            on = on & going_on[begin + k - 1] if k else on
             word = np.where(on, self.word[np.minimum(begin + k + 1, len(self) - 1)], -1)
             deep.append(word)
             ids = np.unique(ids * np.int64(len(self.names) + 1) + word + 1, return_inverse=True)[1]
@@ -126,6 +144,12 @@ class Words:
         return pa.table({"lang": self.langs.take(first), "suffix": pc.binary_join_element_wise(suffix, "", " "), "first": parts[0], "pair": pairs[begin][one].view(np.int64), "n": n.astype(np.int64)})
 
 
+def has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bit of each hash is set; a bitmap has a power of two of words of 64 bits."""
+    bit = hashes & np.uint64(len(bitmap) * 64 - 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in batches:
         for part in slices(batch, limit=PARSED_BYTES):
@@ -200,6 +224,42 @@ def bitmap(keys: DataFrame, key: str, n: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def frequent_triples(texts: DataFrame, pairs: np.ndarray, min_count: int) -> np.ndarray:
+    """The bitmap of the buckets that have min_count triples of frequent pairs.
+
+    Counts beyond min_count are sent as min_count, and added up over parts of the tasks first, so a row is a byte a bucket and no
+    task reads more rows than there are parts, or tasks in a part.
+    """
+    kind, size = (np.uint8 if min_count < 256 else np.uint32), min(SENT_BUCKETS, TRIPLE_BUCKETS)
+    schema = ["chunk", "part", "counts"]
+
+    def batch_of(chunks: dict[int, np.ndarray], part: int) -> pa.RecordBatch:
+        sent = [np.minimum(c, min_count).astype(kind).tobytes() for c in chunks.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([part] * len(sent), pa.int32()), pa.array(sent, pa.binary())], schema)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(TRIPLE_BUCKETS, np.int32)
+        for words in parsed(batches):
+            bucket, n = np.unique(words.triples(pairs)[1] & np.uint64(TRIPLE_BUCKETS - 1), return_counts=True)
+            counts[bucket.astype(np.int64)] += n.astype(np.int32)
+        chunks = counts.reshape(-1, size)
+        yield batch_of({k: chunks[k] for k in np.flatnonzero(chunks.any(1)).tolist()}, TaskContext.get().partitionId() % COUNT_PARTS)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, sent in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                chunks[k] = np.minimum(np.frombuffer(sent, kind).astype(np.int64) + chunks.get(k, 0), min_count)
+        yield batch_of(chunks, 0)
+
+    shape = "chunk int, part int, counts binary"
+    sums = texts.mapInArrow(counted, shape).repartition("chunk", "part").mapInArrow(added, shape).repartition("chunk").mapInArrow(added, shape)
+    out = np.zeros(TRIPLE_BUCKETS, bool)
+    for row in sums.toLocalIterator():  # a byte a bucket, whatever the corpus holds
+        out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["counts"], kind) >= min_count
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
 def prefixes(rows: Iterator[tuple[str, str, int, bool]], min_count: int) -> Iterator[tuple[str, str, int, int]]:
     """lang, phrase, its number of words and n of every prefix of two words or more of the suffixes, which are sorted in reverse.
 
@@ -252,6 +312,7 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
     totals = stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
     pairs = counted.where(F.col("pair").isNotNull() & (F.col("n") >= min_count)).select("pair", "n")
     known = bitmap(pairs, "pair", pairs.count())
+    triples = frequent_triples(texts, known, min_count)
     fill = max(1, (words.agg(F.sum("n")).first()[0] or 0) // (FULL_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     full, full_pairs = full_keys(words, ["lang", "phrase"], fill), full_keys(pairs, ["pair"], fill)
 
@@ -266,7 +327,7 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
                 yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("suffix"), b.column("first"), b.column("n"), pa.array(part, pa.int64()), pa.array(over, pa.int64())], ["lang", "suffix", "first", "n", "part", "over"])
 
         for words in parsed(batches):
-            yield from dealt(sums.add(words.suffixes(known, max_words)))
+            yield from dealt(sums.add(words.suffixes(known, triples, max_words)))
         yield from dealt(sums.rest())
 
     def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -84,6 +84,14 @@ def test_hashes_of_words_are_those_of_their_bytes_wherever_they_stand():
     assert (c.byte_hashes(pa.array(words, pa.binary())[3:]) == got[3:]).all()
 
 
+def test_buckets_of_triples_hold_what_is_frequent(spark):
+    rows = [("a b c d", "en")] * 6 + [("x y z", "en")] * 3
+    texts = c.spoken(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    every = np.full(16, 2**64 - 1, np.uint64)
+    for least, found in ((3, 3), (4, 2), (7, 0), (300, 0)):
+        assert int(np.bitwise_count(c.frequent_triples(texts, every, least)).sum()) == found
+
+
 def test_every_prefix_is_counted_once_by_the_stack():
     suffixes = Counter({("de", "a b "): 1, ("en", "a b c "): 2, ("en", "a b\x01 "): 4, ("en", "a b "): 8, ("en", "b c "): 3})
     rows = sorted(((lang, s, n, True) for (lang, s), n in suffixes.items()), key=lambda r: (r[0], [-b for b in r[1].encode()] + [1]))
@@ -94,6 +102,8 @@ def test_every_prefix_is_counted_once_by_the_stack():
 def test_a_full_bitmap_lets_everything_through_and_changes_nothing(spark, monkeypatch):
     rows = documents_of(5)
     docs = spark.createDataFrame(rows, "text string, lang string")
+    monkeypatch.setattr(c, "TRIPLE_BUCKETS", 64)
+    assert collected(c.collocations(docs, 5, 3)) == brute(rows, 5, 3, 2000, 100)
     monkeypatch.setattr(c, "bitmap", lambda keys, key, n: np.full(16, 2**64 - 1, np.uint64))
     assert collected(c.collocations(docs, 5, 3)) == brute(rows, 5, 3, 2000, 100)
 
