@@ -36,6 +36,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def staged_so_far() -> int:
+    return len(_staged)
+
+
+def drop_since(spark: SparkSession, count: int, keep: str | None = None) -> None:
+    """Drops what has been staged since staged_so_far() said count, but for one path; nothing may read it any more."""
+    later = [x for x in _staged[count:] if x[1] != keep]
+    _staged[count:] = [x for x in _staged[count:] if x[1] == keep]
+    for _, path in later:
+        drop_path(spark, path)
+
+
 def _release() -> None:
     for spark, path in _staged:
         try:
