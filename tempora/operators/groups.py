@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -57,3 +58,54 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], compute: Callabl
             yield made(table, changes(table).tolist())
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+class Folder(Protocol):
+    """What a sequence leaves behind as it is read row by row."""
+
+    def add(self, row: tuple) -> Iterable[tuple]:
+        """Rows that are certain with this one."""
+
+    def end(self) -> Iterable[tuple]:
+        """What is left when the sequence ends."""
+
+
+#: Rows of a fold's result that are handed on together.
+FOLDED_ROWS = 8_192
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], begin: Callable[[tuple], Folder], schema: str) -> DataFrame:
+    """Rows that a folder makes of each group's rows, which come in order; begin gets the group's keys.
+
+    Only the folder's state is held, never a group: a group may be of any length, but one task reads it.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    places = [df.columns.index(k) for k in keys]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        parts = list(zip(*rows, strict=True)) or [()] * len(arrow)
+        return pa.RecordBatch.from_arrays([pa.array(p, f.type) for p, f in zip(parts, arrow, strict=True)], schema=arrow)
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        own, folder = None, None
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                key = tuple(row[i] for i in places)
+                if folder is None or key != own:
+                    if folder is not None:
+                        yield from folder.end()
+                    own, folder = key, begin(key)
+                yield from folder.add(row)
+        if folder is not None:
+            yield from folder.end()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for row in rows_of(batches):
+            held.append(row)
+            if len(held) >= FOLDED_ROWS:
+                yield batch(held)
+                held = []
+        yield batch(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

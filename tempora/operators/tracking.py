@@ -1,16 +1,30 @@
-"""Tracks of boxes: sessions that end at pauses and cuts, and greedy association by overlap inside them."""
+"""Tracks of boxes: sessions that end at pauses and cuts, and inside them association by motion and overlap in two passes.
+
+Every track carries a filter of constant velocity for its box's centre, aspect and height. In each frame the confident boxes are
+matched with where the tracks, lost ones too, are expected; what is left of the tracks in view is then matched with the
+unsure boxes, which never begin a track. A track that no box joins is lost, goes on moving as it did, and ends after `buffer`
+frames. Only earlier frames decide, and a folder holds nothing but the tracks that are alive.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tempora.operators.groups import Columns, ddl, per_group
+from tempora.operators.groups import ddl, folded
 from tempora.operators.sequences import numbered_runs
 
-TRACK = "track int, status string"
+TRACK = "track int, status string, x1 double, y1 double, x2 double, y2 double, score double"
+
+#: What a filter's deviations are of a box's height, at first and from frame to frame, and those of its aspect.
+POSITION, VELOCITY = 1 / 20, 1 / 160
+ASPECT_POSITION, ASPECT_VELOCITY, ASPECT_SEEN = 1e-2, 1e-5, 1e-1
+FIRST_POSITION, FIRST_VELOCITY = 2, 10
 
 
 def sessions(frames: DataFrame, cadence_us: int) -> DataFrame:
@@ -20,63 +34,199 @@ def sessions(frames: DataFrame, cadence_us: int) -> DataFrame:
     return numbered_runs(frames, F.coalesce(pause | F.col("cut"), F.lit(False)), ["episode_id"], "pts_us", "shot")
 
 
+@dataclass(frozen=True)
+class Settings:
+    """confident: the score from which a box may begin or join a track at first; unsure: that from which it may keep one in view.
+
+    A pair is possible if 1 - overlap x score stays under first_cost (or fresh_cost, for tracks of one frame), and 1 - overlap
+    under second_cost for unsure boxes. Boxes that two tracks share by this much are one; the track that began later goes.
+    """
+
+    confident: float = 0.25
+    unsure: float = 0.1
+    first_cost: float = 0.8
+    second_cost: float = 0.5
+    fresh_cost: float = 0.7
+    same: float = 0.85
+    buffer: int = 10
+
+
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box of a with every one of b."""
+    """IoU of every box of a with every one of b; 0 where both are empty."""
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
     shared = np.clip(high - low, 0, None).prod(2)
     area = lambda x: (x[:, 2:] - x[:, :2]).prod(1)
-    return shared / (area(a)[:, None] + area(b)[None] - shared)
+    whole = area(a)[:, None] + area(b)[None] - shared
+    return np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
 
 
-def associate(frames: list[tuple[int, np.ndarray, list]], least_iou: float, buffer: int) -> list[tuple]:
-    """(frame, row, track, status) of boxes frame by frame: a box joins the free track that it overlaps most, else begins one.
+def assignment(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
+    """Pairs of rows and columns, one to one, of cost under the limit, by which the sum of what the costs lie under it is largest.
 
-    A track unseen for up to `buffer` frames is predicted where it was last; only earlier frames decide.
+    Rows are placed one after another, each along the cheapest path of exchanges, kept cheap by prices of rows and columns.
     """
-    tracks: dict[int, tuple[np.ndarray, int]] = {}
-    out, number = [], 0
-    for place, (frame, boxes, rows) in enumerate(frames):
-        ids = list(tracks)
-        free, taken = set(range(len(boxes))), set()
-        if ids and len(boxes):
-            iou = overlaps(np.stack([tracks[t][0] for t in ids]), boxes)
-            for flat in np.argsort(-iou, axis=None, kind="stable"):
-                t, b = divmod(int(flat), len(boxes))
-                if iou[t, b] < least_iou:
-                    break
-                if b in free and ids[t] not in taken:
-                    free.discard(b), taken.add(ids[t])
-                    tracks[ids[t]] = (boxes[b], place)
-                    out.append((frame, rows[b], ids[t], "observed"))
-        for b in sorted(free):
-            tracks[number] = (boxes[b], place)
-            out.append((frame, rows[b], number, "observed"))
-            number += 1
-        for t, (_, seen) in list(tracks.items()):
-            if place - seen > buffer:
-                del tracks[t]
-            elif seen < place:
-                out.append((frame, None, t, "predicted"))
-    return out
-
-
-def track(boxes: DataFrame, frames: DataFrame, least_iou: float = 0.3, buffer: int = 30) -> DataFrame:
-    """episode_id, shot, class, frame_id, box (null where only predicted), track and status; classes never share a track.
-
-    boxes: frame_id, box, class, x1..y2; frames: frame_id, episode_id, shot, pts_us. A shot's boxes of one class go to one task.
+    gain = np.clip(limit - cost, 0, None)
+    if not gain.any():
+        return []
+    turned = gain.shape[0] > gain.shape[1]
+    gain = gain.T if turned else gain
+    rows, columns = gain.shape
+    row_price, price = np.zeros(rows), np.zeros(columns)
+    holder = np.full(columns, -1)  # the row that has a column
+    for new in range(rows):
+        least, came, done = np.full(columns, np.inf), np.full(columns, -1), np.zeros(columns, bool)
+        row, column, along = new, -1, [new]
+        while True:
+            step = -gain[row] - row_price[row] - price
+            nearer = ~done & (step < least)
+            least[nearer], came[nearer] = step[nearer], column
+            column = int(np.where(done, np.inf, least).argmin())
+            delta = least[column]
+            row_price[along] += delta
+            price[done] -= delta
+            least[~done] -= delta
+            done[column] = True
+            if holder[column] < 0:
+                break
+            row = holder[column]
+            along.append(row)
+        while column >= 0:  # back along the path, each column to the row before it
+            before = came[column]
+            holder[column] = holder[before] if before >= 0 else new
+            column = before
+    pairs = [(int(r), c) for c, r in enumerate(holder) if r >= 0 and gain[r, c] > 0]
+    return sorted((c, r) for r, c in pairs) if turned else sorted(pairs)
+
+
+def measured(boxes: np.ndarray) -> np.ndarray:
+    """Centre, aspect and height of corners."""
+    size = boxes[:, 2:] - boxes[:, :2]
+    return np.column_stack([(boxes[:, :2] + boxes[:, 2:]) / 2, size[:, 0] / size[:, 1], size[:, 1]])
+
+
+def corners(state: np.ndarray) -> np.ndarray:
+    half = np.column_stack([state[:, 2] * state[:, 3], state[:, 3]]) / 2
+    return np.column_stack([state[:, :2] - half, state[:, :2] + half])
+
+
+def deviations(height: float, aspect: float, of_height: float) -> np.ndarray:
+    return np.array([of_height * height, of_height * height, aspect, of_height * height])
+
+
+class Track:
+    """Four filters side by side, each of a value and its velocity, with their (co)variances; and what has been seen of the box."""
+
+    def __init__(self, number: int, z: np.ndarray, score: float, frame: int, confirmed: bool):
+        self.number, self.score, self.began, self.seen, self.confirmed, self.lost = number, score, frame, frame, confirmed, False
+        self.value, self.velocity = z.copy(), np.zeros(4)
+        self.var = (FIRST_POSITION * deviations(z[3], ASPECT_POSITION / FIRST_POSITION, POSITION)) ** 2
+        self.both = np.zeros(4)
+        self.velocity_var = (FIRST_VELOCITY * deviations(z[3], ASPECT_VELOCITY / FIRST_VELOCITY, VELOCITY)) ** 2
+
+    def predict(self) -> None:
+        if self.lost:
+            self.velocity[3] = 0  # a box out of view doesn't grow
+        noise = deviations(self.value[3], ASPECT_POSITION, POSITION) ** 2, deviations(self.value[3], ASPECT_VELOCITY, VELOCITY) ** 2
+        self.value = self.value + self.velocity
+        self.var = self.var + 2 * self.both + self.velocity_var + noise[0]
+        self.both = self.both + self.velocity_var
+        self.velocity_var = self.velocity_var + noise[1]
+
+    def join(self, z: np.ndarray, score: float, frame: int) -> None:
+        whole = self.var + deviations(self.value[3], ASPECT_SEEN, POSITION) ** 2
+        trust, pull, off = self.var / whole, self.both / whole, z - self.value
+        self.value, self.velocity = self.value + trust * off, self.velocity + pull * off
+        self.velocity_var = self.velocity_var - pull * self.both
+        self.var, self.both = self.var * (1 - trust), self.both * (1 - trust)
+        self.score, self.seen, self.confirmed, self.lost = score, frame, True, False
+
+
+class Tracker:
+    """The tracks of one class in one shot, frame by frame."""
+
+    def __init__(self, settings: Settings):
+        self.settings, self.tracks, self.frame, self.numbers = settings, [], 0, 0
+
+    def step(self, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[Track, int | None]]:
+        """The tracks in view, each with the place of its box, and the lost ones with none, after one more frame."""
+        s, frame = self.settings, self.frame
+        self.frame += 1
+        z = measured(boxes)
+        sure, unsure = np.flatnonzero(scores >= s.confident), np.flatnonzero((scores > s.unsure) & (scores < s.confident))
+        known, fresh = [t for t in self.tracks if t.confirmed], [t for t in self.tracks if not t.confirmed]
+        for t in known:
+            t.predict()
+        joined: dict[int, int] = {}
+
+        def match(tracks: list[Track], places: np.ndarray, limit: float, by_score: bool) -> tuple[list[Track], np.ndarray]:
+            if not len(tracks) or not len(places):
+                return tracks, places
+            overlap = overlaps(corners(np.stack([t.value for t in tracks])), boxes[places])
+            pairs = assignment(1 - overlap * (scores[places] if by_score else 1), limit)
+            for i, j in pairs:
+                tracks[i].join(z[places[j]], float(scores[places[j]]), frame)
+                joined[id(tracks[i])] = int(places[j])
+            rows, columns = {i for i, _ in pairs}, {j for _, j in pairs}
+            return [t for i, t in enumerate(tracks) if i not in rows], places[[j for j in range(len(places)) if j not in columns]]
+
+        left, sure = match(known, sure, s.first_cost, True)
+        left, _ = match([t for t in left if not t.lost], unsure, s.second_cost, False)
+        for t in left:
+            t.lost = True
+        gone, sure = match(fresh, sure, s.fresh_cost, True)
+        self.tracks = [t for t in self.tracks if t not in gone]
+        for place in sure:  # boxes in view from the first frame on need no second sight
+            self.numbers += 1
+            self.tracks.append(Track(self.numbers, z[place], float(scores[place]), frame, confirmed=not frame))
+            joined[id(self.tracks[-1])] = int(place)
+        self.tracks = [t for t in self.tracks if not t.lost or frame - t.seen <= s.buffer]
+        self._merge()
+        return [(t, joined.get(id(t))) for t in self.tracks if t.confirmed]
+
+    def _merge(self) -> None:
+        here, lost = [t for t in self.tracks if t.confirmed and not t.lost], [t for t in self.tracks if t.lost]
+        if here and lost:
+            shared = overlaps(*(corners(np.stack([t.value for t in x])) for x in (here, lost)))
+            drop = {id(here[i] if here[i].seen - here[i].began <= lost[j].seen - lost[j].began else lost[j]) for i, j in np.argwhere(shared > self.settings.same)}
+            self.tracks = [t for t in self.tracks if id(t) not in drop]
+
+
+class Shot:
+    """A folder over the rows (keys, pts_us, frame_id, box, corners, score) of one class in one shot."""
+
+    def __init__(self, key: tuple, settings: Settings, cadence_us: int, width: float, height: float):
+        self.key, self.tracker, self.cadence_us, self.size = key, Tracker(settings), cadence_us, np.array([width, height, width, height])
+        self.at: int | None = None
+        self.frame, self.rows = None, []
+
+    def add(self, row: tuple) -> Iterator[tuple]:
+        pts, frame, box, *rest = row[len(self.key) :]
+        if self.frame is None or frame != self.frame:
+            yield from self.end()
+            if self.at is not None and abs(pts - self.at - self.cadence_us) > 1:
+                raise ValueError(f"frames of a shot must follow each other by the cadence: {pts - self.at} us")
+            self.at, self.frame, self.rows = pts, frame, []
+        if box is not None:
+            self.rows.append((box, *rest))
+
+    def end(self) -> Iterator[tuple]:
+        if self.frame is None or not (self.rows or self.tracker.frame):
+            return  # a class is followed from the first frame that shows it
+        boxes, scores = np.array([r[1:5] for r in self.rows], float).reshape(-1, 4), np.array([r[5] for r in self.rows], float)
+        for t, place in self.tracker.step(boxes, scores):
+            x1, y1, x2, y2 = np.clip(corners(t.value[None])[0], 0, self.size).tolist()
+            if x1 < x2 and y1 < y2:
+                yield (*self.key, self.frame, None if place is None else self.rows[place][0], t.number, "predicted" if place is None else "observed", x1, y1, x2, y2, t.score)
+
+
+def track(boxes: DataFrame, frames: DataFrame, cadence_us: int, width: float, height: float, settings: Settings = Settings()) -> DataFrame:
+    """episode_id, shot, class, frame_id, box (null where only predicted), track, status, the filtered corners and the last score.
+
+    boxes: frame_id, box, class, x1..y2, score; frames: frame_id, episode_id, shot, pts_us. Classes never share a track, nor do
+    shots. Frames of a shot must follow each other by the cadence, to one microsecond, else the task raises. Corners are cut off
+    at the frame's edges, and a track wholly outside gives no row. One task goes through a shot's boxes of one class.
     """
     classes = boxes.join(frames, "frame_id").select("episode_id", "shot", "class").distinct()
     own = frames.join(classes, ["episode_id", "shot"]).join(boxes, ["frame_id", "class"], "left")
-
-    def run(group: Columns) -> list[tuple]:
-        order: list[tuple[int, list, list]] = []
-        for frame, number, *corners in zip(*[group[c] for c in ("frame_id", "box", "x1", "y1", "x2", "y2")], strict=True):
-            if not order or order[-1][0] != frame:
-                order.append((frame, [], []))
-            if number is not None:
-                order[-1][1].append(corners), order[-1][2].append(number)
-        rows = associate([(f, np.array(b, float).reshape(-1, 4), r) for f, b, r in order], least_iou, buffer)
-        head = group["episode_id"][0], group["shot"][0], group["class"][0]
-        return [(*head, *r) for r in rows]
-
-    return per_group(own, ["episode_id", "shot", "class"], ["pts_us", "frame_id", "box"], run, f"{ddl(own, 'episode_id', 'shot', 'class', 'frame_id')}, box int, {TRACK}")
+    own = own.select("episode_id", "shot", "class", "pts_us", "frame_id", "box", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2", "score")])
+    return folded(own, ["episode_id", "shot", "class"], ["pts_us", "frame_id", "box"], lambda key: Shot(key, settings, cadence_us, width, height), f"{ddl(own, 'episode_id', 'shot', 'class', 'frame_id')}, box int, {TRACK}")

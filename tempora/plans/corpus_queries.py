@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempora.operators import convolution, corpus, packets, tracking
@@ -38,10 +39,17 @@ def packet_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.packet_violations(p, line, 66)
 
 
+#: Frames of the orders' clock lie so far apart, and orders further apart than so many days are of two shots.
+FRAME_US, SHOT_DAYS = 100_000, 200
+
+
 def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of a customer as frames of an episode, in the order of their dates."""
-    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), F.col("o_custkey").alias("episode_id"), F.lit(0).alias("shot"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("pts_us"))
-    return tracking.track(views.detections(spark, sf_dir).select("frame_id", "box", "class", "x1", "y1", "x2", "y2"), o, buffer=2)
+    """Orders of a customer as frames of an episode, in the order of their dates; a long time without one is a cut. Half of the lines are unsure boxes or none."""
+    orders = views.table(spark, sf_dir, "orders").withColumn("day", F.datediff(F.col("o_orderdate"), F.lit("1970-01-01")))
+    at = W.partitionBy("o_custkey").orderBy("day", "o_orderkey")
+    o = orders.select(F.col("o_orderkey").alias("frame_id"), F.col("o_custkey").alias("episode_id"), (F.row_number().over(at) * FRAME_US).cast("long").alias("pts_us"), (F.col("day") - F.lag("day").over(at) > SHOT_DAYS).alias("cut"))
+    boxes = views.detections(spark, sf_dir).withColumn("score", F.round(1 - 1.9 * (1 - F.col("score")), 6))
+    return tracking.track(boxes, tracking.sessions(o, FRAME_US), FRAME_US, 640, 480)
 
 
 def causal_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,15 +55,6 @@ def test_packets(spark):
     assert {r["sample_id"] for r in packets.review_violations(reviews).collect()} == {3, 4}
 
 
-def test_tracks_keep_ids_and_only_look_back():
-    box = lambda x: [x, 0.0, x + 10, 10.0]
-    frames = [(i, np.array([box(i), box(100 + i)]) if i != 2 else np.array([box(2)]), [0, 1] if i != 2 else [0]) for i in range(4)]
-    rows = tracking.associate(frames, 0.3, 5)
-    assert [r[2] for r in rows if r[3] == "observed" and r[1] == 1] == [1, 1, 1]
-    assert (2, None, 1, "predicted") in rows
-    assert [r for r in tracking.associate(frames[:2], 0.3, 5)] == [r for r in rows if r[0] < 2]
-
-
 def test_sessions(spark):
     f = spark.createDataFrame([(1, p, c) for p, c in [(0, False), (100, False), (260, False), (360, True), (460, False)]], "episode_id long, pts_us long, cut boolean")
     assert [r["shot"] for r in tracking.sessions(f, 100).orderBy("pts_us").collect()] == [0, 0, 1, 2, 2]
