@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.operators import scans
 from tempora.operators.groups import Columns, ddl, per_group
 
 
@@ -144,6 +145,7 @@ def smoothed(emission: np.ndarray, transition: np.ndarray, initial: np.ndarray)
     ahead = np.zeros_like(emission)
     for t in range(len(emission) - 2, -1, -1):
         ahead[t] = _log_sum(transition + (emission[t + 1] + ahead[t + 1])[None], 1)
+        _admissible(ahead[t])
         ahead[t] -= ahead[t].max()
     joint = forward(emission, transition, initial) + ahead
     for row in joint:
@@ -171,7 +173,10 @@ def segment_viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.nd
     """The most likely segments (start, end, state) whose lengths are scored by duration[state, length - 1] and whose states change."""
     _checked(emission)
     n, k = emission.shape
-    total = np.vstack([np.zeros(k), emission.cumsum(0)])
+    # What can't be is counted apart: two sums of minus infinity have no difference.
+    barred = np.isneginf(emission)
+    total = np.vstack([np.zeros(k), np.where(barred, 0, emission).cumsum(0)])
+    bars = np.vstack([np.zeros(k, int), barred.cumsum(0)])
     change = np.where(np.eye(k, dtype=bool), -np.inf, transition)
     entry, came = np.full((n + 1, k), -np.inf), np.zeros((n + 1, k), int)  # best weight with which a segment of a state begins
     entry[0], came[0] = initial, -1
@@ -179,7 +184,7 @@ def segment_viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.nd
     for end in range(1, n + 1):
         lengths = np.arange(1, min(end, duration.shape[1]) + 1)
         starts = end - lengths
-        weight = entry[starts] + duration[:, : len(lengths)].T + total[end] - total[starts]
+        weight = np.where(bars[end] > bars[starts], -np.inf, entry[starts] + duration[:, : len(lengths)].T + total[end] - total[starts])
         length[end] = lengths[weight.argmax(0)]
         best[end] = weight.max(0)
         options = best[end][:, None] + change
@@ -194,24 +199,20 @@ def segment_viterbi(emission: np.ndarray, transition: np.ndarray, initial: np.nd
     return out[::-1], float(best[n].max())
 
 
-def decode_runs(cells: DataFrame, run_keys: list[str], scores: str, order: str, method: str, transition: np.ndarray, initial: np.ndarray, duration_mean: float = 4.0, longest: int = 64) -> DataFrame:
-    """Decodes each run of rows by `filter`, `smooth`, `viterbi` or `segments`: run keys, order and state. A run is one sequence and goes to one task."""
-    if method not in ("filter", "smooth", "viterbi", "segments"):
-        raise ValueError("unknown method")
+def decode_runs(cells: DataFrame, run_keys: list[str], scores: str, order: str, method: str, transition: np.ndarray, initial: np.ndarray, duration_mean: float = 4.0, longest: int = 64, block_rows: int = scans.BLOCK_ROWS) -> DataFrame:
+    """Decodes each run of rows by `filter`, `smooth`, `viterbi` or `segments`: run keys, order and state.
+
+    The first three go through blocks of rows, so a run may be of any length. For segments, whose states also have a length, a run goes to one task.
+    """
+    if method != "segments":
+        return scans.decode(cells.select(*run_keys, order, scores), run_keys, scores, order, method, transition, initial, block_rows)
 
     def run(group: Columns) -> list[tuple]:
         e = np.array(group[scores], float)
-        if method == "filter":
-            path = forward(e, transition, initial).argmax(1)
-        elif method == "smooth":
-            path = smoothed(e, transition, initial).argmax(1)
-        elif method == "viterbi":
-            path = viterbi(e, transition, initial)[0]
-        else:
-            d = np.arange(1, min(len(e), longest) + 1)
-            path = np.empty(len(e), int)
-            for a, b, k in segment_viterbi(e, transition, initial, np.tile(-0.1 * ((d - duration_mean) / duration_mean) ** 2, (e.shape[1], 1)))[0]:
-                path[a:b] = k
+        d = np.arange(1, min(len(e), longest) + 1)
+        path = np.empty(len(e), int)
+        for a, b, k in segment_viterbi(e, transition, initial, np.tile(-0.1 * ((d - duration_mean) / duration_mean) ** 2, (e.shape[1], 1)))[0]:
+            path[a:b] = k
         return list(zip(*[group[k] for k in run_keys], group[order], path.tolist(), strict=True))
 
     return per_group(cells.select(*run_keys, order, scores), run_keys, [order], run, ddl(cells, *run_keys, order) + ", state int")
