@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora.operators import admission
 from tempora.operators import learning as ln
+from tempora.operators import scans
 from tempora.operators import sequences as sq
 from tempora.plans import sequence_queries as known
 from tempora.plans import window_queries as windows
@@ -107,7 +108,66 @@ def stream_closed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (ridge_scores, platt_calibrated, hmm_filter, hmm_smooth, hmm_viterbi, hsmm_segments, event_matching, greedy_segment_f1, admission_facts, stream_departure, stream_hysteresis, stream_closed_bins)}
 
+#: The decoders' recursions, a row of every run at a time. Viterbi weights are whole numbers, as in operators.scans.
+_CENTRES = (20.0, 60.0, 120.0)
+_RUNS = """, marked AS (SELECT *, event_type <> 'error' AS valid FROM frames),
+        cuts AS (SELECT *, CASE WHEN lag(valid) OVER w IS NOT DISTINCT FROM valid THEN 0 ELSE 1 END AS cut FROM marked WINDOW w AS (PARTITION BY episode_id ORDER BY frame_index)),
+        runs AS (SELECT *, sum(cut) OVER (PARTITION BY episode_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM cuts)"""
+
+
+def _cells_sql(weight: str) -> str:
+    scores = ", ".join(f"{weight.format(f'-pow((value - {c}) / 40, 2)')} AS e{k}" for k, c in enumerate(_CENTRES))
+    return f"{_RUNS}, cells AS MATERIALIZED (SELECT episode_id, run, frame_index, row_number() OVER w AS t, count(*) OVER (PARTITION BY episode_id, run) AS n, {scores} FROM runs WHERE valid WINDOW w AS (PARTITION BY episode_id, run ORDER BY frame_index))"
+
+
+def _recursive(body: str) -> str:
+    return sql("frames", body=body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _step(j: int, k: int) -> float:
+    return float(STAY[j, k])
+
+
+def _viterbi_sql() -> str:
+    to = lambda x: int(np.rint(x * scans.UNIT))
+    options = [[f"v.v{j} + ({to(STAY[j, k])})" for j in range(STATES)] for k in range(STATES)]
+    lowest = lambda o: f"CASE WHEN {o[0]} >= greatest({o[1]}, {o[2]}) THEN 0 WHEN {o[1]} >= {o[2]} THEN 1 ELSE 2 END"
+    own = ["v.v0", "v.v1", "v.v2"]
+    forward = ", ".join(f"c.e{k} + greatest({', '.join(options[k])})" for k in range(STATES)) + ", " + ", ".join(lowest(options[k]) for k in range(STATES))
+    start = ", ".join(f"e{k} + ({to(START[k])}) AS v{k}" for k in range(STATES)) + ", " + ", ".join(f"0 AS b{k}" for k in range(STATES))
+    return _recursive(
+        _cells_sql(f"round({{}} * {scans.UNIT})::BIGINT")
+        + f""", v AS (SELECT episode_id, run, frame_index, t, n, {start} FROM cells WHERE t = 1 UNION ALL
+        SELECT c.episode_id, c.run, c.frame_index, c.t, c.n, {forward} FROM v JOIN cells c ON c.episode_id = v.episode_id AND c.run = v.run AND c.t = v.t + 1),
+        back AS (SELECT episode_id, run, frame_index, t, {lowest(own)} AS state, CASE {lowest(own)} WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS came FROM v WHERE t = n UNION ALL
+        SELECT v.episode_id, v.run, v.frame_index, v.t, b.came, CASE b.came WHEN 0 THEN v.b0 WHEN 1 THEN v.b1 ELSE v.b2 END FROM back b JOIN v ON v.episode_id = b.episode_id AND v.run = b.run AND v.t = b.t - 1)
+        SELECT episode_id, run, frame_index, state::INTEGER AS state FROM back"""
+    )
+
+
+def _likely_sql(smooth: bool) -> str:
+    """v: log weights of the states so far, made to add up to one; w: of what follows."""
+    total = "ln(exp({0}) + exp({1}) + exp({2}))"
+    plain = lambda t, *x: t.format(*x)
+    first = [f"e{k} + ({float(START[k])})" for k in range(STATES)]
+    ahead = [f"c.e{k} + {plain(total, *[f'v.v{j} + ({_step(j, k)})' for j in range(STATES)])}" for k in range(STATES)]
+    scaled = lambda xs: ", ".join(f"{x} - {plain(total, *xs)}" for x in xs)
+    named = ", ".join(f"{x} - {plain(total, *first)} AS v{k}" for k, x in enumerate(first))
+    v = f""", v AS (SELECT episode_id, run, frame_index, t, n, {named} FROM cells WHERE t = 1 UNION ALL
+        SELECT c.episode_id, c.run, c.frame_index, c.t, c.n, {scaled(ahead)} FROM v JOIN cells c ON c.episode_id = v.episode_id AND c.run = v.run AND c.t = v.t + 1)"""
+    after = [plain(total, *[f"({_step(j, k)}) + c.e{k} + w.w{k}" for k in range(STATES)]) for j in range(STATES)]
+    w = f""", w AS (SELECT episode_id, run, t, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM cells WHERE t = n UNION ALL
+        SELECT c.episode_id, c.run, c.t - 1, {scaled(after)} FROM w JOIN cells c ON c.episode_id = w.episode_id AND c.run = w.run AND c.t = w.t WHERE c.t > 1)"""
+    joint = [f"v{k} + w{k}" for k in range(STATES)] if smooth else [f"v{k}" for k in range(STATES)]
+    shares = ", ".join(f"round(exp({x} - {plain(total, *joint)}), {scans.DIGITS}) AS p{k}" for k, x in enumerate(joint))
+    rows = "v JOIN w USING (episode_id, run, t)" if smooth else "v"
+    return _recursive(_cells_sql("({})") + v + (w if smooth else "") + f", p AS (SELECT episode_id, run, frame_index, {shares} FROM {rows}) SELECT episode_id, run, frame_index, CASE WHEN p0 >= greatest(p1, p2) THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state FROM p")
+
+
 ORACLE_SQL = {
+    "hmm_viterbi": _viterbi_sql(),
+    "hmm_filter": _likely_sql(False),
+    "hmm_smooth": _likely_sql(True),
     "admission_facts": sql(
         "frames",
         body=f""", j AS (SELECT episode_id, event_id AS job_id, pts_us, k + 1 AS b, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS m FROM frames),
