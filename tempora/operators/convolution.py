@@ -114,12 +114,26 @@ def released_at(cells: DataFrame, order: str = "frame_index") -> DataFrame:
     return cells.withColumn("released_us", F.max("available_us").over(so_far))
 
 
-def predict(cells: DataFrame, network: Network, features: str, valid: str, order: str = "frame_index") -> DataFrame:
-    """episode_id, order and state (null for rows that aren't valid) of each row; an episode is one sequence and goes to one task."""
+#: Rows of a sequence that one task takes, besides those before it that they depend on.
+BLOCK_ROWS = 4096
+
+
+def predict(cells: DataFrame, network: Network, features: str, valid: str, order: str = "frame_index", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """episode_id, order and state (null for rows that aren't valid) of each row.
+
+    An episode is cut into blocks, each of which also gets the `reach - 1` rows before it; so no episode is ever held whole.
+    """
+    place = F.row_number().over(W.partitionBy("episode_id").orderBy(order)).cast("long") - 1
+    placed = cells.select("episode_id", order, features, valid).withColumn("_place", place)
+    own = F.floor(F.col("_place") / block_rows)
+    needed = F.sequence(own, F.floor((F.col("_place") + (network.reach - 1)) / block_rows))
+    placed = placed.withColumn("_last", F.floor(F.max("_place").over(W.partitionBy("episode_id")) / block_rows))
+    dealt = placed.select("*", own.alias("_own"), F.explode(needed).alias("_block")).where(F.col("_block") <= F.col("_last"))
 
     def run(group: Columns) -> list[tuple]:
         ok = np.array(group[valid], bool)
         best = network(np.array(group[features], float), ok).argmax(1).tolist()
-        return [(e, o, b if v else None) for e, o, b, v in zip(group["episode_id"], group[order], best, ok, strict=True)]
+        rows = zip(group["episode_id"], group[order], best, ok, group["_own"], group["_block"], strict=True)
+        return [(e, o, b if v else None) for e, o, b, v, mine, block in rows if mine == block]
 
-    return per_group(cells.select("episode_id", order, features, valid), ["episode_id"], [order], run, ddl(cells, "episode_id", order) + ", state int")
+    return per_group(dealt.drop("_last"), ["episode_id", "_block"], ["_place"], run, ddl(cells, "episode_id", order) + ", state int")

@@ -52,10 +52,17 @@ def track_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.track(boxes, tracking.sessions(o, FRAME_US), FRAME_US, 640, 480)
 
 
+NETWORK = convolution.Network.random(2, 3)
+
+
+def network_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as cells of two features, each available some hours late; an error's aren't valid."""
+    features = F.array((F.col("value") / 100).cast("double"), (F.col("k") / 100).cast("double")).alias("features")
+    return views.frames(spark, sf_dir).select("episode_id", "frame_index", (F.col("pts_us") + F.col("k") * HOUR_US).alias("available_us"), features, (F.col("event_type") != "error").alias("valid"))
+
+
 def causal_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = views.frames(spark, sf_dir)
-    cells = f.select("episode_id", "frame_index", F.array((F.col("value") / 100).cast("double"), (F.col("k") / 100).cast("double")).alias("features"), (F.col("event_type") != "error").alias("valid"))
-    return convolution.predict(cells, convolution.Network.random(2, 3), "features", "valid")
+    return convolution.predict(network_cells(spark, sf_dir), NETWORK, "features", "valid")
 
 
 QUERIES = {f.__name__: f for f in (corpus_plan, tracking_sessions, released_cells, packet_violations, track_boxes, causal_convolution)}

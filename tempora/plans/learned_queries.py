@@ -11,6 +11,7 @@ from tempora.operators import admission
 from tempora.operators import learning as ln
 from tempora.operators import scans
 from tempora.operators import sequences as sq
+from tempora.plans import corpus_queries as corpus
 from tempora.plans import sequence_queries as known
 from tempora.plans import window_queries as windows
 from tempora.sources import views
@@ -106,7 +107,18 @@ def stream_closed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.replayed(f, "episode_id", "pts_us", [8 * DAY_US, 16 * DAY_US], lambda s: replay.closed_bins(s, windows.DAY_US))
 
 
-QUERIES = {f.__name__: f for f in (ridge_scores, platt_calibrated, hmm_filter, hmm_smooth, hmm_viterbi, hsmm_segments, event_matching, greedy_segment_f1, admission_facts, stream_departure, stream_hysteresis, stream_closed_bins)}
+def stream_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The causal network over cells that arrive up to days late: what causal_convolution says of them, and when."""
+    cells = corpus.network_cells(spark, sf_dir).withColumnRenamed("available_us", "pts_us")
+    return replay.replayed(cells, "episode_id", "pts_us", [4 * DAY_US, 8 * DAY_US, 16 * DAY_US], lambda s: automata.apply(s, automata.Predictions(corpus.NETWORK)))
+
+
+def stream_released_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the predictions of stream_predictions are given."""
+    return stream_predictions(spark, sf_dir).select("episode_id", "frame_index", "released_us")
+
+
+QUERIES = {f.__name__: f for f in (stream_predictions, stream_released_cells, ridge_scores, platt_calibrated, hmm_filter, hmm_smooth, hmm_viterbi, hsmm_segments, event_matching, greedy_segment_f1, admission_facts, stream_departure, stream_hysteresis, stream_closed_bins)}
 
 #: The decoders' recursions, a row of every run at a time. Viterbi weights are whole numbers, as in operators.scans.
 _CENTRES = (20.0, 60.0, 120.0)
@@ -165,6 +177,7 @@ def _likely_sql(smooth: bool) -> str:
 
 
 ORACLE_SQL = {
+    "stream_released_cells": sql("frames", body=f" SELECT episode_id, frame_index, max(pts_us + k * {corpus.HOUR_US}) OVER (PARTITION BY episode_id ORDER BY frame_index ROWS UNBOUNDED PRECEDING) AS released_us FROM frames"),
     "hmm_viterbi": _viterbi_sql(),
     "hmm_filter": _likely_sql(False),
     "hmm_smooth": _likely_sql(True),

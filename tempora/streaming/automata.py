@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -92,10 +93,65 @@ class Hysteresis(StatefulProcessor):
         pass
 
 
-OUTPUT = {Departures: "episode_id {0}, event_us long, available_us long, first long, confirmation long", Hysteresis: "episode_id {0}, frame_index long, state int"}
+class Predictions(StatefulProcessor):
+    """What a network says of cells that arrive as they become available, in whatever order: a cell waits for those before it.
+
+    Kept of an episode are the cells that wait, and of those gone by only the `reach - 1` that later ones depend on. A cell is
+    released when it and all before it are there; pts_us is when a cell is available.
+    """
+
+    def __init__(self, network):
+        self.network = network
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        cell = "frame long, features binary, valid boolean"
+        self.clock = handle.getValueState("clock", "next long, released_us long")
+        self.behind = handle.getListState("behind", cell)
+        self.waiting = handle.getListState("waiting", f"{cell}, available_us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        following, released = self.clock.get() if self.clock.exists() else (0, -1)
+        held = {c[0]: c for c in self.waiting.get()} if self.waiting.exists() else {}
+        for table in rows:
+            for frame, pts, features, valid in table[["frame_index", "pts_us", "features", "valid"]].itertuples(index=False):
+                if frame < following or frame in held:
+                    raise ValueError(f"cell {frame} came twice")
+                held[int(frame)] = (int(frame), np.asarray(features, np.float64).tobytes(), bool(valid), int(pts))
+        ready = []
+        while following in held:
+            ready.append(held.pop(following))
+            following += 1
+        out = []
+        if ready:
+            behind = list(self.behind.get()) if self.behind.exists() else []
+            seen = [*behind, *[c[:3] for c in ready]]
+            x, ok = np.stack([np.frombuffer(c[1]) for c in seen]), np.array([c[2] for c in seen])
+            states = self.network(x, ok).argmax(1)[len(behind) :]
+            for (frame, _, valid, available), state in zip(ready, states.tolist(), strict=True):
+                released = max(released, available)
+                out.append((*key, frame, state if valid else None, released))
+            keep = self.network.reach - 1
+            self.behind.put(seen[-keep:]) if keep else None
+        if held:
+            self.waiting.put(list(held.values()))
+        else:
+            self.waiting.clear()
+        self.clock.update((following, released))
+        table = pd.DataFrame(out, columns=["episode_id", "frame_index", "state", "released_us"])
+        yield table.astype({"state": "Int32"})
+
+    def close(self) -> None:
+        pass
+
+
+OUTPUT = {
+    Predictions: "episode_id {0}, frame_index long, state int, released_us long",
+    Departures: "episode_id {0}, event_us long, available_us long, first long, confirmation long",
+    Hysteresis: "episode_id {0}, frame_index long, state int",
+}
 
 
 def apply(frames: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    """Runs a processor over streamed frames: episode_id, frame_index, pts_us and x, what the processor reads."""
+    """Runs a processor over streamed frames: episode_id, frame_index, pts_us (for predictions, when the frame is available) and x or features and valid, what the processor reads."""
     kind = frames.schema["episode_id"].dataType.simpleString()
     return frames.groupBy("episode_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType.fromDDL(OUTPUT[type(processor)].format(kind)), outputMode="Append", timeMode="None")
