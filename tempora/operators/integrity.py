@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempora.operators import tiles
@@ -101,12 +103,35 @@ def near_links(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
 
 
 def split_links(rows: DataFrame, radius: int) -> DataFrame:
-    """split, id, class_id (the least id of the split with the same hash) and links, the rows of other splits within the radius. rows: split, id, hash."""
+    """split, id, class_id (the least id of the split with the same hash) and links, the rows of other splits within the radius. rows: split, id, hash.
+
+    Each two splits meet once, and say what either has of the other.
+    """
+    found = None
+    for one, other in pairs_of(rows, "split"):
+        both = near_links(rows.where(F.col("split") == one), rows.where(F.col("split") == other), radius)
+        own = both.select(F.when(F.col("side") == "left", one).otherwise(other).alias("split"), "id", "class_id", "links")
+        found = own if found is None else found.unionByName(own)
+    if found is None:
+        first = F.when(F.col("hash").isNotNull(), F.min("id").over(W.partitionBy("split", "hash")))
+        return rows.select("split", "id", first.alias("class_id"), F.when(F.col("hash").isNotNull(), F.lit(0)).cast("long").alias("links"))
+    return found.groupBy("split", "id", "class_id").agg(F.sum("links").alias("links"))
+
+
+def pairs_of(rows: DataFrame, split: str) -> list[tuple[str, str]]:
+    """Any two of the values of a column, a handful."""
+    return list(itertools.combinations(sorted(r[0] for r in rows.select(split).where(F.col(split).isNotNull()).distinct().collect()), 2))
+
+
+def nearest_across(rows: DataFrame, k: int) -> DataFrame:
+    """The k pairs of rows of different splits whose hashes differ least: left_id, right_id (left's split is the one that comes later by name), distance. rows: split, id, hash."""
     found = None
-    for split in sorted(r["split"] for r in rows.select("split").distinct().collect()):  # a handful
-        own = near_links(rows.where(F.col("split") == split), rows.where(F.col("split") != split), radius).where("side = 'left'").select(F.lit(split).alias("split"), "id", "class_id", "links")
+    for one, other in pairs_of(rows, "split"):
+        own = nearest_pairs(rows.where(F.col("split") == other), rows.where(F.col("split") == one), k)
         found = own if found is None else found.unionByName(own)
-    return found
+    if found is None:
+        raise ValueError("fewer than two splits")
+    return found.orderBy("distance", "left_id", "right_id").limit(k)
 
 
 def nearest_pairs(left: DataFrame, right: DataFrame, k: int) -> DataFrame:

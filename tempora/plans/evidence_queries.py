@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tempora.functions import text as tx
 from tempora.operators import asof, checks, integrity
-from tempora.sources import views
+from tempora.sources import artifacts, views
 from tempora.sources.views import sql
 
 DAY_US = 86_400_000_000
@@ -73,8 +73,8 @@ def _hashes(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
 
 
 def near_duplicate_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of train whose gradient hash lies within 20 bits of a test chunk's."""
-    return integrity.near_pairs(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
+    """For each chunk of train and of test its class and the chunks of the other within 20 bits of its gradient hash: the pairs themselves grow with the square of the table."""
+    return integrity.near_links(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
 
 
 def _split_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,9 +87,8 @@ def near_duplicate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nearest_cross_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest pairs of a train chunk and one of another split."""
-    rows = _split_hashes(spark, sf_dir)
-    return integrity.nearest_pairs(rows.where("split = 'train'"), rows.where("split <> 'train'"), 20)
+    """The 20 nearest pairs of chunks of different splits."""
+    return integrity.nearest_across(_split_hashes(spark, sf_dir), 20)
 
 
 def missing_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,9 +139,43 @@ def ingest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("split").agg(F.count(F.lit(1)).alias("episodes"), F.sum("frames").alias("frames"), F.sum("duration_us").alias("duration_us"))
 
 
+def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document as a recording; equal texts are one group and go to one split."""
+    sha = integrity.content_hash(F.coalesce("text", F.lit("")))
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), sha.alias("video_sha256"))
+    id_ = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    split = F.when(F.substring("video_sha256", 1, 1) < "a", "train").when(F.substring("video_sha256", 1, 1) < "d", "development").otherwise("test")
+    return docs.select(id_.alias("episode_id"), split.alias("split"), F.substring("video_sha256", 1, 16).alias("split_group"), F.concat(F.col("lang"), F.lit("/"), id_, F.lit(".txt")).alias("video"), "video_sha256", "doc_id")
+
+
+def ingest_new_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a manifest, a third of which is registered already."""
+    whole = _manifest(spark, sf_dir)
+    known, manifest = whole.where("doc_id % 3 = 0").drop("doc_id"), whole.drop("doc_id")
+    return integrity.ingest(known, manifest, found=manifest.select("video", F.col("video_sha256").alias("sha256")))
+
+
+def artifact_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of which some are missing below the root, and others there under a name of another folder or with other bytes."""
+    m = _manifest(spark, sf_dir)
+    path = F.concat(F.lit("/corpus/"), F.when(F.col("doc_id") % 13 == 0, F.concat(F.lit("old/"), F.col("video"))).otherwise(F.col("video")))
+    found = m.where("doc_id % 11 <> 0").select(path.alias("path"), F.when(F.col("doc_id") % 7 == 0, F.sha2("video_sha256", 256)).otherwise(F.col("video_sha256")).alias("sha256"))
+    return artifacts.verified(m.select(F.col("video").alias("name"), F.col("video_sha256").alias("sha256")), found, "/corpus")
+
+
+def index_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as an index in which some labels are of another space, cut short, or stretched."""
+    c = views.chunks(spark, sf_dir)
+    vector = F.when(F.col("label") == 1, F.slice("vector", 1, 63)).when(F.col("label") == 2, F.transform("vector", lambda x: (x * 2).cast("float"))).otherwise(F.col("vector"))
+    return artifacts.sound_index(c.select("chunk_id", vector.alias("vector"), F.when(F.col("label") == 0, "other").otherwise("main").alias("space_id")), 64, "main")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        ingest_new_episodes,
+        artifact_faults,
+        index_faults,
         asof_state,
         asof_log_page,
         visible_counts,
@@ -196,14 +229,24 @@ ORACLE_SQL = {
         UNION ALL SELECT 'content', content, count(DISTINCT split), count(*) FROM r GROUP BY content HAVING count(DISTINCT split) > 1""",
     "duplicate_content": "SELECT sha256(text) AS content, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY content HAVING count(*) > 1",
     "population_diff": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'only_left' ELSE 'differs' END AS status FROM labels WHERE doc_id % 7 = 0 OR doc_id % 5 = 0",
-    "near_duplicate_hamming": sql("chunks", body=_HASHES + " SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a, h b WHERE a.split = 'train' AND b.split = 'test' AND bit_count(xor(a.hash, b.hash)) <= 20"),
+    "ingest_new_episodes": """WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, sha256(coalesce(text, '')) AS s FROM documents)
+        SELECT 'd' || doc_id AS episode_id, CASE WHEN s[1] < 'a' THEN 'train' WHEN s[1] < 'd' THEN 'development' ELSE 'test' END AS split, s[1:16] AS split_group, lang || '/d' || doc_id || '.txt' AS video, s AS video_sha256 FROM d WHERE doc_id % 3 <> 0""",
+    "artifact_faults": """SELECT coalesce(lang, 'und') || '/d' || doc_id || '.txt' AS name, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'missing' ELSE 'changed' END AS status FROM documents WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0""",
+    "index_faults": sql("chunks", body=" SELECT chunk_id, unnest(CASE label WHEN 0 THEN ['space'] WHEN 1 THEN ['dimension', 'unit'] ELSE ['unit'] END) AS rule FROM chunks WHERE label < 3"),
+    "near_duplicate_hamming": sql(
+        "chunks",
+        body=_HASHES
+        + """, s AS (SELECT CASE split WHEN 'train' THEN 'left' ELSE 'right' END AS side, id, hash FROM h WHERE split IN ('train', 'test')),
+        n AS (SELECT a.side, a.id, count(*) AS links FROM s a, s b WHERE a.side <> b.side AND bit_count(xor(a.hash, b.hash)) <= 20 GROUP BY ALL)
+        SELECT s.side, s.id, min(s.id) OVER (PARTITION BY s.side, s.hash) AS class_id, coalesce(links, 0) AS links FROM s LEFT JOIN n ON s.side = n.side AND s.id = n.id""",
+    ),
     "near_duplicate_links": sql(
         "chunks",
         body=_HASHES
         + """, n AS (SELECT a.id, count(*) AS links FROM h a, h b WHERE a.split <> b.split AND bit_count(xor(a.hash, b.hash)) <= 20 GROUP BY a.id)
         SELECT split, id, min(id) OVER (PARTITION BY split, hash) AS class_id, coalesce(links, 0) AS links FROM h LEFT JOIN n USING (id)""",
     ),
-    "nearest_cross_split": sql("chunks", body=_HASHES + " SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a, h b WHERE a.split = 'train' AND b.split <> 'train' ORDER BY distance, left_id, right_id LIMIT 20"),
+    "nearest_cross_split": sql("chunks", body=_HASHES + " SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a, h b WHERE a.split > b.split ORDER BY distance, left_id, right_id LIMIT 20"),
     "missing_features": "SELECT DISTINCT sha256(text) AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')",
     "setting_differences": 'SELECT coalesce(CAST(r_regionkey AS BIGINT), CAST(n_nationkey AS BIGINT)) AS key, r_name AS "left", n_name AS "right" FROM region FULL JOIN nation ON r_regionkey = n_nationkey WHERE r_name IS DISTINCT FROM n_name',
     "matched_batch": "SELECT count(DISTINCT n_regionkey) = 1 AS matched, count(*) <= 128 AS within_budget FROM nation",

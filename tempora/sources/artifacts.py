@@ -15,16 +15,18 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def verified(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """The manifest's artifacts (name, sha256) that are missing or changed among found (path, sha256), or that point outside."""
-    own = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("actual"))
-    status = F.when(F.col("name").contains("..") | F.col("name").startswith("/"), "outside").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha256"), "changed")
+def verified(manifest: DataFrame, found: DataFrame, root: str = "") -> DataFrame:
+    """The manifest's artifacts (name, sha256) that are missing or changed among found (path, sha256), or that point outside; a name is the path below root."""
+    base = root.rstrip("/") + "/" if root else ""
+    own = found.where(F.col("path").startswith(base)).select(F.substring("path", len(base) + 1, 1 << 20).alias("name"), F.col("sha256").alias("actual"))
+    outside = F.array_contains(F.split("name", "/"), "..") | F.col("name").startswith("/")
+    status = F.when(outside, "outside").when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha256"), "changed")
     return manifest.join(own, "name", "left").select("name", status.alias("status")).where("status is not null")
 
 
 def frame_files(paths: DataFrame) -> DataFrame:
     """index, rgb and graph of a folder's frame files Action_<index>_<camera>_(normal.png|graph.json), paired and gapless from 0."""
-    pattern = r"Action_(\d+)_(\d+)_(normal\.png|graph\.json)$"
+    pattern = r"(?:^|/)Action_(\d+)_(\d+)_(normal\.png|graph\.json)$"
     parts = paths.where(F.col("path").rlike(pattern)).select("path", *[F.regexp_extract("path", pattern, i).alias(n) for i, n in ((1, "index"), (2, "camera"), (3, "kind"))]).withColumn("index", F.col("index").cast("long"))
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("path")))
     frames = parts.groupBy("index").agg(of("normal.png").alias("rgb"), of("graph.json").alias("graph"), F.count(F.lit(1)).alias("n"), F.count_distinct("camera").alias("cameras"))

@@ -86,12 +86,20 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x")
     found = artifacts.file_hashes(spark, str(tmp_path))
     good = found.select(F.lit("a.bin").alias("name"), "sha256")
-    assert artifacts.verified(good, found).count() == 0
+    root = f"file:{tmp_path}"
+    assert artifacts.verified(good, found, root).count() == 0
+    for folder in ("x", "y..z"):  # equal names in two folders, and dots that lead nowhere
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.bin").write_bytes(folder.encode())
+    own = artifacts.file_hashes(spark, str(tmp_path))
+    whole = own.select(F.regexp_replace("path", f"^{root}/", "").alias("name"), "sha256")
+    assert whole.count() == 3 and artifacts.verified(whole, own, root).count() == 0 and artifacts.verified(spark.createDataFrame([("a.bin", "0")], "name string, sha256 string"), own, f"{root}/x").first()["status"] == "changed"
     bad = spark.createDataFrame([("a.bin", "0"), ("b.bin", "0"), ("../c", "0")], "name string, sha256 string")
-    assert sorted(r["status"] for r in artifacts.verified(bad, found).collect()) == ["changed", "missing", "outside"]
+    assert sorted(r["status"] for r in artifacts.verified(bad, own, root).collect()) == ["changed", "missing", "outside"]
     names = lambda *n: spark.createDataFrame([(x,) for x in n], "path string")
     ok = ["Action_0000_0_normal.png", "Action_0000_0_graph.json", "Action_0001_0_normal.png", "Action_0001_0_graph.json", "other.txt"]
     assert artifacts.frame_files(names(*ok)).count() == 2
+    assert artifacts.frame_files(names(*[f"scene/{x}" for x in ok], "scene/XAction_0002_0_normal.png")).count() == 2
     for wrong in (ok[:3], [*ok[:2], "Action_0002_0_normal.png", "Action_0002_0_graph.json"], [*ok, "Action_0002_1_normal.png", "Action_0002_1_graph.json"]):
         with pytest.raises(ValueError):
             artifacts.frame_files(names(*wrong))

@@ -49,6 +49,10 @@ def test_splits_and_nearest_pairs(spark):
     assert got == {i: (min(j for t, j, g in rows if t == s and g == h), sum(t != s and (g ^ h).bit_count() <= 2 for t, j, g in rows)) for s, i, h in rows}
     best = sorted(((h ^ g).bit_count(), i, j) for s, i, h in rows if s == "a" for t, j, g in rows if t != "a")[:20]
     assert [(r["distance"], r["left_id"], r["right_id"]) for r in integrity.nearest_pairs(df.where("split = 'a'"), df.where("split <> 'a'"), 20).collect()] == best
+    every = sorted(((h ^ g).bit_count(), i, j) for s, i, h in rows for t, j, g in rows if s > t)[:20]
+    assert [(r["distance"], r["left_id"], r["right_id"]) for r in integrity.nearest_across(df, 20).collect()] == every
+    alone = {r["id"]: (r["class_id"], r["links"]) for r in integrity.split_links(df.where("split = 'a'"), 2).collect()}
+    assert alone == {i: (min(j for t, j, g in rows if t == "a" and g == h), 0) for s, i, h in rows if s == "a"}
 
 
 def test_ingest_names_what_is_wrong(spark):
