@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tempora.sources.staging import drop_path, new_path, shared_dir, stage
 
-__all__ = ["bounded", "documents", "drop_path", "identified", "joined_by_key", "lacking", "new_path", "salted_rank", "shared_dir", "slices", "stage", "unused", "whole_text"]
+__all__ = ["bounded", "documents", "drop_path", "identified", "joined_by_key", "lacking", "new_path", "salted_rank", "shared_dir", "slices", "stage", "tidy", "unused", "whole_text"]
 
 #: Bytes of text that one step of a Python operator handles at a time.
 SLICE_BYTES = 1 << 20
@@ -66,6 +67,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_BYTES, str(8 << 20))
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which its worker gives back to the system what it has freed: a worker lives on beside others, for tasks of other stages."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.common import documents, identified, slices, small_batches
+from tempora.llm.common import documents, identified, slices, small_batches, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -343,7 +343,7 @@ def mask(docs: DataFrame) -> DataFrame:
                 texts = [t if t is None else masked(t) for t in part.column("text").to_pylist()]
                 yield part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidy(run), docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tempora.llm.common import bounded, documents, identified, joined_by_key, lacking, slices, stage
+from tempora.llm.common import bounded, documents, identified, joined_by_key, lacking, slices, stage, tidy
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -151,7 +151,7 @@ def sketched(docs: DataFrame, words: int, sketch_words: int) -> DataFrame:
                     row[len(SKETCH) :] = np.array([own.sum(dtype=np.uint64), mixed(own, 1).sum(dtype=np.uint64)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, [*prints, *rows.T.copy()])], ["doc_id", *PRINT, *SKETCH, *WHOLE])
 
-    return identified(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in [*PRINT, *SKETCH, *WHOLE]))
+    return identified(docs).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{c} long" for c in [*PRINT, *SKETCH, *WHOLE]))
 
 
 def fingerprint(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -405,7 +405,7 @@ def nearest_links(nodes: DataFrame, radius: int, most: int, similarity: float) -
 
     rows, found = nodes.count(), None
     for name in PRINT:
-        met = tasks(nodes.select(F.col(name).alias("fingerprint"), *columns).withColumn("looking", F.col("looking").cast("long")), radius, rows, "id").mapInArrow(run, "gone long, apart long, kept long")
+        met = tasks(nodes.select(F.col(name).alias("fingerprint"), *columns).withColumn("looking", F.col("looking").cast("long")), radius, rows, "id").mapInArrow(tidy(run), "gone long, apart long, kept long")
         found = met if found is None else found.unionByName(met)
     found = found.distinct()  # a link is found in each bucket that it has
     return found.withColumn("place", F.row_number().over(W.partitionBy("gone").orderBy("apart", "kept"))).where(F.col("place") <= most).drop("place")
@@ -433,7 +433,7 @@ def compared(pairs: DataFrame, docs: DataFrame, similarity: float, words: int) -
                 alike.append(shared >= similarity * (len(one) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("gone", "apart", "kept")] + [pa.array(alike, pa.bool_())], ["gone", "apart", "kept", "alike"])
 
-    return both.mapInArrow(run, "gone long, apart long, kept long, alike boolean").groupBy("gone", "apart", "kept").agg(F.bool_and("alike").alias("alike"))
+    return both.mapInArrow(tidy(run), "gone long, apart long, kept long, alike boolean").groupBy("gone", "apart", "kept").agg(F.bool_and("alike").alias("alike"))
 
 
 def unlike(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, similarity: float = SIMILARITY, similar_words: int = SIMILAR_WORDS) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.bpe import Generations
-from tempora.llm.common import documents, identified, slices, small_batches, stage
+from tempora.llm.common import documents, identified, slices, small_batches, stage, tidy
 
 #: The most labelled rows a fit uses: those of least hash of their doc_id.
 SAMPLE_ROWS = 20_000
@@ -353,7 +353,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
                 scores = model.scores(scanner.features([t or "" for t in part.column("text").to_pylist()]))
                 yield part.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
