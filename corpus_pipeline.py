@@ -18,7 +18,7 @@ from tempora.sources.staging import drop_path, drop_since, staged_so_far
 #: Documents of this score or more are rejected.
 TOXIC_SCORE = 0.5
 #: Executors still hold what the stages before have touched, so packing caches less than it does alone.
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 8 << 20
 #: Near copies differ by some words, each of which changes as many shingles as a shingle has words: shorter shingles and a wider radius than op6's link more of them, as do several fingerprints. What is linked is then compared.
 SHINGLE_WORDS, RADIUS = 2, 6
 
