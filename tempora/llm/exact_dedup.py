@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tempora.llm.common import bounded, documents, identified, joined_by_key, lacking, new_path, stage, whole_text
+from tempora.llm.common import BROADCAST_ROWS, documents, identified, joined_by_key, lacking, new_path, stage, whole_text
 
 #: Deleted before texts are compared.
 WHITE = " \t\n\x0b\x0c\r"
@@ -100,9 +100,14 @@ def keyed_state(spark: SparkSession, schema: StructType, source: str, checkpoint
 
 
 def differing(docs: DataFrame, hits: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    """The digests among hits that texts share without being equal, byte for byte."""
+    """The digests among hits (staged: digest, and n rows that have it) that texts share without being equal, byte for byte.
+
+    Where there are too many hits to send to all tasks, only those that very many rows have are: whole texts of one digest never meet in a task before their ends are found.
+    """
     text = identified(docs).select(normalised(F.col("text")).alias("text")).withColumn("digest", digest(F.col("text")))
-    ends = text.join(bounded(hits), "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
+    few = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hit = text.join(F.broadcast(hits), "digest") if few else joined_by_key(text, hits, "digest", "n")
+    ends = hit.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
     return ends.where("least != most").select("digest")
 
 
@@ -126,7 +131,7 @@ def dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest) -
     if not staged.take(1):
         return decided(staged, stage(grouped(staged, "digest"), "exact-groups"), "digest")
     state = stage(keyed_state(spark, rows.schema, source, checkpoint, updates), "exact-groups")
-    clashes = stage(differing(docs, state.where("n > 1").select("digest"), digest), "exact-clashes")
+    clashes = stage(differing(docs, state.where("n > 1").select("digest", "n"), digest), "exact-clashes")
     if not clashes.take(1):
         return decided(staged, state, "digest")
     texts = texts_of(docs, locator(docs)).select(normalised(F.col("text")).alias("bytes"), "doc_id", F.char_length("text").alias("characters"), "locator").withColumn("digest", digest(F.col("bytes")))

@@ -158,8 +158,9 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, constan
     shaped = shaped.join(fixed, ["node", "line"]).select("node", "line", "n", F.xxhash64("node", "cells").alias("template"), (F.size("cells") / F.col("length")).alias("share"))
     shaped = stage(shaped.where(F.col("share") >= constant_share), "shaped-lines")
     # A document counts once for a template: what its further lines of one template have added is taken off again.
-    several = seen.where("document is not null").select("document", "node", F.xxhash64("line").alias("line"))
-    extra = several.join(shaped.select("node", "line", "template"), ["node", "line"]).groupBy("document", "template").agg(F.count(F.lit(1)).alias("k")).groupBy("template").agg(F.sum(F.col("k") - 1).alias("extra"))
+    key = F.xxhash64("node", "line").alias("key")
+    several = seen.where("document is not null").select("document", "node", F.xxhash64("line").alias("line")).select("document", key)
+    extra = joined_by_key(several, shaped.select(key, "template", "n"), "key", "n").groupBy("document", "template").agg(F.count(F.lit(1)).alias("k")).groupBy("template").agg(F.sum(F.col("k") - 1).alias("extra"))
     often = shaped.groupBy("template").agg(F.sum("n").alias("documents")).join(extra, "template", "left").where(F.col("documents") - F.coalesce("extra", F.lit(0)) >= min_documents)
     return shaped.join(often.select("template"), "template", "left_semi").select("line").unionByName(counted.where("passage").select(F.col("key").alias("line"))).distinct()
 

@@ -61,6 +61,18 @@ def test_hot_digests_are_joined_apart(odd, monkeypatch):
     assert found(exact_dedup.dedup(odd)) == brute(ODD)
 
 
+def test_more_hits_than_all_tasks_may_know(odd, monkeypatch):
+    """Digests of very many rows go to all tasks, the others meet their texts in a join; unequal texts are found either way."""
+    from tempora.llm import common
+
+    weak = lambda text: F.substring(F.sha2(text, 256), 1, 1)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    for hot in (1, 3, 10**6):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert found(exact_dedup.dedup(odd, weak)) == brute(ODD)
+        assert found(exact_dedup.dedup(odd)) == brute(ODD)
+
+
 def test_empty_table(nothing):
     assert exact_dedup.dedup(nothing).count() == 0
     assert exact_dedup.survivors(nothing).count() == 0

@@ -75,6 +75,13 @@ def test_a_document_counts_once_for_a_template(spark):
         assert (got[0] == log) == (texts is few)
 
 
+def test_lines_of_very_many_documents_are_joined_apart(spark, monkeypatch):
+    from tempora.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    test_a_document_counts_once_for_a_template(spark)
+
+
 def test_only_ascii_white_space_and_digits_count(spark):
     lines = ["a\u00a0b c d e", "a b\x1cc d e f", "x \u0663 y z w", "x 3 y z w"]
     texts = ["\n".join(lines[i % 4 :]) for i in range(24)]
