@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tempora.llm.common import documents, joined_by_key, slices, small_batches, stage, whole_text
+from tempora.llm.common import documents, joined_by_key, slices, small_batches, stage, tidy, whole_text
 
 #: Words of the longest phrase, and how often a phrase must occur.
 MAX_WORDS = 5
@@ -38,7 +38,7 @@ TOP = 2_000
 #: The language of rows without one.
 UNKNOWN = "und"
 #: Bytes of text that are parsed at a time, and rows that a task adds up before it hands them on.
-PARSED_BYTES, HELD_ROWS = 2 << 20, 1 << 19
+PARSED_BYTES, HELD_ROWS = 1 << 20, 1 << 19
 #: Bits of the bitmap of frequent pairs: sixteen for each, between these.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Buckets in which triples are counted, those of a row that is sent, and the parts in which tasks' counts are added up first.
@@ -208,7 +208,7 @@ def words_and_pairs(texts: DataFrame) -> DataFrame:
         yield from of_words(own.rest())
         yield from of_pairs(side_by_side.rest())
 
-    return texts.mapInArrow(run, "lang string, phrase string, pair long, n long")
+    return texts.mapInArrow(tidy(run), "lang string, phrase string, pair long, n long")
 
 
 def bitmap(keys: DataFrame, key: str, n: int) -> np.ndarray:
@@ -253,7 +253,7 @@ def frequent_triples(texts: DataFrame, pairs: np.ndarray, min_count: int) -> np.
         yield batch_of(chunks, 0)
 
     shape = "chunk int, part int, counts binary"
-    sums = texts.mapInArrow(counted, shape).repartition("chunk", "part").mapInArrow(added, shape).repartition("chunk").mapInArrow(added, shape)
+    sums = texts.mapInArrow(tidy(counted), shape).repartition("chunk", "part").mapInArrow(tidy(added), shape).repartition("chunk").mapInArrow(tidy(added), shape)
     out = np.zeros(TRIPLE_BUCKETS, bool)
     for row in sums.toLocalIterator():  # a byte a bucket, whatever the corpus holds
         out[row["chunk"] * size : (row["chunk"] + 1) * size] = np.frombuffer(row["counts"], kind) >= min_count
@@ -341,10 +341,10 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
         yield _phrase_batch(held)
 
     # A first word that would fill a task is dealt by the pair that it begins, and such a pair by the whole suffix.
-    dealt = texts.mapInArrow(suffixes, "lang string, suffix string, first string, n long, part long, over long").withColumn("suffix_part", F.pmod(F.xxhash64("suffix"), F.col("over")))
+    dealt = texts.mapInArrow(tidy(suffixes), "lang string, suffix string, first string, n long, part long, over long").withColumn("suffix_part", F.pmod(F.xxhash64("suffix"), F.col("over")))
     ordered = dealt.repartition("lang", "first", "part", "suffix_part").sortWithinPartitions("lang", F.desc("suffix")).select("lang", "suffix", "n", "over")
     # Prefixes of pairs that several tasks have are added up; the others are whole, and only those that are frequent come here.
-    found = ordered.mapInArrow(stacked, "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
+    found = ordered.mapInArrow(tidy(stacked), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))
     single = words.select("lang", "phrase", F.lit(1).alias("words"), "n")
     return stage(found.unionByName(single).where(F.col("n") >= min_count), "phrases"), totals
 
