@@ -131,7 +131,12 @@ class ArchiveWriter:
 
 
 def write_archives(docs: DataFrame, path: str | None = None) -> str:
-    """Stores every row's payload as a member; returns the folder, which holds the members and the manifest of what was finished."""
+    """Stores every row's payload as a member; returns the folder, which holds the members and the manifest of what was finished.
+
+    Null and empty texts are a payload of fill alone; repeated rows and rows without a doc_id are members each; a very long text is
+    one member, and may make its archive larger than ARCHIVE_BYTES. Only doc_id and text are read, so other columns may have any
+    name. An empty table makes a folder without archives.
+    """
     folder = path or new_path(docs.sparkSession, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,12 +253,19 @@ class MemberSource(DataSource):
 
 
 def read_media(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id and media of each member of a folder of write_archives, in no order; equal members are rows each, and a folder without archives gives none.
+
+    A member that fails its checksum ATTEMPTS times raises. range_bytes: how much of an archive a partition covers.
+    """
     spark.dataSource.register(MemberSource)
     return spark.read.format("media_members").option("path", folder).option("range_bytes", str(range_bytes)).load()
 
 
 def inspect(media: DataFrame) -> DataFrame:
-    """doc_id, media, payload, n_bytes (without the fill, which no UTF-8 text holds) and feature of each stored medium."""
+    """doc_id, media, payload, n_bytes (without the fill, which no UTF-8 text holds) and feature of each stored medium.
+
+    Media that aren't grey 8-bit images raise; equal media have equal values. An empty table gives no row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

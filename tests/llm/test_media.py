@@ -83,3 +83,33 @@ def test_a_failed_read_is_tried_again_by_itself(tmp_path):
     path.write_bytes(b"\x09" + path.read_bytes()[1:])
     with pytest.raises(ValueError, match="checksum"):
         media.Members(fs.LocalFileSystem(), str(path)).member(media.Members(fs.LocalFileSystem(), str(path)).beginning_in(0, 1)[0])
+
+
+def slow_row(text):
+    """Every column of op5 from the text alone, by the PNG format and plain sums."""
+    import hashlib
+    import math
+    import struct
+
+    own = (text or "").encode()
+    data = own + b"\xff" * (576 * max(1, -(-len(own) // 576)) - len(own))
+    lines = b"".join(b"\0" + data[i : i + 576] for i in range(0, len(data), 576))
+    image = b"\x89PNG\r\n\x1a\n"
+    for kind, body in ((b"IHDR", struct.pack(">IIBBBBB", 576, len(data) // 576, 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(lines, 1)), (b"IEND", b"")):
+        image += struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    mean = math.fsum(data) / len(data)
+    deviation = math.sqrt(math.fsum((b - mean) ** 2 for b in data) / len(data))
+    shares = [n / len(data) for n in np.bincount(np.frombuffer(data, np.uint8)) if n]
+    step = math.fsum(abs(a - b) for a, b in zip(data, data[1:])) / (len(data) - 1)
+    numbers = [mean, deviation, -math.fsum(p * math.log2(p) for p in shares), step]
+    return len(own), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(image), hashlib.sha256(image).hexdigest(), numbers
+
+
+def test_query_says_what_the_texts_do(spark, sf, documents):
+    texts = {r["doc_id"]: r["text"] for r in documents.collect()}
+    rows = media.op5(spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        *exact, numbers = slow_row(texts[r["doc_id"]])
+        assert [r[c] for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")] == exact
+        assert np.allclose([float(x.split("=")[1]) for x in r["feature"].split(";")], numbers, rtol=0, atol=1e-4)
