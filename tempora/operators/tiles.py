@@ -19,8 +19,27 @@ def _blocked(df: DataFrame, key: str, side: str, rows: int) -> tuple[DataFrame,
     return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias(f"{side}_block")).agg(F.collect_list(F.struct(*df.columns)).alias(side)), n
 
 
+def _packed(df: DataFrame) -> DataFrame:
+    """right: the rows of each Arrow batch as a list, where they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, RIGHT_ROWS):
+                part = batch.slice(at, RIGHT_ROWS)
+                rows = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], ["right"])
+
+    return df.mapInArrow(run, f"right array<{df.schema.simpleString()}>")
+
+
 def meeting(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left_block, left and right (lists of rows): each block of left with each of right. The key tells the rows of a side apart, so blocks are even."""
+    """left_block, left and right (lists of rows): each block of left with each of right. The key tells the rows of a side apart, so blocks are even.
+
+    Where left is one block, which is counted, it goes to where the rows of right are, and nothing is shuffled.
+    """
+    if 0 < left.limit(LEFT_ROWS + 1).count() <= LEFT_ROWS:
+        block = left.agg(F.collect_list(F.struct(*left.columns)).alias("left"))
+        return _packed(right).crossJoin(F.broadcast(block)).select(F.lit(0).cast("long").alias("left_block"), "left", "right")  # one row
     (a, n_left), (b, n_right) = _blocked(left, key, "left", LEFT_ROWS), _blocked(right, key, "right", RIGHT_ROWS)
     wanted = 2 * left.sparkSession.sparkContext.defaultParallelism
     across = -(-n_left // LEFT_BLOCKS)

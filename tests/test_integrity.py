@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tempora.operators import integrity
+from tempora.operators import integrity, tiles
 
 
 def sides(spark):
@@ -16,8 +16,10 @@ def sides(spark):
     return left, right, [spark.createDataFrame(x, "id long, hash long") for x in (left, right)]
 
 
-def test_near_hashes_and_links(spark, monkeypatch):
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_hashes_and_links(spark, monkeypatch, block):
     monkeypatch.setattr(integrity, "TILE_ROWS", 7)
+    monkeypatch.setattr(tiles, "LEFT_ROWS", block)
     left, right, (a, b) = sides(spark)
     near = {(i, j): (x ^ y).bit_count() for i, x in left for j, y in right if (x ^ y).bit_count() <= 20}
     assert {(r["left_id"], r["right_id"]): r["distance"] for r in integrity.near_pairs(a, b, 20).collect()} == near
@@ -41,7 +43,9 @@ def test_candidates_are_no_cross_join(spark):
     assert integrity.near_links(a, b.limit(0), 20).where("links = 0").count() == 90
 
 
-def test_splits_and_nearest_pairs(spark):
+@pytest.mark.parametrize("block", [7, 512])
+def test_splits_and_nearest_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(tiles, "LEFT_ROWS", block)
     rng = np.random.default_rng(5)
     rows = [("abc"[i % 3], i, int(h)) for i, h in enumerate(rng.integers(0, 1 << 10, 90))]
     df = spark.createDataFrame(rows, "split string, id long, hash long")

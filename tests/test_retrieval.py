@@ -4,7 +4,7 @@ import pytest
 from tempora.operators import retrieval, tiles
 
 
-@pytest.mark.parametrize("rows", [(512, 2048), (100, 37)])
+@pytest.mark.parametrize("rows", [(512, 2048), (100, 37), (2000, 2048), (2000, 37)])
 def test_ranks_of_more_than_a_thousand_queries(spark, monkeypatch, rows):
     monkeypatch.setattr(tiles, "LEFT_ROWS", rows[0])
     monkeypatch.setattr(tiles, "RIGHT_ROWS", rows[1])
