@@ -262,6 +262,10 @@ def match_events(reference: DataFrame, candidates: DataFrame, tolerance_us: int)
     return per_group(both.drop("_cut"), ["episode_id", "stretch"], ["event_us", "event_id"], run, ddl(reference, "episode_id") + ", event_id string, candidate_id string")
 
 
+#: A segment of at most this is short.
+SHORT_US = 1_500_000
+
+
 def label_segments(labels: list[int], valid: list[bool], starts: list[int], ends: list[int]) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     for k, ok, a, b in zip(labels, valid, starts, ends, strict=True):
@@ -273,8 +277,8 @@ def label_segments(labels: list[int], valid: list[bool], starts: list[int], ends
     return out
 
 
-def segment_scores(predicted: list[tuple[int, int, int]], truth: list[tuple[int, int, int]], threshold: float = 0.5) -> dict[str, float]:
-    """tp, fp, fn and F1 of segments matched one to one in order of time, each with the unmatched truth of its label that it overlaps most."""
+def segment_scores(predicted: list[tuple[int, int, int]], truth: list[tuple[int, int, int]], threshold: float = 0.5, short_us: int = SHORT_US) -> dict[str, float | None]:
+    """tp, fp, fn and F1 of segments matched one to one in order of time, each with the unmatched truth of its label that it overlaps most; and the number and recall of short truths."""
     free, tp = set(range(len(truth))), 0
     for a, b, k in predicted:
         best, at = 0.0, None
@@ -288,15 +292,17 @@ def segment_scores(predicted: list[tuple[int, int, int]], truth: list[tuple[int,
             free.discard(at)
             tp += 1
     fp, fn = len(predicted) - tp, len(truth) - tp
-    return {"tp": tp, "fp": fp, "fn": fn, "f1": 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 1.0}
+    short = [j for j, (a, b, _) in enumerate(truth) if b - a <= short_us]
+    recall = sum(j not in free for j in short) / len(short) if short else None
+    return {"tp": tp, "fp": fp, "fn": fn, "f1": 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 1.0, "short": len(short), "short_recall": recall}
 
 
-def segment_f1(cells: DataFrame, predicted: str, truth: str, threshold: float = 0.5) -> DataFrame:
-    """Segment counts of each episode; cells: episode_id, start_us, end_us, valid and the two labels."""
+def segment_f1(cells: DataFrame, predicted: str, truth: str, threshold: float = 0.5, short_us: int = SHORT_US) -> DataFrame:
+    """Segment counts of each episode, with the recall of true segments of at most short_us (null without any); cells: episode_id, start_us, end_us, valid and the two labels."""
 
     def run(group: Columns) -> list[tuple]:
         spans = [group["valid"], group["start_us"], group["end_us"]]
-        found = segment_scores(*[label_segments(group[c], *spans) for c in (predicted, truth)], threshold)
-        return [(group["episode_id"][0], found["tp"], found["fp"], found["fn"], found["f1"])]
+        found = segment_scores(*[label_segments(group[c], *spans) for c in (predicted, truth)], threshold, short_us)
+        return [(group["episode_id"][0], *found.values())]
 
-    return per_group(cells.select("episode_id", "start_us", "end_us", "valid", predicted, truth), ["episode_id"], ["start_us"], run, ddl(cells, "episode_id") + ", tp long, fp long, fn long, f1 double")
+    return per_group(cells.select("episode_id", "start_us", "end_us", "valid", predicted, truth), ["episode_id"], ["start_us"], run, ddl(cells, "episode_id") + ", tp long, fp long, fn long, f1 double, short long, short_recall double")

@@ -65,7 +65,13 @@ def causal_convolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convolution.predict(network_cells(spark, sf_dir), NETWORK, "features", "valid")
 
 
-QUERIES = {f.__name__: f for f in (corpus_plan, tracking_sessions, released_cells, packet_violations, track_boxes, causal_convolution)}
+def network_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against three ranges of values, the middle one of half the weight."""
+    truth = F.when(F.col("features")[0] < 0.4, 0).when(F.col("features")[0] < 0.9, 1).otherwise(2)
+    return convolution.loss(network_cells(spark, sf_dir).withColumn("truth", truth), NETWORK, "features", "valid", "truth", 0.15, 4.0, [1.0, 0.5, 1.0])
+
+
+QUERIES = {f.__name__: f for f in (corpus_plan, tracking_sessions, released_cells, packet_violations, track_boxes, causal_convolution, network_loss)}
 
 ORACLE_SQL = {
     "corpus_plan": """SELECT 'ep-' || substr(sha256('{"family":"' || r_name || '","group":"' || n_name || '","name":"plan-v1","variant":"' || variant || '"}'), 1, 16) AS episode_id, n_name AS "group", r_name AS family, variant FROM nation, region, (VALUES ('left'), ('right')) v(variant)""",

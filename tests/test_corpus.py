@@ -71,8 +71,8 @@ def test_convolution_is_causal_and_the_same_in_chunks():
     stream = convolution.ChunkedNetwork(net)
     parts = [stream.push(x[a:b], valid[a:b]) for a, b in ((0, 1), (1, 7), (7, 30), (30, 60))]
     assert np.allclose(np.vstack(parts), whole)
-    assert convolution.segmentation_loss(whole, np.zeros(60, int), np.zeros(60, bool)) == 0
-    assert convolution.segmentation_loss(whole, whole.argmax(1), valid) < convolution.segmentation_loss(whole, whole.argmin(1), valid)
+    assert convolution.segmentation_loss([whole], np.zeros(60, int), np.zeros(60, bool)) == 0
+    assert convolution.segmentation_loss([whole], whole.argmax(1), valid) < convolution.segmentation_loss([whole], whole.argmin(1), valid)
 
 
 def test_publication_never_changes(spark, tmp_path):

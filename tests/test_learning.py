@@ -100,6 +100,9 @@ def test_segment_scores():
                 tp += 1
         got = ln.segment_scores(*spans, 0.4)
         assert (got["tp"], got["fp"], got["fn"]) == (tp, len(spans[0]) - tp, len(spans[1]) - tp)
+        short = [s for s in spans[1] if s[1] - s[0] <= 6]
+        few = ln.segment_scores(*spans, 0.4, 6)
+        assert few["short"] == len(short) and few["short_recall"] == (sum(s not in free for s in short) / len(short) if short else None)
 
 
 def test_class_weights_and_scales(spark):

@@ -66,3 +66,41 @@ def test_queries_say_the_same(spark, sf):
     batch = {key(r): r["state"] for r in corpus_queries.causal_convolution(spark, sf).collect()}
     stream = {key(r): r["state"] for r in learned_queries.stream_predictions(spark, sf).collect()}
     assert stream == batch and len(set(batch.values())) > 1
+
+
+@pytest.mark.parametrize("block_rows", [1, 6, 4096])
+def test_the_loss_of_blocks_is_that_of_the_whole(spark, block_rows):
+    """Each stage's loss, from its definition, over several episodes at once."""
+    table, _ = cells(spark, 4)
+    table = table.withColumn("truth", F.when(F.col("valid"), F.pmod(F.xxhash64("frame_index"), F.lit(3)).cast("int")))
+    weights, episodes = np.array([1.0, 0.5, 2.0]), {}
+    for r in table.orderBy("episode_id", "frame_index").collect():
+        episodes.setdefault(r["episode_id"], []).append(r)
+    want = [[0.0, 0, 0.0, 0] for _ in NET.stages]
+    for rows in episodes.values():
+        x, ok = np.array([r["features"] for r in rows]), np.array([r["valid"] for r in rows])
+        for sums, logits in zip(want, NET.outputs(x, ok), strict=True):
+            p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+            for t, r in enumerate(rows):
+                if r["valid"]:
+                    sums[0] -= weights[r["truth"]] * np.log(p[t, r["truth"]])
+                    sums[1] += 1
+                    if t and rows[t - 1]["valid"]:
+                        sums[2] += sum(min(abs(np.log(a) - np.log(b)), 0.3) ** 2 for a, b in zip(p[t], p[t - 1], strict=True))
+                        sums[3] += 3
+    got = convolution.loss(table, NET, "features", "valid", "truth", 0.7, 0.3, weights.tolist(), block_rows=block_rows).orderBy("stage").collect()
+    assert [r["rows"] for r in got] == [n for _, n, _, _ in want]
+    assert np.allclose([r["loss"] for r in got], [e / n + 0.7 * c / m for e, n, c, m in want])
+    one = [NET.outputs(np.array([r["features"] for r in rows]), np.array([r["valid"] for r in rows])) for rows in list(episodes.values())[:1]][0]
+    rows = next(iter(episodes.values()))
+    named, ok = np.array([r["truth"] if r["valid"] else -1 for r in rows]), np.array([r["valid"] for r in rows])
+    alone = convolution.loss(table.where(F.col("episode_id") == rows[0]["episode_id"]), NET, "features", "valid", "truth", 0.7, 0.3, weights.tolist(), block_rows=block_rows)
+    assert np.isclose(alone.agg(F.avg("loss")).first()[0], convolution.segmentation_loss(one, named, ok, 0.7, 0.3, weights))
+
+
+def test_the_loss_without_rows_or_with_a_foreign_target(spark):
+    table, _ = cells(spark, 5)
+    none = table.withColumn("valid", F.lit(False)).withColumn("truth", F.lit(None).cast("int"))
+    assert {r["loss"] for r in convolution.loss(none, NET, "features", "valid", "truth").collect()} == {0.0}
+    with pytest.raises(Exception, match="no class"):
+        convolution.loss(table.withColumn("truth", F.lit(9)), NET, "features", "valid", "truth").collect()
