@@ -232,7 +232,11 @@ ORACLE_SQL = {
     "ingest_new_episodes": """WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, sha256(coalesce(text, '')) AS s FROM documents)
         SELECT 'd' || doc_id AS episode_id, CASE WHEN s[1] < 'a' THEN 'train' WHEN s[1] < 'd' THEN 'development' ELSE 'test' END AS split, s[1:16] AS split_group, lang || '/d' || doc_id || '.txt' AS video, s AS video_sha256 FROM d WHERE doc_id % 3 <> 0""",
     "artifact_faults": """SELECT coalesce(lang, 'und') || '/d' || doc_id || '.txt' AS name, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'missing' ELSE 'changed' END AS status FROM documents WHERE doc_id % 11 = 0 OR doc_id % 13 = 0 OR doc_id % 7 = 0""",
-    "index_faults": sql("chunks", body=" SELECT chunk_id, unnest(CASE label WHEN 0 THEN ['space'] WHEN 1 THEN ['dimension', 'unit'] ELSE ['unit'] END) AS rule FROM chunks WHERE label < 3"),
+    "index_faults": sql(
+        "chunks",
+        body=""", v AS (SELECT chunk_id, label, CASE label WHEN 1 THEN vector[1:63] WHEN 2 THEN list_transform(vector, lambda x: (x * 2)::FLOAT) ELSE vector END::DOUBLE[] AS v FROM chunks),
+        faults AS (SELECT chunk_id, unnest([CASE WHEN label = 0 THEN 'space' END, CASE WHEN len(v) <> 64 THEN 'dimension' END, CASE WHEN NOT abs(sqrt(list_inner_product(v, v)) - 1) < 1e-5 THEN 'unit' END]) AS rule FROM v) SELECT * FROM faults WHERE rule IS NOT NULL""",
+    ),
     "near_duplicate_hamming": sql(
         "chunks",
         body=_HASHES
