@@ -7,7 +7,8 @@ templates, so a literal counts for every name that it reaches. A literal is scor
 is, and by how it is spelled: length, kinds of characters, entropy; placeholders, paths and sentences count against it.
 
 The base patterns are found in the text as it is and always stay. A literal is added if its score suffices and no base span
-holds it already. Every step takes time in proportion to the text.
+holds it already. Every step takes time in proportion to the text: a constant of any size is kept as what it is made of, and of
+long texts only what their score needs.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,14 +55,18 @@ NAME_WORDS = {
 KEY_WORDS = frozenset("api access private secret signing encryption master account storage shared auth service deploy".split())
 #: A last word that says the value is only about the secret.
 ABOUT = frozenset("hint length size count file path url uri endpoint name names id type field label regex pattern prefix suffix policy placeholder title text message error enabled expiry expires ttl format version input button column".split())
-#: Values that stand for one to be filled in: fixed values.
-PLACEHOLDER = re.compile(r"(?i)change[-_ ]?me|example|placeholder|your[-_ ]|dummy|sample|redacted|replace|insert|todo|x{4,}|\*{3,}|\.{3,}|<[^>]*>|\A(?:none|null|nil|true|false|undefined|default|string|required|optional|password|secret|token|test|testing)\Z")
+#: Values that stand for one to be filled in, by a part of at most PART characters or as a whole of at most as many; or by a tag.
+PLACEHOLDER_PART = re.compile(r"(?i)change[-_ ]?me|example|placeholder|your[-_ ]|dummy|sample|redacted|replace|insert|todo|x{4}|\*{3}|\.{3}")
+PLACEHOLDER_WHOLE = re.compile(r"(?i)none|null|nil|true|false|undefined|default|string|required|optional|password|secret|token|test|testing")
+PART = 16
 _HINTS = tuple(w for w in NAME_WORDS if len(w) > 3) + ("pwd", "key", "jwt", "mdp", "mot de passe", "mot_de_passe")
+#: "pin" as a word of a name; in lower case alone it would be found inside too many words.
+_PIN = re.compile("(?<![a-z])pin(?![a-z])|Pin(?![a-z])|PIN")
 #: A literal counts from this score on.
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 6
-#: A constant of more characters or literals isn't one secret, and is forgotten.
-MOST_CHARACTERS, MOST_LITERALS = 4096, 64
+#: Texts of more characters are kept as a Said.
+LONG_TEXT = 4096
 
 _STRING = r'''"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\]|\\.)*+`'''
 _NAME = r"[^\W\d][\w$-]*+(?:\.[^\W\d][\w$-]*+)*+"
@@ -83,10 +89,6 @@ _INSIDE = re.compile(r"\$?\{\{?[ \t]*+(\w++)[ \t]*+\}?\}|\$(\w++)")
 _ANNOTATION = re.compile(rf"(?:{_NAME})(?:\[[\w., \[\]]*\])?[ \t]*+=(?!=)[ \t]*+")
 _CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[^\W\d_A-Z]+|[A-Z]+|\d+")
 
-#: A constant: the literals that it is made of, with where they stand, and what they say together.
-Constant = tuple[tuple[tuple[int, int], ...], str]
-
-
 def name_score(name: str) -> float:
     """How sensitive a name is; 0 if it says nothing."""
     words = [w.lower() for w in _CAMEL.findall(name)]
@@ -100,28 +102,84 @@ def name_score(name: str) -> float:
     return best
 
 
-def literal_score(value: str) -> float:
+@dataclass(frozen=True)
+class Said:
+    """What the score of a text depends on, whatever its length; that of a joined text follows from those of its parts."""
+
+    length: int
+    counts: dict[str, int]
+    head: str
+    tail: str
+    opened: bool  # has a <
+    closed: bool  # has a >
+    placeholder: bool
+    address: bool
+
+    @classmethod
+    def of(cls, text: str) -> Said:
+        opened = text.find("<")
+        tagged = opened >= 0 and text.rfind(">") > opened
+        return cls(len(text), Counter(text), text[:PART], text[-PART:], opened >= 0, ">" in text, tagged or bool(PLACEHOLDER_PART.search(text)), "://" in text)
+
+    def __add__(self, other: Said) -> Said:
+        counts, seam = dict(self.counts), self.tail + other.head
+        for c, n in other.counts.items():
+            counts[c] = counts.get(c, 0) + n
+        placeholder = self.placeholder or other.placeholder or (self.opened and other.closed) or bool(PLACEHOLDER_PART.search(seam))
+        address = self.address or other.address or "://" in seam
+        return Said(self.length + other.length, counts, (self.head + other.head)[:PART], (self.tail + other.tail)[-PART:], self.opened or other.opened, self.closed or other.closed, placeholder, address)
+
+    def score(self) -> float:
+        if self.length < LEAST_LENGTH or self.placeholder or (self.length <= PART and PLACEHOLDER_WHOLE.fullmatch(self.head)):
+            return -5.0
+        spaces = sum(n for c, n in self.counts.items() if c.isspace())
+        if self.address or self.head.startswith(("/", "./", "~/")) or spaces > 5:
+            return -5.0
+        kinds = sum(any(map(f, self.counts)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum() and not c.isspace()))
+        shares = [n / self.length for n in self.counts.values()]
+        bits = -sum(p * math.log2(p) for p in shares if p)
+        score = 1.0 * (self.length >= 8) + 0.5 * (self.length >= 16) + 0.5 * (kinds >= 2) + 0.5 * (kinds >= 3) + 0.5 * (bits >= 3)
+        return score - 0.5 * spaces - 1.5 * (bits < 1.5)
+
+
+def joined(texts: list[str | Said]) -> str | Said:
+    """What is said one after another: as it is, or if that is long, by what its score needs."""
+    if all(isinstance(x, str) for x in texts) and sum(map(len, texts)) <= LONG_TEXT:
+        return "".join(texts)
+    return reduce(Said.__add__, [Said.of(x) if isinstance(x, str) else x for x in texts])
+
+
+def literal_score(value: str | Said) -> float:
     """How much a literal looks like a secret, from -5 to 3."""
-    if len(value) < LEAST_LENGTH or PLACEHOLDER.search(value):
-        return -5.0
-    spaces = sum(map(str.isspace, value))
-    if "://" in value or value.startswith(("/", "./", "~/")) or spaces > 5:
-        return -5.0
-    kinds = sum(any(map(f, value)) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum() and not c.isspace()))
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    score = 1.0 * (len(value) >= 8) + 0.5 * (len(value) >= 16) + 0.5 * (kinds >= 2) + 0.5 * (kinds >= 3) + 0.5 * (bits >= 3)
-    return score - 0.5 * spaces - 1.5 * (bits < 1.5)
+    return (Said.of(value) if isinstance(value, str) else value).score()
+
+
+#: A score, minus the number of the name among those bound, and the name: of equal scores the first name counts.
+Best = tuple[float, int, str]
+NONE: Best = (-math.inf, 0, "")
+
+
+@dataclass(eq=False, slots=True)
+class Constant:
+    """What a name may stand for: a literal, or the constants that it is made of; what they say together; the best names reached."""
+
+    said: str | Said
+    span: tuple[int, int] | None  # where its only literal stands; none if it has several
+    below: tuple[Constant, ...] = ()
+    alone: Best = NONE  # of names that stand for no other literal
+    among: Best = NONE  # of names that stand for several
 
 
 @dataclass
 class Reading:
-    """A text as the lexer goes through it: what names stand for by now, and the literals with the best name each has reached."""
+    """A text as the lexer goes through it: what names stand for by now, and all constants, in the order of their making."""
 
     text: str
 
     def __post_init__(self) -> None:
         self.constants: dict[str, Constant] = {}
-        self.reached: dict[tuple[int, int], tuple[float, str]] = {}
+        self._made: list[Constant] = []
+        self._named = 0
         self._bare_end = self._last_digit = -1
 
     def run(self) -> None:
@@ -134,7 +192,7 @@ class Reading:
         if not self.text.startswith(f"</{m['element']}>", body.end()):
             return m.end()
         value = body.group().rstrip()
-        self._bind(m["element"], (((body.start(), body.start() + len(value)),), value))
+        self._bind(m["element"], self._literal(body.start(), body.start() + len(value)))
         return body.end()
 
     def _site(self, m: re.Match) -> int:
@@ -149,25 +207,24 @@ class Reading:
         if value is None:
             return m.end()
         if m["op"] == "+=" and (before := self._known(name)) is not None:
-            value = tuple(dict.fromkeys(before[0] + value[0])), before[1] + value[1]
+            value = self._constant([before, value], [before.said, value.said])
         self._bind(name, value)
         # A value may itself be a name with a value: {"a": b = "c"}.
-        return max(m.end(), end) if value[0] else m.end()
+        return max(m.end(), end)
 
     def _expression(self, at: int, bare: bool) -> tuple[Constant | None, int]:
         """Literals and names joined by operators or side by side, as one constant, and where it ends."""
-        spans: list[tuple[int, int]] = []
-        said: list[str] = []
+        below: list[Constant] = []
+        said: list[str | Said] = []
         end, known = at, False
         while (t := _TERM.match(self.text, at)) is not None:
             if t["string"]:
-                inside = t.start("string") + 1, t.end() - 1
-                own = self._template(self.text[slice(*inside)])
-                spans += [inside, *own]
-                said.append(self.text[slice(*inside)])
+                own = self._literal(t.start("string") + 1, t.end() - 1)
+                below += [own, *self._template(self.text[slice(*own.span)])]
+                said.append(own.said)
             elif (constant := self._known(t["var"] or t["name"])) is not None:
-                spans += constant[0]
-                said.append(constant[1])
+                below.append(constant)
+                said.append(constant.said)
             elif t["name"] and (call := _CALL.match(self.text, t.end())) is not None and not known:
                 at = call.end()  # a function around a literal: decode("...")
                 continue
@@ -179,10 +236,9 @@ class Reading:
             if not joint.group().strip() and not (t["string"] and self.text[at : at + 1] in "\"'`"):
                 break
         if known:
-            return (tuple(dict.fromkeys(spans)), "".join(said)), end
+            return self._constant(below, said), end
         if bare and (run := self._bare(at)) > at:
-            value = self.text[at:run].rstrip(".:!?")
-            return (((at, at + len(value)),), value), run
+            return self._literal(at, at + len(self.text[at:run].rstrip(".:!?"))), run
         return None, end
 
     def _bare(self, at: int) -> int:
@@ -195,49 +251,70 @@ class Reading:
             self._last_digit = max((k for k in range(at, run.end()) if self.text[k].isdigit()), default=-1)
         return self._bare_end if self._last_digit >= at else at
 
-    def _template(self, value: str) -> list[tuple[int, int]]:
-        """The literals that a string's own ${name} or {name} stand for."""
+    def _literal(self, start: int, end: int) -> Constant:
+        self._made.append(Constant(joined([self.text[start:end]]), (start, end)))
+        return self._made[-1]
+
+    def _constant(self, below: Iterable[Constant], said: list[str | Said]) -> Constant:
+        below = tuple(dict.fromkeys(below))
+        if len(below) == len(said) == 1:
+            return below[0]
+        spans = {c.span for c in below}
+        self._made.append(Constant(joined(said), spans.pop() if len(spans) == 1 else None, below))
+        return self._made[-1]
+
+    def _template(self, value: str) -> list[Constant]:
+        """The constants that a string's own ${name} or {name} stand for."""
         if "{" not in value and "$" not in value:
             return []
-        return [s for m in _INSIDE.finditer(value) if (c := self._known(m[1] or m[2])) is not None for s in c[0]]
+        return [c for m in _INSIDE.finditer(value) if (c := self._known(m[1] or m[2])) is not None]
 
     def _known(self, name: str | None) -> Constant | None:
         return self.constants.get((name or "").removeprefix("self.").removeprefix("this."))
 
     def _bind(self, name: str, value: Constant) -> None:
-        if len(value[0]) > MOST_LITERALS or len(value[1]) > MOST_CHARACTERS:
-            self.constants.pop(name.removeprefix("self.").removeprefix("this."), None)
-            return
         self.constants[name.removeprefix("self.").removeprefix("this.")] = value
         said = name_score(name)
         if said:
-            score = said + literal_score(value[1])
-            for span in value[0]:
-                part = self.text[slice(*span)]
+            self._named += 1
+            best = said + literal_score(value.said), -self._named, name
+            if value.span:
+                value.alone = max(value.alone, best)
+            else:
+                value.among = max(value.among, best)
+
+    def reached(self) -> dict[tuple[int, int], tuple[float, str]]:
+        """The literals that names of some score stand for, with the best such name's score and name."""
+        found: dict[tuple[int, int], Best] = {}
+        for c in reversed(self._made):  # a constant is made after those below it
+            for part in c.below:
+                part.alone, part.among = max(part.alone, c.alone), max(part.among, c.among)
+            if not c.below:
                 # A part of a larger constant counts with it, unless it says nothing by itself: separators, templates.
-                if len(value[0]) > 1 and (len(part) < 4 or _INSIDE.search(part)):
-                    continue
-                if score > self.reached.get(span, (-math.inf,))[0]:
-                    self.reached[span] = score, name
+                text = self.text[slice(*c.span)]
+                best = c.alone if c.among <= c.alone or len(text) < 4 or _INSIDE.search(text) else c.among
+                if best > found.get(c.span, NONE):
+                    found[c.span] = best
+        return {span: (score, name) for span, (score, _, name) in found.items()}
 
 
 def literals(text: str) -> list[tuple[int, int, str, float]]:
     """start, end, name and score of the literals that a sensitive name has reached, by start."""
     reading = Reading(text)
     reading.run()
-    return sorted((a, b, name, score) for (a, b), (score, name) in reading.reached.items())
+    return sorted((a, b, name, score) for (a, b), (score, name) in reading.reached().items())
 
 
 def added_spans(text: str, low: str, base: list[Span]) -> list[Span]:
-    """Literals of enough score that lie in no base span; of overlapping ones the first."""
-    if not any(h in low for h in _HINTS):
+    """All literals of enough score that lie in no base span. They never overlap, as the lexer goes on behind each."""
+    if not any(h in low for h in _HINTS) and not ("pin" in low and _PIN.search(text)):
         return []
     found: list[Span] = []
     own, k, reach = sorted(base), 0, 0
     for a, b, _, score in literals(text):
         while k < len(own) and own[k][0] <= a:
             reach, k = max(reach, own[k][1]), k + 1
-        if score >= LEAST_SCORE and b > reach and (not found or a >= found[-1][1]):
+        if score >= LEAST_SCORE and b > reach:
             found.append((a, b, 3))
     return found
 

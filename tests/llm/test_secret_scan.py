@@ -85,6 +85,38 @@ def test_what_is_no_secret(text):
     assert s.find_spans(text)[1] == []
 
 
+def test_constants_of_any_size_count():
+    names = [f"p{i}" for i in range(100)]
+    text = "".join(f"{n} = 'aB{i:02}!x'\n" for i, n in enumerate(names)) + f"password = {' + '.join(names)}"
+    assert [text[a:b] for a, b, _ in s.find_spans(text)[1]] == [f"aB{i:02}!x" for i in range(100)]
+    grown = "pw = 'aB!x1'\n" + "".join(f"pw += 'cD?{i:04}'\n" for i in range(2000)) + "passphrase = pw"
+    assert len(s.find_spans(grown)[1]) == 2001
+    long = "Ab1!" * 2000
+    assert [b - a for a, b, _ in s.find_spans(f"x = '{long}'\nsecret_key = x")[1]] == [len(long)]
+    assert s.find_spans(f"x = '{long}'\ny = 'chan'\nz='geme'\nsecret_key = x + y + z")[1] == []
+
+
+@pytest.mark.parametrize("unit", ["token += 'yY1!zz'\n", "key = key + key\n", "a = a + 'b'\ntoken = a\n"])
+def test_time_grows_with_the_text_of_constants(unit):
+    test_time_grows_with_the_text("key = 'Zk38-dk!!a'\n" + unit * 200)
+    test_time_grows_with_the_text(unit)
+
+
+def test_a_pin_is_a_name_like_others():
+    text = "userPin = 'Zk38-dk!!aQW12xyz'"
+    assert [text[a:b] for a, b, _ in s.find_spans(text)[1]] == ["Zk38-dk!!aQW12xyz"]
+
+
+@pytest.mark.parametrize("cut", [1, 5, 9, 17, 40])
+def test_the_score_of_a_joined_text_is_that_of_the_whole(cut):
+    pick = random.Random(cut)
+    parts = ["a", "Z9", " ", "<", ">", "change", "me", "xx", "x", "..", ".", ":", "//", "/", "~", "todo", "none", "token", "é", "K"]
+    for _ in range(2000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randint(1, 60)))
+        pieces = [s.Said.of(text[i : i + cut]) for i in range(0, len(text), cut)]
+        assert s.literal_score(sum(pieces[1:], pieces[0])) == s.literal_score(text)
+
+
 def test_the_later_constant_does_not_reach_back():
     text = "password = x\nx = 'Zk38-dk!!a'"
     assert s.find_spans(text)[1] == []
