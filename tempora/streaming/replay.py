@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.sources.staging import new_path
+from tempora.sources.staging import new_path, stage
 from tempora.streaming.automata import ROCKSDB
 
 STATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
@@ -16,13 +16,14 @@ STATE_SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spar
 def replayed(rows: DataFrame, key: str, clock: str, cuts: list[int], build: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes rows in parts of rising clock, streams them a part at a time through build, and returns what came out.
 
-    A part is as many files as there are shuffle partitions, dealt by key, so a key's rows come in order from part to part. What a
-    key has in one micro-batch is sorted together by whoever needs an order: more cuts make that less. Each micro-batch writes
-    its own folder, again the same one if it is run again, so nothing is lost or doubled.
+    Rows are computed once, as they are staged. A part is as many files as there are shuffle partitions, dealt by key, so a key's
+    rows come in order from part to part. What a key has in one micro-batch is sorted together by whoever needs an order: more cuts
+    make that less. Each micro-batch writes its own folder, again the same one if it is run again, so nothing is lost or doubled.
     """
     spark = rows.sparkSession
     source, checkpoint, out = (new_path(spark, f"replay-{x}") for x in ("source", "state", "out"))
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(rows, "replay-rows")
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = rows
         part = part.where(F.col(clock) >= low) if low is not None else part
