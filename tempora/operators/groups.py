@@ -60,6 +60,16 @@ def per_group(df: DataFrame, keys: list[str], order: list[str], compute: Callabl
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def listed(column: pa.Array) -> list:
+    """A column's values, as to_pylist gives them; numbers are taken together, which is much quicker."""
+    if not (pa.types.is_integer(column.type) or pa.types.is_floating(column.type)):
+        return column.to_pylist()
+    values = (column.fill_null(0) if column.null_count else column).to_numpy(zero_copy_only=False).tolist()
+    for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist() if column.null_count else ():
+        values[i] = None
+    return values
+
+
 class Folder(Protocol):
     """What a sequence leaves behind as it is read row by row."""
 
@@ -89,7 +99,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], begin: Callable[[tu
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own, folder = None, None
         for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for row in zip(*map(listed, b.columns), strict=True):
                 key = tuple(row[i] for i in places)
                 if folder is None or key != own:
                     if folder is not None:

@@ -4,10 +4,13 @@ Every track carries a filter of constant velocity for its box's centre, aspect a
 matched with where the tracks, lost ones too, are expected; what is left of the tracks in view is then matched with the
 unsure boxes, which never begin a track. A track that no box joins is lost, goes on moving as it did, and ends after `buffer`
 frames. Only earlier frames decide, and a folder holds nothing but the tracks that are alive.
+
+A frame shows a few boxes of a class as a rule, so what is done for each is done with plain numbers; arrays are for crowded frames.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +54,12 @@ class Settings:
     buffer: int = 10
 
 
+#: Pairs of boxes from which on arrays are quicker than plain numbers.
+CROWDED = 400
+
+Box = tuple[float, float, float, float]
+
+
 def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """IoU of every box of a with every one of b; 0 where both are empty."""
     low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
@@ -60,16 +69,86 @@ def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(shared, whole, out=np.zeros_like(shared), where=whole > 0)
 
 
+def overlap_rows(a: list[Box], b: list[Box]) -> list[list[float]]:
+    """The same, of boxes as plain numbers."""
+    if len(a) * len(b) > CROWDED:
+        return overlaps(np.array(a), np.array(b)).tolist()
+    areas, rows = [(x[2] - x[0]) * (x[3] - x[1]) for x in b], []
+    for p in a:
+        p1, q1, p2, q2 = p
+        area, row = (p2 - p1) * (q2 - q1), []
+        for (x1, y1, x2, y2), own in zip(b, areas, strict=True):
+            w = (p2 if p2 < x2 else x2) - (p1 if p1 > x1 else x1)
+            h = (q2 if q2 < y2 else y2) - (q1 if q1 > y1 else y1)
+            shared = w * h if w > 0 and h > 0 else 0.0
+            whole = area + own - shared
+            row.append(shared / whole if whole > 0 else 0.0)
+        rows.append(row)
+    return rows
+
+
 def assignment(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
-    """Pairs of rows and columns, one to one, of cost under the limit, by which the sum of what the costs lie under it is largest.
+    """Pairs of rows and columns, one to one, of cost under the limit, by which the sum of what the costs lie under it is largest."""
+    return gainful(np.clip(limit - cost, 0, None).tolist())
+
+
+def gainful(gain: list[list[float]]) -> list[tuple[int, int]]:
+    """Pairs of rows and columns, one to one, whose gains have the largest sum; those without gain are left out."""
+    if not any(map(any, gain)):
+        return []
+    turned = len(gain) > len(gain[0])
+    gain = [list(x) for x in zip(*gain, strict=True)] if turned else gain
+    if len(gain) == 1:
+        holder = [-1] * len(gain[0])
+        holder[gain[0].index(max(gain[0]))] = 0
+    elif len(gain) * len(gain[0]) > CROWDED:
+        holder = _held_crowded(np.array(gain)).tolist()
+    else:
+        holder = _held(gain)
+    pairs = [(r, c) for c, r in enumerate(holder) if r >= 0 and gain[r][c] > 0]
+    return sorted((c, r) for r, c in pairs) if turned else sorted(pairs)
+
+
+def _held(gain: list[list[float]]) -> list[int]:
+    """The row that has each column, or -1, of at most as many rows as columns.
 
     Rows are placed one after another, each along the cheapest path of exchanges, kept cheap by prices of rows and columns.
     """
-    gain = np.clip(limit - cost, 0, None)
-    if not gain.any():
-        return []
-    turned = gain.shape[0] > gain.shape[1]
-    gain = gain.T if turned else gain
+    columns = range(len(gain[0]))
+    row_price, price, holder = [0.0] * len(gain), [0.0] * len(columns), [-1] * len(columns)
+    for new in range(len(gain)):
+        least, came, done = [math.inf] * len(columns), [-1] * len(columns), []
+        row, column, along, left = new, -1, [new], list(columns)
+        while True:
+            own, paid, nearest, delta = gain[row], row_price[row], left[0], math.inf
+            for c in left:
+                step = -own[c] - paid - price[c]
+                if step < least[c]:
+                    least[c], came[c] = step, column
+                if least[c] < delta:
+                    nearest, delta = c, least[c]
+            column = nearest
+            for r in along:
+                row_price[r] += delta
+            for c in done:
+                price[c] -= delta
+            for c in left:
+                least[c] -= delta
+            done.append(column)
+            left.remove(column)
+            if holder[column] < 0:
+                break
+            row = holder[column]
+            along.append(row)
+        while column >= 0:  # back along the path, each column to the row before it
+            before = came[column]
+            holder[column] = holder[before] if before >= 0 else new
+            column = before
+    return holder
+
+
+def _held_crowded(gain: np.ndarray) -> np.ndarray:
+    """The same with arrays."""
     rows, columns = gain.shape
     row_price, price = np.zeros(rows), np.zeros(columns)
     holder = np.full(columns, -1)  # the row that has a column
@@ -90,18 +169,24 @@ def assignment(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
                 break
             row = holder[column]
             along.append(row)
-        while column >= 0:  # back along the path, each column to the row before it
+        while column >= 0:
             before = came[column]
             holder[column] = holder[before] if before >= 0 else new
             column = before
-    pairs = [(int(r), c) for c, r in enumerate(holder) if r >= 0 and gain[r, c] > 0]
-    return sorted((c, r) for r, c in pairs) if turned else sorted(pairs)
+    return holder
+
+
+def over(a: float, b: float) -> float:
+    """a / b, and what floating point says where b is 0."""
+    if b:
+        return a / b
+    return math.copysign(math.inf, a) * math.copysign(1.0, b) if a and not math.isnan(a) else math.nan
 
 
-def measured(boxes: np.ndarray) -> np.ndarray:
+def measured(box: Box) -> Box:
     """Centre, aspect and height of corners."""
-    size = boxes[:, 2:] - boxes[:, :2]
-    return np.column_stack([(boxes[:, :2] + boxes[:, 2:]) / 2, size[:, 0] / size[:, 1], size[:, 1]])
+    x1, y1, x2, y2 = box
+    return (x1 + x2) / 2, (y1 + y2) / 2, over(x2 - x1, y2 - y1), y2 - y1
 
 
 def corners(state: np.ndarray) -> np.ndarray:
@@ -109,35 +194,46 @@ def corners(state: np.ndarray) -> np.ndarray:
     return np.column_stack([state[:, :2] - half, state[:, :2] + half])
 
 
-def deviations(height: float, aspect: float, of_height: float) -> np.ndarray:
-    return np.array([of_height * height, of_height * height, aspect, of_height * height])
+def variances(height: float, aspect: float, of_height: float) -> Box:
+    own, other = of_height * height, aspect * aspect
+    own *= own
+    return own, own, other, own
 
 
 class Track:
     """Four filters side by side, each of a value and its velocity, with their (co)variances; and what has been seen of the box."""
 
-    def __init__(self, number: int, z: np.ndarray, score: float, frame: int, confirmed: bool):
+    __slots__ = ("number", "score", "began", "seen", "confirmed", "lost", "filters")
+
+    def __init__(self, number: int, z: Box, score: float, frame: int, confirmed: bool):
         self.number, self.score, self.began, self.seen, self.confirmed, self.lost = number, score, frame, frame, confirmed, False
-        self.value, self.velocity = z.copy(), np.zeros(4)
-        self.var = (FIRST_POSITION * deviations(z[3], ASPECT_POSITION / FIRST_POSITION, POSITION)) ** 2
-        self.both = np.zeros(4)
-        self.velocity_var = (FIRST_VELOCITY * deviations(z[3], ASPECT_VELOCITY / FIRST_VELOCITY, VELOCITY)) ** 2
+        var = variances(z[3], ASPECT_POSITION, FIRST_POSITION * POSITION)
+        velocity_var = variances(z[3], ASPECT_VELOCITY, FIRST_VELOCITY * VELOCITY)
+        #: value, velocity, variance, covariance and the velocity's variance
+        self.filters = [(x, 0.0, v, 0.0, vv) for x, v, vv in zip(z, var, velocity_var, strict=True)]
+
+    @property
+    def value(self) -> np.ndarray:
+        return np.array([f[0] for f in self.filters])
+
+    def corners(self) -> Box:
+        (x, *_), (y, *_), (aspect, *_), (height, *_) = self.filters
+        w, h = aspect * height / 2, height / 2
+        return x - w, y - h, x + w, y + h
 
     def predict(self) -> None:
         if self.lost:
-            self.velocity[3] = 0  # a box out of view doesn't grow
-        noise = deviations(self.value[3], ASPECT_POSITION, POSITION) ** 2, deviations(self.value[3], ASPECT_VELOCITY, VELOCITY) ** 2
-        self.value = self.value + self.velocity
-        self.var = self.var + 2 * self.both + self.velocity_var + noise[0]
-        self.both = self.both + self.velocity_var
-        self.velocity_var = self.velocity_var + noise[1]
-
-    def join(self, z: np.ndarray, score: float, frame: int) -> None:
-        whole = self.var + deviations(self.value[3], ASPECT_SEEN, POSITION) ** 2
-        trust, pull, off = self.var / whole, self.both / whole, z - self.value
-        self.value, self.velocity = self.value + trust * off, self.velocity + pull * off
-        self.velocity_var = self.velocity_var - pull * self.both
-        self.var, self.both = self.var * (1 - trust), self.both * (1 - trust)
+            self.filters[3] = (self.filters[3][0], 0.0, *self.filters[3][2:])  # a box out of view doesn't grow
+        height = self.filters[3][0]
+        noise = zip(self.filters, variances(height, ASPECT_POSITION, POSITION), variances(height, ASPECT_VELOCITY, VELOCITY), strict=True)
+        self.filters = [(x + v, v, var + 2 * both + vv + n, both + vv, vv + vn) for (x, v, var, both, vv), n, vn in noise]
+
+    def join(self, z: Box, score: float, frame: int) -> None:
+        noise, joined = variances(self.filters[3][0], ASPECT_SEEN, POSITION), []
+        for (x, v, var, both, vv), n, seen in zip(self.filters, noise, z, strict=True):
+            trust, pull, off = over(var, var + n), over(both, var + n), seen - x
+            joined.append((x + trust * off, v + pull * off, var * (1 - trust), both * (1 - trust), vv - pull * both))
+        self.filters = joined
         self.score, self.seen, self.confirmed, self.lost = score, frame, True, False
 
 
@@ -147,38 +243,45 @@ class Tracker:
     def __init__(self, settings: Settings):
         self.settings, self.tracks, self.frame, self.numbers = settings, [], 0, 0
 
-    def step(self, boxes: np.ndarray, scores: np.ndarray) -> list[tuple[Track, int | None]]:
-        """The tracks in view, each with the place of its box, and the lost ones with none, after one more frame."""
+    def step(self, boxes, scores) -> list[tuple[Track, int | None]]:
+        """The tracks in view, each with the place of its box, and the lost ones with none, after one more frame. boxes and scores: arrays, or lists of the same."""
+        if isinstance(boxes, np.ndarray):
+            boxes, scores = boxes.tolist(), scores.tolist()
         s, frame = self.settings, self.frame
         self.frame += 1
-        z = measured(boxes)
-        sure, unsure = np.flatnonzero(scores >= s.confident), np.flatnonzero((scores > s.unsure) & (scores < s.confident))
+        if not self.tracks and not scores:
+            return []
+        sure = [i for i, x in enumerate(scores) if x >= s.confident]
+        unsure = [i for i, x in enumerate(scores) if s.unsure < x < s.confident]
         known, fresh = [t for t in self.tracks if t.confirmed], [t for t in self.tracks if not t.confirmed]
         for t in known:
             t.predict()
         joined: dict[int, int] = {}
 
-        def match(tracks: list[Track], places: np.ndarray, limit: float, by_score: bool) -> tuple[list[Track], np.ndarray]:
-            if not len(tracks) or not len(places):
+        def match(tracks: list[Track], places: list[int], limit: float, by_score: bool) -> tuple[list[Track], list[int]]:
+            if not tracks or not places:
                 return tracks, places
-            overlap = overlaps(corners(np.stack([t.value for t in tracks])), boxes[places])
-            pairs = assignment(1 - overlap * (scores[places] if by_score else 1), limit)
+            shared = overlap_rows([t.corners() for t in tracks], [boxes[p] for p in places])
+            weights = [scores[p] if by_score else 1 for p in places]
+            pairs = gainful([[max(limit - (1 - x * w), 0.0) for x, w in zip(row, weights, strict=True)] for row in shared])
             for i, j in pairs:
-                tracks[i].join(z[places[j]], float(scores[places[j]]), frame)
-                joined[id(tracks[i])] = int(places[j])
+                tracks[i].join(measured(boxes[places[j]]), scores[places[j]], frame)
+                joined[id(tracks[i])] = places[j]
             rows, columns = {i for i, _ in pairs}, {j for _, j in pairs}
-            return [t for i, t in enumerate(tracks) if i not in rows], places[[j for j in range(len(places)) if j not in columns]]
+            return [t for i, t in enumerate(tracks) if i not in rows], [p for j, p in enumerate(places) if j not in columns]
 
         left, sure = match(known, sure, s.first_cost, True)
         left, _ = match([t for t in left if not t.lost], unsure, s.second_cost, False)
         for t in left:
             t.lost = True
         gone, sure = match(fresh, sure, s.fresh_cost, True)
-        self.tracks = [t for t in self.tracks if t not in gone]
+        if gone:
+            dropped = set(map(id, gone))
+            self.tracks = [t for t in self.tracks if id(t) not in dropped]
         for place in sure:  # boxes in view from the first frame on need no second sight
             self.numbers += 1
-            self.tracks.append(Track(self.numbers, z[place], float(scores[place]), frame, confirmed=not frame))
-            joined[id(self.tracks[-1])] = int(place)
+            self.tracks.append(Track(self.numbers, measured(boxes[place]), scores[place], frame, confirmed=not frame))
+            joined[id(self.tracks[-1])] = place
         self.tracks = [t for t in self.tracks if not t.lost or frame - t.seen <= s.buffer]
         self._merge()
         return [(t, joined.get(id(t))) for t in self.tracks if t.confirmed]
@@ -186,8 +289,9 @@ class Tracker:
     def _merge(self) -> None:
         here, lost = [t for t in self.tracks if t.confirmed and not t.lost], [t for t in self.tracks if t.lost]
         if here and lost:
-            shared = overlaps(*(corners(np.stack([t.value for t in x])) for x in (here, lost)))
-            drop = {id(here[i] if here[i].seen - here[i].began <= lost[j].seen - lost[j].began else lost[j]) for i, j in np.argwhere(shared > self.settings.same)}
+            shared = overlap_rows(*([t.corners() for t in x] for x in (here, lost)))
+            same = [(h, o) for h, row in zip(here, shared, strict=True) for o, x in zip(lost, row, strict=True) if x > self.settings.same]
+            drop = {id(h if h.seen - h.began <= o.seen - o.began else o) for h, o in same}
             self.tracks = [t for t in self.tracks if id(t) not in drop]
 
 
@@ -195,7 +299,7 @@ class Shot:
     """A folder over the rows (keys, pts_us, frame_id, box, corners, score) of one class in one shot."""
 
     def __init__(self, key: tuple, settings: Settings, cadence_us: int, width: float, height: float):
-        self.key, self.tracker, self.cadence_us, self.size = key, Tracker(settings), cadence_us, np.array([width, height, width, height])
+        self.key, self.tracker, self.cadence_us, self.size = key, Tracker(settings), cadence_us, (float(width), float(height))
         self.at: int | None = None
         self.frame, self.rows = None, []
 
@@ -212,9 +316,11 @@ class Shot:
     def end(self) -> Iterator[tuple]:
         if self.frame is None or not (self.rows or self.tracker.frame):
             return  # a class is followed from the first frame that shows it
-        boxes, scores = np.array([r[1:5] for r in self.rows], float).reshape(-1, 4), np.array([r[5] for r in self.rows], float)
-        for t, place in self.tracker.step(boxes, scores):
-            x1, y1, x2, y2 = np.clip(corners(t.value[None])[0], 0, self.size).tolist()
+        rows = [[math.nan if x is None else x for x in r[1:6]] if None in r else r[1:6] for r in self.rows]
+        (width, height), inside = self.size, lambda x, most: min(max(x, 0.0), most)
+        for t, place in self.tracker.step([r[:4] for r in rows], [r[4] for r in rows]):
+            x1, y1, x2, y2 = t.corners()
+            x1, y1, x2, y2 = inside(x1, width), inside(y1, height), inside(x2, width), inside(y2, height)
             if x1 < x2 and y1 < y2:
                 yield (*self.key, self.frame, None if place is None else self.rows[place][0], t.number, "predicted" if place is None else "observed", x1, y1, x2, y2, t.score)
 

@@ -2,7 +2,9 @@
 
 import random
 
-from tempora.operators import retrieval
+import pyarrow as pa
+
+from tempora.operators import groups, retrieval
 from tempora.operators.groups import per_group
 
 
@@ -28,3 +30,10 @@ def test_interval_metrics(spark):
     truths = spark.createDataFrame([(1, 0, "a", 10, 20), (1, 1, "b", 10, 20), (2, 2, "a", 10, 20)], "query_id int, truth_id int, episode_id string, start_us long, end_us long")
     got = {r["query_id"]: (r["success"], r["interval_recall"], r["best_iou"]) for r in retrieval.interval_metrics(hits, truths, [1]).collect()}
     assert got == {1: (1, 0.5, 0.333333), 2: (0, 0.0, 0.0), 3: (None, None, None)}
+
+
+def test_columns_are_listed_as_arrow_lists_them():
+    for values, kind in (([1, None, 2**60 + 1], pa.int64()), ([], pa.int32()), ([None], pa.float64()), ([0.5, None, float("inf")], pa.float64()), (["a", None], pa.string()), ([True, None], pa.bool_())):
+        column = pa.array(values, kind)
+        assert groups.listed(column) == column.to_pylist() and list(map(type, groups.listed(column))) == list(map(type, values))
+        assert groups.listed(column.slice(1)) == column.slice(1).to_pylist()
