@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.bpe import CACHE_BYTES, Generations, chunk_cache, codec, default_vocabulary
+from tempora.llm.bpe import CACHE_BYTES, chunk_cache, codec, default_vocabulary
 from tempora.llm.common import documents, identified, slices, small_batches, stage, whole_text
 
 EDITS = "array<struct<start:long,end:long,replacement:string>>"
+#: Bytes of a generation of the cache of chunks.
+TREE_CACHE_BYTES = CACHE_BYTES * 3 // 4
 #: Trees of so few leaves are summed up number by number.
 FEW_LEAVES = 32
 #: A stored tree: the text, and characters and tokens of each leaf.
@@ -32,26 +34,35 @@ TREE = "doc_id long, text string, characters array<int>, tokens array<int>"
 
 #: A leaf: characters up to white space and that white space; control characters that only Python counts as white space belong to the former.
 _LEAF = re.compile("[\\S\x1c-\x1f]+[^\\S\x1c-\x1f]*|[^\\S\x1c-\x1f]+")
+#: Whether each character up to the last white one is white space, in that sense.
+_WHITE = np.array([chr(c).isspace() and not 0x1C <= c <= 0x1F for c in range(0x3001)])
 
-_counts: dict[str, Generations] = {}
 
+def cut(text: str) -> list[str]:
+    """The leaves of a text."""
+    return _LEAF.findall(text)
 
-def leaf_counts(path: str) -> Generations:
-    """Leaf -> its number of tokens, one above, as a value must be true; one cache for each Python worker."""
-    if path not in _counts:
-        c = codec(path)
-
-        def compute(leaves: list[str]) -> list[int]:
-            own = [c.chunks(x) for x in leaves]
-            return [sum(map(len, ids)) // 4 + 1 for ids in chunk_cache(path, CACHE_BYTES // 4).values(own)]
 
-        _counts[path] = Generations(compute, CACHE_BYTES // 2)
-    return _counts[path]
+def leaf_lengths(text: str) -> np.ndarray:
+    """The number of characters of each leaf of a text."""
+    if text.isascii():
+        white = _WHITE[np.frombuffer(text.encode("ascii"), np.uint8)]
+    else:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        white = _WHITE[np.minimum(codes, len(_WHITE) - 1)] & (codes < len(_WHITE))
+    starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
+    return np.diff(starts, prepend=0, append=len(text)).astype(np.int32) if text else np.zeros(0, np.int32)
 
 
-def cut(text: str) -> list[str]:
-    """The leaves of a text."""
-    return _LEAF.findall(text)
+def leaf_counts(path: str, texts: list[str], lengths: list[np.ndarray]) -> list[np.ndarray]:
+    """The number of tokens of each leaf. A leaf is one chunk of the encoding with the white space behind it, or white space that begins a text."""
+    found = chunk_cache(path, TREE_CACHE_BYTES).values(list(map(codec(path).chunks, texts)))
+    counts = []
+    for ids, own in zip(found, lengths, strict=True):
+        n = np.zeros(len(own), np.int32)
+        n[len(own) - len(ids) :] = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        counts.append(n)
+    return counts
 
 
 class SegmentTree:
@@ -85,12 +96,13 @@ class SegmentTree:
     @classmethod
     def of(cls, path: str, text: str) -> SegmentTree:
         """The tree of a text, all of whose leaves are encoded."""
-        leaves, cache = cut(text), leaf_counts(path)
-        found = list(map(cache.young.get, leaves))
+        chunks, lengths = codec(path).chunks(text), list(map(len, cut(text)))
+        cache = chunk_cache(path, TREE_CACHE_BYTES)
+        found = list(map(cache.young.get, chunks))
         if None in found:
-            found = cache.values([leaves])[0]
-        tree = cls(path, text, list(map(len, leaves)), [n - 1 for n in found])
-        tree.encoded = len(leaves)
+            found = cache.values([chunks])[0]
+        tree = cls(path, text, lengths, [0] * (len(lengths) - len(chunks)) + [len(ids) // 4 for ids in found])
+        tree.encoded = len(lengths)
         return tree
 
     @property
@@ -195,10 +207,9 @@ def trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                leaves = list(map(cut, part.column("text").to_pylist()))
-                counts = leaf_counts(path).values(leaves)
-                lengths = [np.fromiter(map(len, x), np.int32, len(x)) for x in leaves]
-                yield pa.RecordBatch.from_arrays(_table(part.column("doc_id"), part.column("text"), lengths, [np.array(n, np.int32) - 1 for n in counts]), ["doc_id", "text", "characters", "tokens"])
+                texts = part.column("text").to_pylist()
+                lengths = list(map(leaf_lengths, texts))
+                yield pa.RecordBatch.from_arrays(_table(part.column("doc_id"), part.column("text"), lengths, leaf_counts(path, texts, lengths)), ["doc_id", "text", "characters", "tokens"])
 
     return identified(docs).mapInArrow(run, TREE)
 

@@ -111,6 +111,20 @@ def test_trees_take_a_second_round_of_edits(odd, library):
         assert sum(r["tokens"]) == len(theirs(library, r["text"])) and sum(r["characters"]) == len(r["text"]) and 0 not in r["characters"]
 
 
+def test_leaves_are_counted_by_their_chunks(monkeypatch, library):
+    """A text is cut into chunks once, not each of its leaves; their lengths and counts are those of the leaves."""
+    calls, own = [], bpe.Codec.chunks
+    monkeypatch.setattr(bpe.Codec, "chunks", lambda self, text: calls.append(text) or own(self, text))
+    texts = ["", " ", "a", "  a b\x1c c\xa0d\u3000 é", "🙂 a  ", "a\x1f \x1e b\x85", "\x1ca b", " x\n\n", "\x1c", " ".join(f"word{k}{' ' * (k % 3)}" for k in range(500))]
+    lengths = list(map(token_counts.leaf_lengths, texts))
+    counts = token_counts.leaf_counts(PATH, texts, lengths)
+    assert len(calls) == len(texts)
+    for text, characters, tokens in zip(texts, lengths, counts, strict=True):
+        leaves = token_counts.cut(text)
+        assert characters.tolist() == list(map(len, leaves)) and tokens.tolist() == [len(theirs(library, x)) for x in leaves]
+        assert token_counts.SegmentTree.of(PATH, text).tokens == len(theirs(library, text))
+
+
 def test_op2_equals_a_recount(spark, sf, documents, library):
     def revised(t):
         n, q, h = len(t), len(t) // 4, len(t) // 2
