@@ -17,7 +17,7 @@ from tempora.sources.staging import drop_path, drop_since, staged_so_far
 
 #: Documents of this score or more are rejected.
 TOXIC_SCORE = 0.5
-#: Executors still hold what the stages before have touched, so packing caches less than it does alone.
+#: Executors still hold what the stages before have touched, so packing caches less than it does alone and its workers keep nothing for later stages.
 CACHE_BYTES = 8 << 20
 #: Near copies differ by some words, each of which changes as many shingles as a shingle has words: shorter shingles and a wider radius than op6's link more of them, as do several fingerprints. What is linked is then compared.
 SHINGLE_WORDS, RADIUS = 2, 6
@@ -55,7 +55,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences. An empty or null text is one id, that of the document's end; equal rows are pieces each."""
-    return packing.pack(docs, cache_bytes=CACHE_BYTES)
+    return packing.pack(docs, cache_bytes=CACHE_BYTES, keep_caches=False)
 
 
 STAGES = [

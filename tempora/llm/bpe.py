@@ -251,6 +251,13 @@ def chunk_cache(path: str, limit: int = CACHE_BYTES) -> Generations:
     return Generations(compute, limit)
 
 
+def release() -> None:
+    """Drops this worker's vocabularies and caches; what needs them next builds them anew."""
+    chunk_cache.cache_clear()
+    codec.cache_clear()
+    gc.collect()
+
+
 def in_parts(text: str) -> list[str]:
     """A text cut at white space into parts of about CHARACTERS_AT_ONCE."""
     parts, at = [], 0

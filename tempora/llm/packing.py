@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.bpe import CACHE_BYTES, default_vocabulary, encode_bytes
-from tempora.llm.common import documents, identified, salted_rank, slices, stage
+from tempora.llm.bpe import CACHE_BYTES, default_vocabulary, encode_bytes, release
+from tempora.llm.common import documents, identified, salted_rank, slices, stage, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -89,10 +89,11 @@ def places(plan: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = True, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = True, cache_bytes: int = CACHE_BYTES, keep_caches: bool = True) -> DataFrame:
     """doc_id, start, length, doc_tokens, ids_crc32 and, with keep_ids, the ids (little-endian unsigned 32-bit) of each window of a document and of its rest.
 
-    `dealt` is the task and a running number, for ranks to be dealt by.
+    `dealt` is the task and a running number, for ranks to be dealt by. Without keep_caches a task drops the vocabulary and the
+    cache when it ends and gives their memory back; the next one builds its own.
     """
     path = vocabulary or default_vocabulary()
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
@@ -110,20 +111,22 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
                         made += 1
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
+        if not keep_caches:
+            release()
 
     names, types = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "dealt"] + ["ids"] * keep_ids, [pa.int64()] * 6 + [pa.binary()]
-    return identified(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names[:6]) + ", ids binary" * keep_ids)
+    return identified(docs).mapInArrow(run if keep_caches else tidy(run), ", ".join(f"{n} long" for n in names[:6]) + ", ids binary" * keep_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = False, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int | None = END_ID, keep_ids: bool = False, cache_bytes: int = CACHE_BYTES, keep_caches: bool = True) -> DataFrame:
     """Pieces with their place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids their ids too.
 
     A null or empty text is the end id alone; a document without any id (end_id None) has no piece. A very long text has as many
     pieces as it needs. Repeated rows are packed each for itself. Of pieces of equal length any may take a place. cache_bytes
-    bounds a task's memory. Sequences are numbered from 0; offsets in one are gapless from 0. Only doc_id and text are read, so
+    bounds a task's memory, and without keep_caches its worker keeps none of it. Sequences are numbered from 0; offsets in one are gapless from 0. Only doc_id and text are read, so
     other columns may have any name. An empty table gives no piece.
     """
-    cut = stage(pieces(docs, vocabulary, window, end_id, keep_ids, cache_bytes), "pieces")
+    cut = stage(pieces(docs, vocabulary, window, end_id, keep_ids, cache_bytes, keep_caches), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length up to the window
     plan = sorted(places(minimum_slack_plan(histogram, window)))
     ranked = salted_rank(cut, "length", ["doc_id", "start", "ids_crc32", "doc_tokens", "dealt"], F.pmod(F.xxhash64("dealt"), F.lit(max(SALTS, sum(histogram.values()) // SALT_ROWS))), "rank")

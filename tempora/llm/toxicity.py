@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
                     yield counted()
         yield counted()
 
-    counts = rows.mapInArrow(count, "term string, fold int, toxic int, n long").groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "term string, fold int, toxic int, n long").groupBy("term", "fold", "toxic").agg(F.sum("n").alias("n"))
     toxic_total = F.sum(F.when(F.col("toxic") == 1, F.col("n"))).over(_by_term())
     kept = counts.withColumn("_t", toxic_total).where("_t >= 3 or term = ''")  # terms in toxic texts of the sample: bounded by it
     toxic, clean = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
@@ -306,7 +306,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, hold
                     out[at] = scanners[f].features([texts[i] for i in at])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(folds.astype(np.int32)), pa.array(list(out))], ["doc_id", "toxic", "fold", "x"])
 
-    table = rows.mapInArrow(featured, "doc_id long, toxic int, fold int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
+    table = rows.mapInArrow(tidy(featured), "doc_id long, toxic int, fold int, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x, y, fold = np.array(table["x"].tolist()), table["toxic"].to_numpy(float), table["fold"].to_numpy()
     raw = np.zeros(len(y))
     for f in range(FOLDS):

@@ -1,13 +1,35 @@
 import random
 import zlib
+from types import SimpleNamespace
 
+import corpus_pipeline
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from tempora.llm import packing, sharding
+from tempora.llm import bpe, packing, sharding
 
 from tests.llm.conftest import ODD
 
 
+def test_a_pipelines_packing_leaves_nothing_in_its_worker(monkeypatch, library):
+    """Workers live on for the stages that follow."""
+
+    def stop(df, name):
+        raise InterruptedError
+
+    taken, batch = [], pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c", ""]})
+    docs = SimpleNamespace(mapInArrow=lambda run, schema: taken.append(run))
+    monkeypatch.setattr(packing, "identified", lambda docs: docs)
+    monkeypatch.setattr(packing, "stage", stop)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    with pytest.raises(InterruptedError):
+        corpus_pipeline.packed(None, docs, "")
+    rows = [r for b in taken[0](iter([batch])) for r in b.to_pylist()]
+    assert [r["length"] for r in rows] == [len(library.encode("a b c", add_special_tokens=False).ids) + 1, 1]
+    assert bpe.chunk_cache.cache_info().currsize == bpe.codec.cache_info().currsize == 0
+
+
 def checked(rows, library, texts, window=2048):
     """Every id lies in one piece; pieces lie gapless in their sequences; returns the share of windows that is filled."""
     by_doc, by_sequence = {}, {}
