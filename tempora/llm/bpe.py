@@ -45,6 +45,9 @@ CHARACTERS_AT_ONCE = 1 << 21
 #: What the tokenizer's `\s` matches. str.split() cuts at four control characters besides.
 _WHITE = regex.compile(r"\p{White_Space}+")
 _SPLIT_MORE = re.compile("[\x1c-\x1f]")
+#: White space beyond ASCII, and whether a byte is white space by itself.
+_OTHER_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WHITE_BYTE = np.array([b in b"\t\n\x0b\x0c\r " for b in range(256)])
 
 
 def default_vocabulary() -> str:
@@ -100,7 +103,7 @@ class Codec:
             codes = [self.byte_of[c] for c in inner if c in self.byte_of]
             joined[codes[:-1], codes[1:]] = True
         self.joined = joined
-        self.alphabet = {b: c for b, c in self.char_of.items() if chr(b) != c}
+        self.alphabet = np.array([ord(self.char_of[b]) if b != ord(" ") else b for b in range(256)], "<u2")  # no pre-token has a space
 
     def cuts(self, parts: list[bytes]) -> dict[int, list[int]]:
         """The forced cuts inside parts, by the part's place: wherever a byte pair occurs inside no token."""
@@ -115,8 +118,8 @@ class Codec:
         return found
 
     def symbols(self, data: bytes) -> str:
-        """A character of the vocabulary's alphabet for each byte."""
-        return data.decode("latin-1").translate(self.alphabet)
+        """A character of the vocabulary's alphabet for each byte; spaces stay."""
+        return self.alphabet[np.frombuffer(data, np.uint8)].tobytes().decode("utf-16-le")
 
     def pretoken_ids(self, pretokens: list[str]) -> list[bytes]:
         """The ids of each pre-token: its fragments encoded apart, then concatenated. An added token is a pre-token of its own.
@@ -127,12 +130,9 @@ class Codec:
         cut, before, ends = self.cuts(data), {}, data.copy()
         for k, at in cut.items():
             pieces = [data[k][a:b] for a, b in itertools.pairwise([0, *at, len(data[k])])]
-            before[k] = packed([t.id for p in pieces[:-1] for t in self.inner.tokenize(self.symbols(p))])
+            before[k] = packed([t.id for p in self.symbols(b" ".join(pieces[:-1])).split(" ") for t in self.inner.tokenize(p)])
             ends[k] = pieces[-1]
-        coded = [t if t.isascii() and t.isprintable() else self.symbols(e) for t, e in zip(pretokens, data, strict=True)]  # printable ASCII stands for itself
-        for k in cut:
-            coded[k] = self.symbols(ends[k])
-        joined = " ".join(coded)
+        joined = self.symbols(b" ".join(ends))
         ids = np.array(self.last.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         stops = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         data = ids.tobytes()
@@ -270,15 +270,35 @@ def in_parts(text: str) -> list[str]:
     return [*parts, text[at:]]
 
 
+def joined_ids(c: Codec, cache: Generations, texts: list[str]) -> list[bytes]:
+    """The ids of each text. Each different chunk of the texts is looked up once, and Arrow puts what it encodes to in every place."""
+    plain = (t if t.isascii() or not _OTHER_WHITE.search(t) else " ".join(c.chunks(t)) for t in texts)
+    encoded = [t.encode("utf-8", "surrogatepass") for t in plain]
+    data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
+    inside = ~_WHITE_BYTE[data]
+    edges = np.diff(np.r_[np.int8(0), inside.view(np.int8)])
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return [b""] * len(texts)
+    ends_at = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+    chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends_at), pa.py_buffer(data[inside])]).dictionary_encode()
+    keys = [k.decode("utf-8", "surrogatepass") for k in chunks.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    ids = pa.array(list(map(cache.holding(set(keys)).__getitem__, keys)), pa.large_binary()).take(chunks.indices)
+    first = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in encoded]]))  # of each text's chunks
+    at = np.frombuffer(ids.buffers()[1], np.int64)[first + ids.offset].tolist()
+    found = memoryview(ids.buffers()[2])
+    return [bytes(found[a:b]) for a, b in itertools.pairwise(at)]
+
+
 def encode_bytes(path: str, texts: list[str], limit: int = CACHE_BYTES) -> list[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit integers."""
-    split, collects = codec(path).chunks, gc.isenabled()
+    c, collects = codec(path), gc.isenabled()
     gc.disable()  # hundreds of thousands of strings and no cycle
     try:
         cache = chunk_cache(path, limit)
         if max(map(len, texts), default=0) <= CHARACTERS_AT_ONCE:
-            return [b"".join(ids) for ids in cache.values([split(t) for t in texts])]
-        return [b"".join([b"".join(cache.values([split(p)])[0]) for p in in_parts(t)]) for t in texts]
+            return joined_ids(c, cache, texts)
+        return [b"".join([joined_ids(c, cache, [p])[0] for p in in_parts(t)]) for t in texts]
     finally:
         if collects:
             gc.enable()

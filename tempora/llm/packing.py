@@ -28,6 +28,8 @@ END_ID = 1
 SALTS, SALT_ROWS = 64, 1 << 20
 #: Length and rank share a 64-bit number: ranks up to 2^44, lengths up to 2^19.
 RANK_BITS = 44
+#: Texts are encoded together up to this part of the cache's bytes: the more, the less often a chunk is looked up again.
+SLICES_PER_CACHE = 32
 #: Bits of a piece's number inside its task.
 DEALT_BITS = 36
 
@@ -101,7 +103,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId() << DEALT_BITS, 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=cache_bytes // SLICES_PER_CACHE):
                 rows = []
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode_bytes(path, part.column("text").to_pylist(), cache_bytes), strict=True):
                     ids += end

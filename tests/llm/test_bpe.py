@@ -4,6 +4,7 @@ import os
 import random
 import subprocess
 import sys
+from types import SimpleNamespace
 
 import numpy as np
 from hypothesis import given, settings
@@ -78,6 +79,25 @@ def test_generations_are_bounded():
     assert long not in g.young and "z" in g.young or "z" in g.old
 
 
+def test_each_different_chunk_is_looked_up_once(monkeypatch):
+    asked = []
+
+    class Known(dict):
+        def __getitem__(self, key):
+            asked.append(key)
+            return np.array([len(key), 7], "<u4").tobytes()
+
+    monkeypatch.setattr(bpe, "chunk_cache", lambda path, limit: SimpleNamespace(holding=lambda keys: Known()))
+    assert ours(["a bb a " * 1000, "", " \n", "bb\tccc\xa0a"]) == [[1, 7, 2, 7, 1, 7] * 1000, [], [], [2, 7, 3, 7, 1, 7]]
+    assert sorted(asked) == ["a", "bb", "ccc"]
+
+
+def test_all_white_space_parts_chunks(library):
+    white = [x for x in map(chr, range(0x110000)) if x.isspace() or bpe._WHITE.fullmatch(x)]
+    texts = [t for x in white for t in (f"a{x}b", x, f"é{x}{x}A!", f"{x}日")]
+    assert len(white) == 29 and ours(texts) == [theirs(library, t) for t in texts]
+
+
 def test_counts_follow_edits(library):
     rng = random.Random(5)
     parts = ["a", "b ", " ", "'s", "é", "́", " \n", "\x1c", "12", ".", "<|endoftext|>", "Σ", "x y", "日", ""]
