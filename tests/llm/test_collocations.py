@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -124,3 +125,15 @@ def test_odd_rows_empty_tables_and_other_columns(spark, odd, nothing):
     got = collected(c.collocations(odd.withColumn("lang", odd["line"]), min_count=2000))
     long = [(t, x) for _, t, x in ODD]
     assert got == brute(long, 5, 2000, 2000, 100) and got
+
+
+def test_few_rare_pairs_pass_for_frequent(spark):
+    """What a task sends would otherwise be mostly suffixes of rare pairs, the more so the larger the corpus is."""
+    rng = np.random.default_rng(3)
+    words = c.Words([" ".join(f"w{x}" for x in rng.integers(0, 50_000, 600_000).tolist())], ["en"])
+    at, pair = words.pairs()
+    frequent = np.unique(pair)[::10]
+    keys = spark.createDataFrame(pd.DataFrame({"pair": frequent.view(np.int64)}))
+    joined = words.joined(c.bitmap(keys, "pair", len(frequent)))[0][at]
+    true = np.isin(pair, frequent)
+    assert len(frequent) > 59_000 and joined[true].all() and joined[~true].mean() < 0.002
