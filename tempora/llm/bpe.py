@@ -270,21 +270,34 @@ def in_parts(text: str) -> list[str]:
     return [*parts, text[at:]]
 
 
-def joined_ids(c: Codec, cache: Generations, texts: list[str]) -> list[bytes]:
-    """The ids of each text. Each different chunk of the texts is looked up once, and Arrow puts what it encodes to in every place."""
-    plain = (t if t.isascii() or not _OTHER_WHITE.search(t) else " ".join(c.chunks(t)) for t in texts)
+def joined_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DictionaryArray]:
+    """The bytes of the texts, each with a line feed behind it and a space for white space beyond ASCII; where they begin in it, where their chunks do, and the chunks."""
+    plain = (t if t.isascii() else _OTHER_WHITE.sub(" ", t) for t in texts)
     encoded = [t.encode("utf-8", "surrogatepass") for t in plain]
     data = np.frombuffer(b"\n".join([*encoded, b""]), np.uint8)
     inside = ~_WHITE_BYTE[data]
     edges = np.diff(np.r_[np.int8(0), inside.view(np.int8)])
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-    if not len(starts):
-        return [b""] * len(texts)
     ends_at = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
     chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends_at), pa.py_buffer(data[inside])]).dictionary_encode()
-    keys = [k.decode("utf-8", "surrogatepass") for k in chunks.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    return data, np.cumsum([0, *[len(t) + 1 for t in encoded]]), starts, chunks
+
+
+def different(chunks: pa.DictionaryArray) -> list[str]:
+    """Each different chunk, in the dictionary's order."""
+    if not len(chunks):
+        return []
+    return b"\n".join(chunks.dictionary.to_numpy(zero_copy_only=False).tolist()).decode("utf-8", "surrogatepass").split("\n")  # no chunk has a line feed
+
+
+def joined_ids(cache: Generations, texts: list[str]) -> list[bytes]:
+    """The ids of each text. Each different chunk of the texts is looked up once, and Arrow puts what it encodes to in every place."""
+    _, begins, starts, chunks = joined_chunks(texts)
+    if not len(starts):
+        return [b""] * len(texts)
+    keys = different(chunks)
     ids = pa.array(list(map(cache.holding(set(keys)).__getitem__, keys)), pa.large_binary()).take(chunks.indices)
-    first = np.searchsorted(starts, np.cumsum([0, *[len(t) + 1 for t in encoded]]))  # of each text's chunks
+    first = np.searchsorted(starts, begins)  # of each text's chunks
     at = np.frombuffer(ids.buffers()[1], np.int64)[first + ids.offset].tolist()
     found = memoryview(ids.buffers()[2])
     return [bytes(found[a:b]) for a, b in itertools.pairwise(at)]
@@ -292,13 +305,13 @@ def joined_ids(c: Codec, cache: Generations, texts: list[str]) -> list[bytes]:
 
 def encode_bytes(path: str, texts: list[str], limit: int = CACHE_BYTES) -> list[bytes]:
     """The ids of whole texts as little-endian unsigned 32-bit integers."""
-    c, collects = codec(path), gc.isenabled()
+    collects = gc.isenabled()
     gc.disable()  # hundreds of thousands of strings and no cycle
     try:
         cache = chunk_cache(path, limit)
         if max(map(len, texts), default=0) <= CHARACTERS_AT_ONCE:
-            return joined_ids(c, cache, texts)
-        return [b"".join([joined_ids(c, cache, [p])[0] for p in in_parts(t)]) for t in texts]
+            return joined_ids(cache, texts)
+        return [b"".join([joined_ids(cache, [p])[0] for p in in_parts(t)]) for t in texts]
     finally:
         if collects:
             gc.enable()

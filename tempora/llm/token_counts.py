@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm.bpe import CACHE_BYTES, chunk_cache, codec, default_vocabulary
+from tempora.llm.bpe import CACHE_BYTES, CHARACTERS_AT_ONCE, chunk_cache, codec, default_vocabulary, different, joined_chunks
 from tempora.llm.common import documents, identified, slices, small_batches, stage, whole_text
 
 EDITS = "array<struct<start:long,end:long,replacement:string>>"
@@ -65,6 +65,26 @@ def leaf_counts(path: str, texts: list[str], lengths: list[np.ndarray]) -> list[
     return counts
 
 
+def leaves(path: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of leaves of each text, and characters and tokens of all of them. Each different chunk of the texts is looked up once, and numpy puts its count in every place."""
+    if max(map(len, texts), default=0) > CHARACTERS_AT_ONCE:
+        lengths = list(map(leaf_lengths, texts))
+        return np.array(list(map(len, lengths))), np.concatenate(lengths), np.concatenate(leaf_counts(path, texts, lengths))
+    data, begins, starts, chunks = joined_chunks(texts)
+    (ids,) = chunk_cache(path, TREE_CACHE_BYTES).values([different(chunks)])
+    tokens = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+    begin = np.zeros(len(data) + 1, bool)  # of a leaf, or of a text
+    begin[starts] = begin[begins] = True
+    at = np.flatnonzero(begin)
+    counts = np.zeros(len(at), np.int32)
+    counts[np.searchsorted(at, starts)] = tokens[chunks.indices.to_numpy()]
+    characters = np.diff(at if data.max(initial=0) < 128 else np.r_[0, np.cumsum(data & 0xC0 != 0x80)][at])
+    first = np.searchsorted(at, begins)
+    characters[first[1:] - 1] -= 1  # the line feed behind a text
+    full = characters > 0  # an empty text has no leaf
+    return np.diff(np.r_[0, np.cumsum(full)][first]), characters[full].astype(np.int32), counts[:-1][full]
+
+
 class SegmentTree:
     """Sums of characters and tokens over leaves; a leaf that an edit has made several of holds a tree of its own."""
 
@@ -188,11 +208,10 @@ class SegmentTree:
         self.update(first, new.characters, new.tokens)
 
 
-def _table(ids: pa.Array, texts: list[str] | pa.Array, characters: list[np.ndarray], tokens: list[np.ndarray]) -> list[pa.Array]:
-    """The columns of TREE."""
-    offsets = pa.array(np.cumsum([0, *map(len, characters)]), pa.int32())
-    flat = [pa.array(np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)) for x in (characters, tokens)]
-    return [ids, texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), *[pa.ListArray.from_arrays(offsets, x) for x in flat]]
+def _table(ids: pa.Array, texts: pa.Array, n_leaves: Sequence[int], characters: np.ndarray, tokens: np.ndarray) -> list[pa.Array]:
+    """The columns of TREE; characters and tokens are those of all leaves."""
+    offsets = pa.array(np.r_[0, np.cumsum(n_leaves)], pa.int32())
+    return [ids, texts, *[pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (characters, tokens)]]
 
 
 def trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -207,9 +226,7 @@ def trees(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts = part.column("text").to_pylist()
-                lengths = list(map(leaf_lengths, texts))
-                yield pa.RecordBatch.from_arrays(_table(part.column("doc_id"), part.column("text"), lengths, leaf_counts(path, texts, lengths)), ["doc_id", "text", "characters", "tokens"])
+                yield pa.RecordBatch.from_arrays(_table(part.column("doc_id"), part.column("text"), *leaves(path, part.column("text").to_pylist())), ["doc_id", "text", "characters", "tokens"])
 
     return identified(docs).mapInArrow(run, TREE)
 
@@ -233,7 +250,7 @@ def apply(edited: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                texts, characters, tokens, told = [], [], [], []
+                texts, n_leaves, characters, tokens, told = [], [], [], [], []
                 columns = part.column("characters"), part.column("tokens")
                 for row, (text, edits) in enumerate(zip(part.column("text").to_pylist(), part.column("edits").to_pylist(), strict=True)):
                     tree = SegmentTree(path, text, *[c[row].values.to_numpy() for c in columns])
@@ -241,10 +258,13 @@ def apply(edited: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     for e in edits or ():
                         tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
                     parts = list(tree.parts())
-                    own = [np.concatenate([p[k] for p in parts] or [[]]) for k in (1, 2)]
-                    texts.append("".join([p[0] for p in parts])), characters.append(own[0]), tokens.append(own[1]), told.append((*before, tree.encoded))
+                    texts.append("".join([p[0] for p in parts])), told.append((*before, tree.encoded))
+                    characters += [p[1] for p in parts]
+                    tokens += [p[2] for p in parts]
+                    n_leaves.append(sum([len(p[1]) for p in parts]))
+                own = [np.concatenate([np.zeros(0, np.int32), *x]) for x in (characters, tokens)]
                 more = [pa.array(c, pa.int64()) for c in zip(*told, strict=True)]
-                yield pa.RecordBatch.from_arrays([*_table(part.column("doc_id"), texts, characters, tokens), *more], ["doc_id", "text", "characters", "tokens", "n_tokens", "n_leaves", "encoded_leaves"])
+                yield pa.RecordBatch.from_arrays([*_table(part.column("doc_id"), pa.array(texts, pa.string()), n_leaves, *own), *more], ["doc_id", "text", "characters", "tokens", "n_tokens", "n_leaves", "encoded_leaves"])
 
     return edited.select("doc_id", "text", "characters", "tokens", F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, TREE + ", n_tokens long, n_leaves long, encoded_leaves long")
 

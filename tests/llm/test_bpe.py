@@ -145,6 +145,23 @@ def test_leaves_are_counted_by_their_chunks(monkeypatch, library):
         assert token_counts.SegmentTree.of(PATH, text).tokens == len(theirs(library, text))
 
 
+def test_trees_look_each_different_chunk_up_once(spark, monkeypatch, library):
+    """No text is cut into a list of its chunks, and no chunk is looked up wherever it stands; very long texts are."""
+    asked, own = [], bpe.Generations.values
+    monkeypatch.setattr(bpe.Generations, "values", lambda self, lists: asked.extend(lists) or own(self, lists))
+    texts = ["", " ", "a", "  a b\x1c c\xa0d\u3000 é", "", "🙂 a  ", "a\x1f \x1e b\x85", "\x1ca b", " x\n\n", "\u2003", "\x1c", "日本\u2028 <|endoftext|> Σ", " ".join(f"word{k % 9}{' ' * (k % 3)}" for k in range(500)), ""]
+    want = [token_counts.cut(t) for t in texts]
+    for most in (bpe.CHARACTERS_AT_ONCE, 30):
+        monkeypatch.setattr(token_counts, "CHARACTERS_AT_ONCE", most)
+        n, characters, tokens = token_counts.leaves(PATH, texts)
+        assert n.tolist() == list(map(len, want)) and characters.tolist() == [len(x) for own in want for x in own]
+        assert tokens.tolist() == [len(theirs(library, x)) for own in want for x in own]
+        if most > 30:
+            assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) < 40
+    for few in ([], [""], ["", " "], ["é"]):
+        assert token_counts.leaves(PATH, few)[0].tolist() == [len(token_counts.cut(t)) for t in few]
+
+
 def test_op2_equals_a_recount(spark, sf, documents, library):
     def revised(t):
         n, q, h = len(t), len(t) // 4, len(t) // 2
