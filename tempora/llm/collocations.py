@@ -5,11 +5,12 @@ phrase's length; suffixes are dealt by language and first word and sorted in rev
 words of the suffix before, counts every prefix of every suffix, and so every phrase, in one pass. The counts of a phrase's parts
 are counts of phrases as well, and are joined afterwards.
 
-Of a phrase that is frequent enough all words that stand side by side are frequent pairs, and any three are frequent triples. So
-these are counted first, pairs by hash and then triples in a fixed number of buckets, and a suffix ends before the first pair or
-triple that isn't frequent: what is left out can't be part of a frequent phrase. All tasks know what is frequent by two bitmaps
-of bounded size, which may let others through that the exact counts then leave out. Suffixes are
-added up in their task before they are shuffled. First words that would fill a task are dealt over several by the pair that they
+Of a phrase that is frequent enough all words that stand side by side are frequent pairs, and longer runs of its words are as
+frequent. So these are counted first, pairs by hash and then runs of three words and more in a fixed number of buckets, and a
+suffix ends before the first pair or run that isn't frequent: what is left out can't be part of a frequent phrase. All tasks know
+what is frequent by two bitmaps of bounded size, which may let others through that the exact counts then leave out. Suffixes are
+added up in their task before they are shuffled, in as many tasks as the cores want, however many partitions the texts have: the
+rows sent so follow the frequent phrases, of which there are at most four for every min_count words. First words that would fill a task are dealt over several by the pair that they
 begin, and pairs that would fill one by their whole suffix; the counts of such pairs are added up over the tasks.
 """
 
@@ -42,8 +43,10 @@ PARSED_BYTES, HELD_ROWS = 1 << 20, 1 << 19
 #: Bits of the bitmap of frequent pairs: so many for each, between these; a pair sets several, at these shifts of its hash.
 #: By a single bit, some hundredth of all pairs passed for frequent on a small corpus and more on a larger one: most of what was sent.
 PAIR_BITS, LEAST_BITS, MOST_BITS, PAIR_SHIFTS = 32, 1 << 20, 1 << 28, (0, 18, 36)
-#: Buckets in which triples are counted, those of a row that is sent, and the parts in which tasks' counts are added up first.
+#: Buckets in which triples and longer runs are counted, those of a row that is sent, and the parts in which tasks' counts are added up first.
 TRIPLE_BUCKETS, SENT_BUCKETS, COUNT_PARTS = 1 << 22, 1 << 16, 64
+#: Tasks that suffixes are added up in, for each core.
+TASKS_A_CORE = 2
 #: A first word is dealt over several tasks from this share of a task's words on.
 FULL_TASK = 4
 #: Parts that a language's phrases are ranked in, step by step.
@@ -117,27 +120,35 @@ class Words:
         out[at] = True
         return out, pairs
 
-    def triples(self, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where two pairs of the bitmap follow each other, and a hash for each such place."""
-        joined, pairs = self.joined(frequent)
-        at = np.flatnonzero(joined[:-1] & joined[1:])
-        mixed = pairs[at] * _ODD[2] ^ pairs[at + 1]
-        return at, (mixed ^ mixed >> np.uint64(32)) * _ODD[0] >> np.uint64(20)
+    def runs(self, joined: np.ndarray, pairs: np.ndarray, max_words: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For runs of three words, of four and so on: where all pairs are of the bitmap, and a hash for each such place."""
+        at, mixed = np.flatnonzero(joined), pairs[joined]
+        for k in range(1, max_words - 1):
+            on = at + k < len(joined)
+            on[on] = joined[at[on] + k]
+            at = at[on]
+            mixed = mixed[on] * _ODD[2] ^ pairs[at + k]
+            mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD[0]
+            yield at, mixed >> np.uint64(20)
 
     def counts(self) -> pa.Table:
         """lang, phrase (the word) and n."""
         return pa.table({"lang": self.langs, "phrase": self.names, "n": np.bincount(self.word, minlength=len(self.names)).astype(np.int64)})
 
-    def suffixes(self, frequent: np.ndarray, frequent_triples: np.ndarray, max_words: int) -> pa.Table:
-        """lang, suffix (each word with a space behind it), first, pair (the hash of the first two words) and n of the different suffixes of two words or more; by the bitmaps of pairs and triples."""
+    def suffixes(self, frequent: np.ndarray, frequent_runs: np.ndarray, max_words: int) -> pa.Table:
+        """lang, suffix (each word with a space behind it), first, pair (the hash of the first two words) and n of the different suffixes of two words or more; by the bitmaps of pairs and longer runs."""
         joined, pairs = self.joined(frequent)
-        at, triple = self.triples(frequent)
-        going_on = np.zeros(len(self) + max_words, bool)
-        going_on[at] = has(frequent_triples, triple)
         begin = np.flatnonzero(joined)
+        longer = self.runs(joined, pairs, max_words)
         on, deep, ids = np.ones(len(begin), bool), [], self.word[begin]
         for k in range(max_words - 1):
-            on = on & going_on[begin + k - 1] if k else on
+            if k:
+                at, run = next(longer)
+                known = np.zeros(len(self), bool)
+                known[at] = has(frequent_runs, run)
+                if k > 1:  # so are the run without its last word and without its first
+                    known &= before & np.r_[before[1:], False]
+                on, before = known[begin], known
             word = np.where(on, self.word[np.minimum(begin + k + 1, len(self) - 1)], -1)
             deep.append(word)
             ids = np.unique(ids * np.int64(len(self.names) + 1) + word + 1, return_inverse=True)[1]
@@ -171,11 +182,13 @@ class Sums:
         self.rows += table.num_rows
         if self.rows < self.held_rows:
             return []
-        total = self._total()
-        if 2 * total.num_rows >= self.held_rows:
-            return total.to_batches()
+        total, gone = self._total(), []
+        if 2 * total.num_rows >= self.held_rows:  # what has come most often stays
+            order = np.argsort(-total.column("n").to_numpy(), kind="stable")
+            keep = self.held_rows // 4
+            gone, total = total.take(order[keep:]).to_batches(), total.take(order[:keep])
         self.held, self.rows = [total], total.num_rows
-        return []
+        return gone
 
     def rest(self) -> list[pa.RecordBatch]:
         return self._total().to_batches() if self.held else []
@@ -228,8 +241,8 @@ def bitmap(keys: DataFrame, key: str, n: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def frequent_triples(texts: DataFrame, pairs: np.ndarray, min_count: int) -> np.ndarray:
-    """The bitmap of the buckets that have min_count triples of frequent pairs.
+def frequent_triples(texts: DataFrame, pairs: np.ndarray, min_count: int, max_words: int = 3) -> np.ndarray:
+    """The bitmap of the buckets that have min_count triples of frequent pairs, or longer runs of up to max_words words.
 
     Counts beyond min_count are sent as min_count, and added up over parts of the tasks first, so a row is a byte a bucket and no
     task reads more rows than there are parts, or tasks in a part.
@@ -244,8 +257,9 @@ def frequent_triples(texts: DataFrame, pairs: np.ndarray, min_count: int) -> np.
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TRIPLE_BUCKETS, np.int32)
         for words in parsed(batches):
-            bucket, n = np.unique(words.triples(pairs)[1] & np.uint64(TRIPLE_BUCKETS - 1), return_counts=True)
-            counts[bucket.astype(np.int64)] += n.astype(np.int32)
+            for _, run in words.runs(*words.joined(pairs), max_words):
+                bucket, n = np.unique(run & np.uint64(TRIPLE_BUCKETS - 1), return_counts=True)
+                counts[bucket.astype(np.int64)] += n.astype(np.int32)
         chunks = counts.reshape(-1, size)
         yield batch_of({k: chunks[k] for k in np.flatnonzero(chunks.any(1)).tolist()}, TaskContext.get().partitionId() % COUNT_PARTS)
 
@@ -302,6 +316,27 @@ def full_keys(counts: DataFrame, keys: list[str], fill: int) -> dict:
     return {tuple(r[k] for k in keys): r["n"] // fill + 1 for r in counts.where(F.col("n") >= fill).toLocalIterator()}
 
 
+def suffixes(texts: DataFrame, known: np.ndarray, runs: np.ndarray, max_words: int, full: dict, full_pairs: dict) -> DataFrame:
+    """lang, suffix, first and n of the suffixes, with the part of their first word and the number of parts of their pair. A task adds up over several partitions of the texts: what is frequent is in all of them, and each would send it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(["lang", "suffix", "first", "pair"])
+
+        def dealt(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in found:
+                rows = list(zip(b.column("lang").to_pylist(), b.column("first").to_pylist(), b.column("pair").to_pylist(), strict=True))
+                over = [full_pairs.get((pair,), 1) for _, _, pair in rows]
+                part = [pair % full.get((lang, first), 1) for lang, first, pair in rows]
+                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("suffix"), b.column("first"), b.column("n"), pa.array(part, pa.int64()), pa.array(over, pa.int64())], ["lang", "suffix", "first", "n", "part", "over"])
+
+        for words in parsed(batches):
+            yield from dealt(sums.add(words.suffixes(known, runs, max_words)))
+        yield from dealt(sums.rest())
+
+    few = texts.coalesce(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(tidy(run), "lang string, suffix string, first string, n long, part long, over long")
+
+
 def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, words and n (staged) of all phrases of up to max_words words that occur min_count times in their language; and the number n of words of each lang.
 
@@ -316,24 +351,10 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
     totals = stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals")
     pairs = counted.where(F.col("pair").isNotNull() & (F.col("n") >= min_count)).select("pair", "n")
     known = bitmap(pairs, "pair", pairs.count())
-    triples = frequent_triples(texts, known, min_count)
+    runs = frequent_triples(texts, known, min_count, max_words)
     fill = max(1, (words.agg(F.sum("n")).first()[0] or 0) // (FULL_TASK * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     full, full_pairs = full_keys(words, ["lang", "phrase"], fill), full_keys(pairs, ["pair"], fill)
 
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(["lang", "suffix", "first", "pair"])
-
-        def dealt(found: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in found:
-                rows = list(zip(b.column("lang").to_pylist(), b.column("first").to_pylist(), b.column("pair").to_pylist(), strict=True))
-                over = [full_pairs.get((pair,), 1) for _, _, pair in rows]
-                part = [pair % full.get((lang, first), 1) for lang, first, pair in rows]
-                yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("suffix"), b.column("first"), b.column("n"), pa.array(part, pa.int64()), pa.array(over, pa.int64())], ["lang", "suffix", "first", "n", "part", "over"])
-
-        for words in parsed(batches):
-            yield from dealt(sums.add(words.suffixes(known, triples, max_words)))
-        yield from dealt(sums.rest())
-
     def stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for b in batches for row in zip(b.column("lang").to_pylist(), b.column("suffix").to_pylist(), b.column("n").to_pylist(), pc.equal(b.column("over"), 1).to_pylist(), strict=True))
         held: list[tuple] = []
@@ -345,7 +366,7 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
         yield _phrase_batch(held)
 
     # A first word that would fill a task is dealt by the pair that it begins, and such a pair by the whole suffix.
-    dealt = texts.mapInArrow(tidy(suffixes), "lang string, suffix string, first string, n long, part long, over long").withColumn("suffix_part", F.pmod(F.xxhash64("suffix"), F.col("over")))
+    dealt = suffixes(texts, known, runs, max_words, full, full_pairs).withColumn("suffix_part", F.pmod(F.xxhash64("suffix"), F.col("over")))
     ordered = dealt.repartition("lang", "first", "part", "suffix_part").sortWithinPartitions("lang", F.desc("suffix")).select("lang", "suffix", "n", "over")
     # Prefixes of pairs that several tasks have are added up; the others are whole, and only those that are frequent come here.
     found = ordered.mapInArrow(tidy(stacked), "lang string, phrase string, words int, n long").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n"))

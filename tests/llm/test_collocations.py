@@ -93,6 +93,31 @@ def test_buckets_of_triples_hold_what_is_frequent(spark):
         assert int(np.bitwise_count(c.frequent_triples(texts, every, least)).sum()) == found
 
 
+def test_what_is_sent_follows_the_frequent_phrases_and_not_the_partitions(spark):
+    """Each task sends what is frequent, and it is in every partition. A suffix goes no further than a frequent run, though all its triples are frequent."""
+    tasks = c.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    rows = [("a b c. b c d. b c", "en")] * (6 * tasks) + [("a b c d", "en")]
+    texts = c.spoken(spark.createDataFrame(rows, "text string, lang string").repartition(3 * tasks))
+    pairs = c.words_and_pairs(texts).where("pair is not null").groupBy("pair").agg({"n": "sum"}).where("sum(n) > 5")
+    known = c.bitmap(pairs, "pair", 3)
+    runs = c.frequent_triples(texts, known, 5, 5)
+    sent = c.suffixes(texts, known, runs, 5, {}, {}).select("suffix", "n").collect()
+    total = Counter()
+    for r in sent:
+        total[r["suffix"]] += r["n"]
+    n = 6 * tasks
+    assert total == {"a b c ": n + 1, "b c d ": n + 1, "b c ": 2 * n, "c d ": n + 1}
+    assert len(sent) <= 4 * tasks
+
+
+def test_sums_hold_what_comes_most_often():
+    sums, gone = c.Sums(["pair"], 8), []
+    for k in range(20):
+        gone += sums.add(pa.table({"pair": pa.array([-1, *range(6 * k, 6 * k + 6)], pa.int64()), "n": pa.array([3] + [1] * 6, pa.int64())}))
+    out = [(r["pair"], r["n"]) for b in [*gone, *sums.rest()] for r in b.to_pylist()]
+    assert [n for pair, n in out if pair == -1] == [60] and sorted(out) == [(-1, 60), *[(k, 1) for k in range(120)]]
+
+
 def test_every_prefix_is_counted_once_by_the_stack():
     suffixes = Counter({("de", "a b "): 1, ("en", "a b c "): 2, ("en", "a b\x01 "): 4, ("en", "a b "): 8, ("en", "b c "): 3})
     rows = sorted(((lang, s, n, True) for (lang, s), n in suffixes.items()), key=lambda r: (r[0], [-b for b in r[1].encode()] + [1]))
