@@ -70,12 +70,12 @@ def near_hashes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
-    """Pairs of ids whose hashes lie within the radius: left_id, right_id, distance.
+    """Pairs of rows whose hashes lie within the radius: left_id, right_id, distance.
 
     Only distinct hashes are compared, all with all; what they stand for is joined afterwards. Copies on both sides give as many
-    rows as there are pairs of them: near_links says the same in a row for each id.
+    rows as there are pairs of them, repeated ids as well: near_links only counts them for each row.
     """
-    ids = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("hash").alias(side[0])).distinct()
+    ids = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("hash").alias(side[0]))
     return near_hashes(left, right, radius).join(ids(left, "left"), "l").join(ids(right, "right"), "r").select("left_id", "right_id", "distance")
 
 

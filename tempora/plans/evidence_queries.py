@@ -68,13 +68,14 @@ def population_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hashes(spark: SparkSession, sf_dir: str, split: str) -> DataFrame:
+    """A chunk without a vector has no bit set."""
     chunks = views.chunks(spark, sf_dir).where(F.col("split") == split)
-    return chunks.select(F.col("chunk_id").alias("id"), integrity.gradient_bits(F.col("vector")).alias("hash"))
+    return chunks.select(F.col("chunk_id").alias("id"), F.coalesce(integrity.gradient_bits(F.col("vector")), F.lit(0)).cast("long").alias("hash"))
 
 
 def near_duplicate_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each chunk of train and of test its class and the chunks of the other within 20 bits of its gradient hash: the pairs themselves grow with the square of the table."""
-    return integrity.near_links(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
+    """Each pair of a train and a test chunk whose gradient hashes lie within 20 bits, and their distance."""
+    return integrity.near_pairs(_hashes(spark, sf_dir, "train"), _hashes(spark, sf_dir, "test"), 20)
 
 
 def _split_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,13 +238,7 @@ ORACLE_SQL = {
         body=""", v AS (SELECT chunk_id, label, CASE label WHEN 1 THEN vector[1:63] WHEN 2 THEN list_transform(vector, lambda x: (x * 2)::FLOAT) ELSE vector END::DOUBLE[] AS v FROM chunks),
         faults AS (SELECT chunk_id, unnest([CASE WHEN label = 0 THEN 'space' END, CASE WHEN len(v) <> 64 THEN 'dimension' END, CASE WHEN NOT abs(sqrt(list_inner_product(v, v)) - 1) < 1e-5 THEN 'unit' END]) AS rule FROM v) SELECT * FROM faults WHERE rule IS NOT NULL""",
     ),
-    "near_duplicate_hamming": sql(
-        "chunks",
-        body=_HASHES
-        + """, s AS (SELECT CASE split WHEN 'train' THEN 'left' ELSE 'right' END AS side, id, hash FROM h WHERE split IN ('train', 'test')),
-        n AS (SELECT a.side, a.id, count(*) AS links FROM s a, s b WHERE a.side <> b.side AND bit_count(xor(a.hash, b.hash)) <= 20 GROUP BY ALL)
-        SELECT s.side, s.id, min(s.id) OVER (PARTITION BY s.side, s.hash) AS class_id, coalesce(links, 0) AS links FROM s LEFT JOIN n ON s.side = n.side AND s.id = n.id""",
-    ),
+    "near_duplicate_hamming": sql("chunks", body=_HASHES + " SELECT a.id AS left_id, b.id AS right_id, CAST(bit_count(xor(a.hash, b.hash)) AS INTEGER) AS distance FROM h a, h b WHERE a.split = 'train' AND b.split = 'test' AND bit_count(xor(a.hash, b.hash)) <= 20"),
     "near_duplicate_links": sql(
         "chunks",
         body=_HASHES

@@ -1,9 +1,11 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
 from tempora.operators import integrity, tiles
+from tempora.plans import evidence_queries
 
 
 def sides(spark):
@@ -34,6 +36,25 @@ def test_near_hashes_and_links(spark, monkeypatch, block):
             assert got[side, i] == (min(j for j, x in rows if x == h), links)
 
 
+def test_query_gives_each_pair_of_train_and_test(spark, tmp_path):
+    """Which chunks are near one another and by how much, not how many: copies, a repeated id and missing vectors too."""
+    rng = np.random.default_rng(3)
+    copied = rng.normal(size=64)
+    vectors = [copied if i % 4 == 0 else copied + rng.normal(size=64) * rng.choice([0.2, 1]) for i in range(80)]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors)] + [(8, copied.tolist(), 0), (80, None, 0), (88, None, 0), (98, [], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    single = lambda v: np.float32(v or [])
+    hashes = [(i, sum(1 << k for k in np.flatnonzero(np.diff(single(v)) > 0).tolist())) for i, v, _ in rows]
+    near = sorted((i, j, (x ^ y).bit_count()) for i, x in hashes if i % 10 < 6 for j, y in hashes if j % 10 > 7 and (x ^ y).bit_count() <= 20)
+    got = evidence_queries.near_duplicate_hamming(spark, str(tmp_path))
+    assert got.columns == ["left_id", "right_id", "distance"]
+    assert sorted(map(tuple, got.collect())) == near
+    assert len(near) > len(set(near)) > 100 and (80, 88, 0) in near
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(con.execute(evidence_queries.ORACLE_SQL["near_duplicate_hamming"]).fetchall()) == near
+
+
 def test_candidates_are_no_cross_join(spark):
     """No join by bits: what Spark joins are blocks of distinct hashes."""
     _, _, (a, b) = sides(spark)
