@@ -17,6 +17,9 @@ from tempora.operators.checks import in_several
 #: Rows of a tile of hashes: tiles whose population counts lie too far apart are skipped.
 TILE_ROWS = 256
 
+#: Ids in a list of a hash's rows, about, and pairs in an Arrow batch, about.
+LIST_ROWS, BATCH_ROWS = 256, 1 << 17
+
 
 def content_hash(text: Column) -> Column:
     return F.sha2(text, 256)
@@ -69,14 +72,44 @@ def near_hashes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     return tiles.meeting(_hashes(left).select("hash"), _hashes(right).select("hash"), "hash").mapInArrow(run, "l long, r long, distance int")
 
 
+def _listed(rows: DataFrame) -> DataFrame:
+    """key, hash and ids: the rows of each hash, in lists of about LIST_ROWS at most."""
+    many = _hashes(rows).where(F.col("n") > LIST_ROWS)
+    part = F.pmod(F.xxhash64("id"), F.coalesce(F.ceil(F.col("n") / LIST_ROWS), F.lit(1)))
+    lists = rows.where(F.col("hash").isNotNull()).join(many, "hash", "left").groupBy("hash", part.alias("part")).agg(F.collect_list(F.struct("id")).alias("ids"))
+    return lists.select(F.xxhash64("hash", "part").alias("key"), "hash", "ids")
+
+
+def each_with_each(a_at: np.ndarray, a_n: np.ndarray, b_at: np.ndarray, b_n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For runs of places (where they begin and how long they are), two by two: which two, and all pairs of a place in one and one in the other."""
+    n = a_n * b_n
+    of = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return of, a_at[of] + nth // b_n[of], b_at[of] + nth % b_n[of]
+
+
 def near_pairs(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
     """Pairs of rows whose hashes lie within the radius: left_id, right_id, distance.
 
-    Only distinct hashes are compared, all with all; what they stand for is joined afterwards. Copies on both sides give as many
-    rows as there are pairs of them, repeated ids as well: near_links only counts them for each row.
+    Distinct hashes are compared, all with all, and tasks write out the pairs of their ids where they compare them: no pair is
+    shuffled, and a batch at a time is held. Copies on both sides give as many rows as there are pairs of them, repeated ids as
+    well: near_links only counts them for each row.
     """
-    ids = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("hash").alias(side[0]))
-    return near_hashes(left, right, radius).join(ids(left, "left"), "l").join(ids(right, "right"), "r").select("left_id", "right_id", "distance")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a, b in tiles.pairs(batches):
+            (l, l_ids), (r, r_ids) = ((x.field("hash").to_numpy().view(np.uint64), x.field("ids")) for x in (a, b))
+            l_n, r_n = (x.value_lengths().to_numpy().astype(np.int64) for x in (l_ids, r_ids))
+            l_at, r_at = np.cumsum(l_n) - l_n, np.cumsum(r_n) - r_n
+            l_id, r_id = (x.flatten().field("id") for x in (l_ids, r_ids))
+            for x, y, distance in tile_pairs(l, r, radius):
+                cuts = np.flatnonzero(np.diff(np.cumsum(l_n[x] * r_n[y]) // BATCH_ROWS)) + 1
+                for u, v, d in zip(*(np.split(z, cuts) for z in (x, y, distance)), strict=True):
+                    of, i, j = each_with_each(l_at[u], l_n[u], r_at[v], r_n[v])
+                    if len(of):
+                        yield pa.RecordBatch.from_arrays([l_id.take(pa.array(i)), r_id.take(pa.array(j)), pa.array(d[of])], ["left_id", "right_id", "distance"])
+
+    return tiles.meeting(_listed(left), _listed(right), "key").mapInArrow(run, "left_id long, right_id long, distance int")
 
 
 def near_links(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:

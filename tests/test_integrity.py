@@ -55,6 +55,23 @@ def test_query_gives_each_pair_of_train_and_test(spark, tmp_path):
     assert sorted(con.execute(evidence_queries.ORACLE_SQL["near_duplicate_hamming"]).fetchall()) == near
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_pairs_of_large_groups(spark, monkeypatch, block):
+    """Groups of copies go into several lists and batches, and no pair through a join or an exchange."""
+    for name, value in (("LIST_ROWS", 4), ("BATCH_ROWS", 50)):
+        monkeypatch.setattr(integrity, name, value)
+    monkeypatch.setattr(tiles, "LEFT_ROWS", block)
+    left, right, (a, b) = sides(spark)
+    b = b.unionByName(b.where("id % 2 = 0")).unionByName(spark.createDataFrame([(None, left[0][1]), (5, None)], b.schema))
+    right = right + right[::2] + [(None, left[0][1])]
+    near = [(i, j, (x ^ y).bit_count()) for i, x in left for j, y in right if (x ^ y).bit_count() <= 20]
+    found = integrity.near_pairs(a, b, 20)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(near, key=str) and len(near) > 1000
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("MapInArrow")
+    assert integrity._listed(a).selectExpr("max(size(ids))").first()[0] < 20 < a.groupBy("hash").count().selectExpr("max(count)").first()[0]
+    assert not integrity.near_pairs(a, b.limit(0), 20).take(1) and not integrity.near_pairs(a.limit(0), b, 20).take(1)
+
+
 def test_candidates_are_no_cross_join(spark):
     """No join by bits: what Spark joins are blocks of distinct hashes."""
     _, _, (a, b) = sides(spark)
